@@ -73,6 +73,22 @@ BINDINGS = {
                (o_orderkey * 9109) % 25501 / 100.0e0 brightness_score,
                (o_orderkey * 2909) % 12751 / 100.0e0 contrast_score
         from {orders}""",
+    "score_bodies": """
+        select o_orderkey request_id, case when o_orderkey % 41 = 0 then '[1, 2]' else concat('{',
+               case o_orderkey % 9 when 0 then '"faceMatchScore":' when 1 then '"faceMatchScore":1,"face_match_score":'
+                    else '"face_match_score":' end, cast((o_orderkey * 37) % 1201 / 10e0 as string),
+               ',"liveness_score":', case o_orderkey % 11 when 0 then 'null' when 1 then 'true' when 2 then '"0.8"'
+                    when 3 then '-0.5' else cast((o_orderkey * 53) % 110 / 100e0 as string) end,
+               case when o_orderkey % 13 = 0 then '' else concat(',"ocrConfidenceScore":', cast(o_orderkey % 2 as string)) end,
+               ',"blur_score":', cast(o_orderkey % 2000 as string), ',"brightness_score":', cast(o_orderkey % 260 as string),
+               ',"contrastScore":', cast((o_orderkey % 260) / 2e0 as string),
+               case when o_orderkey % 17 = 0 then ',"zeta":1,"alpha":2' else '' end, '}') end body
+        from {orders}""",
+    "admin_overrides": """
+        select request_id, agent_id, case when request_id % 2 = 0 then 'approve' else 'reject' end verdict,
+               concat('user_', cast(request_id % 50 as string)) admin_id,
+               case when request_id % 3 = 0 then 'Documents look altered' end reason
+        from {verification_requests} where status = 'review'""",
     "kyc_decisions": """
         select request_id decision_id, request_id,
                case when request_id % 41 = 0 then 'review' else status end final_decision,

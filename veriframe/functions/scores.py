@@ -41,31 +41,30 @@ def score_errors(columns=FEATURES):
 def json_score_errors(body):
     """Error array for a JSON request body that may use either naming style.
 
-    Types are judged on the raw JSON token, so quoted numbers and booleans are refused.
+    Types are judged on the parsed value, so quoted numbers and booleans are refused.
     """
-    fields = F.from_json(body, "map<string,string>", {"allowNonNumericNumbers": "true"})
+    parsed = F.try_parse_json(body)
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
     known = F.array(*[F.lit(n) for n in FEATURES + FEATURE_ALIASES])
-    unknown = F.array_sort(F.array_except(F.map_keys(fields), known))
+    unknown = F.array_sort(F.array_except(keys, known))
     checks = [
-        F.when(fields.isNull(), F.lit("Request body must be a JSON object")),
+        F.when(~is_object, F.lit("Request body must be a JSON object")),
         F.when(F.size(unknown) > 0, F.concat(F.lit("Unknown score fields: "), F.array_join(unknown, ", "))),
     ]
-    keys = F.map_keys(fields)
     for name, alias, (low, high) in zip(FEATURES, FEATURE_ALIASES, FEATURE_BOUNDS):
-        raw = F.coalesce(fields[name], fields[alias])
-        # a string token keeps its quotes in the source text; a number does not
-        token = rf'"(?:{name}|{alias})"\s*:\s*(-?[0-9][0-9.eE+-]*|NaN|-?Infinity)\s*[,}}]'
-        number = F.try_element_at(F.regexp_extract_all(body, F.lit(token), 1), F.lit(1))
-        value = F.expr("double(0)") + number.try_cast("double")
+        field = F.coalesce(F.try_variant_get(parsed, f"$.{name}", "variant"), F.try_variant_get(parsed, f"$.{alias}", "variant"))
+        kind = F.schema_of_variant(field)
+        value = F.coalesce(F.try_variant_get(parsed, f"$.{name}", "double"), F.try_variant_get(parsed, f"$.{alias}", "double"))
         outside = value < low if high is None else (value < low) | (value > high)
         top = "infinity" if high is None else high
         both = F.array_contains(keys, name) & F.array_contains(keys, alias)
         checks.append(
-            F.when(fields.isNull(), None)
+            F.when(~is_object, None)
             .when(both, F.lit(f"Provide only one of {name} and {alias}"))
-            .when(raw.isNull(), F.lit(f"{name} is required"))
-            .when(number.isNull(), F.lit(f"{name} must be a number"))
-            .when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(f"{name} must be finite"))
+            .when(field.isNull() | F.is_variant_null(field), F.lit(f"{name} is required"))
+            .when(~kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(f"{name} must be a number"))
+            .when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), F.lit(f"{name} must be finite"))
             .when(outside, F.lit(f"{name} must be in [{low}, {top}]"))
         )
     return compact_array(*checks)

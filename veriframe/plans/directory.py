@@ -124,7 +124,7 @@ def _(t):
         F.when(F.col("log_id") % 5 == 0, "").otherwise(F.col("ip_address")).alias("ip_address"), "device_fingerprint")
     path = scratch_dir(t.spark, "audit")
     writers.append_audit(entries, path, EVENT_NOW)
-    return readers.read_table(t.spark, "audit_logs", path).drop("log_id")
+    return readers.read_table(t.spark, "audit_logs", path).drop("log_id", "day")
 
 
 @query("a7_fingerprint", """

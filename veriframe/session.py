@@ -21,7 +21,7 @@ SETTINGS = {
 
 
 def build_session(app="veriframe", master=None, shuffle_partitions=None, driver_memory=None):
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     if driver_memory:
