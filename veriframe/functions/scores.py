@@ -38,36 +38,46 @@ def score_errors(columns=FEATURES):
     return compact_array(*checks)
 
 
-def json_score_errors(body):
-    """Error array for a JSON request body that may use either naming style.
+def with_json_score_errors(rows, body="body", out="errors"):
+    """Add the error array of a JSON request body that may use either naming style.
 
-    Types are judged on the parsed value, so quoted numbers and booleans are refused.
+    The body is parsed once per row into a variant column; types are judged on the parsed value, so
+    quoted numbers and booleans are refused.
     """
-    parsed = F.try_parse_json(body)
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    columns = rows.columns
+    parsed = rows.withColumn("_v", F.try_parse_json(body)).withColumn("_keys", F.json_object_keys(body))
+    names = list(zip(FEATURES, FEATURE_ALIASES))
+    fields = parsed.select(*columns, "_keys", *[
+        F.coalesce(F.try_variant_get("_v", f"$.{a}", "variant"), F.try_variant_get("_v", f"$.{b}", "variant")).alias(f"_f{i}")
+        for i, (a, b) in enumerate(names)
+    ])
+    typed = fields.select(*columns, "_keys", *[
+        part for i in range(len(names)) for part in (
+            F.when(~F.is_variant_null(f"_f{i}"), F.schema_of_variant(f"_f{i}")).alias(f"_t{i}"),
+            F.try_variant_get(f"_f{i}", "$", "double").alias(f"_d{i}"),
+        )
+    ])
+    is_object = F.col("_keys").isNotNull()
     known = F.array(*[F.lit(n) for n in FEATURES + FEATURE_ALIASES])
-    unknown = F.array_sort(F.array_except(keys, known))
+    unknown = F.array_sort(F.array_except("_keys", known))
     checks = [
         F.when(~is_object, F.lit("Request body must be a JSON object")),
         F.when(F.size(unknown) > 0, F.concat(F.lit("Unknown score fields: "), F.array_join(unknown, ", "))),
     ]
-    for name, alias, (low, high) in zip(FEATURES, FEATURE_ALIASES, FEATURE_BOUNDS):
-        field = F.coalesce(F.try_variant_get(parsed, f"$.{name}", "variant"), F.try_variant_get(parsed, f"$.{alias}", "variant"))
-        kind = F.schema_of_variant(field)
-        value = F.coalesce(F.try_variant_get(parsed, f"$.{name}", "double"), F.try_variant_get(parsed, f"$.{alias}", "double"))
+    for i, ((name, alias), (low, high)) in enumerate(zip(names, FEATURE_BOUNDS)):
+        kind, value = F.col(f"_t{i}"), F.col(f"_d{i}")
         outside = value < low if high is None else (value < low) | (value > high)
         top = "infinity" if high is None else high
-        both = F.array_contains(keys, name) & F.array_contains(keys, alias)
+        both = F.array_contains("_keys", name) & F.array_contains("_keys", alias)
         checks.append(
             F.when(~is_object, None)
             .when(both, F.lit(f"Provide only one of {name} and {alias}"))
-            .when(field.isNull() | F.is_variant_null(field), F.lit(f"{name} is required"))
+            .when(kind.isNull(), F.lit(f"{name} is required"))
             .when(~kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(f"{name} must be a number"))
             .when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), F.lit(f"{name} must be finite"))
             .when(outside, F.lit(f"{name} must be in [{low}, {top}]"))
         )
-    return compact_array(*checks)
+    return typed.select(*columns, compact_array(*checks).alias(out))
 
 
 def threshold_reject_reasons():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veriframe.bindings import REQUEST_NOW
 from veriframe.functions import feedback as fb
 from veriframe.functions import quality as q
-from veriframe.functions.scores import json_score_errors
+from veriframe.functions.scores import with_json_score_errors
 from veriframe.operators import decisions as d
 from veriframe.registry import query
 from veriframe.schemas import FEATURE_ALIASES, FEATURE_BOUNDS, FEATURES
@@ -69,7 +69,7 @@ select request_id, concat_ws(' | ', case when not is_obj then 'Request body must
    {", ".join(_json_check(n, a, lo, hi) for n, a, (lo, hi) in zip(FEATURES, FEATURE_ALIASES, FEATURE_BOUNDS))}) errors
 from (select *, json_type(body) = 'OBJECT' is_obj from score_bodies)""")
 def _(t):
-    return t.score_bodies.select("request_id", joined(json_score_errors(F.col("body"))).alias("errors"))
+    return with_json_score_errors(t.score_bodies).select("request_id", joined("errors").alias("errors"))
 
 
 @query("d1_stored_score_validation", """

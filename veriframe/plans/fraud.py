@@ -291,7 +291,7 @@ def _(t):
 
 @query("f6_signed_url_lifetime", f"""
 with {_LATEST}
-select a.agent_id, greatest(0, case when {_LE} is null then 3600 else least(3600, floor((epoch_ms({_LE}) - epoch_ms(timestamp '{REQUEST_NOW}')) / 1000.0e0)) end)::bigint seconds,
+select a.agent_id, greatest(0, case when {_LE} is null then 3600 else least(3600, floor((epoch_ms({_LE}) - epoch_ms(timestamp '{REQUEST_NOW}')) / 1000.0e0)) end)::bigint as "seconds",
        coalesce(case when {_LE} is null then 3600 else floor((epoch_ms({_LE}) - epoch_ms(timestamp '{REQUEST_NOW}')) / 1000.0e0) end <= 0, false) retention_expired
 from agents a left join latest l on l.agent_id = a.agent_id left join kyc_decisions d on d.request_id = l.request_id""")
 def _(t):
