@@ -60,25 +60,27 @@ def hash_rank(df, keys, digest, tie, out, buckets=3):
         *keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
     inside = Window.partitionBy(*keys, "_part").orderBy("_digest", tie)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside))
+    ranked = rows.withColumn("_inner", F.row_number().over(inside))
     joined = ranked.join(offsets, [*keys, "_part"])
-    return joined.withColumn(out, F.col("_before") + F.col("_rank")).drop(
-        "_digest", "_part", "_before", "_rank"
+    return joined.withColumn(out, F.col("_before") + F.col("_inner")).drop(
+        "_digest", "_part", "_before", "_inner"
     )
 
 
-def exact_quantiles(df, keys, value, probabilities, cuts=64):
+def exact_quantiles(df, keys, value, probabilities, cuts=64, weight=None):
     """Exact linearly interpolated quantiles per key: rows (keys, probability, quantile).
 
     Equal values are merged first. Approximate cut points split each group into value ranges, range
-    sizes are accumulated, and only ranges that hold a wanted rank are put in order.
+    sizes are accumulated, and only ranges that hold a wanted rank are put in order. ``weight`` names
+    a column with the number of copies a row stands for.
     """
     keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    weights = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    copies = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    data = df.select(*keys, F.col(value).cast("double").alias("_v"), copies.alias("_c")).where(F.col("_v").isNotNull())
+    weights = data.groupBy(*keys, "_v").agg(F.sum("_c").alias("_w"))
     grid = [i / cuts for i in range(1, cuts)]
     edges = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", grid, 10000).alias("_edges"), F.count(F.lit(1)).alias("_n")
+        F.percentile_approx("_v", grid, 10000).alias("_edges"), F.sum("_c").alias("_n")
     )
     # one row per (key, probability): the two ranks to interpolate between
     wanted = edges.select(*keys, "_n", F.explode(F.array(*[F.lit(p) for p in probabilities])).alias("probability"))
@@ -119,9 +121,9 @@ def exact_quantiles(df, keys, value, probabilities, cuts=64):
     return found.select(*keys, "probability", quantile.alias("quantile"))
 
 
-def quantile_columns(df, keys, value, named):
+def quantile_columns(df, keys, value, named, weight=None):
     """Exact quantiles pivoted to columns, ``named`` = {column: probability}."""
-    long = exact_quantiles(df, keys, value, sorted(set(named.values())))
+    long = exact_quantiles(df, keys, value, sorted(set(named.values())), weight=weight)
     wide = [
         F.max(F.when(F.abs(F.col("probability") - p) < 1e-9, F.col("quantile"))).alias(name)
         for name, p in named.items()

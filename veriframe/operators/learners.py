@@ -1,0 +1,164 @@
+"""Model fitting on Spark ML: trees, margin models on random features, calibration."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import functions as F
+
+from veriframe.operators.evaluation import confusion_cells, macro_f1_column
+from veriframe.operators.selection import class_weights, folds
+from veriframe.schemas import CLASSES, FEATURES
+
+UNLIMITED_DEPTH = 30  # the deepest tree the library grows
+
+
+def with_label(rows, target="target"):
+    """Numeric class label in the fixed class order."""
+    label = F.coalesce(*[F.when(F.col(target) == c, F.lit(float(i))) for i, c in enumerate(CLASSES)])
+    return rows.withColumn("label", label)
+
+
+def prepared(rows, features=FEATURES):
+    """Rows with label, balanced weight and feature vector."""
+    weighted = class_weights(with_label(rows))
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(weighted)
+
+
+class MacroF1(Evaluator):
+    """Macro F1 of label and prediction, from one aggregation."""
+
+    def _evaluate(self, dataset):
+        name = lambda c: F.element_at(F.array(*[F.lit(x) for x in CLASSES]), (F.col(c) + 1).cast("int"))
+        rows = dataset.select(name("label").alias("target"), name("prediction").alias("predicted"))
+        return float(confusion_cells(rows).select(macro_f1_column()).first()[0] or 0.0)
+
+    def isLargerBetter(self):
+        return True
+
+
+def single_feature_signal(train, key, features=FEATURES, k=5, depth=3):
+    """Mean cross-validated macro F1 of a shallow tree on each feature alone."""
+    numbered = folds(with_label(class_weights(train)), key, k).persist()
+    out = []
+    for feature in features:
+        data = VectorAssembler(inputCols=[feature], outputCol="features").transform(numbered)
+        tree = DecisionTreeClassifier(maxDepth=depth, weightCol="weight", seed=42)
+        scores = []
+        for fold in range(k):
+            model = tree.fit(data.where(F.col("fold") != fold))
+            scores.append(MacroF1().evaluate(model.transform(data.where(F.col("fold") == fold))))
+        out.append((feature, float(np.mean(scores))))
+    numbered.unpersist()
+    return train.sparkSession.createDataFrame(out, "feature string, macro_f1 double")
+
+
+def tune_tree(train, depths=(3, 5, 8, UNLIMITED_DEPTH), leaves=(5, 20, 50), k=5, parallelism=4, features=FEATURES):
+    """Tree grid by cross-validated macro F1: (fitted cross-validator, table of grid scores)."""
+    data = prepared(train, features).persist()
+    tree = DecisionTreeClassifier(weightCol="weight", seed=42)
+    grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).addGrid(tree.minInstancesPerNode, list(leaves)).build()
+    search = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=MacroF1(), numFolds=k, seed=42, parallelism=parallelism)
+    fitted = search.fit(data)
+    data.unpersist()
+    table = [(int(m[tree.maxDepth]), int(m[tree.minInstancesPerNode]), float(s)) for m, s in zip(grid, fitted.avgMetrics)]
+    return fitted, train.sparkSession.createDataFrame(table, "max_depth int, min_leaf int, macro_f1 double")
+
+
+def fit_tree(train, depth, leaf, features=FEATURES):
+    return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=leaf, weightCol="weight", seed=42).fit(prepared(train, features))
+
+
+def tree_importances(spark, model, features=FEATURES):
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double")
+
+
+def random_features(rows, gamma, size=96, seed=42, features=FEATURES):
+    """Random cosine features whose inner products approximate the radial-basis kernel."""
+    rng = np.random.default_rng(seed)
+    weights = rng.normal(0, np.sqrt(2 * gamma), (len(features), size))
+    shift = rng.uniform(0, 2 * np.pi, size)
+
+    @F.pandas_udf("array<double>")
+    def lift(batch: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(np.sqrt(2 / size) * np.cos(batch.to_numpy(dtype=float) @ weights + shift)))
+
+    return rows.withColumn("features", array_to_vector(lift(F.struct(*features))))
+
+
+def fit_margin_model(train, cost=1.0, gamma=1.0, features=FEATURES, iterations=30):
+    """One-vs-rest linear margins on random features (an approximate kernel model). Rows are scaled already."""
+    data = random_features(class_weights(with_label(train)), gamma, features=features)
+    svm = LinearSVC(maxIter=iterations, regParam=1.0 / (cost * 1000.0))
+    return OneVsRest(classifier=svm, weightCol="weight", parallelism=3).fit(data)
+
+
+def tune_margin_model(train, key, costs=(0.1, 1.0, 10.0, 100.0), gammas=(0.001, 0.01, 0.1, 1.0), k=5, features=FEATURES):
+    """Cost and width grid by cross-validated macro F1 as a table, best first."""
+    numbered = folds(train, key, k).persist()
+    rows = []
+    for cost in costs:
+        for gamma in gammas:
+            scores = []
+            for fold in range(k):
+                model = fit_margin_model(numbered.where(F.col("fold") != fold), cost, gamma, features)
+                held = random_features(with_label(numbered.where(F.col("fold") == fold)), gamma, features=features)
+                scores.append(MacroF1().evaluate(model.transform(held)))
+            rows.append((cost, gamma, float(np.mean(scores))))
+    numbered.unpersist()
+    return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: -r[2]), "cost double, gamma double, macro_f1 double")
+
+
+def predict_margins(model, rows, gamma, features=FEATURES):
+    """Predicted class and the three one-vs-rest margins."""
+    scored = model.transform(random_features(with_label(rows), gamma, features=features))
+    name = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("prediction") + 1).cast("int"))
+    margins = vector_to_array("rawPrediction")
+    return scored.select(*rows.columns, name.alias("predicted"), *[margins[i].alias(f"m_{k}") for i, k in enumerate(("verified", "review", "rejected"))])
+
+
+_KINDS = ("verified", "review", "rejected")
+
+
+def _normalised(rows, keep, values):
+    total = sum(F.col(v) for v in values)
+    share = lambda v: F.when(total > 0, F.col(v) / total).otherwise(F.lit(1 / 3))
+    return rows.select(*keep, *[share(v).alias(f"p_{k}") for v, k in zip(values, _KINDS)])
+
+
+def calibrate_sigmoid(held_out, rows, margins=("m_verified", "m_review", "m_rejected")):
+    """Per-class logistic curve on the margin, fitted on the held-out part, then normalised."""
+    keep = [c for c in rows.columns if not c.startswith("p_")]
+    out = rows
+    for margin, kind, label in zip(margins, _KINDS, CLASSES):
+        data = held_out.select(F.col(margin), (F.col("target") == label).cast("double").alias("label"))
+        stage = Pipeline(stages=[VectorAssembler(inputCols=[margin], outputCol="_f"), LogisticRegression(featuresCol="_f", maxIter=50)])
+        model = stage.fit(data).stages[-1]
+        out = out.withColumn(f"_{kind}", 1 / (1 + F.exp(-(float(model.coefficients[0]) * F.col(margin) + float(model.intercept)))))
+    return _normalised(out, keep, [f"_{k}" for k in _KINDS])
+
+
+def calibrate_isotonic(held_out, rows, margins=("m_verified", "m_review", "m_rejected"), digits=4):
+    """Per-class monotone curve on the margin, fitted on the held-out part, then normalised.
+
+    Equal margins (to ``digits`` digits) are merged with their weight first, so the fit sees a bounded
+    number of points however many rows there are.
+    """
+    keep = [c for c in rows.columns if not c.startswith("p_")]
+    out = rows
+    for margin, kind, label in zip(margins, _KINDS, CLASSES):
+        points = held_out.groupBy(F.round(margin, digits).alias(margin)).agg(
+            F.avg((F.col("target") == label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w")
+        )
+        data = VectorAssembler(inputCols=[margin], outputCol="_f").transform(points)
+        model = IsotonicRegression(featuresCol="_f", weightCol="w").fit(data)
+        assembled = VectorAssembler(inputCols=[margin], outputCol="_f").transform(out)
+        out = model.setPredictionCol(f"_{kind}").transform(assembled).drop("_f")
+    return _normalised(out, keep, [f"_{k}" for k in _KINDS])
