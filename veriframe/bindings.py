@@ -403,6 +403,29 @@ BINDINGS = {
                       else case when doc_id % 3 = 0 then 'AB12' else null end end value
           from {identity_facts} cross join (values (0), (1), (2), (3)) as v(reading_no)) x
         where value is not null""",
+    "raw_records": """
+        select doc_id, case kind when 0 then 'id_v2_surname_given' when 1 then 'passport' when 2 then 'id_v1_full_name' when 3 then 'drivers_licence'
+                            when 4 then 'id_v2_surname_given' else 'id_back' end document_type,
+               case when kind in (0, 1, 3, 4) and doc_id % 11 <> 3 then surname end surname,
+               case when kind in (0, 1, 4) and doc_id % 13 <> 3 then given end given_names,
+               case when kind = 3 then given end other_names, case when kind = 2 then concat(surname, ' ', given) end full_names,
+               case when kind <> 1 and doc_id % 17 <> 3 then concat(substr(num9, 1, 3), ' ', substr(num9, 4)) end id_number,
+               case when kind = 1 then lower(concat('ak', num9)) end passport_no,
+               case when doc_id % 19 = 3 then '31.02.1990' when doc_id % 23 = 3 then '01.01.2031' when doc_id % 29 = 3 then '01.01.1890' when doc_id % 31 = 3 then ' '
+                    else concat(dd, '.', mm, '.19', yy) end date_of_birth,
+               case when kind = 2 or doc_id % 9 = 2 then null else concat(ex_dd, '.', ex_mm, '.20', ex_yy) end date_of_expiry
+        from {identity_facts}""",
+    "back_records": """
+        select doc_id, case doc_id % 6 when 0 then concat('KEN', num9, '4') when 1 then concat('9', substr(num9, 2)) when 2 then null
+                       when 3 then substr(num9, 2) else num9 end id_number
+        from {identity_facts} where kind in (0, 2, 4)""",
+    "zone_records": """
+        select doc_id, case when doc_id % 7 = 0 then null when doc_id % 5 = 0 then concat(substr(num9, 1, 8), '7') else num9 end document_number,
+               doc_id % 4 <> 0 id_number_verified, case when doc_id % 8 = 1 then null else upper(surname) end surname,
+               case when doc_id % 8 = 1 or doc_id % 8 = 2 then null else given end given_names, concat(surname, ' ', given) full_names,
+               make_date(1900 + cast(yy as int), cast(mm as int), cast(dd as int)) date_of_birth,
+               case when doc_id % 10 = 0 then cast(null as date) else make_date(2000 + cast(ex_yy as int), cast(ex_mm as int), cast(ex_dd as int)) end date_of_expiry
+        from {identity_facts} where doc_id % 3 <> 2""",
     "text_fields": """
         select i.doc_id, i.item_no, i.text read_text, f.num9 true_text
         from {ocr_items} i join {identity_facts} f on f.doc_id = i.doc_id where i.side = 'front'""",

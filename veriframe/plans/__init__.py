@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _name in ("directory", "decisions", "fraud", "dashboards", "evaluation"):
+for _name in ("directory", "decisions", "fraud", "dashboards", "evaluation", "identity"):
     import_module(f"veriframe.plans.{_name}")

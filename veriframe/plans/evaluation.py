@@ -95,8 +95,8 @@ def _(t):
 
 
 @query("m4_near_duplicate_pairs", """
-with z as (select request_id, face_match_score / 8 / 0.1e0 z0, liveness_score / 8 / 0.001e0 z1, ocr_confidence_score / 8 / 0.001e0 z2,
-    ln(1 + blur_score / 60) / 0.01e0 z3, brightness_score / 30 / 0.1e0 z4, contrast_score / 20 / 0.1e0 z5 from verification_scores)
+with z as (select request_id, face_match_score / 100 / 0.1e0 z0, liveness_score / 100 / 0.001e0 z1, ocr_confidence_score / 100 / 0.001e0 z2,
+    ln(1 + blur_score / 4000) / 0.01e0 z3, brightness_score / 200 / 0.1e0 z4, contrast_score / 150 / 0.1e0 z5 from verification_scores)
 select count(*) pairs from z a join z b on a.request_id < b.request_id and abs(a.z0 - b.z0) <= 1 and abs(a.z1 - b.z1) <= 1 and abs(a.z2 - b.z2) <= 1
    and abs(a.z3 - b.z3) <= 1 and abs(a.z4 - b.z4) <= 1 and abs(a.z5 - b.z5) <= 1""")
 def _(t):
@@ -106,9 +106,9 @@ def _(t):
 def shrunk(t):
     """Scores drawn together by fixed factors, so that the sparse test table has near neighbours."""
     return t.verification_scores.select(
-        (F.col("face_match_score") / 8).alias("face_match_score"), (F.col("liveness_score") / 8).alias("liveness_score"),
-        (F.col("ocr_confidence_score") / 8).alias("ocr_confidence_score"), (F.col("blur_score") / 60).alias("blur_score"),
-        (F.col("brightness_score") / 30).alias("brightness_score"), (F.col("contrast_score") / 20).alias("contrast_score"))
+        (F.col("face_match_score") / 100).alias("face_match_score"), (F.col("liveness_score") / 100).alias("liveness_score"),
+        (F.col("ocr_confidence_score") / 100).alias("ocr_confidence_score"), (F.col("blur_score") / 4000).alias("blur_score"),
+        (F.col("brightness_score") / 200).alias("brightness_score"), (F.col("contrast_score") / 150).alias("contrast_score"))
 
 
 @query("c7_range_neighbour_join", """
@@ -121,8 +121,8 @@ def _(t):
 
 
 @query("m4_nearest_distance_quantiles", """
-with z as (select request_id, face_match_score / 8 / 0.1e0 z0, liveness_score / 8 / 0.001e0 z1, ocr_confidence_score / 8 / 0.001e0 z2,
-    ln(1 + blur_score / 60) / 0.01e0 z3, brightness_score / 30 / 0.1e0 z4, contrast_score / 20 / 0.1e0 z5 from verification_scores),
+with z as (select request_id, face_match_score / 100 / 0.1e0 z0, liveness_score / 100 / 0.001e0 z1, ocr_confidence_score / 100 / 0.001e0 z2,
+    ln(1 + blur_score / 4000) / 0.01e0 z3, brightness_score / 200 / 0.1e0 z4, contrast_score / 150 / 0.1e0 z5 from verification_scores),
 d as (select a.request_id, min(greatest(abs(a.z0 - b.z0), abs(a.z1 - b.z1), abs(a.z2 - b.z2), abs(a.z3 - b.z3), abs(a.z4 - b.z4), abs(a.z5 - b.z5))) dist
       from z a join z b on a.request_id <> b.request_id group by 1)
 select round(quantile_cont(dist, 0), 6) "min", round(quantile_cont(dist, 0.01), 6) p01, round(quantile_cont(dist, 0.5), 6) p50 from d""")
