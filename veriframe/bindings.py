@@ -24,7 +24,7 @@ _WEIGHTS = (7, 3, 1)
 def _check_sql(field, length):
     """SQL for the 7-3-1 check digit of a digit string (used only to make well-formed test zones)."""
     terms = [
-        f"{_WEIGHTS[i % 3]} * cast(substr({field}, {i + 1}, 1) as int)" for i in range(length)
+        f"{_WEIGHTS[i % 3]} * instr('123456789', substr({field}, {i + 1}, 1))" for i in range(length)
     ]
     return "cast((" + " + ".join(terms) + ") % 10 as string)"
 
@@ -304,8 +304,8 @@ BINDINGS = {
         from {customer} group by 1, 2""",
     # ---- identity documents -------------------------------------------------------------------
     "identity_facts": f"""
-        select doc_id, kind, surname, given, num9, yy, mm, dd, ex_yy, ex_mm, ex_dd,
-               concat(yy, mm, dd) dob6, concat(ex_yy, ex_mm, ex_dd) exp6
+        select y.*, {_check_sql('num9', 9)} num_chk, {_check_sql('dob6', 6)} dob_chk, {_check_sql('exp6', 6)} exp_chk
+        from (select x.*, concat(yy, mm, dd) dob6, concat(ex_yy, ex_mm, ex_dd) exp6
         from (select cast(c_custkey as bigint) doc_id, c_custkey % 6 kind, c_mktsegment surname,
                      concat('KIPTOO ', {_LETTERS}) given,
                      cast(100000000 + c_custkey * 7919 % 800000000 as string) num9,
@@ -313,8 +313,8 @@ BINDINGS = {
                      lpad(cast(1 + c_custkey % 12 as string), 2, '0') mm, lpad(cast(1 + c_custkey % 28 as string), 2, '0') dd,
                      cast(24 + c_custkey % 11 as string) ex_yy,
                      lpad(cast(1 + c_custkey % 7 as string), 2, '0') ex_mm, lpad(cast(1 + c_custkey % 27 as string), 2, '0') ex_dd
-              from {{customer}}) x""",
-    "mrz_items": f"""
+              from {{customer}}) x) y""",
+    "mrz_items": """
         select doc_id, read_no, line_no,
                case when doc_id % 23 = 0 and line_no = 1 then concat(' ', substr(lower(line), 1, 5), ' ', substr(line, 6)) else line end text,
                500e0 + 30 * line_no y
@@ -322,11 +322,11 @@ BINDINGS = {
                 case when kind in (0, 4) and line_no = 1 then
                         concat('ID', case when doc_id % 19 = 0 then 'KYA' else 'KEN' end,
                                case when doc_id % 11 = 0 then translate(num9, '15', 'IS') else num9 end,
-                               case when (doc_id + read_no) % 13 = 0 then '7' else {_check_sql('num9', 9)} end, '<<<<<<<<<<<<<<<')
+                               case when (doc_id + read_no) % 13 = 0 then '7' else num_chk end, '<<<<<<<<<<<<<<<')
                      when kind in (0, 4) and line_no = 2 then
-                        concat(case when (doc_id + read_no) % 17 = 0 then translate(dob6, '05', 'OS') else dob6 end, {_check_sql('dob6', 6)},
+                        concat(case when (doc_id + read_no) % 17 = 0 then translate(dob6, '05', 'OS') else dob6 end, dob_chk,
                                case when doc_id % 2 = 0 then 'M' else 'F' end, exp6,
-                               case when (doc_id + read_no) % 29 = 0 then '0' else {_check_sql('exp6', 6)} end,
+                               case when (doc_id + read_no) % 29 = 0 then '0' else exp_chk end,
                                case when doc_id % 19 = 0 then '25<' else 'KEN' end,
                                case when doc_id % 19 = 0 then concat('<', substr(num9, 1, 8), '<') else '<<<<<<<<<<' end, '<0')
                      when kind in (0, 4) and line_no = 3 then
@@ -334,12 +334,12 @@ BINDINGS = {
                                   else concat(surname, '<<', replace(given, ' ', '<')) end, 30, '<')
                      when kind = 1 and line_no = 1 then rpad(concat('P<KEN', surname, '<<', replace(given, ' ', '<')), 44, '<')
                      when kind = 1 and line_no = 2 then
-                        concat(num9, case when (doc_id + read_no) % 13 = 0 then 'X' else {_check_sql('num9', 9)} end, 'KEN', dob6, {_check_sql('dob6', 6)},
-                               'F', exp6, {_check_sql('exp6', 6)}, '<<<<<<<<<<<<<<', '00')
+                        concat(num9, case when (doc_id + read_no) % 13 = 0 then 'X' else num_chk end, 'KEN', dob6, dob_chk,
+                               'F', exp6, exp_chk, '<<<<<<<<<<<<<<', '00')
                      when line_no = 4 then 'REPUBLIC OF SOMEWHERE'
                      when kind = 2 and line_no = 5 then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'
                 end line
-              from {{identity_facts}} cross join (values (1), (2), (3), (4), (5)) as v(line_no)
+              from {identity_facts} cross join (values (1), (2), (3), (4), (5)) as v(line_no)
                    cross join (values (0), (1)) as w(read_no)
               where not (doc_id % 31 = 0 and line_no = 1)) x
         where line is not null""",

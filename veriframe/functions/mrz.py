@@ -20,15 +20,11 @@ def as_letters(text):
 
 
 def check_digit(field, length):
-    """7-3-1 check digit of a field of at most ``length`` characters; fillers count 0.
-
-    Field widths are fixed by the format, so the sum is unrolled and stays in generated code.
-    """
-    total = F.lit(0)
-    for i in range(length):
-        # an empty character is found at the first place, so it counts 0 like a filler
-        value = F.greatest(F.position(F.substring(field, i + 1, 1), F.lit(ALPHABET)) - 1, F.lit(0))
-        total = total + value * WEIGHTS[i % 3]
+    """7-3-1 check digit of a field of at most ``length`` characters; fillers and missing characters count 0."""
+    weights = F.array(*[F.lit(WEIGHTS[i % 3]) for i in range(length)])
+    # an empty character is found at the first place, so it counts 0 like a filler
+    value = lambda i: F.greatest(F.position(F.substr(field, i, F.lit(1)), F.lit(ALPHABET)) - 1, F.lit(0))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(length)), F.lit(0), lambda acc, i: acc + value(i) * F.element_at(weights, i))
     return (total % 10).cast("string")
 
 

@@ -43,11 +43,15 @@ def plain_label(text):
     return " ".join(kept.replace("0", "O").split())
 
 
-def has_label(normal, variants):
-    """Does a normalised text contain a label variant, with or without spaces."""
-    compact = F.replace(normal, F.lit(" "), F.lit(""))
-    names = [plain_label(v) for v in variants]
-    return any_of([normal.contains(n) | compact.contains(n.replace(" ", "")) for n in names])
+def has_label(normal, compact, variants):
+    """Does a normalised text, or its form without spaces, contain a label variant."""
+    names = list(dict.fromkeys(plain_label(v) for v in variants))
+    short = list(dict.fromkeys(n.replace(" ", "") for n in names))
+    return any_of([normal.contains(n) for n in names] + [compact.contains(n) for n in short])
+
+
+def without_spaces(normal):
+    return F.replace(normal, F.lit(" "), F.lit(""))
 
 
 def has_phrase(normal, phrase):
@@ -62,40 +66,47 @@ def has_phrase(normal, phrase):
     text = F.replace(normal, F.lit(" "), F.lit(""))
     size = F.length(text)
     close = lambda part, whole: F.levenshtein(part, whole, allowed) >= 0
+    widths = F.sequence(F.lit(max(2, n - allowed)), F.least(F.lit(n + allowed), size))
+    starts = lambda w: F.sequence(F.lit(1), size - w + 1)
+    inside = (size >= max(2, n - allowed)) & F.exists(
+        widths, lambda w: F.exists(starts(w), lambda i: close(F.substr(text, i, w), F.lit(needle)))
+    )
+    fragments = _words(dict.fromkeys(needle[s:s + w] for w in range(2, n + 1) for s in range(n - w + 1)))
+    near = lambda part: F.abs(F.length(part) - size) <= allowed
+    fragment = (size >= 0.6 * n) & (size <= n + allowed) & F.exists(fragments, lambda part: near(part) & close(part, text))
+    return F.when(size == 0, F.lit(False)).when(text.contains(needle), F.lit(True)).otherwise(inside | fragment)
 
-    def window_hits(length):
-        starts = F.sequence(F.lit(1), F.greatest(size - length + 1, F.lit(1)))
-        return (size >= length) & F.exists(starts, lambda i: close(F.substr(text, i, F.lit(length)), F.lit(needle)))
 
-    inside = any_of([window_hits(length) for length in range(max(2, n - allowed), n + allowed + 1)])
-    fragments = sorted({(start, length) for length in range(2, n + 1) for start in range(n - length + 1)})
-    table = F.array(*[F.lit(needle[s:s + w]) for s, w in fragments])
-    near = lambda part: (F.length(part) >= F.greatest(F.lit(2), size - allowed)) & (F.length(part) <= F.least(F.lit(n), size + allowed))
-    fragment = (size >= 0.6 * n) & (size <= n + allowed) & F.exists(table, lambda part: near(part) & close(part, text))
-    return F.when(size == 0, F.lit(False)).when(text.contains(needle), F.lit(True)).otherwise(inside | fragment)
+def _words(words):
+    """Constant array of texts, as one literal that is split when the plan is folded."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
+def _first_match_patterns(variants):
+    quote = lambda v: "".join("\\" + c if not c.isalnum() and c != " " else c for c in v)
+    return [f"(?is)^(.*?){quote(v)}" for v in sorted(variants, key=len, reverse=True)]
+
 
+def strip_label(text, label_key):
+    """Text without the first occurrence of each variant of its label and without leading separators.
 
-def strip_label(text, variants):
-    """Text without the first occurrence of each variant and without leading separators."""
-    rest = F.coalesce(text, F.lit(""))
-    for variant in sorted(variants, key=len, reverse=True):
-        quoted = "".join("\\" + c if not c.isalnum() and c != " " else c for c in variant)
-        rest = F.regexp_replace(rest, f"(?is)^(.*?){quoted}", "$1 ")
+    ``label_key`` is a column, so one expression serves rows of different labels.
+    """
+    patterns = F.create_map(*[part for k, v in LABELS.items() for part in (F.lit(k), _words(_first_match_patterns(v)))])
+    rest = F.aggregate(F.try_element_at(patterns, label_key), F.coalesce(text, F.lit("")), lambda left, p: F.regexp_replace(left, p, F.lit("$1 ")))
     return F.trim(F.regexp_replace(rest, r"^[\s:.\-]+", ""))
 
 
-_TIGHT = r"(?<!\d)(\d{1,2})[^\d\s]{1,3}(\d{1,2})[^\d\s]{1,3}(\d{4})(?!\d)"
-_LOOSE = r"(?<!\d)(\d{1,2})\s*[^\d\s]{1,3}\s*(\d{1,2})\s*[^\d\s]{1,3}\s*(\d{4})(?!\d)"
+_TIGHT = r"(?<!\d)\d{1,2}[^\d\s]{1,3}\d{1,2}[^\d\s]{1,3}\d{4}(?!\d)"
+_LOOSE = r"(?<!\d)\d{1,2}\s*[^\d\s]{1,3}\s*\d{1,2}\s*[^\d\s]{1,3}\s*\d{4}(?!\d)"
+_PARTS = r"^(\d{1,2})\D+(\d{1,2})\D+(\d{4})$"
 
 
 def document_date(text):
     """Date printed as day, month, year with tolerant separators; null when absent or not in the calendar."""
-    trimmed = F.trim(text)
-    compact = F.regexp_replace(trimmed, r"\s+", "")
-    tight = compact.rlike(_TIGHT)
-    part = lambda k: F.when(tight, F.regexp_extract(compact, _TIGHT, k)).otherwise(F.regexp_extract(trimmed, _LOOSE, k))
-    day, month, year = part(1), part(2), part(3)
-    return F.when((year != "") & (year != "0000"), F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d"))
+    tight = F.regexp_extract(F.regexp_replace(F.trim(text), r"\s+", ""), _TIGHT, 0)
+    hit = F.coalesce(F.nullif(tight, F.lit("")), F.regexp_extract(F.trim(text), _LOOSE, 0))
+    return F.try_to_date(F.regexp_replace(hit, _PARTS, "$3-$2-$1"), "yyyy-M-d")
 
 
 def registered_date(text):
@@ -138,7 +149,7 @@ def similarity(left, right):
 
 def looks_like_name(text):
     tokens = name_tokens(text)
-    words = F.array(*[F.lit(w) for w in LABEL_WORDS])
+    words = _words(LABEL_WORDS)
     return (F.size(tokens) > 0) & ~F.arrays_overlap(tokens, words) & ~text.rlike(r"\d")
 
 
@@ -153,33 +164,43 @@ def looks_like_date(text):
 
 def ids_agree(printed, number):
     """Numbers agree when one contains the other, tolerating stray characters around the digits."""
-    a, b = normal_id(printed), normal_id(number)
-    digits = F.regexp_replace(a, "[^0-9]", "")
-    same = (a == b) | a.contains(b) | ((F.length(a) >= 7) & b.contains(a))
-    return (a != "") & (b != "") & (same | ((digits != "") & ((digits == b) | digits.contains(b))))
+    pair = F.struct(normal_id(printed).alias("a"), normal_id(number).alias("b"), F.regexp_replace(F.coalesce(printed, F.lit("")), "[^0-9]", "").alias("d"))
+
+    def agree(p):
+        same = p["a"].contains(p["b"]) | ((F.length(p["a"]) >= 7) & p["b"].contains(p["a"])) | p["d"].contains(p["b"])
+        return (p["a"] != "") & (p["b"] != "") & same
+
+    return F.exists(F.array(pair), agree)
+
+
+MATCH_COLUMNS = [
+    "name_match", "id_match", "dob_match", "matched", "confidence", "coverage", "token_overlap", "levenshtein", "registered_dob_parse_failed",
+]
 
 
-def identity_match(extracted_name, extracted_id, extracted_dob, name, id_number, date_of_birth):
-    """Struct of name, number and birth-date agreement with the registration.
+def with_identity_match(rows, extracted_name, extracted_id, extracted_dob, name, id_number, date_of_birth):
+    """Add name, number and birth-date agreement with the registration (all arguments are column names).
 
     Names agree when at least two whole tokens are shared and the shorter name is fully covered.
     """
-    left, right = F.array_distinct(name_tokens(extracted_name)), F.array_distinct(name_tokens(name))
-    shared = F.size(F.array_intersect(left, right))
-    both = (F.size(left) > 0) & (F.size(right) > 0)
-    coverage = F.when(both, shared / F.least(F.size(left), F.size(right))).otherwise(F.lit(0.0))
-    overlap = F.when(both, shared / F.greatest(F.size(left), F.size(right))).otherwise(F.lit(0.0))
-    found_id, wanted_id = normal_id(extracted_id), normal_id(id_number)
-    id_match = (found_id != "") & (wanted_id != "") & (found_id == wanted_id)
-    wanted_dob = registered_date(date_of_birth)
-    dob_match = F.coalesce(extracted_dob == wanted_dob, F.lit(False))
-    name_match = (shared >= 2) & (coverage == 1)
-    confidence = (coverage + id_match.cast("double") + dob_match.cast("double")) / 3
-    text_given = F.coalesce(F.trim(date_of_birth.cast("string")) != "", F.lit(False))
-    return F.struct(
-        name_match.alias("name_match"), id_match.alias("id_match"), dob_match.alias("dob_match"),
-        (name_match & id_match & dob_match).alias("matched"), F.round(confidence, 4).alias("confidence"),
-        F.round(coverage, 4).alias("coverage"), F.round(overlap, 4).alias("token_overlap"),
-        F.round(similarity(normal_name(extracted_name), normal_name(name)), 4).alias("levenshtein"),
-        (wanted_dob.isNull() & text_given).alias("registered_dob_parse_failed"),
+    step = rows.select(
+        "*", F.array_distinct(name_tokens(F.col(extracted_name))).alias("_l"), F.array_distinct(name_tokens(F.col(name))).alias("_r"),
+        normal_name(F.col(extracted_name)).alias("_ln"), normal_name(F.col(name)).alias("_rn"), normal_id(F.col(extracted_id)).alias("_li"),
+        normal_id(F.col(id_number)).alias("_ri"), registered_date(F.col(date_of_birth)).alias("_rd"),
+    )
+    step = step.select("*", F.size(F.array_intersect("_l", "_r")).alias("_shared"), F.size("_l").alias("_nl"), F.size("_r").alias("_nr"))
+    both = (F.col("_nl") > 0) & (F.col("_nr") > 0)
+    ratio = lambda size: F.when(both, F.col("_shared") / size).otherwise(F.lit(0.0))
+    step = step.select(
+        "*", ratio(F.least("_nl", "_nr")).alias("_coverage"), ratio(F.greatest("_nl", "_nr")).alias("_overlap"),
+        ((F.col("_li") != "") & (F.col("_li") == F.col("_ri"))).alias("_id"), F.coalesce(F.col(extracted_dob) == F.col("_rd"), F.lit(False)).alias("_dob"),
+    )
+    name_match = (F.col("_shared") >= 2) & (F.col("_coverage") == 1)
+    confidence = (F.col("_coverage") + F.col("_id").cast("double") + F.col("_dob").cast("double")) / 3
+    given = F.coalesce(F.trim(F.col(date_of_birth).cast("string")) != "", F.lit(False))
+    return step.select(
+        *rows.columns, name_match.alias("name_match"), F.col("_id").alias("id_match"), F.col("_dob").alias("dob_match"),
+        (name_match & F.col("_id") & F.col("_dob")).alias("matched"), F.round(confidence, 4).alias("confidence"), F.round("_coverage", 4).alias("coverage"),
+        F.round("_overlap", 4).alias("token_overlap"), F.round(similarity(F.col("_ln"), F.col("_rn")), 4).alias("levenshtein"),
+        (F.col("_rd").isNull() & given).alias("registered_dob_parse_failed"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions import text as x
 from veriframe.functions.scores import any_of, compact_array
+from veriframe.session import cut_lineage
 
 CONFIDENCE_FILTER = 0.4
 PASSPORT, CARD_OLD, CARD_NEW, CARD_BACK, LICENCE = (
@@ -45,20 +46,20 @@ def document_types(items):
 
     Labels are tested per item and once on the page text, which also catches labels split over items.
     """
-    rows = items.withColumn("_n", x.normal_label(F.col("text")))
-    seen = lambda key: F.bool_or(x.has_label(F.col("_n"), x.LABELS[key]))
+    rows = items.select(*PAGE, "item_no", "text", x.normal_label(F.col("text")).alias("_n")).withColumn("_c", x.without_spaces(F.col("_n")))
+    seen = lambda key: F.bool_or(x.has_label(F.col("_n"), F.col("_c"), x.LABELS[key]))
     keys = ["passport_no", "full_names", "surname", "given_names", "other_names", "id_number", "national_id_no", "licence", "national_identity_card"]
     phrase = F.bool_or(any_of([x.has_phrase(F.col("_n"), p) for p in x.NEW_CARD_PHRASES]))
     pages = rows.groupBy(*PAGE).agg(
         *[seen(k).alias(k) for k in keys], phrase.alias("_phrase"), F.count(F.lit(1)).alias("n_items"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_no", "text"))), lambda i: i["text"]), " ").alias("_page"),
     )
-    blob = x.normal_label(F.col("_page"))
-    on_page = lambda key: x.has_label(blob, x.LABELS[key])
+    pages = pages.withColumn("_n", x.normal_label(F.col("_page"))).withColumn("_c", x.without_spaces(F.col("_n")))
+    on_page = lambda key: x.has_label(F.col("_n"), F.col("_c"), x.LABELS[key])
     licence = F.col("licence") | on_page("licence") | F.col("other_names") | (F.col("national_id_no") & F.col("surname"))
     new_card = (
         (F.col("surname") & F.col("given_names") & F.col("id_number")) | F.col("national_identity_card") | F.col("_phrase")
-        | on_page("national_identity_card") | any_of([x.has_phrase(blob, p) for p in x.NEW_CARD_PHRASES])
+        | on_page("national_identity_card") | any_of([x.has_phrase(F.col("_n"), p) for p in x.NEW_CARD_PHRASES])
     )
     kind = (
         F.when(F.col("passport_no") | on_page("passport_no"), F.lit(PASSPORT)).when(F.col("full_names"), F.lit(CARD_OLD))
@@ -74,21 +75,22 @@ def label_items(items, keys=tuple(x.LABELS)):
     Columns: page, label_key, item_no (null for a pair), text and box.
     """
     order = Window.partitionBy(*PAGE).orderBy("item_no")  # items of one page
-    rows = items.withColumn("_next", F.lead(F.struct("text", "x_min", "x_max", "y_min", "y_max")).over(order))
-    rows = rows.withColumn("_n", x.normal_label(F.col("text"))).withColumn(
-        "_pair", F.when(F.col("_next").isNotNull(), F.concat_ws(" ", "text", "_next.text"))
-    ).withColumn("_np", x.normal_label(F.col("_pair")))
-    matched = lambda column: compact_array(*[F.when(x.has_label(F.col(column), x.LABELS[k]), F.lit(k)) for k in keys])
-    single = rows.select(*PAGE, "item_no", F.explode(matched("_n")).alias("label_key"), F.lit(0).alias("_pass"), "text", "x_min", "x_max", "y_min", "y_max",
-                         F.col("item_no").alias("label_no"))
-    side = lambda f, c: f(F.col(c), F.col(f"_next.{c}")).alias(c)
-    paired = rows.where(F.col("_next").isNotNull()).select(
-        *PAGE, "item_no", F.explode(matched("_np")).alias("label_key"), F.lit(1).alias("_pass"), F.col("_pair").alias("text"),
-        side(F.least, "x_min"), side(F.greatest, "x_max"), side(F.least, "y_min"), side(F.greatest, "y_max"), F.lit(None).cast("bigint").alias("label_no"),
+    box = ["text", "x_min", "x_max", "y_min", "y_max"]
+    rows = items.select(*PAGE, "item_no", *box, F.lead(F.struct(*box)).over(order).alias("_next"))
+    place = lambda number, single, text, columns: F.struct(
+        F.lit(number).alias("_pass"), F.col("item_no").cast("bigint").alias("item_no"), single.cast("bigint").alias("label_no"), text.alias("text"),
+        *[c.alias(n) for c, n in zip(columns, box[1:])])
+    merged = [f(F.col(c), F.col(f"_next.{c}")) for c, f in zip(box[1:], (F.least, F.greatest, F.least, F.greatest))]
+    both = compact_array(
+        place(0, F.col("item_no"), F.col("text"), [F.col(c) for c in box[1:]]),
+        F.when(F.col("_next").isNotNull(), place(1, F.lit(None), F.concat_ws(" ", "text", "_next.text"), merged)),
     )
-    columns = ["_pass", "item_no", "label_no", "text", "x_min", "x_max", "y_min", "y_max"]
-    both = single.withColumn("label_no", F.col("label_no").cast("bigint")).unionByName(paired)
-    first = both.groupBy(*PAGE, "label_key").agg(F.min(F.struct(*columns)).alias("_r"))
+    boxes = rows.select(*PAGE, F.inline(both))
+    boxes = boxes.withColumn("_n", x.normal_label(F.col("text"))).withColumn("_c", x.without_spaces(F.col("_n")))
+    found = compact_array(*[F.when(x.has_label(F.col("_n"), F.col("_c"), x.LABELS[k]), F.lit(k)) for k in keys])
+    columns = ["_pass", "item_no", "label_no", *box]
+    tagged = boxes.select(*PAGE, *columns, F.explode(found).alias("label_key"))
+    first = tagged.groupBy(*PAGE, "label_key").agg(F.min(F.struct(*columns)).alias("_r"))
     return first.select(*PAGE, "label_key", *[F.col(f"_r.{c}").alias(c) for c in columns[2:]])
 
 
@@ -142,18 +144,13 @@ def values_near_labels(items, wanted):
 
     ``wanted``: page, field, label_key, kind.
     """
-    labels = label_items(items)
-    pairs = wanted.join(labels, [*PAGE, "label_key"])
-    rest = F.coalesce(*[F.when(F.col("label_key") == k, x.strip_label(F.col("text"), v)) for k, v in x.LABELS.items()])
-    own = pairs.select(*PAGE, "field", "label_key", "kind", rest.alias("candidate")).where((F.col("candidate") != "") & passes(F.col("kind"), F.col("candidate")))
-    near = candidate_texts(spatial_candidates(labels, items), [*PAGE, "label_key"])
-    near = wanted.join(near, [*PAGE, "label_key"]).where(passes(F.col("kind"), F.col("candidate")))
+    labels = label_items(items, tuple(dict.fromkeys(label for spec in FIELD_SPECS.values() for _, label, _ in spec)))
     key = ["side_group", "phase", "start", "size"]
-    none = F.lit(-1)
-    ranked = own.select(*PAGE, "field", F.struct(*[none.cast("int").alias(k) for k in key], "candidate").alias("_r")).unionByName(
-        near.select(*PAGE, "field", F.struct(*[F.col(k).cast("int").alias(k) for k in key], "candidate").alias("_r"))
-    )
-    return ranked.groupBy(*PAGE, "field").agg(F.min("_r")["candidate"].alias("value"))
+    own = labels.select(*PAGE, "label_key", *[F.lit(-1).alias(k) for k in key], x.strip_label(F.col("text"), F.col("label_key")).alias("candidate"))
+    near = candidate_texts(spatial_candidates(labels, items), [*PAGE, "label_key"])
+    tries = own.where(F.col("candidate") != "").unionByName(near.select(*own.columns))
+    fitting = wanted.join(tries, [*PAGE, "label_key"]).where(passes(F.col("kind"), F.col("candidate")))
+    return fitting.groupBy(*PAGE, "field").agg(F.min(F.struct(*key, "candidate"))["candidate"].alias("value"))
 
 
 def _spec_array(kind):
@@ -238,14 +235,15 @@ def canonical(raw, today):
         F.when(t.isin(PASSPORT, CARD_NEW), join("surname", "given_names")).when(t == CARD_OLD, F.coalesce("full_names", F.lit("")))
         .when(t == LICENCE, join("surname", "other_names")).otherwise(F.lit(""))
     )
-    filled = lambda v: F.when(v != "", v)
-    born, expires = x.document_date(F.col("date_of_birth")), x.document_date(F.col("date_of_expiry"))
-    problem = x.birth_date_problem(born, today)
-    return raw.select(
-        "*", filled(x.normal_name(name)).alias("full_name"),
-        filled(x.normal_id(F.when(t == PASSPORT, F.col("passport_no")).otherwise(F.col("id_number")))).alias("number"),
-        F.when(problem.isNull(), born).alias("born"), expires.alias("expires"), problem.alias("dob_problem"),
-        F.when(t.isin(*EXPIRING), x.expiry_problem(expires, today)).alias("expiry_problem"),
+    rows = raw.select(
+        "*", F.nullif(x.normal_name(name), F.lit("")).alias("full_name"),
+        F.nullif(x.normal_id(F.when(t == PASSPORT, F.col("passport_no")).otherwise(F.col("id_number"))), F.lit("")).alias("number"),
+        x.document_date(F.col("date_of_birth")).alias("_born"), x.document_date(F.col("date_of_expiry")).alias("expires"),
+    )
+    rows = rows.withColumn("dob_problem", x.birth_date_problem(F.col("_born"), today))
+    return rows.select(
+        *[c for c in rows.columns if c != "_born"], F.when(F.col("dob_problem").isNull(), F.col("_born")).alias("born"),
+        F.when(t.isin(*EXPIRING), x.expiry_problem(F.col("expires"), today)).alias("expiry_problem"),
     )
 
 
@@ -335,28 +333,32 @@ def page_readings(items, raw):
     return chosen.unionByName(labelled).unionByName(bare.join(typed, "doc_id", "left_semi"))
 
 
-def document_verdicts(items, zones_front, zones_back, registered, today, pages=None):
+def document_verdicts(items, zones, registered, today, pages=None):
     """Verdict per document: retake, review or matched, with the reason.
 
-    ``registered``: doc_id, name, id_number, date_of_birth. ``pages`` may give ``located`` and
+    ``zones``: parsed zones by doc_id and side. ``registered``: doc_id, name, id_number,
+    date_of_birth. ``pages`` may give ``located`` and
     ``too_small`` per doc_id from the photo step; documents count as located without it.
     """
-    items = usable_items(items)
+    items = cut_lineage(usable_items(items), "items")
     fronts, backs = items.where(F.col("side") == "front"), items.where(F.col("side") == "back")
-    types = document_types(fronts)
+    types = cut_lineage(document_types(fronts), "types")
+    zones = cut_lineage(zones.select("doc_id", "side", "valid", *ZONE), "zones")
     has_back = backs.groupBy("doc_id").agg(F.lit(True).alias("_has_back"))
-    zone_back = zones_back.select("doc_id", F.lit(True).alias("_back_zone"))
+    zone_back = zones.where(F.col("side") == "back").select("doc_id", F.lit(True).alias("_back_zone"))
     types = types.join(has_back, "doc_id", "left").join(zone_back, "doc_id", "left")
     # an unreadable front whose back carries a zone is the newer card
     kind = F.coalesce("document_type", F.when(F.col("_back_zone"), F.lit(CARD_NEW)))
     types = types.withColumn("document_type", kind)
-    raw = with_fallbacks(raw_fields(fronts, types), fronts, today)
+    # the raw record feeds several later steps, so it is written once
+    raw = cut_lineage(raw_fields(fronts, types), "raw-fields")
+    raw = cut_lineage(with_fallbacks(raw, fronts, today), "filled-fields")
 
     back_pages = raw.where(F.col("document_type").isin(*CARD_FRONTS)).select("doc_id", F.lit("back").alias("side"), F.lit(CARD_BACK).alias("document_type"))
     back_numbers = values_near_labels(backs, wanted_fields(back_pages)).select("doc_id", F.col("value").alias("back_number"))
 
-    zones = zones_back.where("valid").withColumn("_p", F.lit(0)).unionByName(zones_front.where("valid").withColumn("_p", F.lit(1)))
-    picked = zones.groupBy("doc_id").agg(F.min(F.struct("_p", *ZONE)).alias("_z")).select("doc_id", *[F.col(f"_z.{c}").alias(c) for c in ZONE])
+    sided = zones.where("valid").withColumn("_p", F.when(F.col("side") == "back", 0).otherwise(1))
+    picked = sided.groupBy("doc_id").agg(F.min(F.struct("_p", *ZONE)).alias("_z")).select("doc_id", *[F.col(f"_z.{c}").alias(c) for c in ZONE])
     # the back is read only for two-sided cards
     two_sided = F.col("document_type").isin(*CARD_FRONTS)
 
@@ -380,7 +382,7 @@ def document_verdicts(items, zones_front, zones_back, registered, today, pages=N
     sides = F.when(~with_back, F.lit(None)).when(F.col("zone_used") & F.col("z_document_number").isNotNull(), zone_match).otherwise(printed_match)
     rows = canonical(filled.withColumn("front_back_match", sides), today).join(registered.select(
         "doc_id", F.col("name").alias("r_name"), F.col("id_number").alias("r_id"), F.col("date_of_birth").alias("r_dob")), "doc_id", "left")
-    rows = rows.withColumn("_m", x.identity_match(F.col("full_name"), F.col("number"), F.col("born"), F.col("r_name"), F.col("r_id"), F.col("r_dob")))
+    rows = x.with_identity_match(rows, "full_name", "number", "born", "r_name", "r_id", "r_dob")
     if pages is not None:
         rows = rows.join(pages.select("doc_id", "located", "too_small"), "doc_id", "left")
     else:
@@ -389,40 +391,40 @@ def document_verdicts(items, zones_front, zones_back, registered, today, pages=N
     no_back = two_sided & ~F.coalesce("_has_back", F.lit(False))
     back_blank = with_back & F.coalesce(F.trim("back_number") == "", F.lit(True))
     needs_expiry = F.col("document_type").isin(*EXPIRING)
-    listed = missing_fields(rows)
+    rows = rows.withColumn("_listed", missing_fields(rows))
+    absent = lambda f: ~F.array_contains("_listed", f)
     missing = F.concat(
-        listed, compact_array(F.when(no_back, F.lit("id_back")), F.when(back_blank, F.lit("back_id_number"))),
+        "_listed", compact_array(F.when(no_back, F.lit("id_back")), F.when(back_blank, F.lit("back_id_number"))),
         compact_array(
-            F.when(F.col("born").isNull() & ~F.array_contains(listed, "date_of_birth"), F.lit("date_of_birth")),
-            F.when(needs_expiry & F.col("expires").isNull() & ~F.array_contains(listed, "date_of_expiry"), F.lit("date_of_expiry")),
+            F.when(F.col("born").isNull() & absent("date_of_birth"), F.lit("date_of_birth")),
+            F.when(needs_expiry & F.col("expires").isNull() & absent("date_of_expiry"), F.lit("date_of_expiry")),
         ),
     )
-    rows = rows.withColumn("missing", missing)
-    expired = F.coalesce(needs_expiry & F.col("expires").isNotNull() & F.col("expiry_problem").isNotNull(), F.lit(False))
-    sides_ok = F.coalesce("front_back_match", F.lit(True))
-    incomplete = F.size("missing") > 0
-    parse_failed = F.col("_m.registered_dob_parse_failed") | (F.col("born").isNull() & F.col("date_of_birth").isNotNull())
-    unknown = F.col("document_type").isNull()
-    lost = ~unknown & ~F.coalesce("located", F.lit(True)) & (F.size(F.array_remove("missing", "id_back")) > 0)
-    retake = (unknown & (F.col("n_items") < MIN_ITEMS)) | lost
-    stopped = unknown | lost
+    rows = rows.select(
+        "*", missing.alias("_missing"), F.col("document_type").isNull().alias("_unknown"), F.coalesce("front_back_match", F.lit(True)).alias("_sides_ok"),
+        F.coalesce(needs_expiry & F.col("expires").isNotNull() & F.col("expiry_problem").isNotNull(), F.lit(False)).alias("_expired"),
+        (F.col("registered_dob_parse_failed") | (F.col("born").isNull() & F.col("date_of_birth").isNotNull())).alias("_parse_failed"),
+    )
+    lost = ~F.col("_unknown") & ~F.coalesce("located", F.lit(True)) & (F.size(F.array_remove("_missing", "id_back")) > 0)
+    rows = rows.select("*", lost.alias("_lost"), (F.size("_missing") > 0).alias("_incomplete"))
+    rows = rows.select("*", ((F.col("_unknown") & (F.col("n_items") < MIN_ITEMS)) | F.col("_lost")).alias("needs_retake"), (F.col("_unknown") | F.col("_lost")).alias("_stopped"))
     reason = (
-        F.when(unknown & retake, F.lit(NOT_FOUND)).when(unknown, F.lit(NO_TEMPLATE))
-        .when(lost, F.when(F.coalesce("too_small", F.lit(False)), F.lit(TOO_SMALL)).otherwise(F.lit(NOT_FOUND)))
-        .when(expired, F.col("expiry_problem")).when(~sides_ok, F.lit("ID number on the back does not match the front"))
-        .when(incomplete, F.concat(F.lit("Required fields could not be extracted after template crop and label fallback: "), F.array_join("missing", ", ")))
+        F.when(F.col("_unknown"), F.when(F.col("needs_retake"), F.lit(NOT_FOUND)).otherwise(F.lit(NO_TEMPLATE)))
+        .when(F.col("_lost"), F.when(F.coalesce("too_small", F.lit(False)), F.lit(TOO_SMALL)).otherwise(F.lit(NOT_FOUND)))
+        .when(F.col("_expired"), F.col("expiry_problem")).when(~F.col("_sides_ok"), F.lit("ID number on the back does not match the front"))
+        .when(F.col("_incomplete"), F.concat(F.lit("Required fields could not be extracted after template crop and label fallback: "), F.array_join("_missing", ", ")))
         .otherwise(F.col("dob_problem"))
     )
-    open_ = lambda value, closed: F.when(stopped, closed).otherwise(value)
+    bad = F.col("_expired") | ~F.col("_sides_ok")
+    review = F.col("dob_problem").isNotNull() | F.col("_parse_failed") | F.col("_incomplete") | bad
+    no = F.lit(False)
+    open_ = lambda value, closed, name: F.when(F.col("_stopped"), closed).otherwise(value).alias(name)
     return rows.select(
-        "doc_id", "document_type", retake.alias("needs_retake"),
-        F.when(unknown, ~retake).when(lost, F.lit(False)).otherwise(F.col("dob_problem").isNotNull() | parse_failed | incomplete | expired | ~sides_ok).alias("needs_manual_review"),
-        open_(F.col("_m.matched") & ~incomplete & ~expired & sides_ok, F.lit(False)).alias("matched"),
-        open_(F.when(expired | ~sides_ok, F.lit(0.0)).otherwise(F.col("_m.confidence")), F.lit(0.0)).alias("confidence"),
-        open_(F.col("_m.name_match"), F.lit(False)).alias("name_match"), open_(F.col("_m.id_match"), F.lit(False)).alias("id_match"),
-        open_(F.col("_m.dob_match"), F.lit(False)).alias("dob_match"), "front_back_match", open_(expired, F.lit(False)).alias("document_expired"),
-        open_(F.col("full_name"), F.lit(None)).alias("extracted_name"), open_(F.col("number"), F.lit(None)).alias("extracted_id_number"),
-        open_(F.date_format("born", "dd.MM.yyyy"), F.lit(None)).alias("extracted_dob"), open_(F.date_format("expires", "dd.MM.yyyy"), F.lit(None)).alias("extracted_expiry"),
+        "doc_id", "document_type", "needs_retake", F.when(F.col("_unknown"), ~F.col("needs_retake")).when(F.col("_lost"), no).otherwise(review).alias("needs_manual_review"),
+        open_(F.col("matched") & ~F.col("_incomplete") & ~bad, no, "matched"), open_(F.when(bad, F.lit(0.0)).otherwise(F.col("confidence")), F.lit(0.0), "confidence"),
+        open_(F.col("name_match"), no, "name_match"), open_(F.col("id_match"), no, "id_match"), open_(F.col("dob_match"), no, "dob_match"), "front_back_match",
+        open_(F.col("_expired"), no, "document_expired"), open_(F.col("full_name"), F.lit(None), "extracted_name"), open_(F.col("number"), F.lit(None), "extracted_id_number"),
+        open_(F.date_format("born", "dd.MM.yyyy"), F.lit(None), "extracted_dob"), open_(F.date_format("expires", "dd.MM.yyyy"), F.lit(None), "extracted_expiry"),
         reason.alias("reject_reason"),
     )
 

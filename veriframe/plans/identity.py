@@ -111,8 +111,8 @@ def _(t):
 
 @query("j2_label_present", f"select {_K}, concat_ws(',', {', '.join(f'case when {_has(chr(116)+chr(101)+chr(120)+chr(116), k)} then {chr(39)}{k}{chr(39)} end' for k in x.LABELS)}) labels from ocr_items")
 def _(t):
-    rows = t.ocr_items.withColumn("_n", x.normal_label(F.col("text")))
-    labels = ocr.compact_array(*[F.when(x.has_label(F.col("_n"), v), F.lit(k)) for k, v in x.LABELS.items()])
+    rows = t.ocr_items.withColumn("_n", x.normal_label(F.col("text"))).withColumn("_c", x.without_spaces(F.col("_n")))
+    labels = ocr.compact_array(*[F.when(x.has_label(F.col("_n"), F.col("_c"), v), F.lit(k)) for k, v in x.LABELS.items()])
     return rows.select(*_KEY, F.array_join(labels, ",").alias("labels"))
 
 
@@ -130,7 +130,7 @@ def _strip(t, key):
 
 @query("j4_label_strip", f"select {_K}, {_strip('text', 'surname')} surname_rest, {_strip('text', 'id_number')} id_rest, {_strip('text', 'dob')} dob_rest from ocr_items")
 def _(t):
-    strip = lambda k: x.strip_label(F.col("text"), x.LABELS[k])
+    strip = lambda k: x.strip_label(F.col("text"), F.lit(k))
     return t.ocr_items.select(*_KEY, strip("surname").alias("surname_rest"), strip("id_number").alias("id_rest"), strip("dob").alias("dob_rest"))
 
 
@@ -180,11 +180,10 @@ select doc_id, shared >= 2 and coverage = 1 name_match, id_match, dob_match, sha
        round((coverage + id_match::int + dob_match::int) / 3, 4) confidence, round(coverage, 4) coverage, round(overlap, 4) token_overlap,
        round({_similar('ln', 'rn')}, 4) levenshtein, rdob is null and given_dob registered_dob_parse_failed from sh""")
 def _(t):
-    f = t.identity_facts
-    rows = f.join(t.registered_identities, "doc_id")
     born = F.make_date(F.lit(1900) + F.col("yy").cast("int"), F.col("mm").cast("int"), F.col("dd").cast("int"))
-    match = x.identity_match(F.concat_ws(" ", "surname", "given"), F.col("num9"), born, F.col("name"), F.col("id_number"), F.col("date_of_birth"))
-    return rows.select("doc_id", match.alias("_m")).select("doc_id", "_m.*")
+    facts = t.identity_facts.select("doc_id", F.concat_ws(" ", "surname", "given").alias("full"), "num9", born.alias("born"))
+    rows = facts.join(t.registered_identities, "doc_id")
+    return x.with_identity_match(rows, "full", "num9", "born", "name", "id_number", "date_of_birth").select("doc_id", *x.MATCH_COLUMNS)
 
 
 @query("j11_confidence_filter", f"with {_ITEMS} select {_K}, trim(text) text from items")
@@ -323,10 +322,8 @@ def zone_items(t):
 
 @query("j20_document_verdict")
 def _(t):
-    rows = zone_items(t)
-    front = zones.parse_zones(rows.where(F.col("side") == "front"), YEAR)
-    back = zones.parse_zones(rows.where(F.col("side") == "back"), YEAR)
-    return ocr.document_verdicts(t.ocr_items, front, back, t.registered_identities, today())
+    parsed = zones.parse_zones(zone_items(t), YEAR, ("doc_id", "side"))
+    return ocr.document_verdicts(t.ocr_items, parsed, t.registered_identities, today())
 
 
 _UNLABELLED = f"""{_ITEMS},
