@@ -318,31 +318,33 @@ BINDINGS = {
         select doc_id, read_no, line_no,
                case when doc_id % 23 = 0 and line_no = 1 then concat(' ', substr(lower(line), 1, 5), ' ', substr(line, 6)) else line end text,
                500e0 + 30 * line_no y
-        from (select doc_id, read_no, line_no,
-                case when kind in (0, 4) and line_no = 1 then
-                        concat('ID', case when doc_id % 19 = 0 then 'KYA' else 'KEN' end,
-                               case when doc_id % 11 = 0 then translate(num9, '15', 'IS') else num9 end,
-                               case when (doc_id + read_no) % 13 = 0 then '7' else num_chk end, '<<<<<<<<<<<<<<<')
-                     when kind in (0, 4) and line_no = 2 then
-                        concat(case when (doc_id + read_no) % 17 = 0 then translate(dob6, '05', 'OS') else dob6 end, dob_chk,
-                               case when doc_id % 2 = 0 then 'M' else 'F' end, exp6,
-                               case when (doc_id + read_no) % 29 = 0 then '0' else exp_chk end,
-                               case when doc_id % 19 = 0 then '25<' else 'KEN' end,
-                               case when doc_id % 19 = 0 then concat('<', substr(num9, 1, 8), '<') else '<<<<<<<<<<' end, '<0')
-                     when kind in (0, 4) and line_no = 3 then
-                        rpad(case when doc_id % 14 = 0 then concat(surname, '<', replace(given, ' ', '<'))
-                                  else concat(surname, '<<', replace(given, ' ', '<')) end, 30, '<')
-                     when kind = 1 and line_no = 1 then rpad(concat('P<KEN', surname, '<<', replace(given, ' ', '<')), 44, '<')
-                     when kind = 1 and line_no = 2 then
-                        concat(num9, case when (doc_id + read_no) % 13 = 0 then 'X' else num_chk end, 'KEN', dob6, dob_chk,
-                               'F', exp6, exp_chk, '<<<<<<<<<<<<<<', '00')
-                     when line_no = 4 then 'REPUBLIC OF SOMEWHERE'
-                     when kind = 2 and line_no = 5 then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'
-                end line
-              from {identity_facts} cross join (values (1), (2), (3), (4), (5)) as v(line_no)
-                   cross join (values (0), (1)) as w(read_no)
-              where not (doc_id % 31 = 0 and line_no = 1)) x
-        where line is not null""",
+        from (
+          select doc_id, read_no, 1 line_no, concat('ID', case when doc_id % 19 = 0 then 'KYA' else 'KEN' end,
+                   case when doc_id % 11 = 0 then translate(num9, '15', 'IS') else num9 end,
+                   case when (doc_id + read_no) % 13 = 0 then '7' else num_chk end, '<<<<<<<<<<<<<<<') line
+          from {identity_facts} cross join (values (0), (1)) as w(read_no) where kind in (0, 4)
+          union all
+          select doc_id, read_no, 2, concat(case when (doc_id + read_no) % 17 = 0 then translate(dob6, '05', 'OS') else dob6 end, dob_chk,
+                   case when doc_id % 2 = 0 then 'M' else 'F' end, exp6, case when (doc_id + read_no) % 29 = 0 then '0' else exp_chk end,
+                   case when doc_id % 19 = 0 then '25<' else 'KEN' end,
+                   case when doc_id % 19 = 0 then concat('<', substr(num9, 1, 8), '<') else '<<<<<<<<<<' end, '<0')
+          from {identity_facts} cross join (values (0), (1)) as w(read_no) where kind in (0, 4)
+          union all
+          select doc_id, read_no, 3, rpad(case when doc_id % 14 = 0 then concat(surname, '<', replace(given, ' ', '<'))
+                                               else concat(surname, '<<', replace(given, ' ', '<')) end, 30, '<')
+          from {identity_facts} cross join (values (0), (1)) as w(read_no) where kind in (0, 4)
+          union all
+          select doc_id, read_no, 1, rpad(concat('P<KEN', surname, '<<', replace(given, ' ', '<')), 44, '<')
+          from {identity_facts} cross join (values (0), (1)) as w(read_no) where kind = 1
+          union all
+          select doc_id, read_no, 2, concat(num9, case when (doc_id + read_no) % 13 = 0 then 'X' else num_chk end, 'KEN', dob6, dob_chk, 'F', exp6, exp_chk,
+                                            '<<<<<<<<<<<<<<', '00')
+          from {identity_facts} cross join (values (0), (1)) as w(read_no) where kind = 1
+          union all
+          select doc_id, read_no, line_no, case when line_no = 4 then 'REPUBLIC OF SOMEWHERE' else 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789' end
+          from {identity_facts} cross join (values (4), (5)) as v(line_no) cross join (values (0), (1)) as w(read_no)
+          where line_no = 4 or kind = 2) x
+        where not (doc_id % 31 = 0 and line_no = 1)""",
     "ocr_items": """
         select doc_id, side, item_no, text,
                case when (doc_id * 13 + item_no * 7) % 61 = 0 then 0.35e0 else 0.5e0 + (doc_id * 7 + item_no) % 50 / 100e0 end confidence,
@@ -467,11 +469,15 @@ def with_bindings(sql):
 
 
 class BoundTables:
-    """Attribute access to raw tables and bindings as DataFrames of one data folder."""
+    """Attribute access to raw tables and bindings as DataFrames of one data folder.
 
-    def __init__(self, spark, sf_dir):
+    Raw tables named in ``streams`` are read as file streams, and bindings over them are streams too.
+    """
+
+    def __init__(self, spark, sf_dir, streams=()):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.streams = streams
         self._cache = {}
 
     def path(self, name):
@@ -479,11 +485,18 @@ class BoundTables:
 
     def __getattr__(self, name):
         if name in RAW_TABLES:
-            return self._cached(name, lambda: self.spark.read.parquet(self.path(name)))
+            return self._cached(name, lambda: self._read(name))
         if name in BINDINGS:
             return self._cached(name, lambda: self._bind(name))
         raise AttributeError(name)
 
+    def _read(self, name):
+        if name in self.streams:
+            schema = self.spark.read.parquet(self.path(name)).schema
+            # a pattern matches one file as well as a folder of files
+            return self.spark.readStream.schema(schema).parquet(self.path(name)[:-1] + "[t]")
+        return self.spark.read.parquet(self.path(name))
+
     def _cached(self, name, make):
         if name not in self._cache:
             self._cache[name] = make()

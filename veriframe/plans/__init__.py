@@ -2,5 +2,5 @@
 
 from importlib import import_module
 
-for _name in ("directory", "decisions", "fraud", "dashboards", "evaluation", "identity"):
+for _name in ("directory", "decisions", "fraud", "dashboards", "evaluation", "identity", "streams"):
     import_module(f"veriframe.plans.{_name}")
