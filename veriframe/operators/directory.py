@@ -13,7 +13,7 @@ from veriframe.functions.clock import at, audit_window
 from veriframe.functions.scores import percent_of, tone
 from veriframe.operators.keyed import latest_by
 from veriframe.schemas import (
-    ACTION_LABELS, BASIS_LABELS, DOCUMENT_TYPES, FEATURES, FINAL_STATUSES, GUARDRAIL_LABELS,
+    ACTION_LABELS, BASIS_LABELS, DOCUMENT_TYPES, FINAL_STATUSES, GUARDRAIL_LABELS,
     IDENTITY_TYPES, SCORE_SCALES,
 )
 
@@ -349,10 +349,6 @@ def score_tones(scores):
     return scores.select("request_id", *columns)
 
 
-def label_table(spark, labels):
-    return spark.createDataFrame(list(labels.items()), "code string, label string")
-
-
 def with_label(rows, column, labels, out, fallback=None):
     """Label of a code from a fixed table; unknown codes keep ``fallback`` or themselves."""
     mapping = F.create_map(*[F.lit(part) for pair in labels.items() for part in pair])
@@ -384,6 +380,3 @@ def orphan_decisions(decisions, requests):
 def superseded_files(files, documents_with_path):
     """Stored files that no document row points at any more."""
     return files.join(documents_with_path.select("path"), "path", "left_anti")
-
-
-FEATURE_COLUMNS = FEATURES

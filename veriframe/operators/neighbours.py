@@ -11,7 +11,8 @@ from veriframe.session import cut_lineage
 
 AXES = ["z0", "z1", "z2", "z3", "z4", "z5"]
 # Axes whose cells are enumerated when looking for neighbouring cells; the others are compared.
-KEY_AXES = ["z0", "z4", "z5"]
+PAIR_AXES = ["z0", "z1", "z4", "z5"]
+SEARCH_AXES = ["z0", "z4", "z5"]
 
 
 def scaled_vectors(scores):
@@ -33,23 +34,28 @@ def _with_cells(vectors, width):
 
 
 _CELL = [f"c{a}" for a in AXES]
-_KEYS = [f"c{a}" for a in KEY_AXES]
 
 
-def _neighbour_keys(cells):
-    """Each cell with the 27 neighbouring positions on the key axes."""
-    offsets = F.array(*[F.struct(*[F.lit(o).alias(f"o{k}") for o, k in zip(step, _KEYS)]) for step in product((-1, 0, 1), repeat=3)])
-    spread = cells.withColumn("_o", F.explode(offsets))
-    return spread.select("*", *[(F.col(k) + F.col(f"_o.o{k}")).alias(f"n{k}") for k in _KEYS]).drop("_o")
+def _touching(left, right, axes, once=False):
+    """Pairs of cells that touch: equi join on positions along ``axes``, the other axes compared.
 
-
-def _touching(left, right):
-    """Pairs of cells that touch: equi join on the key axes, the rest compared."""
-    a = _neighbour_keys(left.select(*left.columns)).select(*[F.col(c).alias(f"a_{c}") for c in left.columns], *[f"n{k}" for k in _KEYS])
+    Each left cell is sent to its neighbouring positions. With ``once`` an unordered pair of cells
+    appears a single time and no cell meets itself: only steps up are sent, and cells level on all
+    ``axes`` are ordered by the others.
+    """
+    keys = [f"c{a}" for a in axes]
+    rest = [c for c in _CELL if c not in keys]
+    level = (0,) * len(keys)
+    steps = [s for s in product((-1, 0, 1), repeat=len(keys)) if not once or s >= level]
+    offsets = F.array(*[F.struct(*[F.lit(o).alias(k) for o, k in zip(step, keys)]) for step in steps])
+    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], F.explode(offsets).alias("_o"))
+    a = a.select("*", *[(F.col(f"a_{k}") + F.col(f"_o.{k}")).alias(f"_{k}") for k in keys])
     b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    on = [F.col(f"n{k}") == F.col(f"b_{k}") for k in _KEYS]
-    near = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= 1 for c in _CELL if c not in _KEYS]
-    return a.join(b, on + near).drop(*[f"n{k}" for k in _KEYS])
+    on = [F.col(f"_{k}") == F.col(f"b_{k}") for k in keys] + [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= 1 for c in rest]
+    if once:
+        moved = F.struct(*[F.col(f"_o.{k}") for k in keys]) != F.struct(*[F.lit(0).alias(k) for k in keys])
+        on.append(moved | (F.struct(*[F.col(f"a_{c}").alias(c) for c in rest]) < F.struct(*[F.col(f"b_{c}").alias(c) for c in rest])))
+    return a.join(b, on).drop("_o", *[f"_{k}" for k in keys])
 
 
 def near_duplicate_pairs(scores):
@@ -67,7 +73,7 @@ def near_duplicate_pairs(scores):
     )
     same = vectors.agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).cast("bigint").alias("pairs"))
     inside = cells.agg(F.sum((F.col("w") * F.col("w") - F.col("w2")) / 2).cast("bigint").alias("pairs"))
-    pairs = _touching(cells, cells).where(F.struct(*[f"a_{c}" for c in _CELL]) < F.struct(*[f"b_{c}" for c in _CELL]))
+    pairs = _touching(cells, cells, PAIR_AXES, once=True)
     box = lambda side, p, a: F.col(f"{side}_{p}{a}")
     gap = F.greatest(*[F.greatest(box("b", "lo", a) - box("a", "hi", a), box("a", "lo", a) - box("b", "hi", a)) for a in AXES])
     reach = F.greatest(*[F.greatest(box("a", "hi", a), box("b", "hi", a)) - F.least(box("a", "lo", a), box("b", "lo", a)) for a in AXES])
@@ -103,7 +109,7 @@ def nearest_distances(scores, first_radius=1.0, largest_radius=8192.0):
         left = _with_cells(waiting, radius)
         right = _with_cells(vectors.select(*AXES), radius)
         gap = F.greatest(*[F.abs(F.col(f"a_{a}") - F.col(f"b_{a}")) for a in AXES])
-        found = _touching(left, right).withColumn("_d", gap).where((F.col("_d") > 0) & (F.col("_d") <= radius))
+        found = _touching(left, right, SEARCH_AXES).withColumn("_d", gap).where((F.col("_d") > 0) & (F.col("_d") <= radius))
         nearest = found.groupBy(*[F.col(f"a_{a}").alias(a) for a in AXES]).agg(F.min("_d").alias("distance"))
         marked = cut_lineage(waiting.join(nearest, AXES, "left"), "nearest")
         parts.append(marked.where("distance is not null").select("distance", F.lit(1).cast("bigint").alias("w")))

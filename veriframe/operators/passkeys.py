@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veriframe.operators.keyed import running
 
 BUCKET_SECONDS = 300
-_CHUNK_SECONDS = 3600
+_CHUNK_SECONDS = 6 * 3600
 
 
 def _openers(times, expiry, width):
