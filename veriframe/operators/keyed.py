@@ -18,13 +18,6 @@ def latest_by(df, keys, order):
     return packed.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in df.columns if c not in keys])
 
 
-def earliest_by(df, keys, order):
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    packed = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_row"))
-    return packed.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in df.columns if c not in keys])
-
-
 def running(df, keys, order, bucket, value, kind, out, include_current=True):
     """Running ``sum`` or ``max`` of ``value`` per key in ``order``, cut by ``bucket``.
 
@@ -129,8 +122,3 @@ def quantile_columns(df, keys, value, named, weight=None):
         for name, p in named.items()
     ]
     return long.groupBy(*keys).agg(*wide)
-
-
-def hour_bucket(ts):
-    return F.unix_seconds(ts) - F.pmod(F.unix_seconds(ts), F.lit(3600))
-
