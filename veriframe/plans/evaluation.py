@@ -356,7 +356,24 @@ def _(t):
     return e.band_counts(predictions(t), {"strong_evidence": e.strong_evidence(), "conflicting": e.conflicting_evidence()})
 
 
-@query("m19_probe_bands")
+def _profiles(rows):
+    return "(values " + ", ".join(f"({a}e0, {b}e0, {c}e0)" for a, b, c in rows) + ") q(b, br, c)"
+
+
+_PROBE_SQL = _KERNEL_SQL.replace("\nk as (", f"""
+probe0 as (select row_number() over () request_id, grid, face, 1e0 live, 1e0 ocr, b, br, c from (
+   select 'perfect_evidence' grid, f::double face, b, br, c from range(0, 101) r(f), {_profiles(e.PROBE_QUALITY)}
+   union all select 'new_profiles', f + 0.5e0, b, br, c from range(0, 100) r(f), {_profiles(e.UNSEEN_QUALITY)})),
+probe as (select request_id, grid, face, """ + ", ".join(
+    f"greatest(0, least(1, ({c} - lo_{f}) / (hi_{f} - lo_{f}))) {f}" for c, f in zip(("face", "live", "ocr", "b", "br", "c"), FEATURES)) + """ from probe0, limits),
+k as (""").replace("from scaled x cross join sv v", "from probe x cross join sv v")
+
+
+@query("m19_probe_bands", f"""
+with {_PROBE_SQL}
+select grid slice, case when face < 25 then 'below_25' when face <= 50 then '25_through_50' else 'above_50' end band,
+   count(*) filter (where w0 >= w1 and w0 >= w2) verified, count(*) filter (where not (w0 >= w1 and w0 >= w2) and w1 >= w2) review,
+   count(*) filter (where not (w0 >= w1 and w0 >= w2) and w1 < w2) rejected from w join probe p on p.request_id = w.request_id group by 1, 2""")
 def _(t):
     rows = split_rows(t)
     train = rows.where(F.col("split") == "train")
