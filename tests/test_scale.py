@@ -56,7 +56,7 @@ def test_rate_buckets_hot_key(spark):
     rng = np.random.default_rng(3)
     seconds = np.concatenate([np.sort(rng.integers(0, 5 * 3600, 4000)), [3600, 3600, 7200]])
     hits = spark.createDataFrame([(i, "hot" if i % 5 else "cold", START + dt.timedelta(seconds=int(s))) for i, s in enumerate(seconds)], "hit_id bigint, bucket string, ts timestamp")
-    got = {r["hit_id"]: r["attempts"] for r in passkeys.rate_buckets(hits, 3).collect()}
+    got = {r["hit_id"]: r["attempts"] for r in passkeys.rate_buckets(hits, 3, chunk_seconds=1800).collect()}
     for key in ("hot", "cold"):
         mine = sorted((int(s), i) for i, s in enumerate(seconds) if (i % 5 != 0) == (key == "hot"))
         opened, used = None, 0
