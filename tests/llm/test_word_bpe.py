@@ -29,7 +29,7 @@ def byte_vocabulary():
     return word_bpe.RankFile.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@pytest.mark.parametrize("block_bytes", [1, 8 << 20])
+@pytest.mark.parametrize("block_bytes", [1, 32 << 20])
 def test_byte_bpe_equals_library_and_round_trips(frame, own, block_bytes):
     docs = frame(ODD, "1 as bucket")
     rows = word_bpe.decode(word_bpe.encode(docs, byte_vocabulary(), block_bytes=block_bytes), byte_vocabulary(), chunk_tokens=100).collect()

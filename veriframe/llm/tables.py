@@ -62,9 +62,20 @@ def binary_column(data, offsets, kind=None):
     return column.cast(kind) if kind is not None else column
 
 
-def pack(value):
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, protocol=5))
+def pack(value, level=3):
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(value, protocol=5))
 
 
 def unpack(payload):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+
+
+def planes(numbers):
+    """Non-negative numbers as byte planes, lowest first; the upper ones compress well."""
+    numbers = np.asarray(numbers, np.int64)
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return [(numbers >> (8 * i)).astype(np.uint8) for i in range(width)]
+
+
+def from_planes(parts):
+    return sum(part.astype(np.int64) << (8 * i) for i, part in enumerate(parts))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-from veriframe.llm.tables import binary_column, pack, partitions, ragged, slices, text_buffer, unpack
+from veriframe.llm.tables import binary_column, from_planes, pack, partitions, planes, ragged, slices, text_buffer, unpack
 
 # White space that touches white space, or is neither a space nor a line feed.
 UNEVEN = re.compile(r"\s\s|[^\S \n]")
@@ -132,12 +132,11 @@ def _cut(batches, vocabulary, block_bytes, buckets):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as writer:
                 writer.write_table(ids)
-            sequence = np.concatenate(sequences)
-            planes = [(sequence >> shift).astype(np.uint8) for shift in (0, 8, 16, 24)]  # upper bytes compress well
-            rows = [(block % buckets, block, True, pack((sink.getvalue().to_pybytes(), np.array(counts, np.int64), planes, len(words))))]
+            rows = [(block % buckets, block, True, pack((sink.getvalue().to_pybytes(), np.array(counts, np.int64), planes(np.concatenate(sequences)), len(words)), 6))]
             for bucket in np.flatnonzero(np.diff(bounds)):
                 mine = order[bounds[bucket]: bounds[bucket + 1]]
-                rows.append((int(bucket), block, False, pack((mine.astype(np.uint32), [words[i] for i in mine]))))
+                own = [words[i] for i in mine]
+                rows.append((int(bucket), block, False, pack((planes(np.diff(mine, prepend=0)), planes([len(w) for w in own]), "".join(own)), 6)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "header", "payload"])
             block += 1
 
@@ -150,7 +149,9 @@ def _encode_bucket(rows, vocabulary):
         if header:
             passed.append((block, True, payload))
         else:
-            requests.append(unpack(payload))
+            local, sizes, joined = unpack(payload)
+            ends = np.cumsum(from_planes(sizes)).tolist()
+            requests.append((local, [joined[a:b] for a, b in zip([0, *ends], ends)]))
             blocks.append(block)
     numbers = _Numbers()
     wanted = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for _, words in requests]
@@ -163,7 +164,7 @@ def _encode_bucket(rows, vocabulary):
     lengths = np.array(lengths, np.int64)
     starts = np.cumsum(lengths) - lengths
     for block, (local, _), index in zip(blocks, requests, wanted):
-        passed.append((block, False, pack((local, lengths[index].astype(np.uint32), flat[ragged(starts[index], lengths[index])]))))
+        passed.append((block, False, pack((local, planes(lengths[index]), planes(flat[ragged(starts[index], lengths[index])])))))
     return pa.table([pa.array(c) for c in zip(*passed)], ["block", "header", "payload"])
 
 
@@ -172,13 +173,13 @@ def _assemble(rows, id_type):
     answers = []
     for header, payload in zip(rows.column("header").to_pylist(), rows.column("payload").to_pylist()):
         if header:
-            ids, counts, planes, distinct = unpack(payload)
+            ids, counts, sequence, distinct = unpack(payload)
         else:
             answers.append(unpack(payload))
-    sequence = sum(plane.astype(np.int64) << shift for plane, shift in zip(planes, (0, 8, 16, 24)))
+    sequence = from_planes(sequence)
     starts, lengths, flat, at = np.zeros(distinct, np.int64), np.zeros(distinct, np.int64), [np.zeros(0, np.uint32)], 0
     for local, own, values in answers:
-        own = own.astype(np.int64)
+        local, own, values = np.cumsum(from_planes(local)), from_planes(own), from_planes(values).astype(np.uint32)
         starts[local], lengths[local] = at + np.cumsum(own) - own, own
         flat.append(values)
         at += len(values)
@@ -190,7 +191,7 @@ def _assemble(rows, id_type):
     return pa.table([documents, pa.array(np.diff(ends)), binary_column(tokens.astype("<u4").view(np.uint8), 4 * ends)], ["id", "n_tokens", "ids"])
 
 
-def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=8 << 20):
+def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=32 << 20):
     """One row per document: ``id_col``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit, as binary)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)  # a vocabulary file: a few MB, whatever the corpus
