@@ -5,15 +5,69 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veriframe.llm import exact_dedup, packing, word_bpe
+from veriframe.llm import exact_dedup, language_id, line_dedup, packing, partenum, toxicity, word_bpe
 from veriframe.llm.tables import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=3)
+    return docs.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+with lines as (
+  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no
+  from (select distinct doc_id, text from documents where text is not null)
+), filled as (
+  select *, row_number() over (partition by doc_id, text order by line_no) as seq from lines where regexp_matches(line, '[^\\s]')
+), windows as (
+  select *, line as a, lead(line, 1) over w as b, lead(line, 2) over w as c from filled window w as (partition by doc_id, text order by seq)
+), placed as (
+  select *, row_number() over (partition by a, b, c order by doc_id nulls last, unhex(md5(concat('v', doc_id, chr(1), 'v', text))), seq) as copy
+  from windows where c is not null
+), gone as (
+  select distinct doc_id, text, seq + k as seq from placed, (values (0), (1), (2)) steps(k) where copy > 1
+), marked as (
+  select l.doc_id, l.text, l.line, l.line_no, f.seq, g.seq is not null as removed
+  from lines l left join filled f on f.doc_id = l.doc_id and f.text = l.text and f.line_no = l.line_no
+  left join gone g on g.doc_id = l.doc_id and g.text = l.text and g.seq = f.seq
+), runs as (
+  select doc_id, text, count(*) as n_runs from gone g
+  where not exists (select 1 from gone h where h.doc_id = g.doc_id and h.text = g.text and h.seq = g.seq - 1) group by all
+), verdicts as (
+  select doc_id, text, count(*) as n_lines, count(*) filter (removed) as n_removed,
+    coalesce(string_agg(line, chr(10) order by line_no) filter (not removed), '') as kept
+  from marked group by doc_id, text
+)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs, sha256(kept) as kept_sha256
+from documents d left join verdicts v on v.doc_id = d.doc_id and v.text = d.text
+left join runs r on r.doc_id = d.doc_id and r.text = d.text
+"""
+
+
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out("doc_id", 3, 1)))
+    rows = docs.select("doc_id", language_id.held_out("doc_id", 3, 1).alias("held_out"), "text")
+    return language_id.identify(rows, model).drop("text")
+
+
 def op4_best_fit_packing(spark, sf_dir):
     vocabulary = word_bpe.TokenizerFile.read(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, capacity=4096, closing_id=1)
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, docs.where(~language_id.held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", language_id.held_out("doc_id", 5, 0).alias("held_out"), "text")
+    return toxicity.score(rows, model).drop("text")
+
+
+def op7_ngram_jaccard(spark, sf_dir):
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,8 +89,12 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL}
