@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veriframe.llm import exact_dedup, language_id, line_dedup, packing, partenum, toxicity, word_bpe
+from veriframe.llm import exact_dedup, language_id, line_dedup, packing, partenum, run_index, toxicity, word_bpe
 from veriframe.llm.tables import table
 
 
@@ -82,6 +82,11 @@ from texts window same as (partition by body)
 """
 
 
+def op9_run_length_index(spark, sf_dir):
+    kept = run_index.remove_repeats(table(spark, sf_dir, "documents"), size=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     vocabulary = word_bpe.RankFile.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = word_bpe.decode(word_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -95,6 +100,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_run_length_index": op9_run_length_index,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL}
