@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veriframe.llm import exact_dedup, language_id, line_dedup, packing, partenum, run_index, toxicity, word_bpe
+from veriframe.llm import exact_dedup, hash_forest, language_id, line_dedup, packing, partenum, run_index, toxicity, word_bpe
 from veriframe.llm.tables import table
 
 
@@ -57,6 +57,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, capacity=4096, closing_id=1)
 
 
+def op5_hash_prefix_forest(spark, sf_dir):
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, docs.where(~language_id.held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
@@ -97,6 +101,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_hash_prefix_forest": op5_hash_prefix_forest,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
