@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veriframe.llm import exact_dedup, hash_forest, language_id, line_dedup, packing, partenum, run_index, toxicity, word_bpe
+from veriframe.llm import exact_dedup, hash_forest, language_id, license_scan, line_dedup, packing, partenum, run_index, toxicity, word_bpe
 from veriframe.llm.tables import table
 
 
@@ -45,6 +45,53 @@ left join runs r on r.doc_id = d.doc_id and r.text = d.text
 """
 
 
+def repository_paths(docs):
+    """A document as a file: its source is the repository, its id the place; each directory's first id is its licence file."""
+    folder = F.concat_ws("/", "source", F.expr("doc_id div 400"), F.expr("doc_id div 20"))
+    return docs.select("doc_id", "text", F.concat(folder, F.when(F.col("doc_id") % 20 < 2, F.concat(F.lit("/LICENSE-"), "doc_id")).otherwise(F.concat(F.lit("/"), "doc_id"))).alias("path"))
+
+
+def op2_license_scan(spark, sf_dir):
+    """Sources split over directories of 20 ids in directories of 400; ids 0 and 1 of a directory are its licence files."""
+    files = repository_paths(table(spark, sf_dir, "documents"))
+    return license_scan.scan(files, F.col("doc_id") % 20 < 2)
+
+
+def _op2_sql():
+    names = ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES.items())
+    found = f"regexp_extract_all(lower(%s), '{license_scan.TERM}')"
+    return f"""
+with templates(license, notice) as (values {names}),
+template_tf as (select license, term, count(*) as tf from (select license, unnest({found % 'notice'}) as term from templates) group by all),
+total as (select count(text) as n from documents),
+df as (select term, count(distinct doc_id) as n from (select doc_id, unnest({found % 'text'}) as term from documents) where term in (select term from template_tf) group by term),
+idf as (select term, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 as idf from (select distinct term from template_tf) left join df using (term), total),
+weights as (select license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by license)) as weight from template_tf join idf using (term)),
+passages as (
+  select distinct doc_id, unnest(string_split(text, chr(10)) || string_split_regex(text, '\n\s*\n') || [text]) as passage from documents
+), tf as (select doc_id, passage, term, count(*) as tf from (select doc_id, passage, unnest({found % 'passage'}) as term from passages) group by all),
+weighed as (select doc_id, passage, term, tf * coalesce(idf, (select max(idf) from idf)) as w from tf left join idf using (term)),
+norms as (select doc_id, passage, sqrt(sum(w * w)) as norm from weighed group by all),
+scored as (
+  select doc_id, license, round(sum(w * weight) / any_value(norm), 6) as cosine
+  from weighed join weights using (term) join norms using (doc_id, passage) group by doc_id, passage, license
+), own as (
+  select doc_id, license, cosine from scored where cosine >= 0.8
+  qualify row_number() over (partition by doc_id order by cosine desc, license) = 1
+), files as (
+  select d.doc_id, source || '/' || doc_id // 400 || '/' || doc_id // 20 as dir,
+    source || '/' || doc_id // 400 || '/' || doc_id // 20 || case when doc_id % 20 < 2 then '/LICENSE-' else '/' end || doc_id as path, license, cosine
+  from documents d left join own using (doc_id)
+), lent as (
+  select dir, license from files where doc_id % 20 < 2 and license is not null
+  qualify row_number() over (partition by dir order by cosine desc, license) = 1
+)
+select doc_id, path, files.license as own_license, cosine as own_cosine, coalesce(files.license, lent.license) as license,
+  case when files.license is null then lent.dir end as inherited_from
+from files left join lent using (dir)
+"""
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where(~language_id.held_out("doc_id", 3, 1)))
@@ -99,6 +146,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_hash_prefix_forest": op5_hash_prefix_forest,
@@ -108,4 +156,4 @@ QUERIES = {
     "op9_run_length_index": op9_run_length_index,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_license_scan": _op2_sql(), "op8_exact_dedup": OP8_SQL}
