@@ -90,3 +90,21 @@ def test_query(spark, documents):
     got = QUERIES["op7_ngram_jaccard"](spark, "/root/testdata/sf0.001").collect()
     rows = list(zip(documents.doc_id, documents.text))
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 3, 90)
+
+
+def test_blocks_of_a_large_group(spark):
+    """Near copies that mostly do not link, cut into several chunks."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 120)
+    sets = []
+    for i in range(90):
+        own = base.copy()
+        change = rng.choice(120, rng.integers(0, 18), replace=False)
+        own[change] = rng.integers(0, 1 << 62, len(change))
+        sets.append(np.unique(own))
+    rows = [(7, i, i, 90) for i in range(90)]
+    members = spark.createDataFrame(rows, "_sig bigint, _id bigint, _comp bigint, _n bigint")
+    table = spark.createDataFrame([(i, bytearray(s.astype("<u8").tobytes())) for i, s in enumerate(sets)], "_id bigint, _set binary")
+    got = {tuple(sorted(r)) for r in partenum._links_in_blocks(members, table, 90, 20).collect()}
+    want = {(i, j) for j in range(90) for i in range(j) if partenum._similar(sets[i], sets[j], 90)}
+    assert got == want and 0 < len(want) < 2000

@@ -5,10 +5,11 @@ Within a band, similar sets differ in at most ``k`` elements. The feature domain
 partitions, so some partition holds at most one difference, and that partition into three, of which two are then alike: every
 pair of the three sub-partitions is one signature. Similar sets thus always share a signature, and no candidate is lost.
 
-Rows with equal sets are one class, represented by the smallest id. Signature groups are not expanded into pairs: the group's
-smallest member is verified against the others, the verified links are merged into components, and only groups whose members
-are still in different components go on, without the member that has met all others. When few pairs across components are
-left, they are all verified. Every link between different components of a group is therefore tested exactly.
+Rows with equal sets are one class, represented by the smallest id, and groups of equal members are one group. Groups are not
+expanded into rows of pairs: the group's smallest member is verified against the others, and the links are merged into
+components. Groups whose members are still in different components are cut into chunks; a block holds two chunks with their
+sets, finds the links across components by matrix products, and only links leave it. Every link between different components
+of a group is therefore tested exactly, with bounded memory.
 
 Nulls: a null text or one without words has an empty set and links with nothing. A row with a null id links with nothing and
 has a null component. Rows with the same id are one document: they share its component. Ties do not occur (all links count).
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.tables import binary_column, slices, text_buffer
+from veriframe.llm.tables import binary_column, partitions, slices, text_buffer
 from veriframe.session import cut_lineage
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -175,6 +176,11 @@ def _candidate_sets(docs, wanted, width, id_col, text_col):
     return rows.mapInArrow(run, f"_id {id_type}, _set binary")
 
 
+def _similar(left, right, percent):
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(left) + len(right) - both)
+
+
 def _verified(pairs, sets, percent):
     """The pairs (_a, _b) whose sets are similar enough: 100 * intersection >= percent * union."""
     id_type = pairs.schema["_a"].dataType.simpleString()
@@ -182,12 +188,7 @@ def _verified(pairs, sets, percent):
     def run(batches):
         for batch in batches:
             data = [text_buffer(batch.column(c)) for c in ("_left", "_right")]
-            keep = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                left, right = (d[o[i]: o[i + 1]].view(np.uint64) for d, o in data)
-                both = len(left) + len(right) - len(np.union1d(left, right))
-                keep[i] = 100 * both >= percent * (len(left) + len(right) - both) and both > 0
-            kept = pa.array(keep)
+            kept = pa.array([_similar(*(d[o[i]: o[i + 1]].view(np.uint64) for d, o in data), percent) for i in range(len(batch))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("_a", "_b")], ["_a", "_b"])
 
     joined = pairs.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_left")), "_a")
@@ -195,6 +196,56 @@ def _verified(pairs, sets, percent):
     return joined.select("_a", "_b", "_left", "_right").mapInArrow(run, f"_a {id_type}, _b {id_type}")
 
 
+def links_across(sets, comps, percent, columns=4096):
+    """Pairs (i, j), i < j, of similar sets in different components, by products of membership matrices."""
+    sizes = np.array([len(s) for s in sets])
+    flat, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    element, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    used = shared[column]
+    column, member = number[column[used]], member[used]
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(column, [start, start + columns])
+        held = np.zeros((len(sets), min(columns, int(shared.sum()) - start)), np.float32)
+        held[member[a:b], column[a:b] - start] = 1
+        both += held @ held.T
+    both = np.rint(both).astype(np.int64)
+    similar = (100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (both > 0)
+    return np.nonzero(np.triu(similar & (comps[:, None] != comps[None]), 1))
+
+
+def _links_in_blocks(members, sets, percent, block_members):
+    """Links (_a, _b) between members (_sig, _id, _comp, _n) of one group in different components.
+
+    A group is cut into chunks of about ``block_members``; every pair of chunks is one block, and only links leave it.
+    """
+    spark, id_type = members.sparkSession, members.schema["_id"].dataType.simpleString()
+    chunks = F.ceil(F.col("_n") / block_members).cast("int")
+    rows = members.withColumn("_chunk", F.pmod(F.xxhash64("_id"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    block = F.struct("_sig", F.least("_chunk", "_other").alias("i"), F.greatest("_chunk", "_other").alias("j"))
+    rows = rows.select(F.xxhash64(block).alias("_block"), "_id", "_comp").join(sets, "_id")
+    buckets = 4 * partitions(spark)
+
+    def run(table):
+        blocks, data = table.column("_block").to_numpy(), text_buffer(table.column("_set"))
+        comps = np.unique(np.array(table.column("_comp").to_pylist(), object).astype(str), return_inverse=True)[1]
+        order = np.argsort(blocks, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(blocks[order]) != 0]))
+        left, right = [], []
+        for own in np.split(order, starts[1:]):
+            i, j = links_across([data[0][data[1][r]: data[1][r + 1]].view(np.uint64) for r in own], comps[own], percent)
+            left.append(own[i])
+            right.append(own[j])
+        ids = table.column("_id").combine_chunks()
+        return pa.table([ids.take(pa.array(np.concatenate(side).astype(np.int64))) for side in (left, right)], ["_a", "_b"])
+
+    return rows.withColumn("_bucket", F.pmod("_block", F.lit(buckets))).groupBy("_bucket").applyInArrow(run, f"_a {id_type}, _b {id_type}").distinct()
+
+
 def components(links, name="components"):
     """(_id, _comp): the smallest id reachable from each id that has a link."""
     edges = cut_lineage(links.select("_a", "_b").union(links.select("_b", "_a")).toDF("_a", "_b").where("_a <> _b").distinct(), f"{name}-edges")
@@ -213,32 +264,21 @@ def components(links, name="components"):
     return labels
 
 
-def _links(groups, sets, percent):
-    """Verified links between the members of signature groups (_sig, _id), at least one per pair of linked components."""
-    links, comps = None, None
-    while True:
-        labelled = groups.withColumn("_comp", F.col("_id")) if comps is None else groups.join(comps, "_id", "left").withColumn("_comp", F.coalesce("_comp", "_id"))
-        stats = labelled.groupBy("_sig", "_comp").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_m"))
-        stats = stats.groupBy("_sig").agg(F.sum("_n").alias("_n"), (F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))).alias("_cross"), F.min("_m").alias("_pivot"))
-        stats = cut_lineage(stats.where("_cross > 0"), "group-stats")
-        total = stats.agg(F.sum("_n"), F.sum("_cross")).first()
-        if not total[0]:
-            break
-        labelled = cut_lineage(labelled.join(stats, "_sig"), "group-members")
-        last = total[1] <= 8 * total[0]
-        if last:  # few pairs are left: all that cross components
-            other = labelled.select("_sig", F.col("_id").alias("_b"), F.col("_comp").alias("_other"))
-            pairs = labelled.select("_sig", F.col("_id").alias("_a"), "_comp").join(other, "_sig").where("_a < _b and _comp <> _other")
-        else:
-            pairs = labelled.where("_id <> _pivot").select(F.col("_pivot").alias("_a"), F.col("_id").alias("_b"))
-        pairs = pairs.select("_a", "_b").distinct()
-        new = cut_lineage(_verified(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
-        if last:
-            break
-        groups = labelled.where("_id <> _pivot").select("_sig", "_id")
-    return comps
+def _links(groups, sets, percent, block_members=1000):
+    """Components (_id, _comp) of the members of signature groups (_sig, _id): every link is found or already implied."""
+    # groups of the same members are one group
+    alike = groups.groupBy("_sig").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("_id")).alias("_x"), F.bit_xor(F.xxhash64("_id", F.lit(1))).alias("_y"), F.min("_id").alias("_pivot"))
+    alike = alike.where("_n > 1").groupBy("_n", "_x", "_y", "_pivot").agg(F.min("_sig").alias("_sig")).select("_sig", "_n", "_pivot")
+    groups = cut_lineage(groups.join(alike, "_sig"), "group-members")
+    stars = groups.where("_id <> _pivot").select(F.col("_pivot").alias("_a"), F.col("_id").alias("_b")).distinct()
+    found = cut_lineage(_verified(stars, sets, percent), "star-links")
+    comps = components(found)
+    labelled = groups.join(comps, "_id", "left").select("_sig", "_id", "_n", F.coalesce("_comp", "_id").alias("_comp"))
+    open_groups = labelled.groupBy("_sig").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high").select("_sig")
+    # pairs with the pivot are settled, so a group of two is
+    rest = labelled.where("_n > 2").join(open_groups, "_sig")
+    more = cut_lineage(_links_in_blocks(rest, sets, percent, block_members), "block-links")
+    return components(found.unionByName(more))
 
 
 def near_duplicates(docs, width=5, percent=80, id_col="doc_id", text_col="text"):
@@ -251,10 +291,8 @@ def near_duplicates(docs, width=5, percent=80, id_col="doc_id", text_col="text")
     signed = _signature_rows(docs, width, percent, id_col, text_col)
     same = Window.partitionBy("_sig")
     shared = signed.withColumn("_low", F.min("_id").over(same)).withColumn("_high", F.max("_id").over(same)).where("_low <> _high").select("_sig", "_id")
-    # equal sets count once; a group needs two different ones
+    # equal sets count once
     groups = cut_lineage(shared.join(rep_of, "_id").select("_sig", F.col("_rep").alias("_id")).distinct(), "signature-groups")
-    several = groups.groupBy("_sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    groups = cut_lineage(groups.join(several, "_sig").select("_sig", "_id"), "signature-groups")
     sets = cut_lineage(_candidate_sets(docs, groups.select("_id").distinct(), width, id_col, text_col), "candidate-sets")
     comps = _links(groups, sets, percent)
     # rows with one id but several sets join their classes
@@ -262,7 +300,7 @@ def near_duplicates(docs, width=5, percent=80, id_col="doc_id", text_col="text")
     repeated_ids = rep_of.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if not repeated_ids.isEmpty():
         extra = merged.join(repeated_ids.select(F.col("_id").alias("_a")), "_a", "left_semi")
-        comps = components(extra if comps is None else extra.unionByName(comps.select(F.col("_id").alias("_a"), F.col("_comp").alias("_b"))))
-    best = rep_of if comps is None else rep_of.join(comps.withColumnRenamed("_id", "_rep"), "_rep", "left").withColumn("_rep", F.coalesce("_comp", "_rep"))
+        comps = components(extra.unionByName(comps.select(F.col("_id").alias("_a"), F.col("_comp").alias("_b"))))
+    best = rep_of.join(comps.withColumnRenamed("_id", "_rep"), "_rep", "left").withColumn("_rep", F.coalesce("_comp", "_rep"))
     best = best.groupBy("_id").agg(F.min("_rep").alias("_rep"))
     return classes.join(best, "_id", "left").select(F.col("_id").alias(id_col), "n_shingles", F.coalesce("_rep", "_id").alias("component_id"))

@@ -60,7 +60,7 @@ def op2_license_scan(spark, sf_dir):
 def _op2_sql():
     names = ", ".join(f"('{n}', '{t}')" for n, t in license_scan.TEMPLATES.items())
     found = f"regexp_extract_all(lower(%s), '{license_scan.TERM}')"
-    return f"""
+    return rf"""
 with templates(license, notice) as (values {names}),
 template_tf as (select license, term, count(*) as tf from (select license, unnest({found % 'notice'}) as term from templates) group by all),
 total as (select count(text) as n from documents),
