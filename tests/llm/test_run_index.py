@@ -50,6 +50,7 @@ ODD = [(900, None), (901, ""), (902, "short"), (903, "=" * 5000), (904, "=" * 49
 @pytest.mark.parametrize("block_bytes,common_at,share", [(16 << 20, 64, 1 / 40_000), (3000, 64, 1 / 40_000), (3000, 2, 0)])
 def test_against_all_strings(frame, block_bytes, common_at, share):
     rows = passages(3, 150) + ODD
+    rows += [(2000 + i, ("the words of this text are all plain and odd in none " * 2 + f"end {i}") * (1 + i)) for i in range(4)]
     random.shuffle(rows)
     got = run_index.remove_repeats(frame(rows, "1 as block").repartition(5), 50, block_bytes=block_bytes, common_at=common_at, common_share=share).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == brute(rows, 50)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from veriframe.llm.partenum import MIX, mix
-from veriframe.llm.tables import binary_column, from_planes, pack, partitions, planes, slices, text_buffer, unpack
+from veriframe.llm.tables import binary_column, from_planes, pack, partitions, planes, ragged, slices, text_buffer, unpack
 from veriframe.session import cut_lineage
 
 GRAM = 16
@@ -152,6 +152,10 @@ class Items:
         last = np.concatenate([self.first[1:], [len(self.doc)]]) - 1
         return self.doc[last] != self.doc[self.first] if len(self.first) else np.zeros(0, bool)
 
+    def least_times(self):
+        """How often each entry occurs in its smallest document."""
+        return np.add.reduceat((self.doc == self.doc[self.first][self.entry]).astype(np.int64), self.first) if len(self.first) else self.first
+
     def buckets(self, count):
         """[(bucket, entries)]; entries stay in order."""
         bucket = (self.key[self.first] % np.uint64(count)).astype(np.int64)
@@ -262,7 +266,10 @@ def _settle(blocks, answers, size, buckets, common):
             start, stop = items.start[send], items.stop[send]
             texts = _matrix(padded, start, start, stop, items.width)
             docs = items.doc[send]
-            rows.append((bucket, block, False, pack((planes(np.diff(start, prepend=0) + len(data)), stop - start, int(docs.min()), planes(docs - docs.min()), texts[np.arange(items.width) < (stop - start)[:, None]]))))
+            # every place of the context in its smallest document is marked later
+            times = items.least_times()[entries[role == SENDER]]
+            places = items.start[ragged(send, times)]
+            rows.append((bucket, block, False, pack((planes(places), planes(times), stop - start, int(docs.min()), planes(docs - docs.min()), texts[np.arange(items.width) < (stop - start)[:, None]]))))
     gone = items.doc > least[items.entry]
     start, stop = items.start[gone], items.stop[gone]
     mask = np.zeros(len(data) + 1, np.int64)
@@ -355,12 +362,12 @@ def _compare(rows, size):
         else:
             parts.append((block, *unpack(payload)))
     if parts:
-        counts = [len(p[2]) for p in parts]
-        length = np.concatenate([p[2] for p in parts])
+        counts = [len(p[3]) for p in parts]
+        length = np.concatenate([p[3] for p in parts])
         width = int(length.max())
         texts = np.zeros((len(length), width), np.uint8)
-        texts[np.arange(width) < length[:, None]] = np.concatenate([p[5] for p in parts])
-        docs = np.concatenate([p[3] + from_planes(p[4]) for p in parts])
+        texts[np.arange(width) < length[:, None]] = np.concatenate([p[6] for p in parts])
+        docs = np.concatenate([p[4] + from_planes(p[5]) for p in parts])
         text, place = RunLengthIndex(texts, docs, size).stream()
         order = np.lexsort((place, text))
         text, place = text[order], place[order]
@@ -368,7 +375,7 @@ def _compare(rows, size):
         for (block, *part), start, stop in zip(parts, ends - counts, ends):
             a, b = np.searchsorted(text, [start, stop])
             if b > a:
-                out.append((block, False, pack((part[0], planes(np.diff(text[a:b] - start, prepend=0)), place[a:b].astype(np.uint8), int(stop - start)))))
+                out.append((block, False, pack((part[0], part[1], planes(np.diff(text[a:b] - start, prepend=0)), place[a:b].astype(np.uint8)))))
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["block", "spans", "payload"])
 
 
@@ -383,9 +390,9 @@ def _cut(blocks, answers, size):
         if spans:
             start, stop = (np.cumsum(from_planes(p)) for p in unpack(payload))
         else:
-            steps, text, place, count = unpack(payload)
-            base = np.cumsum(from_planes(steps) - len(data))
-            start = base[np.cumsum(from_planes(text))] + place
+            places, times, text, place = unpack(payload)
+            times, text = from_planes(times), np.cumsum(from_planes(text))
+            start = from_planes(places)[ragged((np.cumsum(times) - times)[text], times[text])] + np.repeat(place.astype(np.int64), times[text])
             stop = start + size
         np.add.at(mask, start, 1)
         np.add.at(mask, stop, -1)
