@@ -135,7 +135,7 @@ def pack_lengths(pieces, capacity, order, part_rows=100_000):
 
 def pack_documents(docs, vocabulary, capacity=4096, closing_id=1, id_col="doc_id", text_col="text"):
     """Tokenise, cut and pack: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset."""
-    encoded = encode(docs, vocabulary, id_col, text_col)
+    encoded = encode(docs, vocabulary, id_col, text_col, rescan=False)
     pieces = cut_pieces(encoded, capacity, closing_id, id_col)
     pieces = pieces.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack_lengths(pieces, capacity, [id_col, "piece", "ids_crc32"])

@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Documents are cut into blocks of whole rows. A block sends each of its distinct words once to the word's bucket. A bucket
-holds every block's request for its words, encodes each distinct word once and answers each block. A second scan gives the
-block's sequence of word numbers (the positions), which meets the answers by block, where ids are put back by position. A
-word that fills the corpus is still one entry per block, so no key gathers more rows than there are blocks. Both scans must
-see the same rows in the same order, as scans of files do; a block whose scans differ is an error, not a wrong result.
+holds every block's request for its words, encodes each distinct word once and answers each block. The block's sequence of
+word numbers (the positions) meets the answers by block, where ids are put back by position. A word that fills the corpus is
+still one entry per block, so no key gathers more rows than there are blocks. Positions either travel with the words, which
+shuffles them twice, or come from a second scan, which costs time; then both scans must see the same rows in the same order,
+as scans of files do, and a block whose scans differ is an error, not a wrong result.
 
 A word is a stretch between single spaces with the space in front of it, which is always a border between matches of the
 splitting pattern as long as white space does not touch white space; other texts are cut by the pattern itself.
@@ -112,8 +113,8 @@ def _words(text, split):
     return words
 
 
-def _cut(batches, vocabulary, block_bytes, buckets=None):
-    """A block's distinct words by bucket (bucket, block, payload) or, without buckets, its ids and positions (block, payload)."""
+def _cut(batches, vocabulary, block_bytes, buckets, give_words, give_positions):
+    """(bucket, block, positions?, payload): a block's distinct words by bucket, its ids and positions, or both."""
     split = _built(vocabulary)[1]
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -125,34 +126,36 @@ def _cut(batches, vocabulary, block_bytes, buckets=None):
                 words = _words(text, split) if text else []
                 sequences.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 counts.append(len(words))
-            if buckets is None:
+            rows = []
+            if give_positions:
                 ids = pa.table({"id": part.column(0)})
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, ids.schema) as writer:
                     writer.write_table(ids)
-                payload = pack((sink.getvalue().to_pybytes(), np.array(counts, np.int64), planes(np.concatenate(sequences)), len(numbers)), 6)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([payload], pa.binary())], ["block", "payload"])
-                block += 1
-                continue
-            words = [word[0] if type(word) is tuple else " " + word for word in numbers]
-            bucket_of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket_of, kind="stable")
-            bounds = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
-            rows = []
-            for bucket in np.flatnonzero(np.diff(bounds)):
-                mine = order[bounds[bucket]: bounds[bucket + 1]]
-                own = [words[i] for i in mine]
-                rows.append((int(bucket), block, pack((planes(np.diff(mine, prepend=0)), planes([len(w) for w in own]), "".join(own)), 6)))
+                rows.append((block % buckets, block, True, pack((sink.getvalue().to_pybytes(), np.array(counts, np.int64), planes(np.concatenate(sequences)), len(numbers)), 6)))
+            if give_words:
+                words = [word[0] if type(word) is tuple else " " + word for word in numbers]
+                bucket_of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+                order = np.argsort(bucket_of, kind="stable")
+                bounds = np.searchsorted(bucket_of[order], np.arange(buckets + 1))
+                for bucket in np.flatnonzero(np.diff(bounds)):
+                    mine = order[bounds[bucket]: bounds[bucket + 1]]
+                    own = [words[i] for i in mine]
+                    rows.append((int(bucket), block, False, pack((planes(np.diff(mine, prepend=0)), planes([len(w) for w in own]), "".join(own)), 6)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "positions", "payload"])
             block += 1
 
 
 def _encode_bucket(rows, vocabulary):
     """Encode each distinct word of the bucket once and answer every block that asked for it."""
     encode = _built(vocabulary)[0]
-    requests, blocks, answers = [], rows.column("block").to_pylist(), []
-    for payload in rows.column("payload").to_pylist():
+    requests, blocks, answers = [], [], []
+    for block, positions, payload in zip(*(rows.column(c).to_pylist() for c in ("block", "positions", "payload"))):
+        if positions:
+            answers.append((block, True, payload))
+            continue
+        blocks.append(block)
         local, sizes, joined = unpack(payload)
         ends = np.cumsum(from_planes(sizes)).tolist()
         requests.append((local, [joined[a:b] for a, b in zip([0, *ends], ends)]))
@@ -167,17 +170,21 @@ def _encode_bucket(rows, vocabulary):
     lengths = np.array(lengths, np.int64)
     starts = np.cumsum(lengths) - lengths
     for block, (local, _), index in zip(blocks, requests, wanted):
-        answers.append((block, pack((local, planes(lengths[index]), planes(flat[ragged(starts[index], lengths[index])])))))
-    return pa.table([pa.array(c) for c in zip(*answers)], ["block", "payload"])
+        answers.append((block, False, pack((local, planes(lengths[index]), planes(flat[ragged(starts[index], lengths[index])])))))
+    return pa.table([pa.array(c) for c in zip(*answers)], ["block", "positions", "payload"])
 
 
-def _assemble(headers, rows, id_type):
+def _assemble(tables, id_type):
     """Put the ids of a block's words back by position and cut them at the documents' ends."""
-    if headers.num_rows != 1:
+    parts = {True: [], False: []}
+    for rows in tables:
+        for positions, payload in zip(rows.column("positions").to_pylist(), rows.column("payload").to_pylist()):
+            parts[positions].append(unpack(payload))
+    answers = parts[False]
+    if len(parts[True]) != 1:
         raise ValueError("the input changed between two scans; write it to a table first")
-    ids, counts, sequence, distinct = unpack(headers.column("payload")[0].as_py())
+    ids, counts, sequence, distinct = parts[True][0]
     sequence = from_planes(sequence)
-    answers = [unpack(payload) for payload in rows.column("payload").to_pylist()]
     starts, lengths, flat, at = np.zeros(distinct, np.int64), np.zeros(distinct, np.int64), [np.zeros(0, np.uint32)], 0
     for local, own, values in answers:
         local, own, values = np.cumsum(from_planes(local)), from_planes(own), from_planes(values).astype(np.uint32)
@@ -194,19 +201,30 @@ def _assemble(headers, rows, id_type):
     return pa.table([documents, pa.array(np.diff(ends)), binary_column(tokens.astype("<u4").view(np.uint8), 4 * ends)], ["id", "n_tokens", "ids"])
 
 
-def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=16 << 20):
-    """One row per document: ``id_col``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit, as binary)."""
+def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=16 << 20, rescan=True):
+    """One row per document: ``id_col``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit, as binary).
+
+    ``rescan`` takes positions from a second scan instead of shuffling them with the words.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)  # a vocabulary file: a few MB, whatever the corpus
     buckets = partitions(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(id_col, text_col)
-    requests = texts.mapInArrow(lambda batches: _cut(batches, shared, block_bytes, buckets), "bucket bigint, block bigint, payload binary")
-    headers = texts.mapInArrow(lambda batches: _cut(batches, shared, block_bytes), "block bigint, payload binary")
-    answers = requests.groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, shared), "block bigint, payload binary")
+
+    def cut(give_words, give_positions):
+        return docs.select(id_col, text_col).mapInArrow(
+            lambda batches: _cut(batches, shared, block_bytes, buckets, give_words, give_positions), "bucket bigint, block bigint, positions boolean, payload binary"
+        )
+
+    answers = cut(True, not rescan).groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, shared), "block bigint, positions boolean, payload binary")
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    grouped = headers.groupBy("block").cogroup(answers.groupBy("block"))
-    return grouped.applyInArrow(lambda head, rows: _assemble(head, rows, arrow), f"id {id_type}, n_tokens bigint, ids binary").withColumnRenamed("id", id_col)
+    schema = f"id {id_type}, n_tokens bigint, ids binary"
+    if rescan:  # each scan is a stage of its own, so both number their blocks alike
+        both = answers.groupBy("block").cogroup(cut(False, True).groupBy("block"))
+        coded = both.applyInArrow(lambda words, positions: _assemble([words, positions], arrow), schema)
+    else:
+        coded = answers.groupBy("block").applyInArrow(lambda rows: _assemble([rows], arrow), schema)
+    return coded.withColumnRenamed("id", id_col)
 
 
 def decode(encoded, vocabulary, chunk_tokens=1 << 20):
