@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from veriframe.session import build_session
+    from veriframe.session import build_session, clear_scratch
 
     session = build_session("tests", "local[8]", shuffle_partitions=8, driver_memory="12g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

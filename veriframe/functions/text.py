@@ -58,7 +58,8 @@ def has_phrase(normal, phrase):
     """Does a normalised text contain a phrase allowing about 15 % wrong letters.
 
     Either the phrase is damaged inside the text, or the text is a damaged fragment of the phrase.
-    The bounded edit distance stops early, and exact hits skip the search.
+    With k wrong letters allowed, one of k + 1 pieces of the phrase occurs unharmed, so windows are
+    searched only around the places of such a piece; other texts cost a few substring tests.
     """
     needle = plain_label(phrase).replace(" ", "")
     n = len(needle)
@@ -66,11 +67,20 @@ def has_phrase(normal, phrase):
     text = F.replace(normal, F.lit(" "), F.lit(""))
     size = F.length(text)
     close = lambda part, whole: F.levenshtein(part, whole, allowed) >= 0
-    widths = F.sequence(F.lit(max(2, n - allowed)), F.least(F.lit(n + allowed), size))
-    starts = lambda w: F.sequence(F.lit(1), size - w + 1)
-    inside = (size >= max(2, n - allowed)) & F.exists(
-        widths, lambda w: F.exists(starts(w), lambda i: close(F.substr(text, i, w), F.lit(needle)))
+    cuts = [round(i * n / (allowed + 1)) for i in range(allowed + 2)]
+    pieces = [(a, needle[a:b]) for a, b in zip(cuts, cuts[1:])]
+    # the text from up to the piece's place (and the allowed shift) before it to as far behind it
+    around = F.concat(*[
+        F.regexp_extract_all(text, F.lit(f"(?=(.{{0,{a + allowed}}}{piece}.{{0,{n - a - len(piece) + allowed}}}))"), F.lit(1)) for a, piece in pieces
+    ])
+    narrow, wide = max(2, n - allowed), n + allowed
+    within = lambda part: F.exists(
+        F.sequence(F.lit(narrow), F.least(F.lit(wide), F.length(part))),
+        lambda w: F.exists(F.sequence(F.lit(1), F.length(part) - w + 1), lambda i: close(F.substr(part, i, w), F.lit(needle))),
     )
+    inside = F.when(
+        (size >= narrow) & any_of([text.contains(piece) for _, piece in pieces]), F.exists(around, lambda part: (F.length(part) >= narrow) & within(part))
+    ).otherwise(False)
     fragments = _words(dict.fromkeys(needle[s:s + w] for w in range(2, n + 1) for s in range(n - w + 1)))
     near = lambda part: F.abs(F.length(part) - size) <= allowed
     fragment = (size >= 0.6 * n) & (size <= n + allowed) & F.exists(fragments, lambda part: near(part) & close(part, text))

@@ -10,8 +10,6 @@ from veriframe.operators.directory import latest_requests
 from veriframe.operators.keyed import running
 from veriframe.schemas import BLOCKED_EMAIL_DOMAINS, LOOKBACK_HOURS, MAX_FAILURES, MAX_STRIKES
 
-RESET_LOOKBACK = 50  # only this many newest approvals are searched for a reset
-
 
 def email_domain(email):
     parts = F.split(F.lower(F.trim(email)), "@")
@@ -137,16 +135,19 @@ def guardrail_verdicts(registrations, agents, requests, logs, now, hours=LOOKBAC
     return rows.select("agent_id", chosen.alias("_v")).select("agent_id", "_v.*")
 
 
-def last_resets(logs, newest=RESET_LOOKBACK):
-    """Last strike reset per agent among its newest approvals only.
+def last_resets(logs, newest=None):
+    """Last strike reset per agent; with ``newest`` only among that many of its newest approvals.
 
     The rank filter is pushed below the shuffle, so each task sends at most ``newest`` rows per agent.
     """
+    reset = F.get_json_object("details", "$.strikesReset") == "true"
+    if newest is None:
+        found = logs.where((F.col("action") == "ADMIN_APPROVED") & F.col("agent_id").isNotNull() & reset)
+        return found.groupBy("agent_id").agg(F.max("ts").alias("reset_at"))
     order = Window.partitionBy("agent_id").orderBy(F.desc("ts"), F.desc("log_id"))
     approvals = logs.where((F.col("action") == "ADMIN_APPROVED") & F.col("agent_id").isNotNull()).select("agent_id", "ts", "log_id", "details")
     ranked = approvals.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= newest)
-    resets = ranked.where(F.get_json_object("details", "$.strikesReset") == "true")
-    return resets.groupBy("agent_id").agg(F.max("ts").alias("reset_at"))
+    return ranked.where(reset).groupBy("agent_id").agg(F.max("ts").alias("reset_at"))
 
 
 def strike_counts(logs, now, hours=LOOKBACK_HOURS):

@@ -19,7 +19,7 @@ from veriframe.operators.evaluation import confusion_cells, macro_f1_column
 from veriframe.operators.selection import class_weights, folds
 from veriframe.schemas import CLASSES, FEATURES
 
-UNLIMITED_DEPTH = 30  # the deepest tree the library grows
+UNLIMITED_DEPTH = 30  # the deepest tree the library grows; the grid names it as 30
 
 
 def with_label(rows, target="target"):
@@ -105,7 +105,7 @@ def random_features(rows, gamma, size=96, seed=42, features=FEATURES):
 def fit_margin_model(train, cost=1.0, gamma=1.0, features=FEATURES, iterations=30):
     """One-vs-rest linear margins on random features (an approximate kernel model). Rows are scaled already."""
     data = random_features(class_weights(with_label(train)), gamma, features=features)
-    svm = LinearSVC(maxIter=iterations, regParam=1.0 / (cost * 1000.0))
+    svm = LinearSVC(maxIter=iterations, regParam=1.0 / (cost * max(train.count(), 1)))
     return OneVsRest(classifier=svm, weightCol="weight", parallelism=3).fit(data)
 
 
@@ -154,16 +154,15 @@ def calibrate_sigmoid(held_out, rows, margins=("m_verified", "m_review", "m_reje
     return _normalised(out, keep, [f"_{k}" for k in _KINDS])
 
 
-def calibrate_isotonic(held_out, rows, margins=("m_verified", "m_review", "m_rejected"), digits=4):
+def calibrate_isotonic(held_out, rows, margins=("m_verified", "m_review", "m_rejected")):
     """Per-class monotone curve on the margin, fitted on the held-out part, then normalised.
 
-    Equal margins (to ``digits`` digits) are merged with their weight first, so the fit sees a bounded
-    number of points however many rows there are.
+    Equal margins are merged with their weight first, which leaves the fitted curve as it is.
     """
     keep = [c for c in rows.columns if not c.startswith("p_")]
     out = rows
     for margin, kind, label in zip(margins, _KINDS, CLASSES):
-        points = held_out.groupBy(F.round(margin, digits).alias(margin)).agg(
+        points = held_out.groupBy(margin).agg(
             F.avg((F.col("target") == label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w")
         )
         data = VectorAssembler(inputCols=[margin], outputCol="_f").transform(points)

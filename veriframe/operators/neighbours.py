@@ -94,18 +94,20 @@ def near_duplicate_pairs(scores):
     return rows
 
 
-def nearest_distances(scores, first_radius=1.0, largest_radius=8192.0):
+def nearest_distances(scores, first_radius=1.0):
     """Distance of every distinct vector to its nearest other row, with the vector's multiplicity.
 
     Copies have distance 0. The others are searched in cells of growing width: a neighbour within the
     width must lie in a touching cell, so what is found within it is exact, and only vectors without
-    one go on to the doubled width.
+    one go on to the doubled width, up to the spread of the table, at which every vector meets all
+    others. A vector without any other row has a null distance.
     """
     vectors = cut_lineage(weighted_vectors(scores), "vectors")
     done = vectors.where("w > 1").select(F.lit(0.0).alias("distance"), F.col("w"))
     waiting, radius = vectors.where("w = 1").select(*AXES), first_radius
+    spread = vectors.agg(F.greatest(*[F.max(a) - F.min(a) for a in AXES])).first()[0] or 0.0
     parts = [done]
-    while radius <= largest_radius:
+    while radius < 2 * spread or radius == first_radius:
         left = _with_cells(waiting, radius)
         right = _with_cells(vectors.select(*AXES), radius)
         gap = F.greatest(*[F.abs(F.col(f"a_{a}") - F.col(f"b_{a}")) for a in AXES])
@@ -117,6 +119,7 @@ def nearest_distances(scores, first_radius=1.0, largest_radius=8192.0):
         if waiting.isEmpty():
             break
         radius *= 2
+    parts.append(waiting.select(F.lit(None).cast("double").alias("distance"), F.lit(1).cast("bigint").alias("w")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

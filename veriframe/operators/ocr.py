@@ -340,9 +340,13 @@ def document_verdicts(items, zones, registered, today, pages=None):
     date_of_birth. ``pages`` may give ``located`` and
     ``too_small`` per doc_id from the photo step; documents count as located without it.
     """
+    everyone = items.select("doc_id").union(registered.select("doc_id")).union(zones.select("doc_id")).distinct()
     items = cut_lineage(usable_items(items), "items")
     fronts, backs = items.where(F.col("side") == "front"), items.where(F.col("side") == "back")
-    types = cut_lineage(document_types(fronts), "types")
+    # a document without a usable front item keeps its row: it has no type and no items
+    found = everyone.withColumn("side", F.lit("front")).join(document_types(fronts), PAGE, "left")
+    found = found.withColumn("n_items", F.coalesce("n_items", F.lit(0))).withColumn("_labels", F.coalesce("_labels", F.lit(False)))
+    types = cut_lineage(found, "types")
     zones = cut_lineage(zones.select("doc_id", "side", "valid", *ZONE), "zones")
     has_back = backs.groupBy("doc_id").agg(F.lit(True).alias("_has_back"))
     zone_back = zones.where(F.col("side") == "back").select("doc_id", F.lit(True).alias("_back_zone"))

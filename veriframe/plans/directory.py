@@ -65,21 +65,24 @@ def _(t):
 select strftime(l.ts, '%Y-%m-%dT%H:%M:%S.%f') "Timestamp", coalesce(cast(l.agent_id as varchar), '') "AgentID",
        coalesce(nullif(a.full_name, ''), 'Unknown') "AgentName", l.action "Action", l.outcome "Outcome"
 from (select * from audit_logs where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-26'
-      order by ts desc, log_id desc limit 10000) l left join agents a on a.agent_id = l.agent_id""")
+      ) l left join agents a on a.agent_id = l.agent_id""")
 def _(t):
-    return writers.export_rows(t.audit_logs, t.agents, start="2024-01-05", end="2024-01-25")
+    rows = writers.export_rows(t.audit_logs, t.agents, start="2024-01-05", end="2024-01-25")
+    path = scratch_dir(t.spark, "export")
+    writers.write_export(rows, path)
+    return t.spark.read.schema(rows.schema).option("header", True).option("quote", '"').option("escape", '"').csv(path).fillna("")
 
 
 @query("a3_audit_export_lines", """
-select concat_ws(',', strftime(l.ts, '%Y-%m-%dT%H:%M:%S.%f'), cast(l.agent_id as varchar),
+select 'Timestamp,AgentID,AgentName,Action,Outcome' line union all select concat_ws(',', strftime(l.ts, '%Y-%m-%dT%H:%M:%S.%f'), cast(l.agent_id as varchar),
        case when a.full_name like '%,%' then concat('"', a.full_name, '"') else a.full_name end, l.action, l.outcome) line
 from (select l.* from audit_logs l where l.action = 'FRAUD_GUARDRAIL_TRIGGERED'
         and l.agent_id in (select agent_id from agents where full_name ilike '%build%')
-      order by ts desc, log_id desc limit 10000) l join agents a on a.agent_id = l.agent_id""")
+      ) l join agents a on a.agent_id = l.agent_id""")
 def _(t):
     rows = writers.export_rows(
         t.audit_logs, t.agents, action="FRAUD_GUARDRAIL_TRIGGERED", agent_name="build")
-    return writers.csv_lines(rows)
+    return writers.csv_lines(rows).select("line")
 
 
 @query("a4_sample_measurements", """

@@ -12,6 +12,7 @@ from veriframe.operators.integrity import split_crossings
 from veriframe.plans.dashboards import rounded
 from veriframe.plans.decisions import DECISION_SQL
 from veriframe.registry import query
+from veriframe.session import cut_lineage
 from veriframe.schemas import CLASS_OF_KEY, CLASSES, FEATURES
 
 _LABEL_SQL = f"case {DECISION_SQL} when 'verified' then 'Verified' when 'review' then 'Manual Review' else 'Rejected' end"
@@ -78,20 +79,30 @@ def _(t):
 
 @query("m2_quality_transform")
 def _(t):
-    powers = s.fit_power(t.labelled_scores)
-    shaped = s.apply_power(t.labelled_scores.select("request_id", *FEATURES[3:]), powers)
-    return s.apply_min_max(shaped, s.fit_min_max(shaped, FEATURES[3:]), FEATURES[3:])
+    rows = split_rows(t)
+    powers = s.fit_power(rows.where(F.col("split") == "train"))
+    shaped = s.apply_power(rows.select("request_id", "split", *FEATURES[3:]), powers)
+    limits = s.fit_min_max(shaped.where(F.col("split") == "train"), FEATURES[3:])
+    return s.apply_min_max(shaped.drop("split"), limits, FEATURES[3:])
+
+
+_COARSE = {f: 5 for f in FEATURES} | {"liveness_score": 0.05, "ocr_confidence_score": 0.05, "blur_score": 50}
+_COARSE_SQL = ", ".join(f"round({f} / {w}) {f}_r" for f, w in _COARSE.items())
+
+
+def coarse(rows):
+    """All six features in wide steps, so that the sparse test table holds equal vectors."""
+    return rows.select(*[c for c in rows.columns if c not in FEATURES], *[F.round(F.col(f) / w).alias(f"{f}_r") for f, w in _COARSE.items()])
 
 
 @query("m3_duplicate_audit", f"""
 select coalesce(sum(n - 1), 0)::bigint duplicates, count(*) filter (where k > 1) conflicts, sum(n)::bigint n_rows
-from (select count(*) n, count(distinct target) k from (select *, round(face_match_score / 5) a, round(liveness_score * 20) b from labelled_scores)
-      group by a, b)""")
+from (select count(*) n, count(distinct target) k from (select target, {_COARSE_SQL} from labelled_scores)
+      group by {", ".join(f"{f}_r" for f in FEATURES)})""")
 def _(t):
-    coarse = t.labelled_scores.select("target", F.round(F.col("face_match_score") / 5).alias("a"), F.round(F.col("liveness_score") * 20).alias("b"))
     from veriframe.operators.dashboards import duplicate_vectors
 
-    return duplicate_vectors(coarse, ["a", "b"])
+    return duplicate_vectors(coarse(t.labelled_scores).select("target", *[f"{f}_r" for f in FEATURES]), [f"{f}_r" for f in FEATURES])
 
 
 @query("m4_near_duplicate_pairs", """
@@ -136,31 +147,32 @@ def _(t):
 
 
 @query("h4_cross_split_leakage", f"""
-with {_SPLIT}, k as (select round(face_match_score) a, round(liveness_score * 10) b, bool_or(split = 'train') tr, bool_or(split = 'validation') va, bool_or(split = 'test') te
-   from split group by 1, 2)
+with {_SPLIT}, k as (select bool_or(split = 'train') tr, bool_or(split = 'validation') va, bool_or(split = 'test') te
+   from (select split, {_COARSE_SQL} from split) group by {", ".join(f"{f}_r" for f in FEATURES)})
 select count(*) filter (where tr and te) train_test, count(*) filter (where tr and va) train_validation, count(*) filter (where va and te) validation_test from k""")
 def _(t):
-    rows = split_rows(t).select("split", F.round("face_match_score").alias("a"), F.round(F.col("liveness_score") * 10).alias("b"))
-    return split_crossings(rows, "split", ["a", "b"])
+    return split_crossings(coarse(split_rows(t)).select("split", *[f"{f}_r" for f in FEATURES]), "split", [f"{f}_r" for f in FEATURES])
 
 
 @query("m6_single_feature_signal")
 def _(t):
-    return learners.single_feature_signal(split_rows(t).where(F.col("split") == "train"), "request_id", k=3)
+    return learners.single_feature_signal(split_rows(t).where(F.col("split") == "train"), "request_id")
 
 
 @query("m7_tree_grid")
 def _(t):
     train = split_rows(t).where(F.col("split") == "train").drop("split")
-    return learners.tune_tree(train, depths=(3, 8), leaves=(5, 50), k=3)[1]
+    return learners.tune_tree(train)[1]
 
 
 @query("m8_margin_model")
 def _(t):
-    rows = scaled_rows(t).persist()
-    model = learners.fit_margin_model(rows.where(F.col("split") == "train"))
-    scored = learners.predict_margins(model, rows.where(F.col("split") == "test"), 1.0)
-    return e.summary(e.confusion_cells(scored))
+    rows = cut_lineage(scaled_rows(t), "scaled")
+    train = rows.where(F.col("split") == "train")
+    best = learners.tune_margin_model(train, "request_id").first()
+    model = learners.fit_margin_model(train, best["cost"], best["gamma"])
+    scored = learners.predict_margins(model, rows.where(F.col("split") == "test"), best["gamma"])
+    return e.summary(e.confusion_cells(scored)).withColumn("cost", F.lit(best["cost"])).withColumn("gamma", F.lit(best["gamma"]))
 
 
 _LEVELS = [i / 10 for i in range(1, 10)]
@@ -313,7 +325,7 @@ def _(t):
 @query("m16_permutation_importance", f"""
 with h as (select *, row_number() over (order by md5(concat('home:', cast(request_id as varchar))), request_id) k from labelled_scores),
 a as (select rep, {', '.join(f'{f} s_{f}' for f in FEATURES)}, row_number() over (partition by rep order by md5(concat(rep, ':', request_id)), request_id) k
-      from labelled_scores, (select unnest(range(5)) rep)),
+      from labelled_scores, (select unnest(range(20)) rep)),
 p as (select a.rep, h.target, h.{', h.'.join(FEATURES)}, {', '.join(f's_{f}' for f in FEATURES)} from h join a on a.k = h.k),
 pr as (""" + " union all ".join(
     f"select '{f}' feature, rep, target, {_LABEL_SQL} predicted from (select rep, target, {', '.join(f's_{x} {x}' if x == f else x for x in FEATURES)} from p)" for f in FEATURES) + f"""),
@@ -321,7 +333,7 @@ cells as (select feature, rep, {_CELL_SQL} from pr group by 1, 2), {_PRED}, base
 m as ({_metric_sql('feature, rep').replace(', 6) macro_f1', ', 15) macro_f1')} from cells), mb as ({_metric_sql('1 one').replace(', 6) macro_f1', ', 15) macro_f1')} from base)
 select feature, round(avg(mb.macro_f1 - m.macro_f1), 6) importance, round(stddev_pop(mb.macro_f1 - m.macro_f1), 6) std from m, mb group by 1""")
 def _(t):
-    return rounded(e.permutation_importance(t.labelled_scores, "request_id", threshold_label, repeats=5))
+    return rounded(e.permutation_importance(t.labelled_scores, "request_id", threshold_label, repeats=20))
 
 
 @query("m17_tree_importance")

@@ -101,9 +101,7 @@ def _(t):
 
 
 _STRIKES = f"""
-approvals as (select agent_id, ts, details, row_number() over (partition by agent_id order by ts desc, log_id desc) rn
-   from audit_logs where action = 'ADMIN_APPROVED' and ts <= {_NOW} and agent_id is not null),
-resets as (select agent_id, max(ts) reset_at from approvals where rn <= 50 and details->>'$.strikesReset' = 'true' group by 1),
+resets as (select agent_id, max(ts) reset_at from audit_logs where action = 'ADMIN_APPROVED' and ts <= {_NOW} and agent_id is not null and details->>'$.strikesReset' = 'true' group by 1),
 strikes as (select l.agent_id, count(*) strikes from audit_logs l left join resets r on r.agent_id = l.agent_id
    where l.action = 'FRAUD_GUARDRAIL_TRIGGERED' and l.details->>'$.guardrailType' = 'verification_strike' and l.ts <= {_NOW}
      and l.agent_id is not null
@@ -125,11 +123,11 @@ def _(t):
 with {_LATEST}, {_STRIKES}
 select s.agent_id, s.strikes, l.request_id, l.status old_status, case when l.request_id is not null then 'rejected' end new_status,
        coalesce(l.status <> 'rejected', false) changed,
-       concat('{{"reason":"Maximum verification attempts exceeded","strikeCount":', s.strikes, ',"threshold":1}}') details
-from strikes s left join latest l on l.agent_id = s.agent_id where s.strikes >= 1""")
+       concat('{{"reason":"Maximum verification attempts exceeded","strikeCount":', s.strikes, ',"threshold":3}}') details
+from strikes s left join latest l on l.agent_id = s.agent_id where s.strikes >= 3""")
 def _(t):
     logs = t.audit_logs.where("agent_id is not null")
-    return fraud.auto_rejections(logs, t.verification_requests, EVENT_NOW, limit=1).drop("action", "outcome")
+    return fraud.auto_rejections(logs, t.verification_requests, EVENT_NOW).drop("action", "outcome")
 
 
 @query("e9_strike_resets", f"""

@@ -10,6 +10,7 @@ from veriframe.functions import text as x
 from veriframe.operators import mrz as zones
 from veriframe.operators import ocr
 from veriframe.registry import query
+from veriframe.session import cut_lineage
 
 YEAR = int(DOCUMENT_TODAY[:4])
 _TODAY = f"date '{DOCUMENT_TODAY}'"
@@ -109,7 +110,7 @@ def _(t):
     return t.ocr_items.select(*_KEY, x.normal_label(F.col("text")).alias("normal"))
 
 
-@query("j2_label_present", f"select {_K}, concat_ws(',', {', '.join(f'case when {_has(chr(116)+chr(101)+chr(120)+chr(116), k)} then {chr(39)}{k}{chr(39)} end' for k in x.LABELS)}) labels from ocr_items")
+@query("j2_label_present", f"select {_K}, concat_ws(',', {', '.join(f'case when {_has('text', k)} then \'{k}\' end' for k in x.LABELS)}) labels from ocr_items")
 def _(t):
     rows = t.ocr_items.withColumn("_n", x.normal_label(F.col("text"))).withColumn("_c", x.without_spaces(F.col("_n")))
     labels = ocr.compact_array(*[F.when(x.has_label(F.col("_n"), F.col("_c"), v), F.lit(k)) for k, v in x.LABELS.items()])
@@ -247,7 +248,7 @@ vals as (select doc_id, side, field, candidate val from cands where candidate <>
 
 @query("j13_value_near_label", f"with {_VALUES} select doc_id, field, val \"value\" from vals")
 def _(t):
-    rows = fronts(t)
+    rows = cut_lineage(fronts(t), "front-items")
     return ocr.values_near_labels(rows, ocr.wanted_fields(ocr.document_types(rows))).select("doc_id", "field", "value")
 
 
@@ -396,8 +397,8 @@ def _short(f, expiry=False):
 def _names(f):
     t = f"regexp_replace({_let(f)}, '^<+|<+$', '', 'g')"
     spaced = lambda v: f"nullif(trim(regexp_replace({v}, '<+', ' ', 'g')), '')"
-    return (f"case when instr({t}, '<<') > 0 then {spaced(f'substr({t}, 1, instr({t}, {chr(39)}<<{chr(39)}) - 1)')} end",
-            f"case when instr({t}, '<<') > 0 then {spaced(f'substr({t}, instr({t}, {chr(39)}<<{chr(39)}) + 2)')} end", spaced(t))
+    return (f"case when instr({t}, '<<') > 0 then {spaced(f'substr({t}, 1, instr({t}, \'<<\') - 1)')} end",
+            f"case when instr({t}, '<<') > 0 then {spaced(f'substr({t}, instr({t}, \'<<\') + 2)')} end", spaced(t))
 
 
 @query("k1_check_digit", f"select doc_id, {_check('num9', 9)} number_digit, {_check('dob6', 6)} dob_digit, {_check('upper(surname)', 9)} name_digit from identity_facts")

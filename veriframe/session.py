@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,15 +34,28 @@ def build_session(app="veriframe", master=None, shuffle_partitions=None, driver_
     return builder.getOrCreate()
 
 
-def scratch_dir(spark, name):
-    """A new folder below the cluster's shared checkpoint folder (a local one only if none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+def scratch_root(spark):
+    """This application's folder below the cluster's shared checkpoint folder.
+
+    Only a session inside one process may go without that setting; it then uses a folder of this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return os.path.join(base, f"veriframe-{spark.sparkContext.applicationId}")
+
+
+def scratch_dir(spark, name):
+    """A new folder for one intermediate table."""
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def clear_scratch(spark):
+    """Delete the intermediate tables of this application; results that still read them must have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df, name):

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from veriframe.operators.directory import by_agent_name, in_date_range, with_agent_name
 from veriframe.schemas import TABLES
 
-EXPORT_LIMIT = 10000
 
-
-def export_rows(logs, agents, start=None, end=None, agent_id=None, action=None, agent_name=None):
-    """Newest matching audit rows for the export, at most 10 000 (the format's own limit).
+def export_rows(logs, agents, start=None, end=None, agent_id=None, action=None, agent_name=None, limit=None):
+    """Matching audit rows for the export, newest first; with ``limit`` only that many of the newest.
 
     Filters run before the top-k, and names are looked up only for the rows that remain.
     """
@@ -23,7 +21,8 @@ def export_rows(logs, agents, start=None, end=None, agent_id=None, action=None,
     if agent_name:
         rows = by_agent_name(rows, agents, agent_name)
     rows = rows.select("ts", "log_id", "agent_id", "action", "outcome")
-    rows = rows.orderBy(F.desc("ts"), F.desc("log_id")).limit(EXPORT_LIMIT)
+    if limit is not None:
+        rows = rows.orderBy(F.desc("ts"), F.desc("log_id")).limit(limit)
     named = with_agent_name(rows, agents)
     return named.orderBy(F.desc("ts"), F.desc("log_id")).select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Timestamp"),
@@ -41,7 +40,9 @@ def csv_field(value):
 
 
 def csv_lines(rows):
-    return rows.select(F.concat_ws(",", *[csv_field(F.col(c)) for c in rows.columns]).alias("line"))
+    """The export as text lines with their number; line 0 is the header, also when no row matches."""
+    header = rows.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("place"), F.lit(",".join(rows.columns)).alias("line"))
+    return header.unionByName(rows.select(F.monotonically_increasing_id().alias("place"), F.concat_ws(",", *[csv_field(F.col(c)) for c in rows.columns]).alias("line")))
 
 
 def write_export(rows, path):

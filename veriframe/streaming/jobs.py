@@ -24,7 +24,8 @@ def _stateful(rows, keys, step, output, state):
         previous = held.get if held.exists else None
         result, values = step(key, frame, previous)
         held.update(values)
-        yield result
+        if len(result):
+            yield result
 
     return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", _NO_TIMEOUT)
 
@@ -85,38 +86,33 @@ def failure_alerts(failures, key, limit=MAX_FAILURES, hours=LOOKBACK_HOURS):
     )
 
 
-def strike_counts(logs, hours=LOOKBACK_HOURS, newest=50):
+def strike_counts(logs, hours=LOOKBACK_HOURS):
     """Strike count of the agent after every strike, cleared by an administrator's reset.
-
-    A reset counts only while it is among the agent's ``newest`` approvals.
-    """
+"""
     width = hours * 3600 * 1000000
     strike = (F.col("action") == "FRAUD_GUARDRAIL_TRIGGERED") & (F.get_json_object("details", "$.guardrailType") == "verification_strike")
-    approval = F.col("action") == "ADMIN_APPROVED"
-    reset = approval & (F.get_json_object("details", "$.strikesReset") == "true")
-    kind = F.when(strike, F.lit("strike")).when(reset, F.lit("reset")).when(approval, F.lit("approval"))
+    reset = (F.col("action") == "ADMIN_APPROVED") & (F.get_json_object("details", "$.strikesReset") == "true")
+    kind = F.when(strike, F.lit("strike")).when(reset, F.lit("reset"))
     rows = logs.where(F.col("agent_id").isNotNull()).select("log_id", "agent_id", "ts", kind.alias("kind")).where(F.col("kind").isNotNull())
 
     def step(key, frame, previous):
         frame = frame.sort_values(["ts", "log_id"])
-        times, resets, approvals = (list(previous[0]), list(previous[1]), list(previous[2])) if previous else ([], [], [])
+        times, last_reset = (list(previous[0]), previous[1]) if previous else ([], None)
         counts = []
         for moment, what in zip(_micros(frame["ts"]).tolist(), frame["kind"]):
             if what == "strike":
                 times = [t for t in times if t >= moment - width] + [moment]
-                live = [r for r in resets if r in approvals]
-                since = max([moment - width] + live)
+                since = moment - width if last_reset is None else max(moment - width, last_reset)
                 counts.append(sum(t >= since for t in times))
             else:
-                approvals = (approvals + [moment])[-newest:]
-                resets = ([moment] if what == "reset" else resets)[-1:]
+                last_reset = moment
                 counts.append(None)
         result = frame.assign(strikes=pd.array(counts, dtype="Int64"))
-        return result.loc[frame["kind"] == "strike", ["log_id", "agent_id", "ts", "strikes"]], (times, resets, approvals)
+        return result.loc[frame["kind"] == "strike", ["log_id", "agent_id", "ts", "strikes"]], (times, last_reset)
 
     return _stateful(
         rows, ["agent_id"], step, "log_id bigint, agent_id bigint, ts timestamp, strikes bigint",
-        "times array<bigint>, resets array<bigint>, approvals array<bigint>",
+        "times array<bigint>, last_reset bigint",
     )
 
 
