@@ -17,8 +17,6 @@ from veriframe.llm.tables import table
 from veriframe.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# Code lengths near 8 bits a byte are noise in every language; prose takes 2 to 4.
-MOST_BITS = 7.0
 ORACLE_SQL = None  # language ID and packing have no SQL form; tests hold every stage against a plain version
 
 
@@ -33,10 +31,10 @@ def _with_text(docs, changed):
 
 
 def keep_known_languages(spark, docs, sf_dir):
-    """Rejects texts without letters, texts of noise, null texts and rows without an id; a missing language is filled in."""
+    """Rejects texts without a language (null or without letters) and rows without an id; a missing label is filled in."""
     docs = docs.where(F.col("doc_id").isNotNull())
     scored = language_id.identify(docs, language_id.fit(docs))
-    kept = scored.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS))
+    kept = scored.where(F.col("lang_pred") != language_id.UNKNOWN)
     return _columns(kept, lang=F.coalesce("lang", "lang_pred"))
 
 
