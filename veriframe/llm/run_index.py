@@ -37,56 +37,42 @@ from veriframe.session import cut_lineage
 
 GRAM = 16
 NO_ID = np.iinfo(np.int64).max
+COMMON_BLOCKS = 8  # every eighth block tells which anchors are common; that decides where strings meet, not what is removed
 LOW48 = np.uint64((1 << 48) - 1)
 
 
+def _sliding(values, width, pick):
+    """``pick`` (minimum or maximum) over every window of ``width`` values."""
+    span = 1
+    while span * 2 <= width:
+        values = pick(values[:-span], values[span:])
+        span *= 2
+    return pick(values[:span - width], values[width - span:]) if width > span else values
+
+
 def anchors(data, offsets, size):
-    """Distinct anchor places of all strings of ``size`` bytes inside rows, with their hash and row."""
+    """Places of the anchors of all strings of ``size`` bytes inside rows, with their hash and row.
+
+    A gram is an anchor if it has the least hash of some string that holds it, so equal grams of one string are all anchors.
+    """
     count = len(data) - size + 1
     rows = np.flatnonzero(np.diff(offsets) >= size)
     if count < 1 or not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     words = np.ndarray((len(data) - 7,), np.uint64, data.tobytes(), strides=(1,))
-    hashes = mix(words[:-8] * MIX[0] + mix(words[8:] ^ MIX[2]))
-    width, span, least = size - GRAM + 1, 1, hashes
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if width > span:
-        least = np.minimum(least[:span - width], least[width - span:])
+    hashes = mix(words[:-8] * MIX[0] + (words[8:] ^ MIX[2]) * MIX[1]) | np.uint64(1)
+    width = size - GRAM + 1
+    least = _sliding(hashes, width, np.minimum)
     inside = np.zeros(count + 1, np.int8)  # strings that do not cross a row's end
     inside[offsets[rows]] += 1
     inside[offsets[rows + 1] - size + 1] -= 1
-    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    # a string's anchor is its first gram with the least hash; walk over runs of strings with an equal least hash
-    changed = np.flatnonzero(inside & np.concatenate([[True], (least[1:] != least[:-1]) | ~inside[:-1]]))
-    found = []
-    place = _first_at(hashes, least, changed)
-    found.append(place)
-    # a gram may occur again inside a run: the run's later strings begin behind the first occurrence
-    ends = np.concatenate([changed[1:], [count]])
-    start = changed
-    while len(start):
-        more = (place + 1 < ends) & (place + 1 < count)
-        start, ends, place = place[more] + 1, ends[more], place[more]
-        ok = inside[start] & (least[start] == hashes[place])
-        start, ends = start[ok], ends[ok]
-        place = _first_at(hashes, least, start)
-        found.append(place)
-    place = np.unique(np.concatenate(found))
+    least *= np.cumsum(inside[:-1], dtype=np.int8).astype(np.uint64)
+    # no string's least hash is above that of a gram in it, so a gram is some string's least where the largest one equals it
+    padding = np.zeros(width - 1, np.uint64)
+    place = np.flatnonzero(_sliding(np.concatenate([padding, least, padding]), width, np.maximum) == hashes)
     return place, hashes[place], np.searchsorted(offsets, place, side="right") - 1
 
 
-def _first_at(hashes, least, start):
-    """First place from ``start`` on whose hash is the least of the string at ``start``."""
-    place, wanted = start.copy(), least[start]
-    open_ = np.flatnonzero(hashes[place] != wanted)
-    while len(open_):
-        place[open_] += 1
-        open_ = open_[hashes[place[open_]] != wanted[open_]]
-    return place
-
-
 def _matrix(padded, left, start, stop, width):
     """Bytes of [start, stop) as rows of ``width``, aligned at ``left``; each byte plus one, 0 outside (0xFF is no UTF-8)."""
     rows = np.lib.stride_tricks.sliding_window_view(padded, width)[left + width].copy()
@@ -114,22 +100,26 @@ class Items:
 
     def __init__(self, data, offsets, ids, size, common=np.zeros(0, np.uint64)):
         self.width = -(-(2 * size - GRAM) // 8) * 8
-        place, hashes, row = anchors(data, offsets, size)
+        found = []
+        for a, b in slices(np.diff(offsets), 1 << 20):  # documents are cut into anchors a few at a time, which bounds memory
+            place, hashes, row = anchors(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a], size)
+            found.append((place + offsets[a], hashes, row + a))
+        place, hashes, row = (np.concatenate(c) for c in zip(*found))
         keys = hashes >> np.uint64(16)
         padded = _padded(data, self.width)
         usual = ~np.isin(keys, common)
         lead = size - GRAM
         start, stop = np.maximum(place - lead, offsets[row]), np.minimum(place + size, offsets[row + 1])
-        parts = [(keys[usual], place[usual] - lead, start[usual], stop[usual], row[usual])]
+        parts = [(keys[usual], place[usual] - lead, start[usual], stop[usual], row[usual], place[usual] - start[usual])]
         if not usual.all():
             first, last, own = start[~usual], stop[~usual] - size, row[~usual]
             counts = last - first + 1
             string = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             string, at = np.unique(string, return_index=True)
             own = np.repeat(own, counts)[at]
-            parts.append((None, string, string, string + size, own))
+            parts.append((None, string, string, string + size, own, np.zeros(len(string), np.int64)))
         out = []
-        for key, left, start, stop, row in parts:
+        for key, left, start, stop, row, ahead in parts:
             contexts = np.zeros(len(left), np.uint64)
             made = np.zeros(len(left), np.uint64) if key is None else key
             for a in range(0, len(left), 1 << 16):
@@ -137,10 +127,10 @@ class Items:
                 contexts[a: a + len(rows)] = _row_hashes(rows, MIX[1]) & LOW48
                 if key is None:
                     made[a: a + len(rows)] = _row_hashes(rows, MIX[2]) >> np.uint64(16)
-            out.append((made, contexts, start, stop, np.asarray(ids)[row]))
-        self.key, self.context, self.start, self.stop, self.doc = (np.concatenate(c) for c in zip(*out))
+            out.append((made, contexts, start, stop, np.asarray(ids)[row], ahead))
+        self.key, self.context, self.start, self.stop, self.doc, self.lead = (np.concatenate(c) for c in zip(*out))
         order = np.lexsort((self.doc, self.context, self.key))
-        self.key, self.context, self.start, self.stop, self.doc = (c[order] for c in (self.key, self.context, self.start, self.stop, self.doc))
+        self.key, self.context, self.start, self.stop, self.doc, self.lead = (c[order] for c in (self.key, self.context, self.start, self.stop, self.doc, self.lead))
         # entries: distinct (key, context), with the smallest document first
         new = np.ones(len(order), bool)
         new[1:] = (self.key[1:] != self.key[:-1]) | (self.context[1:] != self.context[:-1])
@@ -175,12 +165,15 @@ def _blocks(docs, id_col, text_col, size, block_bytes, common_at):
                 part = batch.slice(start, stop - start)
                 own, bounds = data[offsets[start]: offsets[stop]], offsets[start: stop + 1] - offsets[start]
                 ids = np.array([NO_ID if v is None else v for v in part.column(0).to_pylist()], np.int64)
-                items = Items(own, bounds, ids, size)
-                keys, counts = np.unique(items.key[items.first], return_counts=True)
+                keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+                if (number + (number >> 32)) % COMMON_BLOCKS == 0:
+                    items = Items(own, bounds, ids, size)
+                    total = len(items.key)
+                    keys, counts = np.unique(items.key[items.first], return_counts=True)
                 often = counts >= common_at
                 payload = pack((ids, bounds, own.tobytes()), 3)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([payload], pa.binary()), pa.array([len(items.key)]), pa.array([keys[often].astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([counts[often].tolist()], pa.list_(pa.int64()))],
+                    [pa.array([number]), pa.array([payload], pa.binary()), pa.array([total]), pa.array([keys[often].astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([counts[often].tolist()], pa.list_(pa.int64()))],
                     ["block", "payload", "anchors", "common", "counts"],
                 )
                 number += 1
@@ -269,7 +262,7 @@ def _settle(blocks, answers, size, buckets, common):
             # every place of the context in its smallest document is marked later
             times = items.least_times()[entries[role == SENDER]]
             places = items.start[ragged(send, times)]
-            rows.append((bucket, block, False, pack((planes(places), planes(times), stop - start, int(docs.min()), planes(docs - docs.min()), texts[np.arange(items.width) < (stop - start)[:, None]]))))
+            rows.append((bucket, block, False, pack((planes(places), planes(times), stop - start, int(docs.min()), planes(docs - docs.min()), texts[np.arange(items.width) < (stop - start)[:, None]], items.key[send], items.lead[send].astype(np.uint8)))))
     gone = items.doc > least[items.entry]
     start, stop = items.start[gone], items.stop[gone]
     mask = np.zeros(len(data) + 1, np.int64)
@@ -295,33 +288,32 @@ class RunLengthIndex:
         flat = np.zeros((count, width + 8), np.uint8)
         flat[:, :width] = texts
         words = np.lib.stride_tricks.sliding_window_view(flat, 8, axis=1)[suffix_text, suffix_at]
-        rank = _dense(np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64))
         first_of = np.cumsum(self.lengths + 1) - self.lengths - 1
-        depth, at_size = 8, None
-        while True:
+        key, depth = np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64), 8
+        while depth <= width:
+            rank = _dense(key)
             if depth <= size < 2 * depth:  # equal strings of ``size`` bytes: two overlapping ranks
-                at_size = _dense(_pair(rank, self._ahead(rank, first_of, suffix_text, suffix_at, size - depth)))
-            if depth > width:
-                break
-            rank = _dense(_pair(rank, self._ahead(rank, first_of, suffix_text, suffix_at, depth)))
+                at_size = _pair(rank, self._ahead(rank, first_of, suffix_text, suffix_at, size - depth))
+            key = _pair(rank, self._ahead(rank, first_of, suffix_text, suffix_at, depth))
             depth *= 2
-        order = np.argsort(rank, kind="stable")  # the suffix array
+        order = np.argsort(key, kind="stable")  # the suffix array; equal suffixes in the order of their texts
         text, at = suffix_text[order], suffix_at[order]
         before = np.where(at > 0, texts[text, np.maximum(at - 1, 0)], 0)
         # runs of equal preceding bytes, with the step that leads from a row to the row of the longer suffix
-        self.run_start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        head = before[self.run_start]
-        run_length = np.diff(np.concatenate([self.run_start, [len(before)]]))
+        run_start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        head = before[run_start]
+        run_length = np.diff(np.concatenate([run_start, [len(before)]]))
         by_head = np.argsort(head, kind="stable")
         target = np.zeros(len(head), np.int64)
         target[by_head] = np.cumsum(run_length[by_head]) - run_length[by_head]
-        self.run_step = target - self.run_start
+        self.run_of = np.repeat(np.arange(len(head), dtype=np.int32), run_length)
+        self.run_step = target - run_start
         # intervals of suffixes that share ``size`` bytes, sampled with their smallest document
         long_enough = self.lengths[text] - at >= size
         same = at_size[order]
         new = np.concatenate([[True], (same[1:] != same[:-1]) | (long_enough[1:] != long_enough[:-1])])
-        self.interval_start = np.flatnonzero(new)
-        self.interval_doc = np.minimum.reduceat(np.where(long_enough, docs[text], NO_ID), self.interval_start)
+        self.interval_of = np.cumsum(new, dtype=np.int32) - 1
+        self.interval_doc = np.minimum.reduceat(np.where(long_enough, docs[text], NO_ID), np.flatnonzero(new))
         self.size, self.docs = size, docs
 
     def _ahead(self, rank, first_of, suffix_text, suffix_at, by):
@@ -335,10 +327,9 @@ class RunLengthIndex:
         for matched in range(1, int(self.lengths.max(initial=0)) + 1):
             going = matched <= self.lengths[text]
             row, text = row[going], text[going]
-            row = row + self.run_step[np.searchsorted(self.run_start, row, side="right") - 1]
+            row = row + self.run_step[self.run_of[row]]
             if matched >= self.size:
-                interval = np.searchsorted(self.interval_start, row, side="right") - 1
-                hit = np.flatnonzero(self.interval_doc[interval] < self.docs[text])
+                hit = np.flatnonzero(self.interval_doc[self.interval_of[row]] < self.docs[text])
                 found.append((text[hit], self.lengths[text[hit]] - matched))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -346,7 +337,29 @@ class RunLengthIndex:
 
 
 def _dense(values):
-    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
+    """Rank of every value among the distinct ones."""
+    order = np.argsort(values)
+    ordered = values[order]
+    rank = np.empty(len(values), np.uint64)
+    rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]), dtype=np.uint64)
+    return rank
+
+
+def _partnered(texts, keys, lead, size):
+    """Contexts that can share a string with another of their key.
+
+    A string holds the anchor and at least half of the other bytes on one side, so two contexts that share one agree there.
+    """
+    half = (size - GRAM) // 2
+    padded = np.zeros((len(texts), texts.shape[1] + size), np.uint8)
+    padded[:, half: half + texts.shape[1]] = texts
+    row = np.arange(len(texts))[:, None]
+    kept = np.zeros(len(texts), bool)
+    for start in (lead, lead + half + GRAM):
+        side = _row_hashes(np.pad(padded[row, start[:, None] + np.arange(half)], ((0, 0), (0, -half % 8))), MIX[2])
+        _, group, counts = np.unique(mix(keys * MIX[0] + side), return_inverse=True, return_counts=True)
+        kept |= counts[group] > 1
+    return kept
 
 
 def _pair(first, second):
@@ -368,7 +381,9 @@ def _compare(rows, size):
         texts = np.zeros((len(length), width), np.uint8)
         texts[np.arange(width) < length[:, None]] = np.concatenate([p[6] for p in parts])
         docs = np.concatenate([p[4] + from_planes(p[5]) for p in parts])
-        text, place = RunLengthIndex(texts, docs, size).stream()
+        kept = np.flatnonzero(_partnered(texts, np.concatenate([p[7] for p in parts]), np.concatenate([p[8] for p in parts]).astype(np.int64), size))
+        text, place = RunLengthIndex(texts[kept], docs[kept], size).stream() if len(kept) else (kept, kept)
+        text = kept[text]
         order = np.lexsort((place, text))
         text, place = text[order], place[order]
         ends = np.cumsum(counts)
