@@ -103,7 +103,7 @@ def test_blocks_of_a_large_group(spark):
         own[change] = rng.integers(0, 1 << 62, len(change))
         sets.append(np.unique(own))
     rows = [(7, i, i, 90) for i in range(90)]
-    members = spark.createDataFrame(rows, "_sig bigint, _id bigint, _comp bigint, _n bigint")
+    members = spark.createDataFrame(rows, "_group bigint, _id bigint, _comp bigint, _n bigint")
     table = spark.createDataFrame([(i, bytearray(s.astype("<u8").tobytes())) for i, s in enumerate(sets)], "_id bigint, _set binary")
     got = {tuple(sorted(r)) for r in partenum._links_in_blocks(members, table, 90, 20).collect()}
     want = {(i, j) for j in range(90) for i in range(j) if partenum._similar(sets[i], sets[j], 90)}

@@ -106,7 +106,8 @@ def signatures(flat, bounds, percent):
             found.append((mix(mix(sums[:, a] + place + np.uint64(pair)) + sums[:, b]), owner))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([s for s, _ in found]), np.concatenate([r for _, r in found])
+    # 48 bits name a signature; a chance agreement only adds a candidate
+    return np.concatenate([s >> np.uint64(16) for s, _ in found]), np.concatenate([r for _, r in found])
 
 
 def _set_keys(flat, bounds):
@@ -219,16 +220,16 @@ def links_across(sets, comps, percent, columns=4096):
 
 
 def _links_in_blocks(members, sets, percent, block_members):
-    """Links (_a, _b) between members (_sig, _id, _comp, _n) of one group in different components.
+    """Links (_a, _b) between members (_group, _id, _comp, _n) of one group in different components.
 
     A group is cut into chunks of about ``block_members``; every pair of chunks is one block, and only links leave it.
     """
-    spark, id_type = members.sparkSession, members.schema["_id"].dataType.simpleString()
+    id_type = members.schema["_id"].dataType.simpleString()
     chunks = F.ceil(F.col("_n") / block_members).cast("int")
     rows = members.withColumn("_chunk", F.pmod(F.xxhash64("_id"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    block = F.struct("_sig", F.least("_chunk", "_other").alias("i"), F.greatest("_chunk", "_other").alias("j"))
+    block = F.struct("_group", F.least("_chunk", "_other").alias("i"), F.greatest("_chunk", "_other").alias("j"))
     rows = rows.select(F.xxhash64(block).alias("_block"), "_id", "_comp").join(sets, "_id")
-    buckets = 4 * partitions(spark)
+    buckets = 4 * partitions(members.sparkSession)
 
     def run(table):
         blocks, data = table.column("_block").to_numpy(), text_buffer(table.column("_set"))
@@ -273,10 +274,11 @@ def _links(groups, sets, percent, block_members=1000):
     stars = groups.where("_id <> _pivot").select(F.col("_pivot").alias("_a"), F.col("_id").alias("_b")).distinct()
     found = cut_lineage(_verified(stars, sets, percent), "star-links")
     comps = components(found)
-    labelled = groups.join(comps, "_id", "left").select("_sig", "_id", "_n", F.coalesce("_comp", "_id").alias("_comp"))
-    open_groups = labelled.groupBy("_sig").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high").select("_sig")
-    # pairs with the pivot are settled, so a group of two is
-    rest = labelled.where("_n > 2").join(open_groups, "_sig")
+    # pairs with the pivot are settled; groups around one pivot mostly share their members and are compared as one
+    others = groups.where("_id <> _pivot").join(comps, "_id", "left").select("_sig", F.col("_pivot").alias("_group"), "_id", F.coalesce("_comp", "_id").alias("_comp"))
+    unsettled = others.groupBy("_sig").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high").select("_sig")
+    rest = cut_lineage(others.join(unsettled, "_sig").select("_group", "_id", "_comp").distinct(), "open-members")
+    rest = rest.join(rest.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")), "_group")
     more = cut_lineage(_links_in_blocks(rest, sets, percent, block_members), "block-links")
     return components(found.unionByName(more))
 
