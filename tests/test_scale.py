@@ -158,4 +158,44 @@ def test_state_carries_over_batches(spark):
 
 def test_scratch_reads_the_cluster_setting(spark):
     base = spark.conf.get("spark.checkpoint.dir")
-    assert os.path.dirname(scratch_dir(spark, "x")) == base
+    assert os.path.dirname(os.path.dirname(scratch_dir(spark, "x"))) == base
+
+
+def test_rate_buckets_thousand_hits_a_second(spark):
+    """One bucket at 1 000 hits a second for an hour: linear work per chunk."""
+    hits = spark.range(3_600_000).selectExpr("id as hit_id", "'hot' as bucket", "timestamp_micros(1767225600000000 + id * 1000) as ts")
+    rows = passkeys.rate_buckets(hits, 3)
+    got = rows.groupBy("opened_at").agg(F.max("attempts").alias("n"), F.count(F.lit(1)).alias("c"), F.sum(F.col("allowed").cast("int")).alias("a")).collect()
+    assert sum(r["c"] for r in got) == 3_600_000 and all(r["n"] == r["c"] and r["a"] == min(3, r["c"]) for r in got)
+    assert sorted(r["c"] for r in got)[-1] == 300_001
+
+
+def test_closing_times_match_walk():
+    rng = np.random.default_rng(6)
+    times = np.unique(rng.integers(0, 5000, 400))
+    carried = np.concatenate([[-1], times[times <= 100]])
+    got = passkeys._closing_times(times, carried, 100)
+    for closes, out in zip(carried, got):
+        openers = passkeys._openers(times, int(closes), 100)
+        assert out == openers[-1] + 100
+
+
+def test_nearest_distance_of_single_row(spark):
+    one = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 5.0, 6.0)], ", ".join(f"{f} double" for f in FEATURES))
+    assert [(r["distance"], r["w"]) for r in neighbours.nearest_distances(one).collect()] == [(None, 1)]
+
+
+def test_quiet_keys_lose_their_state(spark):
+    """State of a key goes once the watermark has passed its window; counts before that are right."""
+    folder = scratch_dir(spark, "failures-in")
+    rows = lambda lo, hi, key: [(i, key, START + dt.timedelta(minutes=10 * i)) for i in range(lo, hi)]
+    schema = "log_id bigint, ip_address string, ts timestamp"
+    for part, data in enumerate((rows(0, 5, "quiet"), rows(1000, 1005, "late"), rows(3000, 3001, "last"))):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    alerts = jobs.failure_alerts(stream, "ip_address")
+    out, checkpoint = scratch_dir(spark, "failures-out"), scratch_dir(spark, "failures-state")
+    run = alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r["failures"] for r in spark.read.parquet(out).collect()) == [3, 3, 4, 4, 5, 5]
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1

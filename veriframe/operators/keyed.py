@@ -6,9 +6,15 @@ per-bucket totals (bounded by the number of buckets) are put in order per key.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veriframe.session import cut_lineage
+
+MOST_BROADCAST_KEYS = 10_000  # edges of so many keys are sent to every task
+
 
 def latest_by(df, keys, order):
     """One row per key with the greatest ``order`` columns; combined map-side, so hot keys are cheap."""
@@ -40,14 +46,15 @@ def running(df, keys, order, bucket, value, kind, out, include_current=True):
     return joined.withColumn(out, result).drop("_bucket", "_value", "_before", "_inside")
 
 
-def hash_rank(df, keys, digest, tie, out, buckets=3):
+def hash_rank(df, keys, digest, tie, out, part_rows=50_000):
     """1-based rank by a hex digest per key (or overall), equal to one global ``row_number``.
 
-    Digest prefixes cut every group into 16**buckets even parts; only part sizes are accumulated.
+    Digest prefixes, as long as the row count asks for, cut every group into even parts; only part sizes are accumulated.
     """
+    buckets = max(1, math.ceil(math.log(max(df.count() / part_rows, 1), 16)))
     rows = df.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, buckets))
     sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 16**buckets rows per key
+    # at most 16**buckets rows per key: one per ``part_rows`` rows
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
@@ -72,21 +79,18 @@ def exact_quantiles(df, keys, value, probabilities, cuts=64, weight=None):
     data = df.select(*keys, F.col(value).cast("double").alias("_v"), copies.alias("_c")).where(F.col("_v").isNotNull())
     weights = data.groupBy(*keys, "_v").agg(F.sum("_c").alias("_w"))
     grid = [i / cuts for i in range(1, cuts)]
-    edges = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", grid, 10000).alias("_edges"), F.sum("_c").alias("_n")
-    )
+    edges = cut_lineage(data.groupBy(*keys).agg(F.percentile_approx("_v", grid, 10000).alias("_edges"), F.sum("_c").alias("_n")), "quantile-edges")
+    few = not keys or edges.count() <= MOST_BROADCAST_KEYS
     # one row per (key, probability): the two ranks to interpolate between
     wanted = edges.select(*keys, "_n", F.explode(F.array(*[F.lit(p) for p in probabilities])).alias("probability"))
     position = F.col("probability") * (F.col("_n") - 1)
     wanted = wanted.withColumn("_low", F.floor(position)).withColumn("_fraction", position - F.floor(position))
 
     def attach(left, right):
-        return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
+        return left.join(F.broadcast(right) if few else right, keys) if keys else left.crossJoin(F.broadcast(right))
 
     ranged = attach(weights, edges.select(*keys, "_edges"))
-    ranged = ranged.select(
-        *keys, "_v", "_w", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_range")
-    )
+    ranged = cut_lineage(ranged.select(*keys, "_v", "_w", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_range")), "quantile-ranges")
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_w").alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veriframe.functions import mrz as m
+from veriframe.session import cut_lineage
 
 FIELDS = [
     "format", "variant", "document_code", "issuing_country", "document_number", "id_number_verified", "serial_number", "date_of_birth",
@@ -100,9 +101,9 @@ def with_validity(zones):
 def parse_zones(items, current_year, keys=("doc_id",)):
     """Zone per document: the three-line form when one of its dates verifies, else the two-line form.
 
-    Candidate lines are found once; both forms and their choice stay partitioned by document.
+    Candidate lines are found once and written; both forms and their choice stay partitioned by document.
     """
-    lines = candidate_lines(items, keys)
+    lines = cut_lineage(candidate_lines(items, keys), "zone-lines")
     td1 = parse_td1(td1_rows(lines, keys), current_year, keys).where(F.col("dob_ok") | F.col("expiry_ok"))
     td3 = parse_td3(td3_rows(lines, keys), current_year, keys)
     both = td1.withColumn("_p", F.lit(0)).unionByName(td3.withColumn("_p", F.lit(1)))
@@ -110,11 +111,6 @@ def parse_zones(items, current_year, keys=("doc_id",)):
     return with_validity(best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in FIELDS]))
 
 
-def merge_zones(primary, secondary, keys=("doc_id",)):
-    """Two reads of one zone in two tables; see :func:`merge_reads`."""
-    return merge_reads(primary.withColumn("read_no", F.lit(0)).unionByName(secondary.withColumn("read_no", F.lit(1))), keys)
-
-
 def merge_reads(zones, keys=("doc_id",)):
     """Reads 0 and 1 of one zone merged: every checked field from the read that verified it, other fields from read 0 first."""
     read = lambda k, name: F.max(F.when(F.col("read_no") == k, F.struct(*FIELDS))).alias(name)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from veriframe.operators.keyed import running
+from veriframe.session import cut_lineage
 
 BUCKET_SECONDS = 300
 _CHUNK_SECONDS = 6 * 3600
@@ -27,6 +28,24 @@ def _openers(times, expiry, width):
     return openers
 
 
+def _closing_times(times, closes, width):
+    """Closing time of the last bucket for each closing time carried in.
+
+    Every hit points to the hit that would open the next bucket; following the pointers by doubling gives the last
+    opener of every chain at once.
+    """
+    count = len(times)
+    following = np.searchsorted(times, times + width, side="right")
+    last = np.where(following < count, following, np.arange(count))
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    start = np.searchsorted(times, closes, side="right")
+    return np.where(start < count, times[last[np.minimum(start, count - 1)]] + width, closes)
+
+
 def rate_buckets(hits, limit, width_seconds=BUCKET_SECONDS, chunk_seconds=_CHUNK_SECONDS):
     """Attempts and verdict per hit: the first hit opens a bucket, later hits add until it expires.
 
@@ -44,21 +63,12 @@ def rate_buckets(hits, limit, width_seconds=BUCKET_SECONDS, chunk_seconds=_CHUNK
         # a bucket still open at the start of the chunk closes inside its first ``width``
         head = times[times <= key[1] * span + width]
         carried = np.concatenate([[key[1] * span - 1], head])
-        first, last, out = [], [], []
-        for position, closes in enumerate(carried):
-            end = _openers(times, int(closes), width)
-            final = int(end[-1]) + width
-            if out and out[-1] == final:
-                last[-1] = int(carried[position + 1]) if position + 1 < len(carried) else np.iinfo(np.int64).max
-                continue
-            first.append(int(closes) if position else np.iinfo(np.int64).min)
-            last.append(int(carried[position + 1]) if position + 1 < len(carried) else np.iinfo(np.int64).max)
-            out.append(final)
-        return pd.DataFrame({"bucket": key[0], "_chunk": key[1], "_from": first, "_to": last, "_out": out})
-
-    steps = moments.groupBy("bucket", "_chunk").applyInPandas(
-        summarise, "bucket string, _chunk bigint, _from bigint, _to bigint, _out bigint"
-    )
+        out = _closing_times(times, carried, width)
+        new = np.concatenate([[True], out[1:] != out[:-1]])
+        first = np.where(np.arange(len(carried)) == 0, np.iinfo(np.int64).min, carried)
+        return pd.DataFrame({"bucket": key[0], "_chunk": key[1], "_from": first[new], "_out": out[new]})
+
+    steps = moments.groupBy("bucket", "_chunk").applyInPandas(summarise, "bucket string, _chunk bigint, _from bigint, _out bigint")
 
     def chain(key, rows):
         rows = rows.sort_values(["_chunk", "_from"])
@@ -81,7 +91,8 @@ def rate_buckets(hits, limit, width_seconds=BUCKET_SECONDS, chunk_seconds=_CHUNK
     opened = moments.join(carries, ["bucket", "_chunk"]).select("bucket", "_chunk", "_at", "_carry").groupBy("bucket", "_chunk").applyInPandas(
         number, "bucket string, _at bigint, _opener bigint"
     )
-    rows = hits.withColumn("_at", F.unix_micros("ts")).join(opened, ["bucket", "_at"])
+    # the numbering below reads its input twice
+    rows = cut_lineage(hits.withColumn("_at", F.unix_micros("ts")).join(opened, ["bucket", "_at"]), "opened-hits")
     counted = running(rows, ["bucket", "_opener"], ["_at", "hit_id"], F.floor((F.col("_at") - F.col("_opener")) / 10000000), F.lit(1), "sum", "attempts")
     return counted.select(
         "hit_id", "bucket", "ts", F.timestamp_micros("_opener").alias("opened_at"), F.col("attempts").cast("bigint").alias("attempts"),

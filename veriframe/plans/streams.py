@@ -65,7 +65,6 @@ def _(t):
 
 
 @query("i7_daily_activity", """
-select strftime(ts, '%Y-%m-%d') as day, action, count(*) entries from audit_logs
-where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from audit_logs) group by 1, 2""")
+select strftime(ts, '%Y-%m-%d') as day, action, count(*) entries from audit_logs group by 1, 2""")
 def _(t):
-    return jobs.run_available(jobs.daily_activity(streamed(t, "events").audit_logs), "activity")
+    return jobs.run_updates(jobs.daily_activity(streamed(t, "events").audit_logs), ["day", "action"], "activity")

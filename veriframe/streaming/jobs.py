@@ -13,21 +13,31 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from veriframe.schemas import LOOKBACK_HOURS, MAX_FAILURES
 from veriframe.session import scratch_dir
 
-_NO_TIMEOUT = GroupStateTimeout.NoTimeout
+def _stateful(rows, keys, step, output, state, lifetime=None, lateness="1 hour"):
+    """Run ``step(key, ordered rows, state values) -> (output frame, new state values)`` per key.
 
-
-def _stateful(rows, keys, step, output, state):
-    """Run ``step(key, ordered rows, state values) -> (output frame, new state values)`` per key."""
+    With ``lifetime`` (seconds after a key's last ``ts``) the state of a quiet key is dropped once the watermark has
+    passed that time.
+    """
 
     def run(key, batches, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
         frame = pd.concat(list(batches), ignore_index=True)
         previous = held.get if held.exists else None
         result, values = step(key, frame, previous)
         held.update(values)
+        if lifetime is not None:
+            end = int(frame["ts"].max().timestamp() * 1000) + lifetime * 1000
+            held.setTimeoutTimestamp(max(end, held.getCurrentWatermarkMs()) + 1)
         if len(result):
             yield result
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", _NO_TIMEOUT)
+    if lifetime is not None:
+        rows = rows.withWatermark("ts", lateness)
+    kind = GroupStateTimeout.NoTimeout if lifetime is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", kind)
 
 
 def review_alerts(changes, agents=None):
@@ -60,7 +70,7 @@ def _micros(series):
     return series.astype("datetime64[us]").astype("int64")
 
 
-def failure_alerts(failures, key, limit=MAX_FAILURES, hours=LOOKBACK_HOURS):
+def failure_alerts(failures, key, limit=MAX_FAILURES, hours=LOOKBACK_HOURS, lateness="1 hour"):
     """Counted failures per key in a sliding window, one row for every failure that reaches the limit.
 
     ``failures``: log_id, the key column and ts, already reduced to counted rows. The state holds the
@@ -82,11 +92,12 @@ def failure_alerts(failures, key, limit=MAX_FAILURES, hours=LOOKBACK_HOURS):
         return result.loc[result["failures"] >= limit, ["log_id", key, "ts", "failures"]], (times[start:],)
 
     return _stateful(
-        failures.select("log_id", key, "ts"), [key], step, f"log_id bigint, {key} string, ts timestamp, failures bigint", "times array<bigint>"
+        failures.select("log_id", key, "ts"), [key], step, f"log_id bigint, {key} string, ts timestamp, failures bigint", "times array<bigint>",
+        hours * 3600, lateness,
     )
 
 
-def strike_counts(logs, hours=LOOKBACK_HOURS):
+def strike_counts(logs, hours=LOOKBACK_HOURS, lateness="1 hour"):
     """Strike count of the agent after every strike, cleared by an administrator's reset.
 """
     width = hours * 3600 * 1000000
@@ -112,11 +123,11 @@ def strike_counts(logs, hours=LOOKBACK_HOURS):
 
     return _stateful(
         rows, ["agent_id"], step, "log_id bigint, agent_id bigint, ts timestamp, strikes bigint",
-        "times array<bigint>, last_reset bigint",
+        "times array<bigint>, last_reset bigint", hours * 3600, lateness,
     )
 
 
-def rate_verdicts(hits, limit, width_seconds=300):
+def rate_verdicts(hits, limit, width_seconds=300, lateness="1 hour"):
     """Attempt number and verdict per hit of a fixed-window bucket."""
     width = width_seconds * 1000000
 
@@ -137,6 +148,7 @@ def rate_verdicts(hits, limit, width_seconds=300):
     return _stateful(
         hits.select("hit_id", "bucket", "ts"), ["bucket"], step,
         "hit_id bigint, bucket string, ts timestamp, opened_at timestamp, attempts bigint, allowed boolean", "opened bigint, used bigint",
+        width_seconds, lateness,
     )
 
 
@@ -151,7 +163,8 @@ def challenge_uses(uses, challenges, minutes=5, lateness="10 minutes"):
 
 
 def daily_activity(logs, lateness="1 hour"):
-    """Rows per calendar day and action; a day is emitted once it can no longer change."""
+    """Rows per calendar day and action; in append mode a day is emitted once it can no longer change, in update mode
+    after every batch that changes it."""
     return (
         logs.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "action").agg(F.count(F.lit(1)).alias("entries"))
         .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "action", "entries")
@@ -174,6 +187,21 @@ def retention_on_change(changes, make_plan, path, checkpoint, every=None):
     return writer.start()
 
 
+def run_updates(stream, keys, name):
+    """Work through the available input in update mode and return the last row of every key, open ones included."""
+    spark = stream.sparkSession
+    out, checkpoint = scratch_dir(spark, name), scratch_dir(spark, f"{name}-state")
+
+    def write(batch, batch_id):
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/run={batch_id}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema.add("_batch", "bigint")).option("recursiveFileLookup", True).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("_batch", *rest)).alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def run_available(stream, name):
     """Work through the available input into a parquet folder and return it as a table."""
     spark = stream.sparkSession
