@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veriframe.schemas import LOOKBACK_HOURS, MAX_FAILURES
 from veriframe.session import scratch_dir
@@ -196,7 +197,8 @@ def run_updates(stream, keys, name):
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/run={batch_id}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(stream.schema.add("_batch", "bigint")).option("recursiveFileLookup", True).parquet(out)
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
     rest = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max(F.struct("_batch", *rest)).alias("_r"))
     return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
