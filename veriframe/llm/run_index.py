@@ -265,10 +265,10 @@ def _settle(blocks, answers, size, buckets, common):
             rows.append((bucket, block, False, pack((planes(places), planes(times), stop - start, int(docs.min()), planes(docs - docs.min()), texts[np.arange(items.width) < (stop - start)[:, None]], items.key[send], items.lead[send].astype(np.uint8)))))
     gone = items.doc > least[items.entry]
     start, stop = items.start[gone], items.stop[gone]
-    mask = np.zeros(len(data) + 1, np.int64)
+    mask = np.zeros(len(data) + 1, np.int32)
     np.add.at(mask, start, 1)
     np.add.at(mask, stop, -1)
-    covered = np.diff((np.cumsum(mask) > 0).astype(np.int8), prepend=0)
+    covered = np.diff((np.cumsum(mask, dtype=np.int32) > 0).astype(np.int8), prepend=np.int8(0))
     rows.append((block % buckets, block, True, pack((planes(np.diff(np.flatnonzero(covered == 1), prepend=0)), planes(np.diff(np.flatnonzero(covered == -1), prepend=0))))))
     return pa.table([pa.array(c) for c in zip(*rows)], ["bucket", "block", "spans", "payload"])
 
@@ -400,7 +400,7 @@ def _cut(blocks, answers, size):
     if not blocks.num_rows:
         return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary())], names)
     ids, offsets, data = _open(blocks.column("payload")[0].as_py())
-    mask = np.zeros(len(data) + 1, np.int64)
+    mask = np.zeros(len(data) + 1, np.int32)
     for spans, payload in zip(answers.column("spans").to_pylist(), answers.column("payload").to_pylist()):
         if spans:
             start, stop = (np.cumsum(from_planes(p)) for p in unpack(payload))
@@ -411,20 +411,22 @@ def _cut(blocks, answers, size):
             stop = start + size
         np.add.at(mask, start, 1)
         np.add.at(mask, stop, -1)
-    gone = np.cumsum(mask[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(gone)])
-    removed = total[offsets[1:]] - total[offsets[:-1]]
+    gone = np.cumsum(mask[:-1], dtype=np.int32) > 0
+    del mask
+    total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
+    removed = (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64)
+    del total
     begins = gone.copy()
     inner = np.flatnonzero(gone[1:] & gone[:-1]) + 1
     begins[inner] = False
     begins[offsets[:-1][np.diff(offsets) > 0]] = gone[offsets[:-1][np.diff(offsets) > 0]]  # a run ends with its document
-    spans = np.concatenate([[0], np.cumsum(begins)])
+    spans = np.concatenate([np.zeros(1, np.int64), np.cumsum(begins, dtype=np.int32)])
     lengths = np.diff(offsets)
     kept = np.concatenate([[0], np.cumsum(lengths - removed)])
-    return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(lengths), pa.array(removed), pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), binary_column(data[~gone], kept)], names)
+    return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(lengths), pa.array(removed), pa.array((spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)), binary_column(data[~gone], kept)], names)
 
 
-def remove_repeats(docs, size=50, id_col="doc_id", text_col="text", block_bytes=16 << 20, common_at=64, common_share=1 / 40_000):
+def remove_repeats(docs, size=50, id_col="doc_id", text_col="text", block_bytes=8 << 20, common_at=64, common_share=1 / 40_000):
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs) and ``kept`` (the remaining bytes)."""
     spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
     blocks = cut_lineage(_blocks(docs, id_col, text_col, size, block_bytes, common_at), "text-blocks")
