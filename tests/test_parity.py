@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from veriframe.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-# fitted models take minutes in all; one of them is run here, the others by name below
+# grids of fitted models take minutes in all
 SLOW = {"m6_single_feature_signal", "m7_tree_grid", "m8_margin_model", "m10_fitted_calibration"}
 
 
@@ -15,15 +16,15 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
-    mine = entry.queries()[name](spark, FOLDER).toPandas()
-    assert compare(mine, con.execute(entry.oracle_sql()[name]).df()) is None
+    mine = QUERIES[name](spark, FOLDER).toPandas()
+    assert compare(mine, con.execute(ORACLES[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
 def test_rows_only(spark, name):
-    assert len(entry.queries()[name](spark, FOLDER).toPandas()) > 0
+    assert len(QUERIES[name](spark, FOLDER).toPandas()) > 0
 
 
 def test_entry(spark):
