@@ -29,7 +29,7 @@ def line_positions(docs, id_col="doc_id", text_col="text"):
     """(_uid, _doc, seq, line_no, _line): the non-blank lines of each distinct (id, text)."""
     rows = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("_uid"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     lines = F.transform(F.split("_text", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
-    lines = F.filter(lines, lambda x: F.trim(x["line"]).rlike(r"\S"))
+    lines = F.filter(lines, lambda x: x["line"].rlike(r"\S"))
     lines = F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), F.unhex(F.md5(x["line"])).alias("_line")))
     rows = rows.select("_uid", "_doc", F.posexplode(lines).alias("seq", "_entry"))
     return rows.select("_uid", "_doc", "seq", "_entry.line_no", "_entry._line")

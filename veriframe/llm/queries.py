@@ -46,7 +46,7 @@ left join runs r on r.doc_id = d.doc_id and r.text = d.text
 
 
 def repository_paths(docs):
-    """A document as a file: its source is the repository, its id the place; each directory's first id is its licence file."""
+    """A document as a file: its source is the repository, its id the place; ids 0 and 1 of each directory of 20 are its licence files."""
     folder = F.concat_ws("/", "source", F.expr("doc_id div 400"), F.expr("doc_id div 20"))
     return docs.select("doc_id", "text", F.concat(folder, F.when(F.col("doc_id") % 20 < 2, F.concat(F.lit("/LICENSE-"), "doc_id")).otherwise(F.concat(F.lit("/"), "doc_id"))).alias("path"))
 
