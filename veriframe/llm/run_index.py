@@ -37,6 +37,7 @@ from veriframe.session import cut_lineage
 
 GRAM = 16
 NO_ID = np.iinfo(np.int64).max
+INDEX_TEXTS = 10_000  # contexts of whole keys that one index holds, to bound memory; a larger key is an index of its own
 COMMON_BLOCKS = 8  # every eighth block tells which anchors are common; that decides where strings meet, not what is removed
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -381,9 +382,16 @@ def _compare(rows, size):
         texts = np.zeros((len(length), width), np.uint8)
         texts[np.arange(width) < length[:, None]] = np.concatenate([p[6] for p in parts])
         docs = np.concatenate([p[4] + from_planes(p[5]) for p in parts])
-        kept = np.flatnonzero(_partnered(texts, np.concatenate([p[7] for p in parts]), np.concatenate([p[8] for p in parts]).astype(np.int64), size))
-        text, place = RunLengthIndex(texts[kept], docs[kept], size).stream() if len(kept) else (kept, kept)
-        text = kept[text]
+        keys = np.concatenate([p[7] for p in parts])
+        kept = np.flatnonzero(_partnered(texts, keys, np.concatenate([p[8] for p in parts]).astype(np.int64), size))
+        kept = kept[np.argsort(keys[kept], kind="stable")]
+        bounds = np.concatenate([np.unique(keys[kept], return_index=True)[1], [len(kept)]])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for first, last in slices(np.diff(bounds), INDEX_TEXTS):  # equal strings share a key, so an index may hold a few keys
+            own = kept[bounds[first]: bounds[last]]
+            text, place = RunLengthIndex(texts[own], docs[own], size).stream()
+            found.append((own[text], place))
+        text, place = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((place, text))
         text, place = text[order], place[order]
         ends = np.cumsum(counts)
