@@ -109,13 +109,27 @@ def fit_margin_model(train, cost=1.0, gamma=1.0, features=FEATURES, iterations=3
     return OneVsRest(classifier=svm, weightCol="weight", parallelism=3).fit(data)
 
 
+def named_gammas(rows, features=FEATURES):
+    """Widths that a grid names: 'auto' is 1 / features, 'scale' divides that by the variance of all feature values."""
+    values = F.explode(F.array(*[F.col(c).cast("double") for c in features])).alias("value")
+    variance = rows.select(values).agg(F.var_pop("value")).first()[0]
+    return {"auto": 1 / len(features), "scale": 1 / (len(features) * variance) if variance else 1.0}
+
+
 def tune_margin_model(train, key, costs=(0.1, 1.0, 10.0, 100.0), gammas=(0.001, 0.01, 0.1, 1.0), k=5, features=FEATURES, parallelism=8):
-    """Cost and width grid by cross-validated macro F1 as a table, best first. The fits are independent jobs, several at a time."""
+    """Cost and width grid by cross-validated macro F1 as a table, best first. The fits are independent jobs, several at a time.
+
+    ``gammas`` may hold 'scale' and 'auto': worked out on the rows of each fit, and given for all of ``train`` in the table.
+    """
     numbered = folds(train, key, k).persist()
     numbered.count()
+    named = {None: {}} | {fold: {} for fold in range(k)}
+    if any(isinstance(gamma, str) for gamma in gammas):
+        named = {fold: named_gammas(numbered if fold is None else numbered.where(F.col("fold") != fold), features) for fold in named}
 
     def score(task):
         cost, gamma, fold = task
+        gamma = named[fold].get(gamma, gamma)
         model = fit_margin_model(numbered.where(F.col("fold") != fold), cost, gamma, features)
         held = random_features(with_label(numbered.where(F.col("fold") == fold)), gamma, features=features)
         return MacroF1().evaluate(model.transform(held))
@@ -124,7 +138,7 @@ def tune_margin_model(train, key, costs=(0.1, 1.0, 10.0, 100.0), gammas=(0.001,
     with ThreadPoolExecutor(parallelism) as pool:
         scores = list(pool.map(score, tasks))
     numbered.unpersist()
-    rows = [(cost, gamma, float(np.mean(scores[i * k:(i + 1) * k]))) for i, (cost, gamma, _) in enumerate(tasks[::k])]
+    rows = [(cost, named[None].get(gamma, gamma), float(np.mean(scores[i * k:(i + 1) * k]))) for i, (cost, gamma, _) in enumerate(tasks[::k])]
     return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[2], r[0], r[1])), "cost double, gamma double, macro_f1 double")
 
 

@@ -169,7 +169,7 @@ def _(t):
 def _(t):
     rows = cut_lineage(scaled_rows(t), "scaled")
     train = rows.where(F.col("split") == "train")
-    best = learners.tune_margin_model(train, "request_id", costs=(1.0, 10.0), gammas=(0.1, 1.0), k=3).first()
+    best = learners.tune_margin_model(train, "request_id", gammas=(0.001, 0.01, 0.1, 1.0, "scale", "auto")).first()
     model = learners.fit_margin_model(train, best["cost"], best["gamma"])
     scored = learners.predict_margins(model, rows.where(F.col("split") == "test"), best["gamma"])
     return e.summary(e.confusion_cells(scored)).withColumn("cost", F.lit(best["cost"])).withColumn("gamma", F.lit(best["gamma"]))
