@@ -52,3 +52,21 @@ def test_odd_rows(spark, frame):
     assert tox.score(docs.where("false"), model).count() == 0
     none = tox.fit(docs, docs, labels.where("false"))
     assert {r.score for r in tox.score(docs, none).collect()} == {0.0}
+
+
+def test_restores_long_tokens(spark, frame):
+    """Tokens of any length are decoded, in time that grows with their length."""
+    docs = frame([(1, "the idiot and the moron met a stupid clown who was an idiot " * 50)])
+    restorer = tox.Restorer(tox.language_model(tox.character_counts(docs)))
+    sentence = "the.moron.met.a.stupid.clown." * 20 + "1d10t"
+    assert restorer.restore(sentence) == ["the", "moron", "met", "a", "stupid", "clown"] * 20 + ["idiot"]
+    assert "idiot" in tox.features(sentence, restorer) and "idiot" in tox.features("id" + "i" * 500 + "ot", restorer)
+    assert restorer.restore("the_moron_met_" * 20_000) == ["the", "moron", "met"] * 20_000
+
+
+def test_scores_long_tokens(spark, frame):
+    docs = frame([(i, "plain words here and there" if i % 3 else "you are an idiot") for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    model = tox.fit(docs, docs, labels)
+    odd = frame([(1, "here_and_there_" * 20 + "idiot"), (2, "here_and_there_" * 20 + "plain"), (3, "id" + "i" * 300 + "ot")])
+    assert {r.doc_id: r.predicted for r in tox.score(odd, model).collect()} == {1: 1, 2: 0, 3: 1}

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 HIDDEN = re.compile(r"[\W\d_]|(.)\1\1")
 SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 PREFIXES = (4, 5, 6)
+SETTLE = 32  # characters after which the readings' common beginning is set aside
 
 
 def _symbol_table():
@@ -104,9 +106,12 @@ class Restorer:
             previous = char
 
     def restore(self, text):
-        """The cheapest reading of ``text``, as words."""
-        paths = {(GAP, GAP): (0.0, ())}
-        for arcs in self.arcs(text):
+        """The cheapest reading of ``text``, as words.
+
+        What all paths have in common is set aside now and then, so paths stay short however long the text is.
+        """
+        paths, settled = {(GAP, GAP): (0.0, ())}, []
+        for n, arcs in enumerate(self.arcs(text), 1):
             step = {}
             for (a, b), (cost, written) in paths.items():
                 for symbol, own in arcs:
@@ -117,8 +122,12 @@ class Restorer:
                     if state not in step or new < step[state]:
                         step[state] = new
             paths = step
+            if n % SETTLE == 0:
+                common = commonprefix([written for _, written in paths.values()])
+                settled += common
+                paths = {state: (cost, written[len(common):]) for state, (cost, written) in paths.items()}
         _, written = min((cost + self.table[a][b][GAP], written) for (a, b), (cost, written) in paths.items())
-        return "".join(" " if s == GAP else LETTERS[s - 1] for s in written).split()
+        return "".join(" " if s == GAP else LETTERS[s - 1] for s in (*settled, *written)).split()
 
 
 class WordWeights(dict):
@@ -142,7 +151,7 @@ def features(token, restorer):
     core = EDGE.sub("", token.lower())
     words = [core] if core else []
     if not core or HIDDEN.search(core) or len(core) < len(token) - 1:
-        words += restorer.restore(token.lower()[:200]) if len(token) <= 200 else []
+        words += restorer.restore(token.lower())
     found = set(words)
     for word in words:
         found.update(f"{word[:n]}~" for n in PREFIXES if len(word) > n)
