@@ -104,3 +104,16 @@ def test_query(spark, documents):
 
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op9_run_length_index"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {r[0]: (*r[1:4], hashlib.sha256(r[4]).hexdigest()) for r in brute(list(zip(documents.doc_id, documents.text)), 50)}
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 3000, 400])
+def test_repeated_and_null_ids_over_blocks(frame, block_bytes):
+    """Rows of one id lose the same bytes in whichever block they lie."""
+    passage = "".join(random.Random(5).choices("abcdefgh ", k=200))
+    rows = [(1, "one " * 3 + passage + " first end")]
+    rows += [(i, f"{'xyz' * 9} {passage[20:150]} {'uvw' * 9}") for i in (7, 7, 7, 9, None, None, None)]
+    rows += [(8, f"{passage[100:170]} other {i} {passage[:90]}") for i in range(4)]
+    rows += passages(7, 60) + [(i % 5 if i % 3 else None, text) for i, text in passages(8, 60)]
+    random.Random(6).shuffle(rows)
+    got = run_index.remove_repeats(frame(rows, "1 as block").repartition(4), 50, block_bytes=block_bytes).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == brute(rows, 50)

@@ -224,7 +224,8 @@ def _answer(rows):
     least = doc[first][group]
     contexts = np.add.reduceat(new.astype(np.int64), key_first)[key_group]
     many = np.add.reduceat((several | (doc != doc[key_first][key_group])).astype(np.int64), key_first)[key_group] > 0
-    role = np.where(new & (contexts > 1), SENDER, COVERED)
+    # an id may have rows in several blocks: each of them gets the marks
+    role = np.where((doc == least) & (contexts > 1), SENDER, COVERED)
     # a context met in one block and one document only, alone under its key, is left out
     back = np.argsort(order)
     least, role, many = least[back], role[back], many[back]
