@@ -30,11 +30,26 @@ def _with_text(docs, changed):
     return _columns(docs, n_chars=F.length("text").cast("bigint"))
 
 
+def _far_from_language(scored):
+    """Texts that cost far more bits than rows of their language do: over twice the median and 2 bits a byte, by over 64 bits in all.
+
+    The medians are taken over all rows that carry the predicted label. A few bytes do not tell noise from a name, so they stay.
+    """
+    own = scored.where((F.col("lang") == F.col("lang_pred")) & F.col("bits_per_byte").isNotNull())
+    medians = own.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", 0.5, 10_000).alias("bits")).collect()  # a row per language
+    if not medians:
+        return F.lit(False)
+    limits = {r["lang_pred"]: 2 * r["bits"] + 2 for r in medians}
+    known = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
+    limit = F.coalesce(F.try_element_at(known, F.col("lang_pred")), F.lit(max(limits.values())))
+    return (F.col("bits_per_byte") - limit) * F.octet_length("text") > 64
+
+
 def keep_known_languages(spark, docs, sf_dir):
-    """Rejects texts without a language (null or without letters) and rows without an id; a missing label is filled in."""
+    """Rejects texts without a language (null, without letters or far from all learned ones) and rows without an id; a missing label is filled in."""
     docs = docs.where(F.col("doc_id").isNotNull())
     scored = language_id.identify(docs, language_id.fit(docs))
-    kept = scored.where(F.col("lang_pred") != language_id.UNKNOWN)
+    kept = scored.where((F.col("lang_pred") != language_id.UNKNOWN) & ~_far_from_language(scored))
     return _columns(kept, lang=F.coalesce("lang", "lang_pred"))
 
 

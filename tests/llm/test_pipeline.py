@@ -51,3 +51,16 @@ def test_stages_on_odd_rows(spark, frame):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 4096
+
+
+def test_noise_and_unlearned_languages_are_rejected(spark, frame):
+    import base64
+    import random
+
+    rng = random.Random(1)
+    noise = [rng.randbytes(300).hex(), base64.b64encode(rng.randbytes(300)).decode(), "to jest zwykły tekst po polsku którego nikt się nie uczył", "Это текст на русском языке который никто не учил"]
+    clean = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    odd = frame([(10**9 + i, text) for i, text in enumerate(noise)], "cast(length(text) as bigint) as n_chars").select(*corpus_pipeline.COLUMNS)
+    ids = {d for d, t in pairs(clean) if t and any(c.isalpha() for c in t)}
+    kept = corpus_pipeline.keep_known_languages(spark, clean.unionByName(odd), FOLDER)
+    assert {d for d, _ in pairs(kept)} == ids
