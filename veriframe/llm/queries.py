@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from veriframe.llm import exact_dedup, hash_forest, language_id, license_scan, line_dedup, packing, partenum, run_index, toxicity, word_bpe
+from veriframe.llm import (
+    exact_dedup, hash_forest, language_id, license_scan, line_dedup, lookup_kmeans, packing, partenum, run_index, token_alignment, toxicity,
+    url_rules, word_bpe,
+)
 from veriframe.llm.tables import table
 
 
@@ -144,6 +147,73 @@ def op10_byte_bpe(spark, sf_dir):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    left = token_alignment.ByteLevelFile.read(public_tokenizers.path("byte_bpe_50k.json"))
+    right = token_alignment.PieceModel.read(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = token_alignment.align(table(spark, sf_dir, "documents"), left, right, describe=token_alignment.groups_sha256)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_lookup_kmeans(spark, sf_dir):
+    rows = lookup_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, dims=64, scale=64, rounds=3, seed=1)
+    return rows.drop("centroid")
+
+
+def _op12_sql(k=16, dims=64, scale=64, rounds=3):
+    """Rounds written out one after another; whole quotients are taken from exact multiples, as division may go through doubles."""
+    steps = []
+    for step in range(rounds + 1):
+        steps.append(f"""d{step} as (
+  select vec_id, row_no, c.cluster, sum((x.v - c.v) * (x.v - c.v)) as distance from parts x join c{step} c using (dim) group by all
+), a{step} as (
+  select vec_id, row_no, cluster, distance from d{step} qualify row_number() over (partition by row_no order by distance, cluster) = 1
+)""")
+        if step < rounds:
+            steps.append(f"""s{step} as (
+  select cluster, dim, sum(v)::bigint as s, count(*) as n from a{step} join parts using (row_no) group by all
+), c{step + 1} as (
+  select c.cluster, c.dim, case when s is null then c.v else ((s - ((s % n) + n) % n) // n)::bigint end as v from c{step} c left join s{step} using (cluster, dim)
+)""")
+    return f"""
+with kept as (
+  select vec_id, row_number() over (order by sha256(concat('1:', vec_id)), vec_id) as row_no, [floor(x::double * {scale})::bigint for x in embedding] as v
+  from embeddings where len(embedding) = {dims} and len([x for x in embedding if x is not null and isfinite(x)]) = {dims}
+), parts as (
+  select vec_id, row_no, unnest(v) as v, generate_subscripts(v, 1) as dim from kept
+), c0 as (
+  select row_no - 1 as cluster, dim, v from parts where row_no <= {k}
+), {", ".join(steps)}
+select vec_id, cluster::int as cluster, distance::bigint as distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia,
+  sum(distance) over ()::bigint as inertia, centroid_sha256
+from a{rounds} join (select cluster, sha256(string_agg(v::varchar, ',' order by dim)) as centroid_sha256 from c{rounds} group by cluster) using (cluster)
+"""
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_rules(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP13_SQL = f"""
+with rules(host, path, verdict) as (values {", ".join(map(str, URL_RULES))}),
+rests as (
+  select row_number() over () as row_no, page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), parts as (
+  select row_no, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from rests
+), fitting as (
+  select row_no, r.host || r.path as rule, verdict from parts p join rules r
+  on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+  qualify row_number() over (partition by row_no order by length(rule) desc, length(r.host) desc) = 1
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join fitting using (row_no)
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -155,5 +225,10 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_run_length_index": op9_run_length_index,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_lookup_kmeans": op12_lookup_kmeans,
+    "op13_url_rules": op13_url_rules,
+}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL, "op2_license_scan": _op2_sql(), "op8_exact_dedup": OP8_SQL, "op12_lookup_kmeans": _op12_sql(), "op13_url_rules": OP13_SQL,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_license_scan": _op2_sql(), "op8_exact_dedup": OP8_SQL}
