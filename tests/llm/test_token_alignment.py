@@ -35,13 +35,14 @@ def brute(rows):
             a, b, right = [], [], []
         ends_a, ends_b = np.cumsum([len(left[i]) for i in a]).tolist(), np.cumsum([len(p) for p in right]).tolist()
         common = sorted(set(ends_a) & set(ends_b))
-        groups, links, before = [], [], 0
+        groups, links = [], []
+        at_a = at_b = 0
         for end in common:
-            own_a = [i for i, e in zip(a, ends_a) if before < e <= end]
-            own_b = [i for i, e in zip(b, ends_b) if before < e <= end]
+            next_a, next_b = ends_a.index(end, at_a) + 1, ends_b.index(end, at_b) + 1
+            own_a, own_b = a[at_a:next_a], b[at_b:next_b]
+            at_a, at_b = next_a, next_b
             groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
             links.append((own_a[-1], own_b[-1]))
-            before = end
         pairs.update(links)
         out.append((doc_id, len(a), len(b), groups, links))
     highest = defaultdict(int)

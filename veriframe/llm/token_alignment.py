@@ -302,7 +302,7 @@ def _with_counts(docs, answers, schema):
         [docs.column("id"), docs.column("n_a"), docs.column("n_b"), docs.column("n_groups"), pa.array(n_links), *map(pa.array, sums), docs.column("groups")], schema=schema)
 
 
-def align(docs, left, right, id_col="doc_id", text_col="text", describe=groups_text, block_bytes=8 << 20):
+def align(docs, left, right, id_col="doc_id", text_col="text", describe=groups_text, block_bytes=3 << 20):
     """One row per document: ``id_col``, n_a, n_b, n_groups, n_links, n_best, count_sum and ``groups``.
 
     ``left`` and ``right`` are tokenizers (``token_bytes()`` and ``encoder()``). ``n_best`` counts links whose corpus-wide count
