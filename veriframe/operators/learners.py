@@ -1,16 +1,14 @@
-"""Model fitting on Spark ML: trees, margin models on random features, calibration."""
+"""Model fitting on Spark ML: trees, calibration."""
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
@@ -89,67 +87,6 @@ def tree_importances(spark, model, features=FEATURES):
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double")
 
 
-def random_features(rows, gamma, size=96, seed=42, features=FEATURES):
-    """Random cosine features whose inner products approximate the radial-basis kernel."""
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(0, np.sqrt(2 * gamma), (len(features), size))
-    shift = rng.uniform(0, 2 * np.pi, size)
-
-    @F.pandas_udf("array<double>")
-    def lift(batch: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(np.sqrt(2 / size) * np.cos(batch.to_numpy(dtype=float) @ weights + shift)))
-
-    return rows.withColumn("features", array_to_vector(lift(F.struct(*features))))
-
-
-def fit_margin_model(train, cost=1.0, gamma=1.0, features=FEATURES, iterations=30):
-    """One-vs-rest linear margins on random features (an approximate kernel model). Rows are scaled already."""
-    data = random_features(class_weights(with_label(train)), gamma, features=features)
-    svm = LinearSVC(maxIter=iterations, regParam=1.0 / (cost * max(train.count(), 1)))
-    return OneVsRest(classifier=svm, weightCol="weight", parallelism=3).fit(data)
-
-
-def named_gammas(rows, features=FEATURES):
-    """Widths that a grid names: 'auto' is 1 / features, 'scale' divides that by the variance of all feature values."""
-    values = F.explode(F.array(*[F.col(c).cast("double") for c in features])).alias("value")
-    variance = rows.select(values).agg(F.var_pop("value")).first()[0]
-    return {"auto": 1 / len(features), "scale": 1 / (len(features) * variance) if variance else 1.0}
-
-
-def tune_margin_model(train, key, costs=(0.1, 1.0, 10.0, 100.0), gammas=(0.001, 0.01, 0.1, 1.0), k=5, features=FEATURES, parallelism=8):
-    """Cost and width grid by cross-validated macro F1 as a table, best first. The fits are independent jobs, several at a time.
-
-    ``gammas`` may hold 'scale' and 'auto': worked out on the rows of each fit, and given for all of ``train`` in the table.
-    """
-    numbered = folds(train, key, k).persist()
-    numbered.count()
-    named = {None: {}} | {fold: {} for fold in range(k)}
-    if any(isinstance(gamma, str) for gamma in gammas):
-        named = {fold: named_gammas(numbered if fold is None else numbered.where(F.col("fold") != fold), features) for fold in named}
-
-    def score(task):
-        cost, gamma, fold = task
-        gamma = named[fold].get(gamma, gamma)
-        model = fit_margin_model(numbered.where(F.col("fold") != fold), cost, gamma, features)
-        held = random_features(with_label(numbered.where(F.col("fold") == fold)), gamma, features=features)
-        return MacroF1().evaluate(model.transform(held))
-
-    tasks = [(cost, gamma, fold) for cost in costs for gamma in gammas for fold in range(k)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(score, tasks))
-    numbered.unpersist()
-    rows = [(cost, named[None].get(gamma, gamma), float(np.mean(scores[i * k:(i + 1) * k]))) for i, (cost, gamma, _) in enumerate(tasks[::k])]
-    return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[2], r[0], r[1])), "cost double, gamma double, macro_f1 double")
-
-
-def predict_margins(model, rows, gamma, features=FEATURES):
-    """Predicted class and the three one-vs-rest margins."""
-    scored = model.transform(random_features(with_label(rows), gamma, features=features))
-    name = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("prediction") + 1).cast("int"))
-    margins = vector_to_array("rawPrediction")
-    return scored.select(*rows.columns, name.alias("predicted"), *[margins[i].alias(f"m_{k}") for i, k in enumerate(("verified", "review", "rejected"))])
-
-
 _KINDS = ("verified", "review", "rejected")
 
 

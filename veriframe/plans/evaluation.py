@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.scores import threshold_decision
 from veriframe.operators import evaluation as e
-from veriframe.operators import kernels, learners, neighbours
+from veriframe.operators import kernels, learners, margins, neighbours
 from veriframe.operators import selection as s
 from veriframe.operators.integrity import split_crossings
 from veriframe.plans.dashboards import rounded
@@ -167,11 +167,11 @@ def _(t):
 
 @query("m8_margin_model")
 def _(t):
-    rows = cut_lineage(scaled_rows(t), "scaled")
+    rows = cut_lineage(split_rows(t), "split")
     train = rows.where(F.col("split") == "train")
-    best = learners.tune_margin_model(train, "request_id", gammas=(0.001, 0.01, 0.1, 1.0, "scale", "auto")).first()
-    model = learners.fit_margin_model(train, best["cost"], best["gamma"])
-    scored = learners.predict_margins(model, rows.where(F.col("split") == "test"), best["gamma"])
+    best = margins.tune_margin_model(train, "request_id").first()
+    model = margins.fit_margin_model(train, best["cost"], best["gamma"])
+    scored = margins.predict_margins(model, rows.where(F.col("split") == "test"))
     return e.summary(e.confusion_cells(scored)).withColumn("cost", F.lit(best["cost"])).withColumn("gamma", F.lit(best["gamma"]))
 
 
