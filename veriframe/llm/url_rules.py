@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import functions as F
 
-SAMPLE_PER_RANGE = 64  # balances the ranges; results do not depend on it
+SAMPLE_PER_RANGE = 16  # balances the ranges; results do not depend on it
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -99,8 +99,9 @@ def judge_urls(pages, rules, id_col="page_id", url_col="url", default="allow", r
     host, path = host_and_path(F.col(url_col))
     keyed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.xxhash64(url_col, F.monotonically_increasing_id()).alias("place"))
     keyed = keyed.withColumn("key", canonical_key("host"))
-    # the rows with the smallest hashes of their place: a sample of fixed size
-    sample = keyed.select("key", "place").orderBy(F.xxhash64("place"), "place").limit(SAMPLE_PER_RANGE * ranges).collect()
+    wanted, n = SAMPLE_PER_RANGE * ranges, pages.count()
+    # about so many rows, chosen by a hash of their place
+    sample = keyed.select("key", "place").where(F.pmod(F.xxhash64("place"), F.lit(max(n, 1))) < wanted).collect()
     sample = sorted((r["key"], r["place"]) for r in sample)
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
