@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.scores import threshold_decision
 from veriframe.operators import evaluation as e
-from veriframe.operators import kernels, learners, margins, neighbours
+from veriframe.operators import kernels, learners, margins, neighbours, trees
 from veriframe.operators import selection as s
 from veriframe.operators.integrity import split_crossings
 from veriframe.plans.dashboards import rounded
 from veriframe.plans.decisions import DECISION_SQL
+from veriframe.plans.tree_sql import growth_sql, held_out_sql
 from veriframe.registry import query
 from veriframe.session import cut_lineage
 from veriframe.schemas import CLASS_OF_KEY, CLASSES, FEATURES
@@ -154,15 +155,24 @@ def _(t):
     return split_crossings(coarse(split_rows(t)).select("split", *[f"{f}_r" for f in FEATURES]), "split", [f"{f}_r" for f in FEATURES])
 
 
-@query("m6_single_feature_signal")
+_TRAIN_SQL = f"{_SPLIT}, train as (select * from split where split = 'train')"
+_SIGNAL_TREES = [(fold, 1, i) for i in range(len(FEATURES)) for fold in range(5)]
+_GRID_TREES = [(fold, leaf, None) for leaf in (5, 20, 50) for fold in range(5)]
+_DEPTHS = (3, 5, 8, trees.UNLIMITED_DEPTH)
+
+
+@query("m6_single_feature_signal", f"""
+with {_TRAIN_SQL}, {growth_sql('train', _SIGNAL_TREES, 3)}, {held_out_sql([3])}
+select case only_f {' '.join(f"when {i} then '{f}'" for i, f in enumerate(FEATURES))} end feature, round(avg(macro_f1), 6) macro_f1 from f1 join specs using (tree) group by 1""")
 def _(t):
-    return learners.single_feature_signal(split_rows(t).where(F.col("split") == "train"), "request_id")
+    return rounded(trees.single_feature_signal(split_rows(t).where(F.col("split") == "train"), "request_id"))
 
 
-@query("m7_tree_grid")
+@query("m7_tree_grid", f"""
+with {_TRAIN_SQL}, {growth_sql('train', _GRID_TREES, max(_DEPTHS))}, {held_out_sql(_DEPTHS)}
+select max_depth, min_leaf, round(avg(macro_f1), 6) macro_f1 from f1 join specs using (tree) group by 1, 2""")
 def _(t):
-    train = split_rows(t).where(F.col("split") == "train").drop("split")
-    return learners.tune_tree(train)[1]
+    return rounded(trees.tune_tree(split_rows(t).where(F.col("split") == "train").drop("split"), "request_id", _DEPTHS))
 
 
 @query("m8_margin_model")
@@ -336,10 +346,12 @@ def _(t):
     return rounded(e.permutation_importance(t.labelled_scores, "request_id", threshold_label, repeats=20))
 
 
-@query("m17_tree_importance")
+@query("m17_tree_importance", f"""
+with {_TRAIN_SQL}, {growth_sql('train', [(-1, 20, None)], 5, folds=1)},
+names(i, name) as (values {', '.join(f"({i}, '{f}')" for i, f in enumerate(FEATURES))})
+select name feature, round(coalesce(sum(gain), 0) / (select sum(gain) from nodes), 6) importance from names left join nodes on feature = i group by 1""")
 def _(t):
-    model = learners.fit_tree(split_rows(t).where(F.col("split") == "train").drop("split"), 5, 20)
-    return learners.tree_importances(t.spark, model)
+    return rounded(trees.tree_importances(trees.fit_tree(split_rows(t).where(F.col("split") == "train").drop("split"), 5, 20)))
 
 
 _TWO = f"""{_PRED}, native as (select target, native_label predicted from class_probabilities where candidate = 'raw_native_isotonic'),
