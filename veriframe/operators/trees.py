@@ -16,7 +16,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veriframe.operators.selection import folds
@@ -53,43 +52,41 @@ def binned(rows, features=FEATURES, bins=BINS):
 
 
 def _of_tree(values, kind):
-    """A constant of each tree as a column; the grid is a list of a few dozen trees."""
-    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("tree") + 1)
+    """SQL text of a constant of each tree; the grid is a list of a few dozen trees."""
+    return f"element_at(array({', '.join('null' if v is None else str(v) for v in values)}), tree + 1)::{kind}"
 
 
 def _weight(specs, c):
-    return _of_tree([w[c] for _, w in specs], "double")
+    return _of_tree([f"{w[c]!r}D" for _, w in specs], "double")
 
 
-def _weighted(specs, prefix):
-    """Sum of squares of weighted class counts over their sum: larger means purer."""
-    own = [_weight(specs, c) * F.col(f"{prefix}{c}") for c in _K]
-    squares, total = reduce(lambda a, b: a + b, [x * x for x in own]), reduce(lambda a, b: a + b, own)
-    return F.try_divide(squares, total)
+def _weighted(prefix):
+    """Sum of squares of weighted class counts over their sum (SQL text): larger means purer."""
+    own = [f"(w{c} * {prefix}{c})" for c in _K]
+    return f"try_divide({' + '.join(f'{x} * {x}' for x in own)}, {' + '.join(own)})"
+
+
+# Written as SQL text: a level is a few plan steps, whatever the number of trees.
+_COUNTS = [f"count_if(code = {c}) n{c}" for c in _K]
+_FIT = f"{' + '.join(f'l{c}' for c in _K)} >= min_leaf and {' + '.join(f'r{c}' for c in _K)} >= greatest(min_leaf, 1)"
+_LABEL = "case " + " ".join(f"when w{c} * n{c} >= greatest({', '.join(f'w{k} * n{k}' for k in _K)}) then {c}" for c in _K) + " end label"
+_RUNNING = [f"sum(n{c}) over (partition by tree, node, feature order by bin rows between unbounded preceding and current row) l{c}" for c in _K]
+_WHOLE = [f"sum(n{c}) over (partition by tree, node, feature) t{c}" for c in _K]  # at most one row per bin
 
 
 def _nodes(active, specs):
     """(tree, node, n0.., label, feature, bin, gain) of all nodes; feature, bin and gain are null where a node does not split."""
-    counted = active.where(~F.col("held")).withColumn("only", _of_tree([s.feature for s, _ in specs], "int"))
-    each = counted.select("tree", "node", "code", "only", F.posexplode("bins").alias("feature", "bin")).where("only is null or only = feature")
-    cells = each.groupBy("tree", "node", "feature", "bin").agg(*[F.count_if(F.col("code") == c).alias(f"n{c}") for c in _K]).repartition("tree", "node")
-    whole = Window.partitionBy("tree", "node", "feature")  # at most one row per bin
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sums = cells.select("tree", "node", "feature", "bin", *[F.sum(f"n{c}").over(upto).alias(f"l{c}") for c in _K], *[F.sum(f"n{c}").over(whole).alias(f"t{c}") for c in _K])
-    sums = sums.select("*", *[(F.col(f"t{c}") - F.col(f"l{c}")).alias(f"r{c}") for c in _K], _of_tree([s.min_leaf for s, _ in specs], "bigint").alias("min_leaf"))
-    size = lambda side: reduce(lambda a, b: a + b, [F.col(f"{side}{c}") for c in _K])
-    fit = (size("l") >= F.col("min_leaf")) & (size("r") >= F.col("min_leaf")) & (size("r") > 0)
-    split = F.when(fit, F.struct((_weighted(specs, "l") + _weighted(specs, "r")).alias("score"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), _weighted(specs, "t").alias("own")))
-    best = sums.groupBy("tree", "node").agg(F.max(split).alias("best"), *[F.max(f"t{c}").alias(f"n{c}") for c in _K])
-    better = F.col("best.score") > F.col("best.own") * (1 + LEAST_GAIN)
-    return _labelled(best, specs).select(
-        "tree", "node", *[f"n{c}" for c in _K], "label", F.when(better, -F.col("best.f")).alias("feature"), F.when(better, -F.col("best.b")).alias("bin"),
-        F.when(better, F.col("best.score") - F.col("best.own")).alias("gain"))
-
-
-def _labelled(counts, specs):
-    own = [_weight(specs, c) * F.col(f"n{c}") for c in _K]
-    return counts.withColumn("label", F.coalesce(*[F.when(own[c] >= F.greatest(*own), F.lit(c)) for c in _K]))
+    weights = [f"{_weight(specs, c)} w{c}" for c in _K]
+    each = active.where("not held").selectExpr("tree", "node", "code", f"{_of_tree([s.feature for s, _ in specs], 'int')} only", "posexplode(bins) as (feature, bin)")
+    cells = each.where("only is null or only = feature").groupBy("tree", "node", "feature", "bin").agg(*map(F.expr, _COUNTS)).repartition("tree", "node")
+    sums = cells.selectExpr("tree", "node", "feature", "bin", *_RUNNING, *_WHOLE)
+    sums = sums.selectExpr("*", *[f"t{c} - l{c} r{c}" for c in _K], *weights, f"{_of_tree([s.min_leaf for s, _ in specs], 'bigint')} min_leaf")
+    split = f"case when {_FIT} then struct({_weighted('l')} + {_weighted('r')} score, -feature f, -bin b, {_weighted('t')} own) end"
+    best = sums.selectExpr("tree", "node", *[f"t{c}" for c in _K], f"{split} split").groupBy("tree", "node").agg(F.expr("max(split) best"), *[F.expr(f"max(t{c}) n{c}") for c in _K])
+    better = f"best.score > best.own * (1D + {LEAST_GAIN!r}D)"
+    return best.selectExpr("*", *weights).selectExpr(
+        "tree", "node", *[f"n{c}" for c in _K], _LABEL, f"case when {better} then -best.f end feature", f"case when {better} then -best.b end bin",
+        f"case when {better} then best.score - best.own end gain")
 
 
 def grow(rows, specs, max_depth):
@@ -106,24 +103,23 @@ def grow(rows, specs, max_depth):
 
     specs = [(spec, weights(spec)) for spec in specs]
     out = _of_tree([spec.fold for spec, _ in specs], "int")
-    active = rows.select(F.explode(F.array(*[F.lit(i) for i in range(len(specs))])).alias("tree"), "fold", "code", "bins")
-    active = active.select("tree", F.lit(1).cast("bigint").alias("node"), (F.col("fold") == out).alias("held"), "code", "bins")
+    active = rows.selectExpr(f"explode(sequence(0, {len(specs) - 1})) tree", "fold", "code", "bins").selectExpr("tree", "1L node", f"fold = {out} held", "code", "bins")
     active, nodes, held = cut_lineage(active, "tree-rows"), [], []
     for level in range(max_depth + 1):
         if level < max_depth:
             found = _nodes(active, specs)
         else:
-            counts = active.where(~F.col("held")).groupBy("tree", "node").agg(*[F.count_if(F.col("code") == c).alias(f"n{c}") for c in _K])
-            found = _labelled(counts, specs).withColumns({"feature": F.lit(None).cast("int"), "bin": F.lit(None).cast("int"), "gain": F.lit(None).cast("double")})
-        found = cut_lineage(found.withColumn("level", F.lit(level)), f"tree-level-{level}")
+            counts = active.where("not held").groupBy("tree", "node").agg(*map(F.expr, _COUNTS)).selectExpr("*", *[f"{_weight(specs, c)} w{c}" for c in _K])
+            found = counts.selectExpr("tree", "node", *[f"n{c}" for c in _K], _LABEL, "null::int feature", "null::int bin", "null::double gain")
+        found = cut_lineage(found.selectExpr("*", f"{level} level"), f"tree-level-{level}")
         nodes.append(found)
-        here = active.where("held").join(found.select("tree", "node", "label", F.col("feature").isNull().alias("leaf")), ["tree", "node"])
-        held.append(here.groupBy("tree", "leaf", "code", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(level)))
-        splits = found.where(F.col("feature").isNotNull()).select("tree", "node", "feature", F.col("bin").alias("cut"))
-        if level == max_depth or splits.isEmpty():
+        here = active.where("held").join(found.selectExpr("tree", "node", "label", "feature is null leaf"), ["tree", "node"])
+        held.append(here.groupBy("tree", "leaf", "code", "label").agg(F.expr("count(*) n")).selectExpr("*", f"{level} level"))
+        splits = found.where("feature is not null").selectExpr("tree", "node", "feature", "bin cut")
+        if level == max_depth or not splits.head(1):
             break
-        side = (F.element_at("bins", F.col("feature") + 1) > F.col("cut")).cast("bigint")
-        active = cut_lineage(active.join(splits, ["tree", "node"]).select("tree", (F.col("node") * 2 + side).alias("node"), "held", "code", "bins"), "tree-rows")
+        down = active.join(splits, ["tree", "node"]).selectExpr("tree", "node * 2 + (element_at(bins, feature + 1) > cut)::bigint node", "held", "code", "bins")
+        active = cut_lineage(down, "tree-rows")
     union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
     return union(nodes), union(held)
 
