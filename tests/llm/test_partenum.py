@@ -105,6 +105,48 @@ def test_blocks_of_a_large_group(spark):
     rows = [(7, i, i, 90) for i in range(90)]
     members = spark.createDataFrame(rows, "_group bigint, _id bigint, _comp bigint, _n bigint")
     table = spark.createDataFrame([(i, bytearray(s.astype("<u8").tobytes())) for i, s in enumerate(sets)], "_id bigint, _set binary")
-    got = {tuple(sorted(r)) for r in partenum._links_in_blocks(members, table, 90, 20).collect()}
+    flat, bounds = np.concatenate(sets).astype(np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    data, offsets = partenum.parity_sketches(flat, bounds)
+    sketches = spark.createDataFrame([(i, bytearray(data[offsets[i]: offsets[i + 1]].tobytes()), len(s)) for i, s in enumerate(sets)], "_id bigint, _sketch binary, _size bigint")
+    blocks = partenum._open_blocks(members, sketches, 90, 20)
+    assert blocks.select("_block").distinct().count() > 5
+    got = {tuple(sorted(r)) for r in partenum._links_in_blocks(blocks, table, 90).collect()}
     want = {(i, j) for j in range(90) for i in range(j) if partenum._similar(sets[i], sets[j], 90)}
     assert got == want and 0 < len(want) < 2000
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_sketches_never_rule_out_similar_sets(percent):
+    rng = np.random.default_rng(percent)
+    ruled_out = 0
+    for size in (1, 3, 16, 17, 60, 300, 2000):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 62, size)).astype(np.uint64)
+            keep = rng.random(len(a)) < rng.choice([0.3, 0.8, 0.95, 1.0])
+            b = np.unique(np.concatenate([a[keep], rng.integers(0, 1 << 62, rng.integers(0, size // 4 + 2)).astype(np.uint64)]))
+            if not len(b):
+                continue
+            data, offsets = partenum.parity_sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            left, right = data[: offsets[1]].view(np.uint64), data[offsets[1]:].view(np.uint64)
+            allowed = bool(partenum.sketches_allow(left, right, len(a), len(b), percent))
+            assert allowed or not partenum._similar(a, b, percent)
+            assert allowed == bool(partenum.sketches_allow(right, left[None], len(b), np.array([len(a)]), percent)[0])
+            ruled_out += not allowed
+    assert ruled_out > 30
+
+
+def test_copies_that_share_signatures_without_links(frame):
+    """Texts at about 0.7 to each other, with a few near copies among them: one open group that is settled exactly."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(150):
+        body = list(base)
+        at = rng.randrange(320)
+        body[at: at + 65] = [f"x{i}_{k}" for k in range(65)]
+        rows.append((i, " ".join(body)))
+        if i % 10 == 0:
+            body[(at + 200) % 400] = "changed"
+            rows.append((1000 + i, " ".join(body)))
+    got = partenum.near_duplicates(frame(rows), 5, 80).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 5, 80)

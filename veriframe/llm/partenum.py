@@ -7,9 +7,14 @@ pair of the three sub-partitions is one signature. Similar sets thus always shar
 
 Rows with equal sets are one class, represented by the smallest id, and groups of equal members are one group. Groups are not
 expanded into rows of pairs: the group's smallest member is verified against the others, and the links are merged into
-components. Groups whose members are still in different components are cut into chunks; a block holds two chunks with their
-sets, finds the links across components by matrix products, and only links leave it. Every link between different components
-of a group is therefore tested exactly, with bounded memory.
+components. Groups whose members are still in different components are cut into chunks; a block holds two chunks, finds the
+links across components by matrix products, and only links leave it. Every link between different components of a group is
+therefore tested exactly, with bounded memory.
+
+Sets travel late: every set has a sketch, the parity of its elements' hashes in about four to eight bits per element. Two
+sketches differ in at most as many bits as their sets differ in elements, so a pair whose sketches differ in more than
+similar sets may is ruled out. Pairs with a group's smallest member and blocks meet as sketches first (a sixteenth of the sets
+and less); whole sets are made again for those documents alone that a sketch leaves with a partner.
 
 Nulls: a null text or one without words has an empty set and links with nothing. A row with a null id links with nothing and
 has a null component. Rows with the same id are one document: they share its component. Ties do not occur (all links count).
@@ -119,6 +124,29 @@ def _set_keys(flat, bounds):
     return keys
 
 
+def parity_sketches(flat, bounds):
+    """Each set's sketch (bytes, row offsets): bit b is the parity of the elements whose hash ends in b; 64 bits at least, a power of two."""
+    sizes = np.diff(bounds)
+    bits = np.where(sizes > 0, 1 << np.ceil(np.log2(4 * np.maximum(sizes, 16))).astype(np.int64), 0)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    slot = base[row] + (mix(flat + MIX[1]) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=int(base[-1])) & 1).astype(np.uint8), bitorder="little"), base // 8
+
+
+def folded(words, width):
+    """A sketch (or rows of sketches) of 64-bit words brought to a smaller width: the sketch that this width would have had."""
+    return np.bitwise_xor.reduce(words.reshape(*words.shape[:-1], -1, width), axis=-2)
+
+
+def sketches_allow(left, right, left_size, right_size, percent):
+    """Whether sets may be similar, by their sketches; ``right`` may be rows of sketches."""
+    width = min(left.shape[-1], right.shape[-1])
+    apart = np.bitwise_count(folded(left, width) ^ folded(right, width)).sum(axis=-1, dtype=np.int64)
+    fit = 100 * np.minimum(left_size, right_size) >= percent * np.maximum(left_size, right_size)
+    return fit & ((100 + percent) * apart <= (100 - percent) * (left_size + right_size))
+
+
 def _in_slices(batch, width, memo, text_index=1):
     for start, stop in slices(np.diff(text_buffer(batch.column(text_index))[1]), 4 << 20):
         part = batch.slice(start, stop - start)
@@ -126,7 +154,7 @@ def _in_slices(batch, width, memo, text_index=1):
 
 
 def set_classes(docs, width, id_col, text_col):
-    """(id, n_shingles, _hi, _lo) of every row."""
+    """(id, n_shingles, _hi, _lo, _sketch) of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -134,9 +162,10 @@ def set_classes(docs, width, id_col, text_col):
         for batch in batches:
             for part, flat, bounds in _in_slices(batch, width, memo):
                 hi, lo = _set_keys(flat, bounds)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(hi), pa.array(lo)], ["_id", "n_shingles", "_hi", "_lo"])
+                sketches = binary_column(*parity_sketches(flat, bounds))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(hi), pa.array(lo), sketches], ["_id", "n_shingles", "_hi", "_lo", "_sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"_id {id_type}, n_shingles bigint, _hi bigint, _lo bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"_id {id_type}, n_shingles bigint, _hi bigint, _lo bigint, _sketch binary")
 
 
 def _signature_rows(docs, width, percent, id_col, text_col):
@@ -182,34 +211,13 @@ def _similar(left, right, percent):
     return both > 0 and 100 * both >= percent * (len(left) + len(right) - both)
 
 
-def _thinned(sets):
-    """The quarter of every set whose hashes end in 00, with the full size."""
-    id_type = sets.schema["_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("_set"))
-            flat, bounds = data.view(np.uint64), offsets // 8
-            kept = (flat & np.uint64(3)) == 0
-            ends = np.concatenate([[0], np.cumsum(kept)])[bounds]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), binary_column(flat[kept].view(np.uint8), 8 * ends), pa.array(np.diff(bounds))], ["_id", "_set", "_size"])
-
-    return sets.select("_id", "_set").mapInArrow(run, f"_id {id_type}, _set binary, _size bigint")
-
-
-def _possible(left, right, sizes, percent):
-    """Not ruled out: similar sets differ in few elements, in a quarter of the domain as in all of it."""
-    apart = len(left) + len(right) - 2 * len(np.intersect1d(left, right, assume_unique=True))
-    return 100 * min(sizes) >= percent * max(sizes) and (100 + percent) * apart <= (100 - percent) * sum(sizes)
-
-
 def _pairs_where(pairs, sets, columns, test):
     """The pairs (_a, _b) whose sets pass ``test(left, right, sizes)``."""
     id_type = pairs.schema["_a"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            data = [text_buffer(batch.column(c)) for c in ("_set_a", "_set_b")]
+            data = [text_buffer(batch.column(f"{columns[0]}_{side}")) for side in "ab"]
             sizes = list(zip(*(batch.column(f"_size_{s}").to_pylist() for s in "ab"))) if "_size" in columns else [None] * len(batch)
             kept = pa.array([test(*(d[o[i]: o[i + 1]].view(np.uint64) for d, o in data), sizes[i]) for i in range(len(batch))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("_a", "_b")], ["_a", "_b"])
@@ -220,11 +228,9 @@ def _pairs_where(pairs, sets, columns, test):
     return joined.mapInArrow(run, f"_a {id_type}, _b {id_type}")
 
 
-def _verified(pairs, sets, percent):
-    """The pairs (_a, _b) whose sets are similar enough; quarters of the sets rule most others out beforehand."""
-    thin = _thinned(sets)
-    possible = cut_lineage(_pairs_where(pairs, thin, ["_set", "_size"], lambda a, b, sizes: _possible(a, b, sizes, percent)), "possible-pairs")
-    return _pairs_where(possible, sets, ["_set"], lambda a, b, sizes: _similar(a, b, percent))
+def _possible(pairs, sketches, percent):
+    """The pairs (_a, _b) that their sketches do not rule out."""
+    return _pairs_where(pairs, sketches, ["_sketch", "_size"], lambda a, b, sizes: bool(len(a) and len(b) and sketches_allow(a, b, *sizes, percent)))
 
 
 def links_across(sets, comps, percent, columns=4096):
@@ -249,32 +255,78 @@ def links_across(sets, comps, percent, columns=4096):
     return np.nonzero(np.triu(similar & (comps[:, None] != comps[None]), 1))
 
 
-def _links_in_blocks(members, sets, percent, block_members):
-    """Links (_a, _b) between members (_group, _id, _comp, _n) of one group in different components.
+def partners_by_sketch(sketches, sizes, comps, percent):
+    """Which members of a block have one in another component that their sketches do not rule out."""
+    widths, kept = np.array([len(k) for k in sketches]), np.zeros(len(sketches), bool)
+    for narrow in np.unique(widths[widths > 0]):
+        left = np.flatnonzero(widths == narrow)
+        for wide in np.unique(widths[widths >= narrow]):
+            right = np.flatnonzero(widths == wide)
+            rows = folded(np.stack([sketches[j] for j in right]), narrow)
+            for i in left:
+                near = sketches_allow(sketches[i], rows, sizes[i], sizes[right], percent) & (comps[right] != comps[i])
+                if near.any():
+                    kept[i] = True
+                    kept[right[near]] = True
+    return kept
+
+
+def _blocks_of(table):
+    """Row numbers of each block of a bucket, and component numbers of all rows."""
+    blocks = table.column("_block").to_numpy()
+    order = np.argsort(blocks, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(blocks[order]) != 0]))
+    comps = np.unique(np.array(table.column("_comp").to_pylist(), object).astype(str), return_inverse=True)[1]
+    return np.split(order, starts[1:]), comps
+
+
+def _in_buckets(rows, size, bucket_bytes=8 << 20):
+    """``rows`` grouped by buckets of whole blocks, as many as the bytes of column ``size`` ask for."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    buckets = max(partitions(rows.sparkSession), total // bucket_bytes)
+    return rows.withColumn("_bucket", F.pmod("_block", F.lit(buckets))).groupBy("_bucket")
+
+
+def _open_blocks(members, sketches, percent, block_members):
+    """(_block, _id, _comp): members (_group, _id, _comp, _n) of one group that may have a link into another component.
 
-    A group is cut into chunks of about ``block_members``; every pair of chunks is one block, and only links leave it.
+    A group is cut into chunks of about ``block_members``; every pair of chunks is one block.
     """
     id_type = members.schema["_id"].dataType.simpleString()
     chunks = F.ceil(F.col("_n") / block_members).cast("int")
     rows = members.withColumn("_chunk", F.pmod(F.xxhash64("_id"), chunks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     block = F.struct("_group", F.least("_chunk", "_other").alias("i"), F.greatest("_chunk", "_other").alias("j"))
-    rows = rows.select(F.xxhash64(block).alias("_block"), "_id", "_comp").join(sets, "_id")
-    buckets = 4 * partitions(members.sparkSession)
+    rows = cut_lineage(rows.select(F.xxhash64(block).alias("_block"), "_id", "_comp").join(sketches, "_id"), "block-sketches")
 
     def run(table):
-        blocks, data = table.column("_block").to_numpy(), text_buffer(table.column("_set"))
-        comps = np.unique(np.array(table.column("_comp").to_pylist(), object).astype(str), return_inverse=True)[1]
-        order = np.argsort(blocks, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(blocks[order]) != 0]))
+        data, offsets = text_buffer(table.column("_sketch"))
+        sizes, kept = table.column("_size").to_numpy(), []
+        groups, comps = _blocks_of(table)
+        for own in groups:
+            near = partners_by_sketch([data[offsets[r]: offsets[r + 1]].view(np.uint64) for r in own], sizes[own], comps[own], percent)
+            kept.append(own[near])
+        return table.select(["_block", "_id", "_comp"]).take(pa.array(np.concatenate(kept).astype(np.int64)))
+
+    return _in_buckets(rows, F.octet_length("_sketch")).applyInArrow(run, f"_block bigint, _id {id_type}, _comp {id_type}").distinct()
+
+
+def _links_in_blocks(blocks, sets, percent):
+    """Links (_a, _b) between members (_block, _id, _comp) of one block in different components; only links leave a block."""
+    id_type = blocks.schema["_id"].dataType.simpleString()
+
+    def run(table):
+        data, offsets = text_buffer(table.column("_set"))
         left, right = [], []
-        for own in np.split(order, starts[1:]):
-            i, j = links_across([data[0][data[1][r]: data[1][r + 1]].view(np.uint64) for r in own], comps[own], percent)
+        groups, comps = _blocks_of(table)
+        for own in groups:
+            i, j = links_across([data[offsets[r]: offsets[r + 1]].view(np.uint64) for r in own], comps[own], percent)
             left.append(own[i])
             right.append(own[j])
         ids = table.column("_id").combine_chunks()
         return pa.table([ids.take(pa.array(np.concatenate(side).astype(np.int64))) for side in (left, right)], ["_a", "_b"])
 
-    return rows.withColumn("_bucket", F.pmod("_block", F.lit(buckets))).groupBy("_bucket").applyInArrow(run, f"_a {id_type}, _b {id_type}").distinct()
+    rows = blocks.join(sets, "_id")
+    return _in_buckets(rows, F.octet_length("_set")).applyInArrow(run, f"_a {id_type}, _b {id_type}").distinct()
 
 
 def components(links, name="components"):
@@ -295,21 +347,30 @@ def components(links, name="components"):
     return labels
 
 
-def _links(groups, sets, percent, block_members=1000):
-    """Components (_id, _comp) of the members of signature groups (_sig, _id): every link is found or already implied."""
+def _links(groups, sketches, make_sets, percent, block_members=1000):
+    """Components (_id, _comp) of the members of signature groups (_sig, _id): every link is found or already implied.
+
+    ``sketches``: _id, _sketch, _size. ``make_sets`` gives the sets of a table of ids.
+    """
     # groups of the same members are one group
     alike = groups.groupBy("_sig").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("_id")).alias("_x"), F.bit_xor(F.xxhash64("_id", F.lit(1))).alias("_y"), F.min("_id").alias("_pivot"))
     alike = alike.where("_n > 1").groupBy("_n", "_x", "_y", "_pivot").agg(F.min("_sig").alias("_sig")).select("_sig", "_n", "_pivot")
     groups = cut_lineage(groups.join(alike, "_sig"), "group-members")
     stars = groups.where("_id <> _pivot").select(F.col("_pivot").alias("_a"), F.col("_id").alias("_b")).distinct()
-    found = cut_lineage(_verified(stars, sets, percent), "star-links")
+    possible = cut_lineage(_possible(stars, sketches, percent), "possible-pairs")
+    both = possible.select(F.col("_a").alias("_id")).union(possible.select(F.col("_b").alias("_id"))).distinct()
+    sets = make_sets(both)
+    found = cut_lineage(_pairs_where(possible, sets, ["_set"], lambda a, b, sizes: _similar(a, b, percent)), "star-links")
     comps = components(found)
     # pairs with the pivot are settled; groups around one pivot mostly share their members and are compared as one
     others = groups.where("_id <> _pivot").join(comps, "_id", "left").select("_sig", F.col("_pivot").alias("_group"), "_id", F.coalesce("_comp", "_id").alias("_comp"))
     unsettled = others.groupBy("_sig").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low <> _high").select("_sig")
     rest = cut_lineage(others.join(unsettled, "_sig").select("_group", "_id", "_comp").distinct(), "open-members")
     rest = rest.join(rest.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")), "_group")
-    more = cut_lineage(_links_in_blocks(rest, sets, percent, block_members), "block-links")
+    blocks = cut_lineage(_open_blocks(rest, sketches, percent, block_members), "open-blocks")
+    if blocks.isEmpty():
+        return comps
+    more = cut_lineage(_links_in_blocks(blocks, make_sets(blocks.select("_id").distinct()), percent), "block-links")
     return components(found.unionByName(more))
 
 
@@ -325,8 +386,9 @@ def near_duplicates(docs, width=5, percent=80, id_col="doc_id", text_col="text")
     shared = signed.withColumn("_low", F.min("_id").over(same)).withColumn("_high", F.max("_id").over(same)).where("_low <> _high").select("_sig", "_id")
     # equal sets count once
     groups = cut_lineage(shared.join(rep_of, "_id").select("_sig", F.col("_rep").alias("_id")).distinct(), "signature-groups")
-    sets = cut_lineage(_candidate_sets(docs, groups.select("_id").distinct(), width, id_col, text_col), "candidate-sets")
-    comps = _links(groups, sets, percent)
+    sketches = filled.select("_id", "_sketch", F.col("n_shingles").alias("_size"), "_hi", "_lo").join(groups.select("_id").distinct(), "_id", "left_semi")
+    sketches = cut_lineage(sketches.dropDuplicates(["_id", "_hi", "_lo"]).select("_id", "_sketch", "_size"), "group-sketches")
+    comps = _links(groups, sketches, lambda wanted: cut_lineage(_candidate_sets(docs, wanted, width, id_col, text_col), "candidate-sets"), percent)
     # rows with one id but several sets join their classes
     merged = rep_of.select(F.col("_id").alias("_a"), F.col("_rep").alias("_b"))
     repeated_ids = rep_of.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
