@@ -148,17 +148,14 @@ def sweep_policies(rows, baseline="raw_native_sigmoid"):
     )
 
 
-def temperature_losses(rows, temperatures):
-    """Log loss of softmax(log p / T) per candidate temperature: one pass over a fixed grid."""
-    grid = rows.sparkSession.createDataFrame([(float(x),) for x in temperatures], "temperature double")
-    powered = [F.pow(F.col(p), 1 / F.col("temperature")) for p in ("p_verified", "p_review", "p_rejected")]
-    crossed = rows.crossJoin(F.broadcast(grid))
-    total = powered[0] + powered[1] + powered[2]
-    chosen = [c for c in rows.columns if not c.startswith("p_")]
-    softened = crossed.select(
-        *chosen, "temperature", *[(p / total).alias(n) for p, n in zip(powered, ("p_verified", "p_review", "p_rejected"))]
-    )
-    return calibration_scores(softened, ["temperature"])
+def temperature_losses(rows, temperatures, keys=()):
+    """Log loss of softmax(log p / T) per candidate temperature (and ``keys``): one pass over a fixed grid."""
+    names = ("p_verified", "p_review", "p_rejected")
+    listed = ", ".join(f"{float(x)!r}D" for x in temperatures)
+    powered = rows.selectExpr(*keys, "target", *names, f"explode(array({listed})) as temperature").selectExpr(
+        *keys, "target", "temperature", *[f"pow({p}, 1 / temperature) as {p}" for p in names])
+    softened = powered.selectExpr(*keys, "target", "temperature", *[f"{p} / ({' + '.join(names)}) as {p}" for p in names])
+    return calibration_scores(softened, [*keys, "temperature"])
 
 
 def audit_before_split(labelled):

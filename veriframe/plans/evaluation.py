@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.scores import threshold_decision
 from veriframe.operators import evaluation as e
-from veriframe.operators import kernels, learners, margins, neighbours, trees
+from veriframe.operators import calibration, kernels, margins, neighbours, trees
 from veriframe.operators import selection as s
 from veriframe.operators.integrity import split_crossings
+from veriframe.plans.calibration_sql import calibration_sql
 from veriframe.plans.dashboards import rounded
 from veriframe.plans.decisions import DECISION_SQL
 from veriframe.plans.tree_sql import growth_sql, held_out_sql
 from veriframe.registry import query
 from veriframe.session import cut_lineage
-from veriframe.schemas import CLASS_OF_KEY, CLASSES, FEATURES
+from veriframe.schemas import CLASS_KEYS, CLASS_OF_KEY, CLASSES, FEATURES
 
 _LABEL_SQL = f"case {DECISION_SQL} when 'verified' then 'Verified' when 'review' then 'Manual Review' else 'Rejected' end"
 
@@ -211,24 +212,37 @@ _TEMPERATURES = [0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0]
 
 @query("m10_temperature_losses", f"""
 with g as (select unnest({_TEMPERATURES}::double[]) temperature),
-x as (select temperature, target, pow(p_verified, 1 / temperature) v, pow(p_review, 1 / temperature) r, pow(p_rejected, 1 / temperature) j
-      from class_probabilities, g where candidate = 'raw_native_sigmoid')
-select temperature, round(avg(-ln(greatest(2.220446049250313e-16, case target when 'Verified' then v when 'Manual Review' then r else j end / (v + r + j)))), 6) log_loss,
+x as (select candidate, temperature, target, pow(p_verified, 1 / temperature) v, pow(p_review, 1 / temperature) r, pow(p_rejected, 1 / temperature) j
+      from class_probabilities, g)
+select candidate, temperature, round(avg(-ln(greatest(2.220446049250313e-16, case target when 'Verified' then v when 'Manual Review' then r else j end / (v + r + j)))), 6) log_loss,
        round(avg(pow(v / (v + r + j) - (target = 'Verified')::int, 2) + pow(r / (v + r + j) - (target = 'Manual Review')::int, 2) + pow(j / (v + r + j) - (target = 'Rejected')::int, 2)), 6) brier
-from x group by 1""")
+from x group by 1, 2""")
 def _(t):
-    rows = t.class_probabilities.where(F.col("candidate") == "raw_native_sigmoid")
-    return rounded(s.temperature_losses(rows, _TEMPERATURES))
+    return rounded(s.temperature_losses(t.class_probabilities, _TEMPERATURES, ["candidate"]))
 
 
-@query("m10_fitted_calibration")
+def _margin_sql(p):
+    """A margin of the test table: the logarithm in steps of a fiftieth."""
+    return f"floor(ln({p}) * 50) / 50e0"
+
+
+_HALVES = f"""halves as (
+  select candidate, target, {", ".join(f"{_margin_sql(f'p_{k}')} m_{k}" for k in CLASS_KEYS)},
+    row_number() over (partition by candidate, target order by md5(concat(cast(request_id as varchar), ':42')), request_id) <= floor(count(*) over (partition by candidate, target) * 0.5e0 + 0.5e0) fit
+  from class_probabilities), held as materialized (select * from halves where fit), rest as materialized (select * from halves where not fit)"""
+
+
+@query("m10_fitted_calibration", f"""
+with {_HALVES}, {calibration_sql('held', 'rest')}
+select candidate, "method", round(avg(-ln(greatest(2.220446049250313e-16, case target when 'Verified' then p_verified when 'Manual Review' then p_review else p_rejected end))), 6) log_loss,
+  round(avg(pow(p_verified - (target = 'Verified')::int, 2) + pow(p_review - (target = 'Manual Review')::int, 2) + pow(p_rejected - (target = 'Rejected')::int, 2)), 6) brier
+from calibrated group by 1, 2""")
 def _(t):
-    rows = t.class_probabilities.where(F.col("candidate") == "raw_native_sigmoid").select(
-        "request_id", "target", *[F.log(f"p_{k}").alias(f"m_{k}") for k in ("verified", "review", "rejected")])
-    parts = s.stratified_split(rows, "request_id", parts=(("calibration", 0.5), ("selection", 1.0)))
-    held, rest = parts.where(F.col("split") == "calibration"), parts.where(F.col("split") == "selection")
-    tag = lambda name, scored: e.calibration_scores(scored).select(F.lit(name).alias("method"), "log_loss", "brier")
-    return tag("sigmoid", learners.calibrate_sigmoid(held, rest)).unionByName(tag("isotonic", learners.calibrate_isotonic(held, rest)))
+    rows = t.class_probabilities.selectExpr("request_id", "candidate", "target", *[f"floor(ln(p_{k}) * 50) / 50D as m_{k}" for k in CLASS_KEYS], "concat(candidate, ':', target) as stratum")
+    parts = cut_lineage(s.stratified_split(rows, "request_id", target="stratum", parts=(("calibration", 0.5), ("selection", 1.0))), "calibration-halves")
+    held, rest = (parts.where(F.col("split") == name).drop("split", "stratum") for name in ("calibration", "selection"))
+    scores = [e.calibration_scores(scored, ["candidate"]).select("candidate", F.lit(method).alias("method"), "log_loss", "brier") for method, scored in calibration.calibrate(held, rest).items()]
+    return rounded(scores[0].unionByName(scores[1]).unionByName(scores[2]))
 
 
 def _policy_sql(w, th, m):
