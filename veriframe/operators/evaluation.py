@@ -123,64 +123,116 @@ def calibration_error(bins, keys=()):
     return bins.groupBy(*keys, "class").agg((gap / F.sum("n")).alias("ece"))
 
 
-def paired_bootstrap(rows, actual, first, second, repeats=1000, seed=42, classes=CLASSES):
-    """95 % intervals of the accuracy and macro-F1 difference between two predictors.
+SMALL_CELL = 20  # draws below this size come from the distribution itself, larger ones from its normal expansion
 
-    A bootstrap sample of the rows is a multinomial draw over the 27 (actual, first, second) cells,
-    so the table is counted once and each repeat draws 27 numbers. Repeats run as Spark tasks.
+
+def poisson_steps():
+    """(n, k, c): for n < SMALL_CELL, the chance that a Poisson number of mean n is at most k, as far as it is below 1."""
+    rows = []
+    for n in range(1, SMALL_CELL):
+        term = total = float(np.exp(-n))
+        for k in range(8 * SMALL_CELL):
+            if total >= 1 - 1e-12:
+                break
+            rows.append((n, k, total))
+            term *= n / (k + 1)
+            total += term
+    return rows
+
+
+def bootstrap_draw_sql(u, v, n, digest_number):
+    """SQL text of a Poisson number of mean ``n`` from the digests ``u`` and ``v``; ``small`` holds the steps for small means.
+
+    Large means take the normal quantile z and its first correction: n + z * sqrt(n) + (z * z - 1) / 6, rounded.
     """
-    codes = lambda c: F.coalesce(*[F.when(F.col(c) == name, F.lit(i)) for i, name in enumerate(classes)])
-    counted = rows.select(codes(actual).alias("a"), codes(first).alias("f"), codes(second).alias("s")).groupBy("a", "f", "s").agg(F.count(F.lit(1)).alias("n"))
-    # one row holding at most 27 cells
-    cells = counted.agg(F.sort_array(F.collect_list(F.struct("a", "f", "s", "n"))).alias("cells"))
-    tasks = rows.sparkSession.range(repeats).select(F.col("id").alias("repeat")).crossJoin(F.broadcast(cells))
-
-    def f1(matrix):
-        top = 2 * np.diagonal(matrix, axis1=1, axis2=2)
-        bottom = matrix.sum(axis=1) + matrix.sum(axis=2)
-        return np.where(bottom > 0, top / np.maximum(bottom, 1), 0.0).mean(axis=1)
-
-    def draw(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            cell = [(c["a"], c["f"], c["s"], c["n"]) for c in batch["cells"].iloc[0]]
-            a, f, s, n = (np.array(x) for x in zip(*cell))
-            share, total = n / n.sum(), int(n.sum())
-            counts = np.stack([np.random.default_rng([seed, int(r)]).multinomial(total, share) for r in batch["repeat"]])
-            matrices = []
-            for predicted in (f, s):
-                matrix = np.zeros((len(counts), 3, 3))
-                for k in range(len(n)):
-                    matrix[:, a[k], predicted[k]] += counts[:, k]
-                matrices.append(matrix)
-            accuracy = [np.trace(m, axis1=1, axis2=2) / total for m in matrices]
-            yield pd.DataFrame({
-                "repeat": batch["repeat"], "accuracy_difference": accuracy[0] - accuracy[1], "macro_f1_difference": f1(matrices[0]) - f1(matrices[1]),
-            })
-
-    drawn = tasks.mapInPandas(draw, "repeat bigint, accuracy_difference double, macro_f1_difference double")
+    first, second = (f"(({digest_number(x)}) + 0.5e0) / 4503599627370496e0" for x in (u, v))
+    z = f"(sqrt(-2 * ln({first})) * cos(2 * pi() * ({second})))"
+    return first, f"greatest(0, floor({n} + {z} * sqrt({n}) + ({z} * {z} - 1) / 6 + 0.5))"
+
+
+def paired_bootstrap(rows, actual, first, second, keys=(), repeats=1000, seed=42, classes=CLASSES):
+    """95 % intervals of the accuracy and macro-F1 difference between two predictors, per group of ``keys``.
+
+    In a bootstrap sample every row is drawn a Poisson number of times, so each of the 27 (actual, first, second) cells is drawn
+    a Poisson number of times its size: the table is counted once, and a repeat draws 27 numbers from digests of
+    (seed, repeat, cell, counter), which any engine can repeat. Rows with a null or another class are left out.
+    """
+    keys = list(keys)
+    code = lambda c: "case " + c + " " + " ".join(f"when '{name}' then {i}" for i, name in enumerate(classes)) + " end"
+    cells = rows.selectExpr(*keys, f"9 * {code(actual)} + 3 * {code(first)} + {code(second)} cell").where("cell is not null").groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"))
+    digest = lambda counter: f"md5(concat_ws(':', {seed}, repeat, cell, {counter}))"
+    uniform, large = bootstrap_draw_sql("d1", "d2", "n", lambda d: f"conv(substr({d}, 1, 13), 16, 10)::bigint")
+    steps = rows.sparkSession.createDataFrame(poisson_steps(), "small int, k int, c double").groupBy("small").agg(F.sort_array(F.collect_list("c")).alias("steps"))
+    drawn = cells.selectExpr("*", f"explode(sequence(0, {repeats - 1})) repeat").selectExpr("*", f"{digest(1)} d1", f"{digest(2)} d2")
+    drawn = drawn.join(F.broadcast(steps), F.col("n") == F.col("small"), "left")  # a fixed table of SMALL_CELL - 1 rows
+    drawn = drawn.selectExpr(*keys, "repeat", "cell div 9 a", "(cell div 3) % 3 f", "cell % 3 s", f"case when n < {SMALL_CELL} then size(filter(steps, c -> c <= {uniform})) else {large} end::double m")
+    f1 = lambda p, c: f"coalesce(2 * {_sum(f'a = {c} and {p} = {c}')} / nullif({_sum(f'a = {c}')} + {_sum(f'{p} = {c}')}, 0), 0D)"
+    macro = lambda p: "(" + " + ".join(f1(p, c) for c in range(len(classes))) + f") / {len(classes)}"
+    each = drawn.groupBy(*keys, "repeat").agg(
+        F.expr(f"coalesce(({_sum('a = f')} - {_sum('a = s')}) / nullif(sum(m), 0), 0D) accuracy_difference"), F.expr(f"{macro('f')} - {macro('s')} macro_f1_difference"))
     # bounded by the number of repeats
-    return drawn.agg(
+    return each.groupBy(*keys).agg(
         *[F.percentile(c, F.lit(p)).alias(f"{c}_{side}") for c in ("accuracy_difference", "macro_f1_difference") for p, side in ((0.025, "low"), (0.975, "high"))],
         F.count(F.lit(1)).alias("repeats"),
     )
 
 
-def permutation_importance(rows, key, predict, repeats=20, features=FEATURES):
+def _sum(condition):
+    return f"sum(case when {condition} then m else 0 end)"
+
+
+ROUNDS = 3  # of the permutation of row numbers
+
+
+def _is_prime(n):
+    if n % 2 == 0:
+        return n == 2
+    return all(n % d for d in range(3, int(n**0.5) + 1, 2))
+
+
+def shuffle_keys(repeat, seed=42):
+    """Keys of one permutation: a prime above 2^31, a shift and a cut (in thousandths) for each round."""
+    rng = np.random.default_rng([seed, repeat])
+    keys = []
+    for _ in range(ROUNDS):
+        p = int(rng.integers(1 << 31, (1 << 32) - 1000)) | 1
+        while not _is_prime(p):
+            p += 2
+        keys.append((p, int(rng.integers(0, 1 << 31)), int(rng.integers(200, 800))))
+    return keys
+
+
+def moved_sql(k, n, prime, shift):
+    """First half of a round, as SQL text: times a prime (without a factor in common with a smaller n), shifted, modulo n."""
+    return f"({k} * ({prime} % {n}) + {shift}) % {n}"
+
+
+def turned_sql(k, n, edge):
+    """Second half: the part above an edge turned round. Both halves map 0..n-1 onto itself, whatever n is."""
+    return f"case when {k} < {edge} then {k} else {n} - 1 - ({k} - {edge}) end"
+
+
+def permutation_importance(rows, key, predict, repeats=20, features=FEATURES, seed=42):
     """Mean and deviation of the macro-F1 drop when one feature is shuffled.
 
-    A shuffle pairs the row at position k in one hash order with the row at position k in another.
-    Positions come from digest-prefix counts, not from one global sort in a single task, and each
-    repeat's pairing serves all features.
+    Rows are numbered once, by a hash order taken from digest-prefix counts. Each repeat pairs number k with the number that a
+    keyed permutation gives it, so a shuffle is a join on a computed number, without another sort; a pairing serves all features.
     """
-    base = rows.select(key, "target", *features)
-    home = hash_rank(base, [], F.md5(F.concat(F.lit("home:"), F.col(key).cast("string"))), key, "_k")
-    away = base.select(key, *[F.col(f).alias(f"_{f}") for f in features]).crossJoin(
-        F.broadcast(rows.sparkSession.range(repeats).select(F.col("id").alias("repeat")))
-    )
-    away = hash_rank(away, ["repeat"], F.md5(F.concat_ws(":", F.col("repeat").cast("string"), F.col(key).cast("string"))), key, "_k").drop(key)
-    paired = home.join(away, "_k")
+    from veriframe.session import cut_lineage
+
+    ranked = hash_rank(rows.select(key, "target", *features), [], F.md5(F.concat(F.lit("home:"), F.col(key).cast("string"))), key, "_k")
+    base = cut_lineage(ranked.select("target", *features, (F.col("_k") - 1).alias("_k")), "numbered-rows")
+    n = base.count()
+    if n >= 1 << 31:
+        raise ValueError("row numbers of more than 31 bits would overflow the permutation")
+    drawn, others = [shuffle_keys(r, seed) for r in range(repeats)], [f"_{f}" for f in features]
+    of_repeat = lambda values: f"element_at(array({', '.join(f'{v}L' for v in values)}), repeat + 1)"
+    away = base.selectExpr(*[f"{f} as _{f}" for f in features], f"explode(sequence(0, {repeats - 1})) as repeat", "_k")
+    for i in range(ROUNDS):
+        prime, shift, cut = (of_repeat([keys[i][j] for keys in drawn]) for j in range(3))
+        away = away.selectExpr(*others, "repeat", f"{moved_sql('_k', f'{n}L', prime, shift)} as _k", f"{n}L * {cut} div 1000 as _edge")
+        away = away.selectExpr(*others, "repeat", f"{turned_sql('_k', f'{n}L', '_edge')} as _k")
+    paired = base.join(away, "_k")
 
     def shuffled(feature):
         return predict([F.col(f"_{f}") if f == feature else F.col(f) for f in features])

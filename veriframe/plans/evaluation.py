@@ -340,16 +340,42 @@ def _(t):
     return rounded(e.calibration_error(e.reliability_bins(t.class_probabilities, ["candidate"]), ["candidate"]))
 
 
-@query("m15_paired_bootstrap")
+_UNIFORM, _LARGE = e.bootstrap_draw_sql("d1", "d2", "n", lambda d: f"('0x' || substr({d}, 1, 13))::bigint")
+_CODE = lambda c: f"case {c} when 'Verified' then 0 when 'Manual Review' then 1 else 2 end"
+_DRAWN_F1 = lambda p: "(" + " + ".join(
+    f"coalesce(2 * sum(case when a = {c} and {p} = {c} then m else 0 end) / nullif(sum(case when a = {c} then m else 0 end) + sum(case when {p} = {c} then m else 0 end), 0), 0)" for c in range(3)) + ") / 3"
+
+
+@query("m15_paired_bootstrap", f"""
+with cells as (select candidate, {_CODE('target')} a, {_CODE('native_label')} f, {_CODE(_policy_sql('1e0', '0e0', '0e0'))} s, count(*) n from class_probabilities group by all),
+steps(small, k, c) as (values {", ".join(f"({n}, {k}, {c!r}::double)" for n, k, c in e.poisson_steps())}),
+lists as (select small, list(c order by c) steps from steps group by 1),
+digests as (select *, md5(concat_ws(':', 42, repeat, 9 * a + 3 * f + s, 1)) d1, md5(concat_ws(':', 42, repeat, 9 * a + 3 * f + s, 2)) d2 from cells, (select unnest(range(1000)) repeat)),
+drawn as (select candidate, repeat, a, f, s, case when n < {e.SMALL_CELL} then len([c for c in steps if c <= {_UNIFORM}])::double else {_LARGE} end m from digests left join lists on small = n),
+each as (select candidate, repeat, coalesce((sum(case when a = f then m else 0 end) - sum(case when a = s then m else 0 end)) / nullif(sum(m), 0), 0) acc, {_DRAWN_F1('f')} - {_DRAWN_F1('s')} f1 from drawn group by 1, 2)
+select candidate, round(quantile_cont(acc, 0.025), 6) accuracy_difference_low, round(quantile_cont(acc, 0.975), 6) accuracy_difference_high,
+  round(quantile_cont(f1, 0.025), 6) macro_f1_difference_low, round(quantile_cont(f1, 0.975), 6) macro_f1_difference_high, count(*) repeats from each group by 1""")
 def _(t):
-    rows = t.class_probabilities.where(F.col("candidate") == "raw_native_sigmoid").withColumn("argmax", s.decide_policy(1.0, 0.0, 0.0))
-    return e.paired_bootstrap(rows, "target", "native_label", "argmax")
+    rows = t.class_probabilities.withColumn("argmax", s.decide_policy(1.0, 0.0, 0.0))
+    return rounded(e.paired_bootstrap(rows, "target", "native_label", "argmax", ["candidate"]))
+
+
+_SHUFFLES = "values " + ", ".join(f"({r}, {', '.join(str(x) for key in e.shuffle_keys(r) for x in key)})" for r in range(20))
+_KEY_NAMES = ", ".join(f"p{i}, s{i}, c{i}" for i in range(e.ROUNDS))
+
+
+def _shuffled_sql(source):
+    """``source`` (k, n and the keys) with k moved by every round."""
+    for i in range(e.ROUNDS):
+        source = f"(select * replace ({e.moved_sql('k', 'n', f'p{i}', f's{i}')} as k) from {source})"
+        source = f"(select * replace ({e.turned_sql('k', 'n', f'(n * c{i} // 1000)')} as k) from {source})"
+    return source
 
 
 @query("m16_permutation_importance", f"""
-with h as (select *, row_number() over (order by md5(concat('home:', cast(request_id as varchar))), request_id) k from labelled_scores),
-a as (select rep, {', '.join(f'{f} s_{f}' for f in FEATURES)}, row_number() over (partition by rep order by md5(concat(rep, ':', request_id)), request_id) k
-      from labelled_scores, (select unnest(range(20)) rep)),
+with h as (select *, row_number() over (order by md5(concat('home:', cast(request_id as varchar))), request_id) - 1 k, count(*) over () n from labelled_scores),
+shuffles(rep, {_KEY_NAMES}) as ({_SHUFFLES}),
+a as (select rep, k, {', '.join(f's_{f}' for f in FEATURES)} from {_shuffled_sql(f"(select rep, k::bigint as k, n::bigint as n, {_KEY_NAMES}, {', '.join(f'{f} s_{f}' for f in FEATURES)} from h, shuffles)")}),
 p as (select a.rep, h.target, h.{', h.'.join(FEATURES)}, {', '.join(f's_{f}' for f in FEATURES)} from h join a on a.k = h.k),
 pr as (""" + " union all ".join(
     f"select '{f}' feature, rep, target, {_LABEL_SQL} predicted from (select rep, target, {', '.join(f's_{x} {x}' if x == f else x for x in FEATURES)} from p)" for f in FEATURES) + f"""),
