@@ -79,13 +79,41 @@ def _(t):
     return rounded(s.power_likelihoods(long, powers), 2)
 
 
-@query("m2_quality_transform")
+def _power_search_sql(rows, features, low=-2.0, high=4.0, points=25, rounds=3):
+    """CTEs up to ``chosen`` (feature, p): the likelihood's best power, on a grid that is narrowed around the best of the last one."""
+    values = " union all ".join(f"select '{f}' feature, {f}::double x from {rows}" for f in features)
+    up = "case when abs(p) < 1e-12 then ln(1 + x) else (pow(x + 1, p) - 1) / p end"
+    down = "case when abs(p - 2) < 1e-12 then -ln(1 - x) else -(pow(1 - x, 2 - p) - 1) / (2 - p) end"
+    step = (high - low) / (points - 1)
+    out = [f"power_values as materialized ({values})", f"g0 as (select feature, {low}::double + {step!r}::double * i p from (select distinct feature from power_values), (select unnest(range({points})) i))"]
+    for r in range(rounds):
+        best = "chosen" if r == rounds - 1 else f"best{r}"
+        out.append(f"""{best} as materialized (
+  select feature, arg_max(p, score) p from (
+    select feature, p, -count(*) / 2e0 * ln(var_pop(case when x >= 0 then {up} else {down} end)) + (p - 1) * sum(sign(x) * ln(1 + abs(x))) score
+    from power_values join g{r} using (feature) group by 1, 2) group by 1
+)""")
+        if r < rounds - 1:
+            out.append(f"g{r + 1} as (select feature, p - {step!r}::double + {2 * step / (points - 1)!r}::double * i p from {best}, (select unnest(range({points})) i))")
+            step = 2 * step / (points - 1)
+    return ",\n".join(out)
+
+
+_SHAPED = lambda f: f"case when abs(p_{f}) < 1e-12 then ln(1 + {f}) else (pow({f} + 1, p_{f}) - 1) / p_{f} end"  # quality values are not negative
+
+
+@query("m2_quality_transform", f"""
+with {_SPLIT}, train as (select * from split where split = 'train'), {_power_search_sql('train', FEATURES[3:])},
+powers as (select {", ".join(f"max(p) filter (where feature = '{f}') p_{f}" for f in FEATURES[3:])} from chosen),
+shaped as (select request_id, split, {", ".join(f"{_SHAPED(f)} {f}" for f in FEATURES[3:])} from split, powers),
+limits as (select {", ".join(f"min({f}) lo_{f}, max({f}) hi_{f}" for f in FEATURES[3:])} from shaped where split = 'train')
+select request_id, {", ".join(f"round(greatest(0, least(1, ({f} - lo_{f}) / (hi_{f} - lo_{f}))), 6) {f}" for f in FEATURES[3:])} from shaped, limits""")
 def _(t):
-    rows = split_rows(t)
+    rows = cut_lineage(split_rows(t), "split")
     powers = s.fit_power(rows.where(F.col("split") == "train"))
     shaped = s.apply_power(rows.select("request_id", "split", *FEATURES[3:]), powers)
     limits = s.fit_min_max(shaped.where(F.col("split") == "train"), FEATURES[3:])
-    return s.apply_min_max(shaped.drop("split"), limits, FEATURES[3:])
+    return rounded(s.apply_min_max(shaped.drop("split"), limits, FEATURES[3:]))
 
 
 _COARSE = {f: 5 for f in FEATURES} | {"liveness_score": 0.05, "ocr_confidence_score": 0.05, "blur_score": 50}
