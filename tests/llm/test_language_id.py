@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from veriframe.llm import language_id as lid
 from veriframe.llm.queries import QUERIES
@@ -62,3 +63,23 @@ def test_odd_rows(frame):
     assert got[100] == got[101] == got[102] == {"und"} and got[103] == {"de"} and got[None] == {"en"}
     assert lid.identify(docs.where("false"), model).count() == 0
     assert {r.lang_pred for r in lid.identify(docs, lid.fit(docs.where("false"))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("texts", [["abc", "yes"], ["", "zz"], ["", ""], ["a", None]])
+def test_short_training_texts(frame, texts):
+    """Orders that no training text reaches are left out; the shortest texts still name a language."""
+    model = lid.fit(frame([(i, text, lang) for i, (text, lang) in enumerate(zip(texts, ("en", "de")))]))
+    rows = lid.identify(frame([(1, "abc and yes"), (2, ""), (3, None), (4, "a" * 5000), (5, "zzz")]), model).collect()
+    got = {r.doc_id: r for r in rows}
+    assert got[2].lang_pred == got[3].lang_pred == lid.UNKNOWN
+    assert all(got[i].lang_pred in model.languages and 0 <= got[i].score <= 1 for i in (1, 4, 5))
+    if texts == ["abc", "yes"]:
+        assert (got[1].lang_pred, got[4].lang_pred) == ("en", "en")
+
+
+def test_sample_is_bounded_in_bytes(frame):
+    rows = [(i, "word " * 200, "en") for i in range(40)] + [(100 + i, "wort " * 3, "de") for i in range(5)]
+    small, whole = (lid.fit(frame(rows), bytes_per_language=n) for n in (2500, 1 << 30))
+    assert small.languages == whole.languages == ("de", "en")
+    one = lid.fit(frame(rows), bytes_per_language=1)  # a row of each language stays
+    assert one.languages == ("de", "en")

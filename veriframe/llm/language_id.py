@@ -122,8 +122,12 @@ def freeze(counts):
     return model
 
 
-def fit(labelled, rows_per_language=1500, order=4, id_col="doc_id", text_col="text", lang_col="lang"):
-    """Frozen statistics from a bounded sample of rows per language; None without labelled rows."""
+def fit(labelled, rows_per_language=1500, order=4, id_col="doc_id", text_col="text", lang_col="lang", bytes_per_language=64 << 20):
+    """Frozen statistics from a bounded sample of rows per language; None without labelled rows.
+
+    The sample of a language ends at ``rows_per_language`` rows or with the row that reaches ``bytes_per_language``. Texts may be
+    empty or shorter than the order; orders that no training text reaches are left out of the code lengths.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("order"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
@@ -132,8 +136,10 @@ def fit(labelled, rows_per_language=1500, order=4, id_col="doc_id", text_col="te
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 1.5 * rows_per_language / n))])
     # a hash threshold first, so that only about the wanted rows are put in order
     drawn = rows.where(F.pmod("order", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= rows_per_language).select("lang", "text")
+    inside = Window.partitionBy("lang").orderBy("order", "text")
+    held = F.sum(F.octet_length("text")).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    sample = drawn.withColumns({"rank": F.row_number().over(inside), "held": F.coalesce(held, F.lit(0))})
+    sample = sample.where((F.col("rank") <= rows_per_language) & (F.col("held") < bytes_per_language)).select("lang", "text")
 
     def count(key, rows):
         return pa.table({"lang": [key[0].as_py()], "counts": pa.array([count_language(rows.column("text"), order)], pa.binary())})
@@ -170,6 +176,8 @@ def code_lengths(model, tables, data, offsets):
 
 
 def _costs(model, grams, contexts, keys, k):
+    if not len(model.grams[k]):  # no training text was long enough for this order
+        return _costs(model, grams, contexts, keys & np.uint64((1 << 8 * k) - 1), k - 1) if k else np.full((len(keys), len(model.languages)), np.float32(8))
     found = grams[k].find(keys)
     cost = model.costs[k][found]
     missing = np.flatnonzero(found < 0)
