@@ -111,3 +111,33 @@ def test_fullest_is_exact():
         best = max(sum(n * k for n, k in zip(counts, ks)) for ks in itertools.product(*(range(c + 1) for c in counts.values())) if sum(n * k for n, k in zip(counts, ks)) <= room)
         chosen = packing._fullest(counts, room)
         assert sum(n * k for n, k in chosen.items()) == best and all(k <= counts[n] for n, k in chosen.items())
+
+
+def test_scans_in_another_order_are_an_error(monkeypatch):
+    """Two rows change places between the scan for words and the scan for positions."""
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(word_bpe.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 3))
+    shared = types.SimpleNamespace(value=byte_vocabulary())
+
+    def scan(rows, give_words):
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+        return pa.Table.from_batches(list(word_bpe._cut([batch], shared, 1 << 20, 1, give_words, not give_words)))
+
+    rows = [(1, "one two"), (2, "two one")]
+    answers = word_bpe._encode_bucket(scan(rows, True), shared)
+    assert word_bpe._assemble([answers, scan(rows, False)], pa.int64()).column("id").to_pylist() == [1, 2]
+    for changed in (rows[::-1], [(1, "two one"), (2, "one two")], [(2, "one two"), (1, "two one")]):
+        with pytest.raises(ValueError, match="changed between two scans"):
+            word_bpe._assemble([answers, scan(changed, False)], pa.int64())
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "date", "string"])
+def test_other_id_types(spark, kind):
+    value = {"date": "date'2020-01-02'"}.get(kind, f"cast(7 as {kind})")
+    docs = spark.sql(f"select {value} as doc_id, 'one two' as text union all select cast(null as {kind}), 'three'")
+    rows = word_bpe.encode(docs, byte_vocabulary())
+    assert rows.schema["doc_id"].dataType.simpleString() == kind
+    assert {r.doc_id for r in rows.collect()} == {r.doc_id for r in docs.collect()}

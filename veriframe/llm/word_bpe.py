@@ -5,7 +5,7 @@ holds every block's request for its words, encodes each distinct word once and a
 word numbers (the positions) meets the answers by block, where ids are put back by position. A word that fills the corpus is
 still one entry per block, so no key gathers more rows than there are blocks. Positions either travel with the words, which
 shuffles them twice, or come from a second scan, which costs time; then both scans must see the same rows in the same order,
-as scans of files do, and a block whose scans differ is an error, not a wrong result.
+as scans of files do; a block whose ids or texts differ between its scans, in their order too, is an error, not a wrong result.
 
 A word is a stretch between single spaces with the space in front of it, which is always a border between matches of the
 splitting pattern as long as white space does not touch white space; other texts are cut by the pattern itself.
@@ -25,7 +25,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
+from pyspark.sql.pandas.types import to_arrow_type
 
 from veriframe.llm.tables import binary_column, from_planes, pack, partitions, planes, ragged, slices, text_buffer, unpack
 
@@ -104,6 +106,14 @@ class _Numbers(dict):
         return number
 
 
+def _digest(ids, data, offsets):
+    """Names a block's ids and texts in their order, so that two scans of it can be compared."""
+    value = xxhash.xxh3_128(ids)
+    value.update(np.ascontiguousarray(data))
+    value.update(np.ascontiguousarray(offsets))
+    return value.digest()
+
+
 def _words(text, split):
     """Keys of a text's words: a string stands for itself with a space in front, a 1-tuple for exactly its string."""
     if split is not None and UNEVEN.search(text):
@@ -126,13 +136,14 @@ def _cut(batches, vocabulary, block_bytes, buckets, give_words, give_positions):
                 words = _words(text, split) if text else []
                 sequences.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 counts.append(len(words))
-            rows = []
+            rows, ids = [], pa.table({"id": part.column(0)})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ids.schema) as writer:
+                writer.write_table(ids)
+            ids = sink.getvalue().to_pybytes()
+            digest = _digest(ids, *text_buffer(part.column(1)))
             if give_positions:
-                ids = pa.table({"id": part.column(0)})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, ids.schema) as writer:
-                    writer.write_table(ids)
-                rows.append((block % buckets, block, True, pack((sink.getvalue().to_pybytes(), np.array(counts, np.int64), planes(np.concatenate(sequences)), len(numbers)), 6)))
+                rows.append((block % buckets, block, True, pack((ids, np.array(counts, np.int64), planes(np.concatenate(sequences)), len(numbers), digest), 6)))
             if give_words:
                 words = [word[0] if type(word) is tuple else " " + word for word in numbers]
                 bucket_of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
@@ -141,7 +152,7 @@ def _cut(batches, vocabulary, block_bytes, buckets, give_words, give_positions):
                 for bucket in np.flatnonzero(np.diff(bounds)):
                     mine = order[bounds[bucket]: bounds[bucket + 1]]
                     own = [words[i] for i in mine]
-                    rows.append((int(bucket), block, False, pack((planes(np.diff(mine, prepend=0)), planes([len(w) for w in own]), "".join(own)), 6)))
+                    rows.append((int(bucket), block, False, pack((planes(np.diff(mine, prepend=0)), planes([len(w) for w in own]), "".join(own), digest), 6)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "positions", "payload"])
             block += 1
@@ -156,11 +167,11 @@ def _encode_bucket(rows, vocabulary):
             answers.append((block, True, payload))
             continue
         blocks.append(block)
-        local, sizes, joined = unpack(payload)
+        local, sizes, joined, digest = unpack(payload)
         ends = np.cumsum(from_planes(sizes)).tolist()
-        requests.append((local, [joined[a:b] for a, b in zip([0, *ends], ends)]))
+        requests.append((local, [joined[a:b] for a, b in zip([0, *ends], ends)], digest))
     numbers = _Numbers()
-    wanted = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for _, words in requests]
+    wanted = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for _, words, _ in requests]
     words, lengths, flat = list(numbers), [], []
     for start in range(0, len(words), 20000):
         coded = encode(words[start: start + 20000])
@@ -169,8 +180,8 @@ def _encode_bucket(rows, vocabulary):
     flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
     lengths = np.array(lengths, np.int64)
     starts = np.cumsum(lengths) - lengths
-    for block, (local, _), index in zip(blocks, requests, wanted):
-        answers.append((block, False, pack((local, planes(lengths[index]), planes(flat[ragged(starts[index], lengths[index])])))))
+    for block, (local, _, digest), index in zip(blocks, requests, wanted):
+        answers.append((block, False, pack((local, planes(lengths[index]), planes(flat[ragged(starts[index], lengths[index])]), digest))))
     return pa.table([pa.array(c) for c in zip(*answers)], ["block", "positions", "payload"])
 
 
@@ -183,15 +194,17 @@ def _assemble(tables, id_type):
     answers = parts[False]
     if len(parts[True]) != 1:
         raise ValueError("the input changed between two scans; write it to a table first")
-    ids, counts, sequence, distinct = parts[True][0]
+    ids, counts, sequence, distinct, digest = parts[True][0]
+    if any(answer[3] != digest for answer in answers):
+        raise ValueError("the input changed between two scans; write it to a table first")
     sequence = from_planes(sequence)
     starts, lengths, flat, at = np.zeros(distinct, np.int64), np.zeros(distinct, np.int64), [np.zeros(0, np.uint32)], 0
-    for local, own, values in answers:
+    for local, own, values, _ in answers:
         local, own, values = np.cumsum(from_planes(local)), from_planes(own), from_planes(values).astype(np.uint32)
         starts[local], lengths[local] = at + np.cumsum(own) - own, own
         flat.append(values)
         at += len(values)
-    if sum(len(own[0]) for _, own, _ in answers) != distinct:
+    if sum(len(own[0]) for _, own, _, _ in answers) != distinct:
         raise ValueError("the input changed between two scans; write it to a table first")
     flat = np.concatenate(flat)
     by_word = lengths[sequence]
@@ -217,7 +230,7 @@ def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=16 <<
         )
 
     answers = cut(True, not rescan).groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, shared), "block bigint, positions boolean, payload binary")
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    arrow = to_arrow_type(docs.schema[id_col].dataType)
     schema = f"id {id_type}, n_tokens bigint, ids binary"
     if rescan:  # each scan is a stage of its own, so both number their blocks alike
         both = answers.groupBy("block").cogroup(cut(False, True).groupBy("block"))
