@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from veriframe.operators.keyed import quantile_columns
+from veriframe.schemas import FEATURES
 from veriframe.session import cut_lineage
 
 AXES = ["z0", "z1", "z2", "z3", "z4", "z5"]
 # Axes whose cells are enumerated when looking for neighbouring cells; the others are compared.
-PAIR_AXES = ["z0", "z1", "z4", "z5"]
 SEARCH_AXES = ["z0", "z4", "z5"]
 
 
@@ -58,40 +62,225 @@ def _touching(left, right, axes, once=False):
     return a.join(b, on).drop("_o", *[f"_{k}" for k in keys])
 
 
-def near_duplicate_pairs(scores):
+@dataclass(frozen=True)
+class SplitTree:
+    """Cuts of the space into tiles, from medians of a sample: node k goes on to ``left[k]`` or ``right[k]``, a negative number -t-1 is tile t."""
+
+    axis: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    tiles: int
+
+    @classmethod
+    def of_sample(cls, sample, tiles):
+        axis, cut, left, right, leaves = [], [], [], [], [0]
+
+        def grow(rows, wanted):
+            spread = rows.max(axis=0) - rows.min(axis=0) if len(rows) else np.zeros(1)
+            if wanted <= 1 or len(rows) < 2 or spread.max() == 0:
+                leaves[0] += 1
+                return -leaves[0]
+            number, best = len(axis), int(spread.argmax())
+            values = np.sort(rows[:, best])
+            at = values[(len(values) - 1) // 2]
+            at = at if at < values[-1] else values[np.searchsorted(values, at) - 1]  # something must lie above the cut
+            for own, value in ((axis, best), (cut, at), (left, 0), (right, 0)):
+                own.append(value)
+            below = rows[:, best] <= at
+            left[number] = grow(rows[below], wanted // 2)
+            right[number] = grow(rows[~below], wanted - wanted // 2)
+            return number
+
+        grow(sample, tiles)
+        return cls(np.array(axis, int), np.array(cut, float), np.array(left, int), np.array(right, int), leaves[0])
+
+    def visits(self, vectors, reach):
+        """(row, tile) for each tile whose part of the space has a point within ``reach`` of the row along every cut."""
+        if not len(self.axis):
+            yield np.arange(len(vectors)), 0
+            return
+        waiting = [(0, np.arange(len(vectors)))]
+        while waiting:
+            node, rows = waiting.pop()
+            if node < 0:
+                yield rows, -node - 1
+                continue
+            value = vectors[rows, self.axis[node]]
+            for child, mine in ((self.left[node], value - reach <= self.cut[node]), (self.right[node], value + reach > self.cut[node])):
+                if mine.any():
+                    waiting.append((child, rows[mine]))
+
+
+LEAF = 24  # vectors of a leaf inside a tile
+CHUNK = 1 << 18  # node pairs (or compared vectors) handled at a time
+
+
+class _Nodes:
+    """A median tree over one set of vectors: boxes, weights and children of every node; children of a leaf are -1."""
+
+    def __init__(self, vectors, weights):
+        low, high, left, right, start, stop = [], [], [], [], [], []
+        order = np.arange(len(vectors))
+        waiting = [(0, len(vectors), -1, 0)]
+        while waiting:
+            a, b, parent, side = waiting.pop()
+            number, own = len(low), vectors[order[a:b]]
+            if parent >= 0:
+                (left, right)[side][parent] = number
+            low.append(own.min(axis=0))
+            high.append(own.max(axis=0))
+            left.append(-1)
+            right.append(-1)
+            start.append(a)
+            stop.append(b)
+            if b - a > LEAF:
+                middle = (b - a) // 2
+                order[a:b] = order[a:b][np.argpartition(own[:, (high[-1] - low[-1]).argmax()], middle)]
+                waiting += [(a, a + middle, number, 0), (a + middle, b, number, 1)]
+        self.low, self.high, self.left, self.right = np.array(low), np.array(high), np.array(left), np.array(right)
+        self.start, self.stop = np.array(start), np.array(stop)
+        self.vectors, self.weights = vectors[order], weights[order]
+        total, square = (np.concatenate([[0], np.cumsum(x)]) for x in (self.weights, self.weights**2))
+        self.weight, self.square = total[self.stop] - total[self.start], square[self.stop] - square[self.start]
+
+
+def _split_pairs(x, y, i, j, same):
+    """Node pairs with the larger node (in vectors) replaced by its children; a node with itself gives three pairs."""
+    bigger = (x.stop - x.start)[i] >= (y.stop - y.start)[j]
+    bigger = (bigger | (y.left[j] < 0)) & (x.left[i] >= 0)
+    own = same & (i == j)
+    first, second = bigger & ~own, ~bigger & ~own
+    pairs = [(x.left[i[first]], j[first]), (x.right[i[first]], j[first]), (i[second], y.left[j[second]]), (i[second], y.right[j[second]])]
+    pairs += [(x.left[i[own]], x.left[i[own]]), (x.right[i[own]], x.right[i[own]]), (x.left[i[own]], x.right[i[own]])]
+    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+
+
+def _compared(x, y, i, j, same):
+    """Weighted close pairs of leaf pairs, vector by vector."""
+    total = 0
+    step = max(1, CHUNK // LEAF**2)
+    for at in range(0, len(i), step):
+        a, b = i[at: at + step], j[at: at + step]
+        rows, columns = (t.start[n][:, None] + np.arange(LEAF) for t, n in ((x, a), (y, b)))
+        good = (rows < x.stop[a][:, None])[:, :, None] & (columns < y.stop[b][:, None])[:, None, :]
+        rows, columns = np.minimum(rows, len(x.vectors) - 1), np.minimum(columns, len(y.vectors) - 1)
+        for axis in range(x.vectors.shape[1]):
+            good &= np.abs(x.vectors[rows, axis][:, :, None] - y.vectors[columns, axis][:, None, :]) <= 1
+        if same:  # a leaf with itself: each pair once, and none of a vector with itself
+            good &= (a != b)[:, None, None] | (rows[:, :, None] < columns[:, None, :])
+        total += int((good * x.weights[rows][:, :, None] * y.weights[columns][:, None, :]).sum())
+    return total
+
+
+def count_close(x, y=None):
+    """(whole, compared): weighted pairs within distance 1 of two node trees, or of one with itself (copies of one vector left out)."""
+    same = y is None
+    y = x if same else y
+    whole, compared, waiting = 0, 0, [(np.zeros(1, int), np.zeros(1, int))]
+    while waiting:
+        i, j = waiting.pop()
+        if len(i) > CHUNK:
+            waiting.append((i[CHUNK:], j[CHUNK:]))
+            i, j = i[:CHUNK], j[:CHUNK]
+        gap = np.maximum(y.low[j] - x.high[i], x.low[i] - y.high[j]).max(axis=1)
+        reach = (np.maximum(x.high[i], y.high[j]) - np.minimum(x.low[i], y.low[j])).max(axis=1)
+        own = same & (i == j)
+        inside = (reach <= 1)
+        product = np.where(own, (x.weight[i] ** 2 - x.square[i]) // 2, x.weight[i] * y.weight[j])
+        whole += int(product[inside].sum())
+        rest = ~inside & (gap <= 1)
+        leaves = rest & (x.left[i] < 0) & (y.left[j] < 0)
+        compared += _compared(x, y, i[leaves], j[leaves], same)
+        rest &= ~leaves
+        if rest.any():
+            waiting.append(_split_pairs(x, y, i[rest], j[rest], same))
+    return whole, compared
+
+
+def _matrix(batch):
+    return np.stack([batch.column(a).to_numpy(zero_copy_only=False) for a in AXES], axis=1) if len(batch) else np.zeros((0, len(AXES)))
+
+
+def near_duplicate_pairs(scores, tile_rows=20_000, sample_per_tile=200):
     """Number of row pairs whose scaled distance is at most 1, split by how they were counted.
 
-    Copies of one vector are counted from their multiplicity and pairs inside one unit cell from the
-    cell's totals (they are always close). For two touching cells the bounding boxes decide first:
-    too far apart counts nothing, completely close counts the product. Only the remaining cell pairs
-    compare vectors, and those comparisons are summed inside the join stage.
+    Copies of one vector are counted from their multiplicity. Medians of a bounded sample cut the space into tiles of about
+    ``tile_rows`` distinct vectors; the exact boxes of the tiles are aggregated. A vector visits each tile with a smaller number
+    whose box it may reach, unless it is close to the whole box: then it counts with the tile's total and stays at home, so that
+    vectors crowded into a unit of space do not meet each other. Inside a tile, median trees of its own vectors and its
+    visitors are walked together: pairs of nodes are dropped or counted whole by their boxes, and only leaves compare vectors.
     """
-    vectors = _with_cells(weighted_vectors(scores), 1.0)
-    cells = vectors.groupBy(*_CELL).agg(
-        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"),
-        *[f(a).alias(f"{p}{a}") for a in AXES for f, p in ((F.min, "lo"), (F.max, "hi"))],
-    )
-    same = vectors.agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).cast("bigint").alias("pairs"))
-    inside = cells.agg(F.sum((F.col("w") * F.col("w") - F.col("w2")) / 2).cast("bigint").alias("pairs"))
-    pairs = _touching(cells, cells, PAIR_AXES, once=True)
-    box = lambda side, p, a: F.col(f"{side}_{p}{a}")
-    gap = F.greatest(*[F.greatest(box("b", "lo", a) - box("a", "hi", a), box("a", "lo", a) - box("b", "hi", a)) for a in AXES])
-    reach = F.greatest(*[F.greatest(box("a", "hi", a), box("b", "hi", a)) - F.least(box("a", "lo", a), box("b", "lo", a)) for a in AXES])
-    candidates = pairs.where(gap <= 1).select(
-        *[f"{s}_{c}" for s in "ab" for c in _CELL], (reach <= 1).alias("_all"), (F.col("a_w") * F.col("b_w")).alias("_product")
-    )
-    whole = candidates.where("_all").agg(F.coalesce(F.sum("_product"), F.lit(0)).cast("bigint").alias("pairs"))
-    side = lambda s: vectors.select(*[F.col(c).alias(f"{s}_{c}") for c in _CELL], *[F.col(a).alias(f"{s}_{a}") for a in AXES], F.col("w").alias(f"{s}_n"))
-    open_ = candidates.where(~F.col("_all")).drop("_all", "_product")
-    compared = open_.join(side("a"), [f"a_{c}" for c in _CELL]).join(side("b"), [f"b_{c}" for c in _CELL])
-    close = F.greatest(*[F.abs(F.col(f"a_{a}") - F.col(f"b_{a}")) for a in AXES]) <= 1
-    across = compared.where(close).agg(F.coalesce(F.sum(F.col("a_n") * F.col("b_n")), F.lit(0)).cast("bigint").alias("pairs"))
-    parts = [("identical", same), ("same_cell", inside), ("whole_cells", whole), ("compared", across)]
-    rows = None
-    for name, part in parts:
-        part = part.select(F.lit(name).alias("kind"), F.coalesce("pairs", F.lit(0).cast("bigint")).alias("pairs"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    spark = scores.sparkSession
+    vectors = cut_lineage(weighted_vectors(scores).dropna(), "vectors")
+    n = vectors.count()
+    tiles = max(1, -(-n // tile_rows))
+    sample = vectors.where(F.pmod(F.xxhash64(*AXES), F.lit(max(n, 1))) < tiles * sample_per_tile).select(*AXES).collect()
+    tree = SplitTree.of_sample(np.array(sorted(tuple(r) for r in sample), float).reshape(-1, len(AXES)), tiles)
+    columns = ", ".join(f"{a} double" for a in AXES)
+
+    def placed(batches):
+        for batch in batches:
+            own, tile = _matrix(batch), np.zeros(len(batch), np.int64)
+            for rows, number in tree.visits(own, 0.0):
+                tile[rows] = number
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*AXES, "w")], pa.array(tile)], [*AXES, "w", "tile"])
+
+    at_home = cut_lineage(vectors.mapInArrow(placed, f"{columns}, w bigint, tile bigint"), "tiled-vectors")
+    boxes = at_home.groupBy("tile").agg(F.sum("w").alias("w"), *[f(a).alias(f"{p}{a}") for a in AXES for f, p in ((F.min, "lo"), (F.max, "hi"))])
+    boxes = {r["tile"]: (np.array([r[f"lo{a}"] for a in AXES]), np.array([r[f"hi{a}"] for a in AXES]), r["w"]) for r in boxes.collect()}  # a row per tile
+    shared = spark.sparkContext.broadcast((tree, boxes))  # one entry per ``tile_rows`` vectors
+
+    def dealt(batches):
+        tree, boxes = shared.value
+        for batch in batches:
+            own, home, weight = _matrix(batch), batch.column("tile").to_numpy(), batch.column("w").to_numpy()
+            rows, targets, whole = [np.arange(len(batch))], [home], 0
+            for near, tile in tree.visits(own, 1.0 + 1e-6):
+                near = near[home[near] > tile]
+                if tile not in boxes or not len(near):
+                    continue
+                low, high, total = boxes[tile]
+                reach = np.maximum(np.abs(own[near] - low), np.abs(high - own[near])).max(axis=1)
+                gap = np.maximum(own[near] - high, low - own[near]).max(axis=1)
+                whole += int(weight[near[reach <= 1]].sum()) * total
+                crossing = near[(gap <= 1) & (reach > 1)]
+                rows.append(crossing)
+                targets.append(np.full(len(crossing), tile))
+            rows, targets = np.concatenate(rows), np.concatenate(targets)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(take) for c in (*AXES, "w")], pa.array(targets), pa.array(home[rows] == targets), pa.nulls(len(rows), pa.int64())], names)
+            empty = [pa.array([0.0])] * len(AXES)
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([0]), pa.array([-1]), pa.array([False]), pa.array([whole])], names)
+
+    names = [*AXES, "w", "tile", "own", "whole"]
+    visiting = cut_lineage(at_home.mapInArrow(dealt, f"{columns}, w bigint, tile bigint, own boolean, whole bigint"), "tile-visitors")
+
+    def counted(table):
+        own, guests = (table.filter(flag) for flag in (table.column("own"), pc.invert(table.column("own"))))
+        home = _Nodes(_matrix(own), own.column("w").to_numpy())
+        whole, compared = count_close(home)
+        if len(guests):
+            more = count_close(home, _Nodes(_matrix(guests), guests.column("w").to_numpy()))
+            whole, compared = whole + more[0], compared + more[1]
+        return pa.table({"kind": ["whole_nodes", "compared"], "pairs": [whole, compared]})
+
+    inside = visiting.where("whole is null").groupBy("tile").applyInArrow(counted, "kind string, pairs bigint")
+    identical = vectors.select(F.lit("identical").alias("kind"), (F.col("w") * (F.col("w") - 1) / 2).cast("bigint").alias("pairs"))
+    tiled = visiting.where("whole is not null").select(F.lit("whole_tiles").alias("kind"), F.col("whole").alias("pairs"))
+    kinds = spark.createDataFrame([(k,) for k in ("identical", "whole_tiles", "whole_nodes", "compared")], "kind string")
+    found = identical.unionByName(tiled).unionByName(inside).groupBy("kind").agg(F.sum("pairs").alias("pairs"))
+    return kinds.join(found, "kind", "left").select("kind", F.coalesce("pairs", F.lit(0).cast("bigint")).alias("pairs"))
+
+
+def near_duplicate_pairs_between(first, second):
+    """One row: exact duplicates in both tables together, close pairs of rows in all, and those between a row of each table."""
+    both = first.select(*FEATURES).unionByName(second.select(*FEATURES))
+    total, one, two = (near_duplicate_pairs(rows).agg(F.sum("pairs").alias("n")) for rows in (both, first, second))
+    copies = both.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("exact_duplicates"))
+    joined = copies.crossJoin(total).crossJoin(one.select(F.col("n").alias("n1"))).crossJoin(two.select(F.col("n").alias("n2")))  # one-row sides
+    return joined.select("exact_duplicates", F.col("n").alias("near_pairs"), (F.col("n") - F.col("n1") - F.col("n2")).alias("near_pairs_between"))
 
 
 def nearest_distances(scores, first_radius=1.0):
