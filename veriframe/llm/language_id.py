@@ -190,7 +190,11 @@ def _costs(model, grams, contexts, keys, k):
     return cost
 
 
-_TABLES = {}
+def _tables(frozen):
+    """Look-up tables of a model, kept with it: they go when the worker drops the broadcast."""
+    if not hasattr(frozen, "_lookups"):
+        object.__setattr__(frozen, "_lookups", frozen.tables())
+    return frozen._lookups
 
 
 def identify(docs, model, text_col="text", chunk_bytes=1 << 20):
@@ -203,14 +207,13 @@ def identify(docs, model, text_col="text", chunk_bytes=1 << 20):
 
     def run(batches):
         frozen = shared.value
-        if _TABLES.get("model") is not frozen:
-            _TABLES.update(model=frozen, tables=frozen.tables())
+        tables = _tables(frozen)
         for batch in batches:
             data, offsets = text_buffer(batch.column(text_col))
             bits = np.zeros((len(batch), len(frozen.languages)))
             for start, stop in slices(np.diff(offsets), chunk_bytes):
                 own = offsets[start: stop + 1] - offsets[start]
-                bits[start:stop] = code_lengths(frozen, _TABLES["tables"], data[offsets[start]: offsets[stop]], own)
+                bits[start:stop] = code_lengths(frozen, tables, data[offsets[start]: offsets[stop]], own)
             best = bits.argmin(axis=1)
             least = bits.min(axis=1)
             score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)

@@ -43,7 +43,7 @@ def mix(x):
 
 
 class _WordHashes(dict):
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word):
         if len(self) >= self.LIMIT:
@@ -148,7 +148,7 @@ def sketches_allow(left, right, left_size, right_size, percent):
 
 
 def _in_slices(batch, width, memo, text_index=1):
-    for start, stop in slices(np.diff(text_buffer(batch.column(text_index))[1]), 4 << 20):
+    for start, stop in slices(np.diff(text_buffer(batch.column(text_index))[1]), 2 << 20):
         part = batch.slice(start, stop - start)
         yield (part, *shingle_sets(part.column(text_index).to_pylist(), width, memo))
 
@@ -182,7 +182,7 @@ def _signature_rows(docs, width, percent, id_col, text_col):
                     if sizes[i] and key not in seen:
                         seen.add(key)
                         fresh[i] = True
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 kept = np.repeat(fresh, sizes)
                 rows = np.flatnonzero(fresh)
