@@ -139,18 +139,46 @@ def passes(kind, value):
     return F.when(kind == "name", x.looks_like_name(value)).when(kind == "id", x.looks_like_id(value)).otherwise(x.looks_like_date(value))
 
 
+_TRIES = "array<struct<g:int,i:int,k:int>>"
+
+
+def _tries(groups):
+    """What is tried, in order: each text of a group by itself, 2 to 5 neighbours from each start, all together; group after group."""
+    of = lambda g: f"element_at({groups}, {g})"
+    part = lambda g: f"""concat(
+        transform(sequence(1, size({of(g)})), i -> struct({g} as g, i, 1 as k)),
+        flatten(transform(sequence(1, size({of(g)})), i -> transform(sequence(2, 5), k -> struct({g} as g, i, k)))),
+        array(struct({g} as g, 1 as i, size({of(g)}) as k)))"""
+    known = lambda g: f"case when size({of(g)}) > 0 then filter({part(g)}, x -> x.i + x.k - 1 <= size({of(g)})) else cast(array() as {_TRIES}) end"
+    return F.expr(f"concat({known(1)}, {known(2)}, {known(3)})")
+
+
+def _first_fitting(groups, kind):
+    """The first text that passes; texts behind it are not joined or tested."""
+
+    def tried(found, place):
+        text = F.array_join(F.slice(F.element_at(groups, place["g"]), place["i"], place["k"]), " ")
+        return F.coalesce(found, F.element_at(F.transform(F.array(text), lambda t: F.when((t != "") & passes(kind, t), t)), 1))
+
+    return F.aggregate(F.col("_tries"), F.lit(None).cast("string"), tried)
+
+
 def values_near_labels(items, wanted):
     """Value per (page, field): rest of the label text, else the first fitting text right of or below it.
 
-    ``wanted``: page, field, label_key, kind.
+    ``wanted``: page, field, label_key, kind. The texts beside a label are put in order once; one walk over them finds the
+    first that fits, so nothing behind it is built, and a page costs as much as it has texts.
     """
     labels = label_items(items, tuple(dict.fromkeys(label for spec in FIELD_SPECS.values() for _, label, _ in spec)))
-    key = ["side_group", "phase", "start", "size"]
-    own = labels.select(*PAGE, "label_key", *[F.lit(-1).alias(k) for k in key], x.strip_label(F.col("text"), F.col("label_key")).alias("candidate"))
-    near = candidate_texts(spatial_candidates(labels, items), [*PAGE, "label_key"])
-    tries = own.where(F.col("candidate") != "").unionByName(near.select(*own.columns))
-    fitting = wanted.join(tries, [*PAGE, "label_key"]).where(passes(F.col("kind"), F.col("candidate")))
-    return fitting.groupBy(*PAGE, "field").agg(F.min(F.struct(*key, "candidate"))["candidate"].alias("value"))
+    labels = labels.join(wanted.select(*PAGE, "label_key").distinct(), [*PAGE, "label_key"], "left_semi")
+    rest = labels.select(*PAGE, "label_key", x.strip_label(F.col("text"), F.col("label_key")).alias("_rest"))
+    beside = lambda g: F.sort_array(F.collect_list(F.when(F.col("side_group") == g, F.struct("position", "item_no", "text"))))
+    near = spatial_candidates(labels, items).groupBy(*PAGE, "label_key").agg(beside(0).alias("_right"), beside(1).alias("_below"))
+    asked = wanted.join(rest, [*PAGE, "label_key"]).join(near, [*PAGE, "label_key"], "left")
+    groups = "array(array(coalesce(_rest, '')), coalesce(transform(_right, t -> t.text), cast(array() as array<string>)), coalesce(transform(_below, t -> t.text), cast(array() as array<string>)))"
+    tried = asked.withColumn("_groups", F.expr(groups)).withColumn("_tries", _tries("_groups"))
+    values = tried.select(*PAGE, "field", _first_fitting(F.col("_groups"), F.col("kind")).alias("value"))
+    return values.where(F.col("value").isNotNull())
 
 
 def _spec_array(kind):
