@@ -7,9 +7,9 @@ from itertools import product
 import numpy as np
 from pyspark.sql import functions as F
 
-from veriframe.operators.evaluation import calibration_scores, confusion_cells, summary
+from veriframe.operators.evaluation import CELLS, calibration_scores, summary
 from veriframe.operators.keyed import hash_rank
-from veriframe.schemas import FEATURES
+from veriframe.schemas import CLASSES, FEATURES
 
 SPLITS = (("train", 0.7), ("validation", 0.85), ("test", 1.0))
 
@@ -113,25 +113,48 @@ def decide_policy(review_multiplier, verified_threshold, verified_margin):
 MULTIPLIERS, THRESHOLDS, MARGINS = (1.0, 1.25, 1.5, 2.0), (0.0, 0.5, 0.6, 0.7, 0.8), (0.0, 0.1)
 
 
+def policy_rows():
+    return [("probability", w, t, m) for w, t, m in product(MULTIPLIERS, THRESHOLDS, MARGINS)] + [("native", 1.0, 0.0, 0.0)]
+
+
 def policy_grid(spark):
-    rows = [("probability", w, t, m) for w, t, m in product(MULTIPLIERS, THRESHOLDS, MARGINS)] + [("native", 1.0, 0.0, 0.0)]
-    return spark.createDataFrame(rows, "policy string, review_multiplier double, verified_threshold double, verified_margin double")
+    return spark.createDataFrame(policy_rows(), "policy string, review_multiplier double, verified_threshold double, verified_margin double")
 
 
 POLICY_KEYS = ["candidate", "policy", "review_multiplier", "verified_threshold", "verified_margin"]
 
 
+def _decision_cells(rows):
+    """(candidate, target, native_label, comparisons, n): rows that no policy of the grid tells apart, counted together.
+
+    A policy looks at nothing but these comparisons: review against the others for each multiplier, rejected against verified,
+    verified against each threshold and its lead against each margin.
+    """
+    review = ", ".join(f"p_review * {w}D >= p_rejected and p_review * {w}D >= p_verified" for w in MULTIPLIERS)
+    below = ", ".join(f"p_verified < {t}D" for t in THRESHOLDS)
+    close = ", ".join(f"p_verified - greatest(p_review, p_rejected) < {m}D" for m in MARGINS)
+    cells = rows.selectExpr("candidate", "target", "native_label", f"array({review}) review", "p_rejected >= p_verified rejected", f"array({below}) below", f"array({close}) close")
+    return cells.groupBy("candidate", "target", "native_label", "review", "rejected", "below", "close").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _policy_confusion(rows):
+    """Confusion counts of every candidate under every policy; rows are counted once, and only cells meet the grid."""
+    policies = ", ".join(
+        f"struct('{p}' as policy, {w}D as review_multiplier, {t}D as verified_threshold, {m}D as verified_margin, "
+        f"{MULTIPLIERS.index(w) + 1} as w, {THRESHOLDS.index(t) + 1} as t, {MARGINS.index(m) + 1} as m)" for p, w, t, m in policy_rows())
+    crossed = _decision_cells(rows).selectExpr("*", f"inline(array({policies}))")
+    label = "case when element_at(review, w) then 'Manual Review' when rejected then 'Rejected' when element_at(below, t) or element_at(close, m) then 'Manual Review' else 'Verified' end"
+    decided = crossed.selectExpr(*POLICY_KEYS, "target", "n", f"case when policy = 'native' then native_label else {label} end as predicted")
+    cells = [F.expr(f"sum(case when target = '{CLASSES[i]}' and predicted = '{CLASSES[j]}' then n else 0 end) as n_{i}{j}") for i, j in CELLS]
+    return decided.groupBy(*POLICY_KEYS).agg(*cells)
+
+
 def sweep_policies(rows, baseline="raw_native_sigmoid"):
     """Every candidate under every policy with eligibility against the baseline, best first.
 
-    ``rows``: candidate, target, p_verified, p_review, p_rejected, native_label. The 41-row grid is
-    crossed in memory and counted map-side; only confusion cells are shuffled.
+    ``rows``: candidate, target, p_verified, p_review, p_rejected, native_label.
     """
-    crossed = rows.crossJoin(F.broadcast(policy_grid(rows.sparkSession)))
-    label = F.when(F.col("policy") == "native", F.col("native_label")).otherwise(
-        decide_policy(F.col("review_multiplier"), F.col("verified_threshold"), F.col("verified_margin"))
-    )
-    table = summary(confusion_cells(crossed.withColumn("predicted", label), POLICY_KEYS), POLICY_KEYS)
+    table = summary(_policy_confusion(rows), POLICY_KEYS)
     losses = calibration_scores(rows, ["candidate"]).select("candidate", "log_loss")
     table = table.join(losses, "candidate")
     plain = (F.col("policy") == "probability") & (F.col("review_multiplier") == 1) & (F.col("verified_threshold") == 0) & (F.col("verified_margin") == 0)
