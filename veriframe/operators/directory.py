@@ -112,16 +112,62 @@ def with_agent_name(logs, agents, missing="Unknown"):
     return logs.join(names, "agent_id", "left").withColumn("agent_name", F.coalesce(name, F.lit(missing)))
 
 
-def audit_page(logs, agents, page=1, page_size=20):
+PART_ROWS = 100_000  # a page is cut out of a part of about this size
+DIRECTORY_BUCKETS = 1024
+NO_TIME = -(1 << 62)  # a missing time is older than all others
+
+
+def _narrowed(rows, key, first, last, part_rows):
+    """The range [low, high] of ``key`` that holds the ranks first..last (from 0, greatest first): (low, high, rows above, rows in all).
+
+    Each round counts the rows of the range in buckets of equal width and keeps those that hold the wanted ranks.
+    """
+    limits = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    low, high, total, above = limits["low"], limits["high"], limits["n"], 0
+    size = total
+    while size > part_rows and low < high:
+        width = (high - low) // DIRECTORY_BUCKETS + 1
+        inside = rows.where(key.between(low, high))
+        counts = inside.groupBy(((key - low) / width).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+        kept, seen = [], above
+        for r in sorted(counts.collect(), key=lambda r: -r["bucket"]):  # DIRECTORY_BUCKETS rows
+            if seen + r["n"] > first and seen <= last:
+                kept.append((seen, r))
+            seen += r["n"]
+        if not kept:
+            return low, high, above, total
+        shrunk = (min(r["low"] for _, r in kept), max(r["high"] for _, r in kept))
+        above, size = kept[0][0], sum(r["n"] for _, r in kept)
+        if shrunk == (low, high) and len(kept) > 1:
+            break  # the wanted ranks take up the whole range
+        low, high = shrunk
+    return low, high, above, total
+
+
+def audit_page(logs, agents, page=1, page_size=20, part_rows=None):
     """One page of the audit list, newest first, with the total row count.
 
-    The page is cut before names are looked up, so only its rows are joined.
+    Counts by time find the part that holds the page's ranks, and counts by log_id do so inside one moment; only that part is
+    ordered, so a late page costs what the first one does. The page is cut before names are looked up.
     """
+    part_rows = part_rows or PART_ROWS
     page = max(1, int(page or 1))
     size = min(100, max(1, int(page_size or 20)))
-    rows = logs.orderBy(F.desc("ts"), F.desc("log_id")).offset((page - 1) * size).limit(size)
-    total = logs.agg(F.count(F.lit(1)).alias("total"))
-    return with_agent_name(rows, agents).crossJoin(F.broadcast(total))  # one-row side
+    first = (page - 1) * size
+    moment = F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME))
+    low, high, above, total = _narrowed(logs, moment, first, first + size - 1, part_rows)
+    if low is None or first >= total:
+        part, above = logs.where("false"), first
+    elif low > NO_TIME:
+        part = logs.where(F.col("ts").between(F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high))))  # reaches the scan
+    else:
+        part = logs.where(moment.between(low, high))
+    if low is not None and low == high and first < total:  # one moment: its rows are ordered by number
+        number = F.coalesce("log_id", F.lit(NO_TIME))
+        low, high, more, _ = _narrowed(part, number, first - above, first - above + size - 1, part_rows)
+        part, above = part.where(number.between(low, high)), above + more
+    rows = part.orderBy(F.desc("ts"), F.desc("log_id")).offset(first - above).limit(size)
+    return with_agent_name(rows, agents).withColumn("total", F.lit(total).cast("bigint"))
 
 
 def recent_activity(logs, agents, count=20):
