@@ -59,9 +59,10 @@ def _(t):
 @query("i6_retention_job", f"with {_PURGE} select * from plan")
 def _(t):
     path, checkpoint = scratch_dir(t.spark, "purge-plan"), scratch_dir(t.spark, "purge-state")
-    plan = lambda: trail.purge_plan(t.verification_requests, t.kyc_decisions, t.agent_documents, t.stored_files, REQUEST_NOW)
+    plan = lambda agents: trail.purge_plan(
+        t.verification_requests.join(agents, "agent_id", "left_semi"), t.kyc_decisions, t.agent_documents, t.stored_files, REQUEST_NOW)
     jobs.retention_on_change(streamed(t, "orders").verification_requests, plan, path, checkpoint).awaitTermination()
-    return t.spark.read.schema("kind string, agent_id bigint, document_id bigint, path string").parquet(path)
+    return jobs.current_plan(t.spark, path)
 
 
 @query("i7_daily_activity", """

@@ -6,6 +6,8 @@ first; the size of a micro-batch is bounded by the source's rate options (``maxF
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -100,7 +102,9 @@ def failure_alerts(failures, key, limit=MAX_FAILURES, hours=LOOKBACK_HOURS, late
 
 def strike_counts(logs, hours=LOOKBACK_HOURS, lateness="1 hour"):
     """Strike count of the agent after every strike, cleared by an administrator's reset.
-"""
+
+    Times are kept in order; the window's start only moves on and a reset is found by bisection, so a key costs as much as it has rows.
+    """
     width = hours * 3600 * 1000000
     strike = (F.col("action") == "FRAUD_GUARDRAIL_TRIGGERED") & (F.get_json_object("details", "$.guardrailType") == "verification_strike")
     reset = (F.col("action") == "ADMIN_APPROVED") & (F.get_json_object("details", "$.strikesReset") == "true")
@@ -109,18 +113,20 @@ def strike_counts(logs, hours=LOOKBACK_HOURS, lateness="1 hour"):
 
     def step(key, frame, previous):
         frame = frame.sort_values(["ts", "log_id"])
-        times, last_reset = (list(previous[0]), previous[1]) if previous else ([], None)
-        counts = []
+        times, last_reset = (sorted(previous[0]), previous[1]) if previous else ([], None)
+        counts, start = [], 0  # times before ``start`` have left the window
         for moment, what in zip(_micros(frame["ts"]).tolist(), frame["kind"]):
             if what == "strike":
-                times = [t for t in times if t >= moment - width] + [moment]
+                insort(times, moment, lo=start)
+                while times[start] < moment - width:
+                    start += 1
                 since = moment - width if last_reset is None else max(moment - width, last_reset)
-                counts.append(sum(t >= since for t in times))
+                counts.append(len(times) - bisect_left(times, since, lo=start))
             else:
                 last_reset = moment
                 counts.append(None)
         result = frame.assign(strikes=pd.array(counts, dtype="Int64"))
-        return result.loc[frame["kind"] == "strike", ["log_id", "agent_id", "ts", "strikes"]], (times, last_reset)
+        return result.loc[frame["kind"] == "strike", ["log_id", "agent_id", "ts", "strikes"]], (times[start:], last_reset)
 
     return _stateful(
         rows, ["agent_id"], step, "log_id bigint, agent_id bigint, ts timestamp, strikes bigint",
@@ -172,16 +178,36 @@ def daily_activity(logs, lateness="1 hour"):
     )
 
 
+PLAN_SCHEMA = "kind string, agent_id bigint, document_id bigint, path string, batch bigint"
+
+
+def write_plan_batch(changed, make_plan, path, batch_id):
+    """Plan rows of the changed agents, stored under their batch number; a repeated batch replaces itself.
+
+    An agent without plan rows leaves a row without kind, which ends what earlier batches planned.
+    """
+    agents = changed.where(F.col("agent_id").isNotNull()).select("agent_id").distinct()
+    rows = agents.join(make_plan(agents), "agent_id", "left").select("kind", "agent_id", "document_id", "path", F.lit(batch_id).cast("bigint").alias("batch"))
+    rows.write.mode("overwrite").parquet(f"{path}/run={batch_id}")
+
+
+def current_plan(spark, path):
+    """The stored plan: every agent's rows of its last batch."""
+    rows = spark.read.schema(PLAN_SCHEMA).option("recursiveFileLookup", True).parquet(path)
+    last = rows.groupBy("agent_id").agg(F.max("batch").alias("batch"))
+    return rows.where("kind is not null").join(last, ["agent_id", "batch"], "left_semi").select("kind", "agent_id", "document_id", "path")
+
+
 def retention_on_change(changes, make_plan, path, checkpoint, every=None):
-    """Write the purge plan whenever changes arrive, at most once per interval and one run at a time.
+    """Keep the purge plan up to date: a micro-batch of changes plans its agents anew, at most once per interval.
 
-    ``make_plan()`` builds the plan table from the current tables. Without ``every`` the stream works
-    through what is there and stops.
+    ``make_plan(agents)`` builds the plan of a table of agent ids from the current tables. Without ``every`` the stream works
+    through what is there and stops. ``current_plan`` reads the result.
     """
 
     def write(batch, batch_id):
         if not batch.isEmpty():
-            make_plan().write.mode("overwrite").parquet(path)
+            write_plan_batch(batch, make_plan, path, batch_id)
 
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
