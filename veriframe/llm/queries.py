@@ -13,23 +13,29 @@ from veriframe.llm.tables import table
 
 
 def op1_line_dedup(spark, sf_dir):
-    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=3)
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=3, min_words=50)
     return docs.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 with lines as (
   select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no
   from (select distinct doc_id, text from documents where text is not null)
 ), filled as (
-  select *, row_number() over (partition by doc_id, text order by line_no) as seq from lines where regexp_matches(line, '[^\\s]')
+  select *, row_number() over (partition by doc_id, text order by line_no) as seq, count(*) over (partition by doc_id, text) as size,
+    len(regexp_extract_all(line, '[^ \t\r\f\v]+')) as words
+  from lines where regexp_matches(line, '[^\s]')
 ), windows as (
-  select *, line as a, lead(line, 1) over w as b, lead(line, 2) over w as c from filled window w as (partition by doc_id, text order by seq)
+  select *, line as a, lead(line, 1) over w as b, lead(line, 2) over w as c, words as wa, lead(words) over w as wb from filled window w as (partition by doc_id, text order by seq)
+), keyed as (
+  select *, struct_pack(no_id := doc_id is null, id := doc_id, uid := unhex(md5(concat('v', doc_id, chr(1), 'v', text))), seq := seq) as place from windows
 ), placed as (
-  select *, row_number() over (partition by a, b, c order by doc_id nulls last, unhex(md5(concat('v', doc_id, chr(1), 'v', text))), seq) as copy
-  from windows where c is not null
+  select doc_id, text, seq, 3 as span, row_number() over (partition by a, b, c order by place) as copy from keyed where c is not null
+  union all select doc_id, text, seq, 1, row_number() over (partition by a order by place) from keyed where wa >= 50
+  union all select doc_id, text, seq, 2, row_number() over (partition by a, b order by place) from keyed where wa + wb >= 50
+  union all select doc_id, text, seq, size, row_number() over (partition by size, a, b order by place) from keyed where size <= 2 and seq = 1
 ), gone as (
-  select distinct doc_id, text, seq + k as seq from placed, (values (0), (1), (2)) steps(k) where copy > 1
+  select distinct doc_id, text, seq + k as seq from placed, (values (0), (1), (2)) steps(k) where copy > 1 and k < span
 ), marked as (
   select l.doc_id, l.text, l.line, l.line_no, f.seq, g.seq is not null as removed
   from lines l left join filled f on f.doc_id = l.doc_id and f.text = l.text and f.line_no = l.line_no
