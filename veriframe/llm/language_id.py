@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.tables import pack, slices, text_buffer, unpack
+from veriframe.llm.tables import kept_with, pack, release, slices, text_buffer, unpack
 
 UNKNOWN = "und"
 
@@ -190,13 +190,6 @@ def _costs(model, grams, contexts, keys, k):
     return cost
 
 
-def _tables(frozen):
-    """Look-up tables of a model, kept with it: they go when the worker drops the broadcast."""
-    if not hasattr(frozen, "_lookups"):
-        object.__setattr__(frozen, "_lookups", frozen.tables())
-    return frozen._lookups
-
-
 def identify(docs, model, text_col="text", chunk_bytes=1 << 20):
     """``docs`` plus lang_pred, score (share of the winner when code lengths count as probabilities) and bits_per_byte."""
     names = docs.columns
@@ -207,7 +200,7 @@ def identify(docs, model, text_col="text", chunk_bytes=1 << 20):
 
     def run(batches):
         frozen = shared.value
-        tables = _tables(frozen)
+        tables = kept_with(frozen, "_lookups", frozen.tables)
         for batch in batches:
             data, offsets = text_buffer(batch.column(text_col))
             bits = np.zeros((len(batch), len(frozen.languages)))
@@ -225,7 +218,7 @@ def identify(docs, model, text_col="text", chunk_bytes=1 << 20):
 
     marked = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return marked.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return marked.mapInArrow(lambda batches: release(run(batches)), f"{fields}, lang_pred string, score double, bits_per_byte double")
 
 
 def held_out(id_col, parts, rest):

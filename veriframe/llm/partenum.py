@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.tables import binary_column, partitions, slices, text_buffer
+from veriframe.llm.tables import binary_column, partitions, release, slices, text_buffer
 from veriframe.session import cut_lineage
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -165,7 +165,7 @@ def set_classes(docs, width, id_col, text_col):
                 sketches = binary_column(*parity_sketches(flat, bounds))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(hi), pa.array(lo), sketches], ["_id", "n_shingles", "_hi", "_lo", "_sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"_id {id_type}, n_shingles bigint, _hi bigint, _lo bigint, _sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: release(run(batches)), f"_id {id_type}, n_shingles bigint, _hi bigint, _lo bigint, _sketch binary")
 
 
 def _signature_rows(docs, width, percent, id_col, text_col):
@@ -189,7 +189,7 @@ def _signature_rows(docs, width, percent, id_col, text_col):
                 found, row = signatures(flat[kept], np.concatenate([[0], np.cumsum(sizes[rows])]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), part.column(0).take(pa.array(rows[row]))], ["_sig", "_id"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"_sig bigint, _id {id_type}")
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(lambda batches: release(run(batches)), f"_sig bigint, _id {id_type}")
 
 
 def _candidate_sets(docs, wanted, width, id_col, text_col):
@@ -203,7 +203,7 @@ def _candidate_sets(docs, wanted, width, id_col, text_col):
                 yield pa.RecordBatch.from_arrays([part.column(0), binary_column(flat.view(np.uint8), 8 * bounds)], ["_id", "_set"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id", "left_semi")
-    return rows.mapInArrow(run, f"_id {id_type}, _set binary")
+    return rows.mapInArrow(lambda batches: release(run(batches)), f"_id {id_type}, _set binary")
 
 
 def _similar(left, right, percent):
@@ -225,7 +225,7 @@ def _pairs_where(pairs, sets, columns, test):
     joined = pairs
     for side in "ab":
         joined = joined.join(sets.select(F.col("_id").alias(f"_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns]), f"_{side}")
-    return joined.mapInArrow(run, f"_a {id_type}, _b {id_type}")
+    return joined.mapInArrow(lambda batches: release(run(batches)), f"_a {id_type}, _b {id_type}")
 
 
 def _possible(pairs, sketches, percent):

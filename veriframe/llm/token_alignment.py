@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from veriframe.llm.tables import ragged, slices, text_buffer
+from veriframe.llm.tables import kept_with, ragged, release, slices, text_buffer
 from veriframe.session import cut_lineage
 
 UNEVEN = re.compile(r"\s ")
@@ -252,13 +252,14 @@ class _Aligner:
         return [describe("".join(words[x:y].tolist())[:-1]) if y > x else "" for x, y in zip(ends, ends[1:])]
 
 
-_ALIGNERS = {}
+@dataclass(frozen=True)
+class _Pair:
+    left: object
+    right: object
 
 
 def _aligner(shared):
-    if shared.value not in _ALIGNERS:
-        _ALIGNERS[shared.value] = _Aligner(*shared.value)
-    return _ALIGNERS[shared.value]
+    return kept_with(shared.value, "_aligner", lambda: _Aligner(shared.value.left, shared.value.right))
 
 
 def _blocks(batches, shared, block_bytes, describe, schema):
@@ -311,14 +312,14 @@ def align(docs, left, right, id_col="doc_id", text_col="text", describe=groups_t
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    shared = docs.sparkSession.sparkContext.broadcast((left, right))  # two vocabulary files: a few MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(_Pair(left, right))  # two vocabulary files: a few MB, whatever the corpus
     kind = docs.schema[id_col].dataType
     id_type, id_arrow = kind.simpleString(), to_arrow_type(kind)
     pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
     numbers = [(c, pa.int64()) for c in ("n_a", "n_b", "n_groups")]
     inner = pa.schema([("block", pa.int64()), ("id", id_arrow), *numbers, ("groups", pa.string()), ("links", pa.binary()), ("pairs", pair)])
     aligned = cut_lineage(docs.select(id_col, text_col).mapInArrow(
-        lambda batches: _blocks(batches, shared, block_bytes, describe, inner),
+        lambda batches: release(_blocks(batches, shared, block_bytes, describe, inner)),
         f"block bigint, id {id_type}, n_a bigint, n_b bigint, n_groups bigint, groups string, links binary, pairs array<struct<a:int,b:int,n:bigint>>",
     ), "aligned")
     asked = aligned.where(F.col("pairs").isNotNull()).select("block", F.posexplode("pairs").alias("at", "pair")).select("block", "at", "pair.*")

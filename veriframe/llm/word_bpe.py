@@ -29,7 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql.pandas.types import to_arrow_type
 
-from veriframe.llm.tables import binary_column, from_planes, pack, partitions, planes, ragged, slices, text_buffer, unpack
+from veriframe.llm.tables import binary_column, from_planes, kept_with, pack, partitions, planes, ragged, release, slices, text_buffer, unpack
 
 # White space that touches white space, or is neither a space nor a line feed.
 UNEVEN = re.compile(r"\s\s|[^\S \n]")
@@ -87,15 +87,9 @@ class TokenizerFile:
         return (lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]), None
 
 
-_BUILT = {}
-
-
 def _built(vocabulary):
     """Encoder and splitter of a broadcast vocabulary, built once per worker process."""
-    value = vocabulary.value
-    if value not in _BUILT:
-        _BUILT[value] = value.build()
-    return _BUILT[value]
+    return kept_with(vocabulary.value, "_coder", vocabulary.value.build)
 
 
 class _Numbers(dict):
@@ -214,7 +208,7 @@ def _assemble(tables, id_type):
     return pa.table([documents, pa.array(np.diff(ends)), binary_column(tokens.astype("<u4").view(np.uint8), 4 * ends)], ["id", "n_tokens", "ids"])
 
 
-def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=16 << 20, rescan=True):
+def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=8 << 20, rescan=True):
     """One row per document: ``id_col``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit, as binary).
 
     ``rescan`` takes positions from a second scan instead of shuffling them with the words.
@@ -226,7 +220,7 @@ def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=16 <<
 
     def cut(give_words, give_positions):
         return docs.select(id_col, text_col).mapInArrow(
-            lambda batches: _cut(batches, shared, block_bytes, buckets, give_words, give_positions), "bucket bigint, block bigint, positions boolean, payload binary"
+            lambda batches: release(_cut(batches, shared, block_bytes, buckets, give_words, give_positions)), "bucket bigint, block bigint, positions boolean, payload binary"
         )
 
     answers = cut(True, not rescan).groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, shared), "block bigint, positions boolean, payload binary")
