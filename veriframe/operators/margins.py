@@ -100,7 +100,7 @@ def _part(fold, moments, gammas, features):
     column = lambda name: np.array([[m[f"{name}_{i}"] for i in range(len(features))] for m in used])
     scaling = Scaling(column("low").min(axis=0), column("high").max(axis=0))
     width = np.where(scaling.high > scaling.low, scaling.high - scaling.low, 1.0)
-    mean, square = (column("mean") - scaling.low) / width, None
+    mean = (column("mean") - scaling.low) / width
     square = column("var") / width**2 + mean**2
     share = (n / n.sum())[:, None]
     variance = float((square * share).sum(axis=0).mean() - (mean * share).sum(axis=0).mean() ** 2)
