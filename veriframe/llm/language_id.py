@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.tables import kept_with, pack, release, slices, text_buffer, unpack
+from veriframe.llm.tables import kept_with, pack, slices, text_buffer, unpack
 
 UNKNOWN = "und"
 
@@ -218,7 +218,7 @@ def identify(docs, model, text_col="text", chunk_bytes=1 << 20):
 
     marked = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return marked.mapInArrow(lambda batches: release(run(batches)), f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return marked.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
 
 
 def held_out(id_col, parts, rest):

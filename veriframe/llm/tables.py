@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import pickle
 
 import numpy as np
@@ -27,13 +26,6 @@ def kept_with(value, name, make):
     return getattr(value, name)
 
 
-def release(batches):
-    """``batches``; afterwards memory that Arrow holds for later use goes back, as a worker lives on with the next task."""
-    yield from batches
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-
-
 def row_key(*columns):
     """128-bit key of a row's values; null and empty differ. Rows with equal values share it."""
     parts = [F.concat(F.when(c.isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(c.cast("string"), F.lit(""))) for c in columns]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from veriframe.llm.tables import kept_with, ragged, release, slices, text_buffer
+from veriframe.llm.tables import kept_with, ragged, slices, text_buffer
 from veriframe.session import cut_lineage
 
 UNEVEN = re.compile(r"\s ")
@@ -319,7 +319,7 @@ def align(docs, left, right, id_col="doc_id", text_col="text", describe=groups_t
     numbers = [(c, pa.int64()) for c in ("n_a", "n_b", "n_groups")]
     inner = pa.schema([("block", pa.int64()), ("id", id_arrow), *numbers, ("groups", pa.string()), ("links", pa.binary()), ("pairs", pair)])
     aligned = cut_lineage(docs.select(id_col, text_col).mapInArrow(
-        lambda batches: release(_blocks(batches, shared, block_bytes, describe, inner)),
+        lambda batches: _blocks(batches, shared, block_bytes, describe, inner),
         f"block bigint, id {id_type}, n_a bigint, n_b bigint, n_groups bigint, groups string, links binary, pairs array<struct<a:int,b:int,n:bigint>>",
     ), "aligned")
     asked = aligned.where(F.col("pairs").isNotNull()).select("block", F.posexplode("pairs").alias("at", "pair")).select("block", "at", "pair.*")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql.pandas.types import to_arrow_type
 
-from veriframe.llm.tables import binary_column, from_planes, kept_with, pack, partitions, planes, ragged, release, slices, text_buffer, unpack
+from veriframe.llm.tables import binary_column, from_planes, kept_with, pack, partitions, planes, ragged, slices, text_buffer, unpack
 
 # White space that touches white space, or is neither a space nor a line feed.
 UNEVEN = re.compile(r"\s\s|[^\S \n]")
@@ -220,7 +220,7 @@ def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=8 <<
 
     def cut(give_words, give_positions):
         return docs.select(id_col, text_col).mapInArrow(
-            lambda batches: release(_cut(batches, shared, block_bytes, buckets, give_words, give_positions)), "bucket bigint, block bigint, positions boolean, payload binary"
+            lambda batches: _cut(batches, shared, block_bytes, buckets, give_words, give_positions), "bucket bigint, block bigint, positions boolean, payload binary"
         )
 
     answers = cut(True, not rescan).groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, shared), "block bigint, positions boolean, payload binary")
