@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.tables import kept_with, pack, slices, text_buffer, unpack
+from veriframe.llm.tables import give_back, kept_with, pack, slices, text_buffer, unpack
 
 UNKNOWN = "und"
 
@@ -142,7 +142,7 @@ def fit(labelled, rows_per_language=1500, order=4, id_col="doc_id", text_col="te
     sample = sample.where((F.col("rank") <= rows_per_language) & (F.col("held") < bytes_per_language)).select("lang", "text")
 
     def count(key, rows):
-        return pa.table({"lang": [key[0].as_py()], "counts": pa.array([count_language(rows.column("text"), order)], pa.binary())})
+        return give_back(pa.table({"lang": [key[0].as_py()], "counts": pa.array([count_language(rows.column("text"), order)], pa.binary())}))
 
     counted = sample.groupBy("lang").applyInArrow(count, "lang string, counts binary").collect()  # bounded by the sample
     return freeze({r["lang"]: unpack(bytes(r["counts"])) for r in counted})
@@ -214,7 +214,7 @@ def identify(docs, model, text_col="text", chunk_bytes=1 << 20):
             language = np.where(letter, np.array(frozen.languages, object)[best], UNKNOWN)
             per_byte = least / np.maximum(np.diff(offsets), 1)
             columns = [batch.column(n) for n in names] + [pa.array(language, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(per_byte, mask=~letter)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "bits_per_byte"])
+            yield give_back(pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "bits_per_byte"]))
 
     marked = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.tables import binary_column, partitions, slices, text_buffer
+from veriframe.llm.tables import binary_column, give_back, partitions, slices, text_buffer
 from veriframe.session import cut_lineage
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -151,6 +151,7 @@ def _in_slices(batch, width, memo, text_index=1):
     for start, stop in slices(np.diff(text_buffer(batch.column(text_index))[1]), 2 << 20):
         part = batch.slice(start, stop - start)
         yield (part, *shingle_sets(part.column(text_index).to_pylist(), width, memo))
+    give_back()
 
 
 def set_classes(docs, width, id_col, text_col):
@@ -233,8 +234,11 @@ def _possible(pairs, sketches, percent):
     return _pairs_where(pairs, sketches, ["_sketch", "_size"], lambda a, b, sizes: bool(len(a) and len(b) and sketches_allow(a, b, *sizes, percent)))
 
 
-def links_across(sets, comps, percent, columns=4096):
-    """Pairs (i, j), i < j, of similar sets in different components, by products of membership matrices."""
+def links_across(sets, comps, percent, columns=2048, rows=256):
+    """Pairs (i, j), i < j, of similar sets in different components, by products of membership matrices.
+
+    Only the counts of shared elements are held for all pairs of a block; they are tested ``rows`` rows at a time.
+    """
     sizes = np.array([len(s) for s in sets])
     flat, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     element, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -250,9 +254,15 @@ def links_across(sets, comps, percent, columns=4096):
         held = np.zeros((len(sets), min(columns, int(shared.sum()) - start)), np.float32)
         held[member[a:b], column[a:b] - start] = 1
         both += held @ held.T
-    both = np.rint(both).astype(np.int64)
-    similar = (100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (both > 0)
-    return np.nonzero(np.triu(similar & (comps[:, None] != comps[None]), 1))
+    left, right = [], []
+    for first in range(0, len(sets), rows):
+        shared_now = np.rint(both[first: first + rows]).astype(np.int64)
+        similar = (100 * shared_now >= percent * (sizes[first: first + rows, None] + sizes[None] - shared_now)) & (shared_now > 0)
+        i, j = np.nonzero(similar & (comps[first: first + rows, None] != comps[None]))
+        i += first
+        left.append(i[i < j])
+        right.append(j[i < j])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def partners_by_sketch(sketches, sizes, comps, percent):
@@ -305,7 +315,7 @@ def _open_blocks(members, sketches, percent, block_members):
         for own in groups:
             near = partners_by_sketch([data[offsets[r]: offsets[r + 1]].view(np.uint64) for r in own], sizes[own], comps[own], percent)
             kept.append(own[near])
-        return table.select(["_block", "_id", "_comp"]).take(pa.array(np.concatenate(kept).astype(np.int64)))
+        return give_back(table.select(["_block", "_id", "_comp"]).take(pa.array(np.concatenate(kept).astype(np.int64))))
 
     return _in_buckets(rows, F.octet_length("_sketch")).applyInArrow(run, f"_block bigint, _id {id_type}, _comp {id_type}").distinct()
 
@@ -323,7 +333,7 @@ def _links_in_blocks(blocks, sets, percent):
             left.append(own[i])
             right.append(own[j])
         ids = table.column("_id").combine_chunks()
-        return pa.table([ids.take(pa.array(np.concatenate(side).astype(np.int64))) for side in (left, right)], ["_a", "_b"])
+        return give_back(pa.table([ids.take(pa.array(np.concatenate(side).astype(np.int64))) for side in (left, right)], ["_a", "_b"]))
 
     rows = blocks.join(sets, "_id")
     return _in_buckets(rows, F.octet_length("_set")).applyInArrow(run, f"_a {id_type}, _b {id_type}").distinct()

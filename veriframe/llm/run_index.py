@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from veriframe.llm.partenum import MIX, mix
-from veriframe.llm.tables import binary_column, from_planes, pack, partitions, planes, ragged, slices, text_buffer, unpack
+from veriframe.llm.tables import binary_column, from_planes, give_back, pack, partitions, planes, ragged, slices, text_buffer, unpack
 from veriframe.session import cut_lineage
 
 GRAM = 16
@@ -178,6 +178,7 @@ def _blocks(docs, id_col, text_col, size, block_bytes, common_at):
                     ["block", "payload", "anchors", "common", "counts"],
                 )
                 number += 1
+            give_back()
 
     return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "block bigint, payload binary, anchors bigint, common array<bigint>, counts array<bigint>")
 
@@ -202,6 +203,8 @@ def _ask(batches, size, buckets, common):
                 rows.append((bucket, block, pack((planes(np.diff(items.key[first].astype(np.int64), prepend=0)), planes(items.context[first].astype(np.int64)), int(docs.min()), planes(docs - docs.min()), np.packbits(several[entries])))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "payload"])
+            del data, items, several, rows
+            give_back()
 
 
 COVERED, SENDER = 1, 2
@@ -403,11 +406,16 @@ def _compare(rows, size):
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["block", "spans", "payload"])
 
 
-def _cut(blocks, answers, size):
+def _as_text(column):
+    """Bytes as strings; characters that a cut has parted are dropped."""
+    return pa.array([data.decode("utf-8", "ignore") for data in column.to_pylist()], pa.string())
+
+
+def _cut(blocks, answers, size, as_text=False):
     """One row per document of a block: its bytes without the removed ones, and counts."""
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
     if not blocks.num_rows:
-        return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.binary())], names)
+        return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.string() if as_text else pa.binary())], names)
     ids, offsets, data = _open(blocks.column("payload")[0].as_py())
     mask = np.zeros(len(data) + 1, np.int32)
     for spans, payload in zip(answers.column("spans").to_pylist(), answers.column("payload").to_pylist()):
@@ -432,11 +440,15 @@ def _cut(blocks, answers, size):
     spans = np.concatenate([np.zeros(1, np.int64), np.cumsum(begins, dtype=np.int32)])
     lengths = np.diff(offsets)
     kept = np.concatenate([[0], np.cumsum(lengths - removed)])
-    return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(lengths), pa.array(removed), pa.array((spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)), binary_column(data[~gone], kept)], names)
+    rest = binary_column(data[~gone], kept)
+    return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(lengths), pa.array(removed), pa.array((spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)), _as_text(rest) if as_text else rest], names)
 
 
-def remove_repeats(docs, size=50, id_col="doc_id", text_col="text", block_bytes=8 << 20, common_at=64, common_share=1 / 40_000):
-    """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs) and ``kept`` (the remaining bytes)."""
+def remove_repeats(docs, size=50, id_col="doc_id", text_col="text", block_bytes=8 << 20, common_at=64, common_share=1 / 40_000, as_text=False):
+    """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs) and ``kept`` (the remaining bytes).
+
+    With ``as_text`` they are a string, without the parts of characters that were cut in two.
+    """
     spark, buckets = docs.sparkSession, partitions(docs.sparkSession)
     blocks = cut_lineage(_blocks(docs, id_col, text_col, size, block_bytes, common_at), "text-blocks")
     total = blocks.agg(F.sum("anchors")).first()[0] or 0
@@ -445,8 +457,8 @@ def remove_repeats(docs, size=50, id_col="doc_id", text_col="text", block_bytes=
     common = spark.sparkContext.broadcast(np.array(sorted(r["common"] for r in often), np.uint64))
     texts = blocks.select("block", "payload")
     asked = texts.mapInArrow(lambda batches: _ask(batches, size, buckets, common), "bucket bigint, block bigint, payload binary")
-    answered = asked.groupBy("bucket").applyInArrow(_answer, "block bigint, bucket bigint, payload binary")
-    settled = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda b, a: _settle(b, a, size, buckets, common.value), "bucket bigint, block bigint, spans boolean, payload binary")
-    compared = settled.groupBy("bucket").applyInArrow(lambda rows: _compare(rows, size), "block bigint, spans boolean, payload binary")
-    kept = texts.groupBy("block").cogroup(compared.groupBy("block")).applyInArrow(lambda b, a: _cut(b, a, size), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    answered = asked.groupBy("bucket").applyInArrow(lambda rows: give_back(_answer(rows)), "block bigint, bucket bigint, payload binary")
+    settled = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda b, a: give_back(_settle(b, a, size, buckets, common.value)), "bucket bigint, block bigint, spans boolean, payload binary")
+    compared = settled.groupBy("bucket").applyInArrow(lambda rows: give_back(_compare(rows, size)), "block bigint, spans boolean, payload binary")
+    kept = texts.groupBy("block").cogroup(compared.groupBy("block")).applyInArrow(lambda b, a: give_back(_cut(b, a, size, as_text)), f"id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
     return kept.withColumnRenamed("id", id_col)

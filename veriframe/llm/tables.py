@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 
 import numpy as np
@@ -26,6 +27,20 @@ def kept_with(value, name, make):
     return getattr(value, name)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back(result=None):
+    """``result``, after memory that this worker has freed went back to the system.
+
+    Allocators keep what was freed, workers outlive their tasks, and an executor counts the workers of earlier stages as well.
+    """
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+    return result
+
+
 def row_key(*columns):
     """128-bit key of a row's values; null and empty differ. Rows with equal values share it."""
     parts = [F.concat(F.when(c.isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(c.cast("string"), F.lit(""))) for c in columns]
