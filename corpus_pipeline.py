@@ -54,8 +54,8 @@ def keep_known_languages(spark, docs, sf_dir):
 
 
 def cut_repeated_lines(spark, docs, sf_dir):
-    """Deletes later copies of runs of three lines or more."""
-    cut = line_dedup.dedup_lines(docs, min_lines=3)
+    """Deletes later copies of runs of three lines or more, of one or two lines with 50 words or more, and of whole documents of one or two lines."""
+    cut = line_dedup.dedup_lines(docs, min_lines=3, min_words=50)
     return _with_text(cut, F.col("n_removed") > 0)
 
 
@@ -69,8 +69,7 @@ def keep_one_of_near_duplicates(spark, docs, sf_dir):
 
 def cut_repeated_passages(spark, docs, sf_dir):
     """Deletes bytes of 50-byte strings that an earlier document holds; characters cut in two are dropped."""
-    whole = F.pandas_udf(lambda column: column.map(lambda data: bytes(data).decode("utf-8", "ignore")), "string")
-    kept = run_index.remove_repeats(docs, size=50).select("doc_id", "n_removed", whole("kept").alias("text"))
+    kept = run_index.remove_repeats(docs, size=50, as_text=True).select("doc_id", "n_removed", F.col("kept").alias("text"))
     return _with_text(docs.drop("text").join(kept, "doc_id"), F.col("n_removed") > 0)
 
 
