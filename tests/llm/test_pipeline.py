@@ -1,5 +1,5 @@
 import corpus_pipeline
-from test_line_dedup import brute as brute_lines
+from test_line_dedup import brute_short as brute_lines
 from test_partenum import brute as brute_groups
 from test_run_index import brute as brute_bytes
 from test_word_bpe import check_packing
@@ -19,7 +19,7 @@ def check_stages(spark, docs):
     before, after = pairs(docs), dict(pairs(known))
     assert set(after) == {d for d, t in before if d is not None and t and any(c.isalpha() for c in t)}
     lines = cut_lineage(by_name["line_dedup"](spark, known, FOLDER), "test")
-    cut = brute_lines(list(after.items()), 3)
+    cut = brute_lines(list(after.items()), 3, 50)
     assert dict(pairs(lines)) == {d: t for d, t in cut.items() if t == after[d] or t.strip()}
     single = cut_lineage(by_name["ngram_jaccard"](spark, lines, FOLDER), "test")
     rows = pairs(lines)
