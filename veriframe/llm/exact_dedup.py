@@ -1,23 +1,33 @@
 """Exact duplicates by an extendible-hash index kept on the shared folder; DataFrame functions only.
 
-Entries (key, digest, id) are written once. The directory starts at the depth that the entry count asks for and doubles
-where a bucket holds more distinct keys than its capacity: such buckets hand their keys to two buckets of one more bit, the
-others keep their local depth. Bucket numbers follow the order of the keys, so range partitions give every owner task a
-range of keys. Keys met once are settled by the index alone. Keys met more often form chains: the normalised bytes of those
-rows are compared, equal bytes are combined before the shuffle, and different bytes under one key stay apart.
+Entries (key, digest, id, row) are written once. The directory starts at a depth at which buckets are about full and doubles
+where one holds more distinct keys than its capacity: such buckets hand their keys to two buckets of one more bit, the others
+keep their local depth. Slots of the full depth point to buckets, whose numbers follow the order of the keys.
+
+A key met once is settled by its entry. The texts of keys met more often go to the owners of the buckets, found through the
+slots: copies are first combined under a salt, so a text that a third of all rows share arrives as a few rows, then range
+partitions over buckets and keys give every owner task a range of keys. There, without another shuffle, texts are compared
+byte by byte: equal ones become one link of their key's chain with its size and the largest id, different texts under one key
+are links of their own. The chains are written to the shared folder, and entries find their link by key and digest; where two
+links of a key agree in their digest too, its rows find theirs by the text.
+
+Links with over a ten-thousandth of all rows, so fewer than 10 000 of them, meet the entries by broadcast; no task gets a hot group.
 
 Nulls: a null text equals an empty one; a null id never wins against an id and keeps null only in a group without ids.
-Repeated rows count each; one of them stays (the rest of a row that is repeated in id and text is marked kept as well, since
-its id stays). An empty table gives no rows.
+Repeated rows count each; exactly one row of a group is marked kept. An empty table gives no rows. Only the id and text
+columns are read.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veriframe.session import cut_lineage
 
 KEY_BITS = 62
+SALTS = 16
+HOT_SHARE = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,16 +36,20 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def _key(text):
+def text_key(text):
     """The top 62 bits of a 64-bit hash, so that unsigned order is the order of the numbers."""
     return F.shiftrightunsigned(F.xxhash64(text), 64 - KEY_BITS)
 
 
+def text_digest(text):
+    return F.sha2(text, 256)
+
+
 def bucket_directory(entries, capacity):
     """Buckets (low, high, depth, keys): key ranges of ``2 ** (KEY_BITS - depth)`` with at most ``capacity`` distinct keys."""
     keys = cut_lineage(entries.select("_key").distinct(), "index-keys")
     count = keys.count()
-    depth = max(0, (max(count, 1) // capacity).bit_length())
+    depth = max(0, (max(count, 1) // capacity).bit_length() - 1)
     done, open_keys = [], keys
     while True:
         span = 1 << (KEY_BITS - depth)
@@ -55,31 +69,68 @@ def bucket_directory(entries, capacity):
     return directory, depth
 
 
-def _bucket_low(directory, depth):
-    """(slot, low): the directory's slots at full depth, each pointing to its bucket, as in extendible hashing."""
+def _in_buckets(rows, directory, depth):
+    """``rows`` with the ``_bucket`` to which the directory's slot at full depth points, as in extendible hashing."""
     span = 1 << (KEY_BITS - depth)
-    slots = F.sequence(F.expr(f"low div {span}L"), F.expr(f"high div {span}L"))
-    return directory.select(F.explode(slots).alias("_slot"), F.col("low").alias("_bucket")), span
+    slots = directory.select(F.explode(F.sequence(F.expr(f"low div {span}L"), F.expr(f"high div {span}L"))).alias("_slot"), F.col("low").alias("_bucket"))
+    return rows.withColumn("_slot", F.expr(f"_key div {span}L")).join(slots, "_slot").drop("_slot")
+
+
+def chains(texts, directory, depth):
+    """(_bucket, _key, _digest, _text, _keep, _size): the links of every chain, made by the owners of the buckets.
 
+    ``texts``: _id, _key, _digest, _text.
+    """
+    salted = texts.groupBy("_key", "_digest", "_text", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")).agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    owned = _in_buckets(salted, directory, depth).repartitionByRange("_bucket", "_key")
+    # an owner holds whole keys: grouping by the bytes of the text needs no further exchange
+    return owned.groupBy("_bucket", "_key", "_digest", "_text").agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
 
-def exact_duplicates(docs, id_col="doc_id", text_col="text", capacity=100_000):
-    """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+
+def exact_duplicates(docs, id_col="doc_id", text_col="text", capacity=1024, key=text_key, digest=text_digest):
+    """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
+
+    ``key`` and ``digest`` make an index key of 62 bits and the digest of a text; poorer ones only make chains longer.
+    """
     source = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"))
-    entries = cut_lineage(source.select("_id", _key(F.col("_text")).alias("_key"), F.sha2("_text", 256).alias("_sha")), "index-entries")
-    directory, depth = bucket_directory(entries, capacity)
-    slots, span = _bucket_low(directory, depth)
-    groups = entries.groupBy("_key", "_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    placed = groups.withColumn("_slot", F.expr(f"_key div {span}L")).join(slots, "_slot").drop("_slot")
-    # owner tasks: a range of buckets each
-    owned = cut_lineage(placed.repartitionByRange("_bucket", "_key"), "index-owned")
-    chained = owned.where(F.col("_size") > 1).select("_key", "_sha")
-    # compare bytes: equal (key, digest) must be one text; a second text would make a second link in the chain
-    texts = source.select(_key(F.col("_text")).alias("_key"), "_text").join(chained.select("_key").distinct(), "_key", "left_semi")
-    links = texts.groupBy("_key", "_text").agg(F.count(F.lit(1)).alias("_n")).groupBy("_key", F.sha2("_text", 256).alias("_sha")).agg(F.count(F.lit(1)).alias("_texts"))
-    checked = owned.join(links, ["_key", "_sha"], "left").select(
-        "_key", "_sha", "_keep", F.when(F.coalesce("_texts", F.lit(1)) > 1, F.raise_error(F.lit("two texts share key and digest"))).otherwise(F.col("_size")).alias("_size")
+    source = source.select("_id", key(F.col("_text")).alias("_key"), digest(F.col("_text")).alias("_digest"), "_text")
+    entries = cut_lineage(source.drop("_text").withColumn("_row", F.monotonically_increasing_id()), "index-entries")
+    counted = entries.groupBy("_key", "_digest").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("_id", "_row")).alias("_last"))
+    counted = cut_lineage(counted, "index-counts")
+    several = counted.groupBy("_key").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_key")
+    directory, depth = bucket_directory(counted, capacity)
+    links = chains(source.join(several, "_key", "left_semi"), directory, depth)
+    alike = F.count(F.lit(1)).over(Window.partitionBy("_bucket", "_key", "_digest"))
+    links = links.withColumn("_alike", alike).withColumn("_text", F.when(F.col("_alike") > 1, F.col("_text")))
+    links = cut_lineage(links, "index-chains")
+    chain = ["_key", "_digest"]
+    # links that key and digest tell apart; the row that stays is the last one of the largest id
+    plain = links.where("_alike = 1").join(counted.select(*chain, "_last._row"), chain).select(*chain, "_keep", "_size", F.col("_row").alias("_stays"))
+    hot = F.col("_size") > F.greatest(F.lit(1000), F.lit(entries.count() // HOT_SHARE))
+    found = _with_links(entries, plain, hot, chain)
+    twins = links.where("_alike > 1").select(*chain, "_text", "_keep", "_size")
+    if not twins.isEmpty():
+        found = found.join(twins.select(*chain).distinct(), chain, "left_anti").unionByName(_by_text(source, twins, chain))
+    return found.select(
+        F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").cast("bigint").alias("group_size"), "kept",
+        F.col("_digest").alias("text_sha256"),
     )
-    return entries.join(checked, ["_key", "_sha"]).select(
-        F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").cast("bigint").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), F.col("_sha").alias("text_sha256"),
+
+
+def _with_links(entries, links, hot, chain):
+    """Entries with what their link says; an entry without a link is alone."""
+    large = F.broadcast(links.where(hot))  # fewer than HOT_SHARE links: each holds more than that share of all rows
+    of_large = entries.join(large, chain)
+    others = entries.join(large.select(*chain), chain, "left_anti").join(links.where(~hot), chain, "left")
+    alone = F.col("_stays").isNull()
+    return of_large.unionByName(others).select(
+        "_id", *chain, F.when(alone, F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_size", F.lit(1)).alias("_size"),
+        (alone | (F.col("_row") == F.col("_stays"))).alias("kept"),
     )
+
+
+def _by_text(source, twins, chain):
+    """Rows of keys that hold different texts of one digest."""
+    rows = cut_lineage(source.join(twins, [*chain, "_text"]).withColumn("_row", F.monotonically_increasing_id()), "index-twins")
+    last = rows.groupBy(*chain, "_text").agg(F.max(F.struct("_id", "_row"))["_row"].alias("_stays"))
+    return rows.join(last, [*chain, "_text"]).select("_id", *chain, "_keep", "_size", (F.col("_row") == F.col("_stays")).alias("kept"))
