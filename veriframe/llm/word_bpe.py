@@ -29,7 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql.pandas.types import to_arrow_type
 
-from veriframe.llm.tables import binary_column, from_planes, kept_with, pack, partitions, planes, ragged, slices, text_buffer, unpack
+from veriframe.llm.tables import binary_column, from_planes, give_back, kept_with, pack, partitions, planes, ragged, slices, text_buffer, unpack
 
 # White space that touches white space, or is neither a space nor a line feed.
 UNEVEN = re.compile(r"\s\s|[^\S \n]")
@@ -150,6 +150,7 @@ def _cut(batches, vocabulary, block_bytes, buckets, give_words, give_positions):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "block", "positions", "payload"])
             block += 1
+        give_back()
 
 
 def _encode_bucket(rows, vocabulary):
@@ -223,14 +224,14 @@ def encode(docs, vocabulary, id_col="doc_id", text_col="text", block_bytes=8 <<
             lambda batches: _cut(batches, shared, block_bytes, buckets, give_words, give_positions), "bucket bigint, block bigint, positions boolean, payload binary"
         )
 
-    answers = cut(True, not rescan).groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, shared), "block bigint, positions boolean, payload binary")
+    answers = cut(True, not rescan).groupBy("bucket").applyInArrow(lambda rows: give_back(_encode_bucket(rows, shared)), "block bigint, positions boolean, payload binary")
     arrow = to_arrow_type(docs.schema[id_col].dataType)
     schema = f"id {id_type}, n_tokens bigint, ids binary"
     if rescan:  # each scan is a stage of its own, so both number their blocks alike
         both = answers.groupBy("block").cogroup(cut(False, True).groupBy("block"))
-        coded = both.applyInArrow(lambda words, positions: _assemble([words, positions], arrow), schema)
+        coded = both.applyInArrow(lambda words, positions: give_back(_assemble([words, positions], arrow)), schema)
     else:
-        coded = answers.groupBy("block").applyInArrow(lambda rows: _assemble([rows], arrow), schema)
+        coded = answers.groupBy("block").applyInArrow(lambda rows: give_back(_assemble([rows], arrow)), schema)
     return coded.withColumnRenamed("id", id_col)
 
 
