@@ -50,7 +50,7 @@ def test_owners_group_without_another_exchange(spark, frame):
     from pyspark.sql import functions as F
 
     texts = frame([(i, f"text {i % 40}") for i in range(200)]).select(
-        F.col("doc_id").alias("_id"), exact_dedup.text_key(F.col("text")).alias("_key"), exact_dedup.text_digest(F.col("text")).alias("_digest"), F.col("text").alias("_text"))
+        F.col("doc_id").alias("_id"), exact_dedup.text_key(F.col("text")).alias("_key"), exact_dedup.text_digest(F.col("text")).alias("_digest"), F.col("text").alias("_text")).withColumn("_salt", exact_dedup.salt())
     directory, depth = exact_dedup.bucket_directory(texts, 8)
     assert directory.count() > 4
     with redirect_stdout(io.StringIO()) as plan:

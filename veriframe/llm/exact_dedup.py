@@ -76,12 +76,17 @@ def _in_buckets(rows, directory, depth):
     return rows.withColumn("_slot", F.expr(f"_key div {span}L")).join(slots, "_slot").drop("_slot")
 
 
+def salt():
+    """Spreads the rows of one key over SALTS parts."""
+    return F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+
+
 def chains(texts, directory, depth):
     """(_bucket, _key, _digest, _text, _keep, _size): the links of every chain, made by the owners of the buckets.
 
-    ``texts``: _id, _key, _digest, _text.
+    ``texts``: _id, _key, _digest, _text, _salt.
     """
-    salted = texts.groupBy("_key", "_digest", "_text", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")).agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    salted = texts.groupBy("_key", "_digest", "_text", "_salt").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     owned = _in_buckets(salted, directory, depth).repartitionByRange("_bucket", "_key")
     # an owner holds whole keys: grouping by the bytes of the text needs no further exchange
     return owned.groupBy("_bucket", "_key", "_digest", "_text").agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
@@ -99,7 +104,9 @@ def exact_duplicates(docs, id_col="doc_id", text_col="text", capacity=1024, key=
     counted = cut_lineage(counted, "index-counts")
     several = counted.groupBy("_key").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_key")
     directory, depth = bucket_directory(counted, capacity)
-    links = chains(source.join(several, "_key", "left_semi"), directory, depth)
+    # a key's rows arrive in SALTS parts, which are combined where they arrive
+    spread = several.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    links = chains(source.withColumn("_salt", salt()).join(spread, ["_key", "_salt"], "left_semi"), directory, depth)
     alike = F.count(F.lit(1)).over(Window.partitionBy("_bucket", "_key", "_digest"))
     links = links.withColumn("_alike", alike).withColumn("_text", F.when(F.col("_alike") > 1, F.col("_text")))
     links = cut_lineage(links, "index-chains")
