@@ -1,5 +1,6 @@
 """Trees, calibration, bootstrap and permutations against plain versions."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -149,3 +150,34 @@ def test_row_numbers_are_permuted(spark, n):
         assert sorted(numbers) == list(range(n))
         seen[tuple(numbers)] += 1
     assert n < 10 or len(seen) == 6
+
+
+def test_importance_pairs_every_repeat_by_its_own_hash_order_without_broadcast(spark):
+    features, n = ["a", "b"], 300
+    rng = np.random.default_rng(8)
+    rows = [(i, CLASSES[int(rng.integers(0, 3))], float(rng.random()), float(rng.random())) for i in range(n)]
+    label = lambda a, b: CLASSES[0] if a + b / 4 > 0.7 else CLASSES[1] if a > 0.3 else CLASSES[2]
+    as_column = lambda c: F.when(c[0] + c[1] / 4 > 0.7, CLASSES[0]).when(c[0] > 0.3, CLASSES[1]).otherwise(CLASSES[2])
+    result = evaluation.permutation_importance(spark.createDataFrame(rows, "id bigint, target string, a double, b double"), "id", as_column, repeats=4, features=features)
+    got = {r.feature: (r.importance, r.std) for r in result.collect()}
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    home = sorted(rows, key=lambda r: (digest(f"home:{r[0]}"), r[0]))
+
+    def macro_f1(pairs):
+        f1 = []
+        for c in CLASSES:
+            hits, both = sum(t == p == c for t, p in pairs), sum(t == c for t, _ in pairs) + sum(p == c for _, p in pairs)
+            f1.append(2 * hits / both if both else 0.0)
+        return sum(f1) / 3
+
+    base = macro_f1([(r[1], label(r[2], r[3])) for r in rows])
+    for i, feature in enumerate(features):
+        drops = []
+        for repeat in range(4):
+            away = sorted(rows, key=lambda r: (digest(f"{repeat}:{r[0]}"), r[0]))
+            moved = [(h[1], label(a[2], h[3]) if i == 0 else label(h[2], a[3])) for h, a in zip(home, away)]
+            drops.append(base - macro_f1(moved))
+        assert got[feature] == pytest.approx((np.mean(drops), np.std(drops)))
+    # the exploded side is never sent whole to every task
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
