@@ -273,3 +273,49 @@ def test_phrase_search_is_linear(spark):
         return time.time() - start
 
     assert seconds(32_000) < 1 + 40 * seconds(2_000)
+
+
+def test_texts_keep_their_spaces_unless_trimmed(spark):
+    page = [("PASSPORT NO", 0, 0), ("SURNAME", 0, 60), ("KIPTOO", 130, 60), ("GIVEN NAMES", 0, 120), (" p<ken JANE", 130, 120), ("  ", 0, 180)]
+    items = spark.createDataFrame([item(i, *line) for i, line in enumerate(page)], ITEMS)
+    for trimmed, name in ((False, " p<ken JANE"), (True, "p<ken JANE")):
+        rows = ocr.usable_items(items, trimmed=trimmed)
+        assert rows.count() == 5
+        found = {r["field"]: r["value"] for r in ocr.values_near_labels(rows, ocr.wanted_fields(ocr.document_types(rows))).collect()}
+        assert found["given_names"] == name
+
+
+def test_damaged_fragments_of_a_title_are_found(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    phrase = text.NEW_CARD_PHRASES[0]
+    needle = phrase.replace(" ", "")
+    allowed, rng = max(1, round(len(needle) * 0.15)), __import__("random").Random(5)
+    samples = set()
+    for _ in range(150):
+        start, size = rng.randrange(0, 9), rng.randrange(9, len(needle) + 2)
+        part = list(needle[start: start + size])
+        for _ in range(rng.randrange(0, allowed + 3)):
+            at = rng.randrange(len(part))
+            part[at: at + 1] = rng.choice([[], ["X"], [part[at], "Q"]])
+        samples.add("".join(part))
+    rows = spark.createDataFrame([(s,) for s in sorted(samples)], "t string")
+    got = {r.t: r.f for r in rows.select("t", text.has_phrase(F.col("t"), phrase).alias("f")).collect()}
+    parts = {needle[a: b] for a in range(len(needle)) for b in range(a + 2, len(needle) + 1)}
+    inside = lambda s: any(distance(s[i: i + w], needle) <= allowed for w in range(len(needle) - allowed, len(needle) + allowed + 1) for i in range(len(s) - w + 1))
+    fragment = lambda s: 0.6 * len(needle) <= len(s) <= len(needle) + allowed and any(abs(len(p) - len(s)) <= allowed and distance(p, s) <= allowed for p in parts)
+    assert got == {s: bool(s) and (needle in s or inside(s) or fragment(s)) for s in samples}
+    assert 20 < sum(got.values()) < len(got) - 20
+
+
+def test_small_fact_tables_are_dealt_over_all_cores(spark):
+    from veriframe.bindings import BoundTables
+
+    facts = BoundTables(spark, "/root/testdata/sf0.001").identity_facts
+    assert facts.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism

@@ -83,7 +83,11 @@ def has_phrase(normal, phrase):
     ).otherwise(False)
     fragments = _words(dict.fromkeys(needle[s:s + w] for w in range(2, n + 1) for s in range(n - w + 1)))
     near = lambda part: F.abs(F.length(part) - size) <= allowed
-    fragment = (size >= 0.6 * n) & (size <= n + allowed) & F.exists(fragments, lambda part: near(part) & close(part, text))
+    # one of k + 1 pieces of such a text occurs in the phrase as it is
+    edge = lambda i: F.floor(size * i / (allowed + 1)).cast("int")
+    unharmed = any_of([F.lit(needle).contains(F.substr(text, edge(i) + 1, edge(i + 1) - edge(i))) for i in range(allowed + 1)])
+    damaged = F.when((size >= 0.6 * n) & (size <= n + allowed) & unharmed, F.exists(fragments, lambda part: near(part) & close(part, text)))
+    fragment = F.coalesce(damaged, F.lit(False))
     return F.when(size == 0, F.lit(False)).when(text.contains(needle), F.lit(True)).otherwise(inside | fragment)
 
 
@@ -102,8 +106,12 @@ def strip_label(text, label_key):
 
     ``label_key`` is a column, so one expression serves rows of different labels.
     """
+    # patterns of a column are compiled at each use, so a text without the variant is not searched
     patterns = F.create_map(*[part for k, v in LABELS.items() for part in (F.lit(k), _words(_first_match_patterns(v)))])
-    rest = F.aggregate(F.try_element_at(patterns, label_key), F.coalesce(text, F.lit("")), lambda left, p: F.regexp_replace(left, p, F.lit("$1 ")))
+    variants = F.create_map(*[part for k, v in LABELS.items() for part in (F.lit(k), _words(sorted(v, key=len, reverse=True)))])
+    pairs = F.arrays_zip(F.try_element_at(patterns, label_key).alias("p"), F.try_element_at(variants, label_key).alias("v"))
+    cut = lambda left, x: F.when(F.upper(left).contains(x["v"]), F.regexp_replace(left, x["p"], F.lit("$1 "))).otherwise(left)
+    rest = F.aggregate(pairs, F.coalesce(text, F.lit("")), cut)
     return F.trim(F.regexp_replace(rest, r"^[\s:.\-]+", ""))
 
 

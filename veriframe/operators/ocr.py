@@ -35,10 +35,10 @@ FIELD_LABELS = ["full_names", "surname", "given_names", "other_names", "id_numbe
 PAGE = ["doc_id", "side"]
 
 
-def usable_items(items, minimum=CONFIDENCE_FILTER):
-    """Items with text and enough confidence."""
-    rows = items.withColumn("text", F.trim("text"))
-    return rows.where((F.col("text") != "") & (F.col("confidence") >= minimum))
+def usable_items(items, minimum=CONFIDENCE_FILTER, trimmed=True):
+    """Items with text and enough confidence; without ``trimmed`` texts keep the spaces around them."""
+    rows = items.withColumn("text", F.trim("text")) if trimmed else items
+    return rows.where((F.trim("text") != "") & (F.col("confidence") >= minimum))
 
 
 def document_types(items):
