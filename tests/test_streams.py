@@ -75,3 +75,30 @@ def test_only_changed_agents_are_planned_again(spark):
     assert plan() == [(1, "1/c")]
     jobs.write_plan_batch(changes(1, 2, 3, None, 1), make_plan, path, 0)  # an old batch again does not win
     assert plan() == [(1, "1/c")]
+
+
+def test_rate_verdict_step_needs_no_key_column_and_leaves_in_parts(monkeypatch):
+    from unittest.mock import MagicMock
+
+    import numpy as np
+    import pandas as pd
+
+    steps = []
+    monkeypatch.setattr(jobs, "_stateful", lambda rows, keys, step, *rest, **more: steps.append(step))
+    jobs.rate_verdicts(MagicMock(), limit=3, width_seconds=10)
+    rng = np.random.default_rng(3)
+    state, opened, used = None, None, 0
+    for batch in range(3):
+        n = 25_000
+        frame = pd.DataFrame({"hit_id": rng.permutation(n) + batch * n, "ts": pd.to_datetime(batch * 20_000 + rng.integers(0, 22_000, n), unit="s").astype("datetime64[us]")})
+        parts, state = steps[0](("b",), frame, state)
+        parts = list(parts)
+        assert max(map(len, parts)) <= jobs.OUTPUT_ROWS
+        got = pd.concat(parts)
+        expected = []
+        for ts, hit in sorted(zip(frame["ts"], frame["hit_id"])):
+            if opened is None or ts > opened + pd.Timedelta(seconds=10):
+                opened, used = ts, 0
+            used += 1
+            expected.append((hit, ts, opened, used, used <= 3))
+        assert list(got.itertuples(index=False, name=None)) == expected

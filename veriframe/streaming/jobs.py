@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -16,25 +17,33 @@ from pyspark.sql.types import LongType, StructField, StructType
 from veriframe.schemas import LOOKBACK_HOURS, MAX_FAILURES
 from veriframe.session import scratch_dir
 
-def _stateful(rows, keys, step, output, state, lifetime=None, lateness="1 hour"):
+OUTPUT_ROWS = 10_000  # rows of a key that leave at a time
+
+
+def _stateful(rows, keys, step, output, state, lifetime=None, lateness="1 hour", keyed=True):
     """Run ``step(key, ordered rows, state values) -> (output frame, new state values)`` per key.
 
     With ``lifetime`` (seconds after a key's last ``ts``) the state of a quiet key is dropped once the watermark has
-    passed that time.
+    passed that time. Without ``keyed`` the step's frames do without the key columns; it returns its output in parts, to which
+    they are put.
     """
 
     def run(key, batches, held):
         if held.hasTimedOut:
             held.remove()
             return
-        frame = pd.concat(list(batches), ignore_index=True)
+        # a text key is the same in all rows and would weigh more than the rest
+        frame = pd.concat([batch if keyed else batch.drop(columns=keys) for batch in batches], ignore_index=True)
         previous = held.get if held.exists else None
         result, values = step(key, frame, previous)
         held.update(values)
         if lifetime is not None:
             end = int(frame["ts"].max().timestamp() * 1000) + lifetime * 1000
             held.setTimeoutTimestamp(max(end, held.getCurrentWatermarkMs()) + 1)
-        if len(result):
+        del frame
+        if not keyed:
+            yield from (part.assign(**dict(zip(keys, key))) for part in result)
+        elif len(result):
             yield result
 
     if lifetime is not None:
@@ -135,27 +144,38 @@ def strike_counts(logs, hours=LOOKBACK_HOURS, lateness="1 hour"):
 
 
 def rate_verdicts(hits, limit, width_seconds=300, lateness="1 hour"):
-    """Attempt number and verdict per hit of a fixed-window bucket."""
+    """Attempt number and verdict per hit of a fixed-window bucket.
+
+    A bucket's rows of a micro-batch are held as a few arrays of numbers and numbered window by window.
+    """
     width = width_seconds * 1000000
 
     def step(key, frame, previous):
-        frame = frame.sort_values(["ts", "hit_id"])
+        moments, hits = _micros(frame["ts"]).to_numpy(), frame["hit_id"].to_numpy()
+        order = np.lexsort((hits, moments))
+        moments, hits = moments[order], hits[order]
         opened, used = previous if previous else (None, 0)
-        opens, attempts = [], []
-        for moment in _micros(frame["ts"]).tolist():
-            if opened is None or moment > opened + width:
-                opened, used = moment, 0
-            used += 1
-            opens.append(opened)
-            attempts.append(used)
-        result = frame.assign(opened_at=pd.to_datetime(opens, unit="us"), attempts=attempts)
-        result["allowed"] = result["attempts"] <= limit
-        return result[["hit_id", "bucket", "ts", "opened_at", "attempts", "allowed"]], (opened, used)
+        opens, attempts, at = np.empty_like(moments), np.empty_like(moments), 0
+        while at < len(moments):  # a turn per window
+            if opened is None or moments[at] > opened + width:
+                opened, used = int(moments[at]), 0
+            end = int(np.searchsorted(moments, opened + width, side="right"))
+            opens[at:end], attempts[at:end] = opened, np.arange(used + 1, used + 1 + end - at)
+            used, at = used + end - at, end
+
+        def parts():
+            for at in range(0, len(moments), OUTPUT_ROWS):
+                own = slice(at, at + OUTPUT_ROWS)
+                stamp = lambda values: values[own].view("datetime64[us]")
+                yield pd.DataFrame({
+                    "hit_id": hits[own], "ts": stamp(moments), "opened_at": stamp(opens), "attempts": attempts[own], "allowed": attempts[own] <= limit})
+
+        return parts(), (opened, used)
 
     return _stateful(
         hits.select("hit_id", "bucket", "ts"), ["bucket"], step,
         "hit_id bigint, bucket string, ts timestamp, opened_at timestamp, attempts bigint, allowed boolean", "opened bigint, used bigint",
-        width_seconds, lateness,
+        width_seconds, lateness, keyed=False,
     )
 
 
