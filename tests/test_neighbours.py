@@ -75,3 +75,33 @@ def test_empty_and_nulls(spark):
     assert {r.pairs for r in neighbours.near_duplicate_pairs(none).collect()} == {0}
     some = frame(spark, [[1.0] * 6] * 3).unionByName(frame(spark, [[1.0] * 6] * 2).withColumn(FEATURES[2], F.lit(None).cast("double")))
     assert sum(r.pairs for r in neighbours.near_duplicate_pairs(some).collect()) == 3
+
+
+@pytest.mark.parametrize("tile_rows", [40, 100_000])
+def test_nearest_distances_across_tiles(spark, tile_rows):
+    """Dense and thin parts, lone vectors far away, copies; null and infinite components have no distance."""
+    rng = np.random.default_rng(11)
+    crowd, thin = 200 + rng.normal(0, 0.2, (900, 6)), rng.uniform(0, 400, (80, 6))
+    rows = scores_at(np.concatenate([crowd, thin, [[3000.0] * 3 + [600.0] + [3000.0] * 2]]))
+    odd = np.array([rows[0], rows[1]])
+    odd[:, 1] = [np.inf, np.nan]
+    frames = frame(spark, np.concatenate([rows, rows[:1]])).unionByName(frame(spark, odd[:1]))
+    frames = frames.unionByName(frame(spark, odd[1:]).withColumn(FEATURES[1], F.lit(None).cast("double")))
+    got = neighbours.nearest_distances(frames, tile_rows=tile_rows).toPandas()
+    z = np.c_[rows[:, :3] / TOLERANCE[:3], np.log1p(rows[:, 3]) / 0.01, rows[:, 4:] / TOLERANCE[4:]]
+    far = np.array([np.sort(np.abs(z - v).max(axis=1))[1] for v in z])
+    far[0] = 0.0
+    assert got.distance.isna().sum() == 2 and got.w.sum() == len(rows) + 3
+    assert np.sort(got.distance.dropna()) == pytest.approx(np.sort(far))
+
+
+def test_nearest_search_opens_few_leaves(monkeypatch):
+    """A crowd in one unit of space: only a small share of all pairs is compared."""
+    rng = np.random.default_rng(12)
+    x = rng.uniform(0, 1, (20_000, 6))
+    compared, inner = [0], neighbours._gaps
+    monkeypatch.setattr(neighbours, "_gaps", lambda nodes, numbers, points: compared.__setitem__(0, compared[0] + len(numbers)) or inner(nodes, numbers, points))
+    far = neighbours.nearest_within(neighbours._Nodes(x, np.ones(len(x), np.int64)), x, np.full(len(x), np.inf))
+    assert compared[0] < len(x) * 1000
+    for i in range(0, len(x), 997):
+        assert far[i] == np.sort(np.abs(x - x[i]).max(axis=1))[1]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,6 @@ from veriframe.schemas import FEATURES
 from veriframe.session import cut_lineage
 
 AXES = ["z0", "z1", "z2", "z3", "z4", "z5"]
-# Axes whose cells are enumerated when looking for neighbouring cells; the others are compared.
-SEARCH_AXES = ["z0", "z4", "z5"]
 
 
 def scaled_vectors(scores):
@@ -33,35 +30,6 @@ def weighted_vectors(scores):
     return scaled_vectors(scores).groupBy(*AXES).agg(F.count(F.lit(1)).alias("w"))
 
 
-def _with_cells(vectors, width):
-    return vectors.select("*", *[F.floor(F.col(a) / width).cast("bigint").alias(f"c{a}") for a in AXES])
-
-
-_CELL = [f"c{a}" for a in AXES]
-
-
-def _touching(left, right, axes, once=False):
-    """Pairs of cells that touch: equi join on positions along ``axes``, the other axes compared.
-
-    Each left cell is sent to its neighbouring positions. With ``once`` an unordered pair of cells
-    appears a single time and no cell meets itself: only steps up are sent, and cells level on all
-    ``axes`` are ordered by the others.
-    """
-    keys = [f"c{a}" for a in axes]
-    rest = [c for c in _CELL if c not in keys]
-    level = (0,) * len(keys)
-    steps = [s for s in product((-1, 0, 1), repeat=len(keys)) if not once or s >= level]
-    offsets = F.array(*[F.struct(*[F.lit(o).alias(k) for o, k in zip(step, keys)]) for step in steps])
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], F.explode(offsets).alias("_o"))
-    a = a.select("*", *[(F.col(f"a_{k}") + F.col(f"_o.{k}")).alias(f"_{k}") for k in keys])
-    b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    on = [F.col(f"_{k}") == F.col(f"b_{k}") for k in keys] + [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= 1 for c in rest]
-    if once:
-        moved = F.struct(*[F.col(f"_o.{k}") for k in keys]) != F.struct(*[F.lit(0).alias(k) for k in keys])
-        on.append(moved | (F.struct(*[F.col(f"a_{c}").alias(c) for c in rest]) < F.struct(*[F.col(f"b_{c}").alias(c) for c in rest])))
-    return a.join(b, on).drop("_o", *[f"_{k}" for k in keys])
-
-
 @dataclass(frozen=True)
 class SplitTree:
     """Cuts of the space into tiles, from medians of a sample: node k goes on to ``left[k]`` or ``right[k]``, a negative number -t-1 is tile t."""
@@ -96,18 +64,18 @@ class SplitTree:
         return cls(np.array(axis, int), np.array(cut, float), np.array(left, int), np.array(right, int), leaves[0])
 
     def visits(self, vectors, reach):
-        """(row, tile) for each tile whose part of the space has a point within ``reach`` of the row along every cut."""
+        """(row, tile) for each tile whose part of the space has a point within ``reach`` (one for all rows or one each) of the row along every cut."""
         if not len(self.axis):
             yield np.arange(len(vectors)), 0
             return
-        waiting = [(0, np.arange(len(vectors)))]
+        waiting, reach = [(0, np.arange(len(vectors)))], np.broadcast_to(reach, len(vectors))
         while waiting:
             node, rows = waiting.pop()
             if node < 0:
                 yield rows, -node - 1
                 continue
-            value = vectors[rows, self.axis[node]]
-            for child, mine in ((self.left[node], value - reach <= self.cut[node]), (self.right[node], value + reach > self.cut[node])):
+            value, far = vectors[rows, self.axis[node]], reach[rows]
+            for child, mine in ((self.left[node], value - far <= self.cut[node]), (self.right[node], value + far > self.cut[node])):
                 if mine.any():
                     waiting.append((child, rows[mine]))
 
@@ -199,25 +167,19 @@ def count_close(x, y=None):
 
 
 def _matrix(batch):
-    return np.stack([batch.column(a).to_numpy(zero_copy_only=False) for a in AXES], axis=1) if len(batch) else np.zeros((0, len(AXES)))
+    return np.stack([np.asarray(batch.column(a), float) for a in AXES], axis=1) if len(batch) else np.zeros((0, len(AXES)))
 
 
-def near_duplicate_pairs(scores, tile_rows=20_000, sample_per_tile=200):
-    """Number of row pairs whose scaled distance is at most 1, split by how they were counted.
+_COLUMNS = ", ".join(f"{a} double" for a in AXES)
 
-    Copies of one vector are counted from their multiplicity. Medians of a bounded sample cut the space into tiles of about
-    ``tile_rows`` distinct vectors; the exact boxes of the tiles are aggregated. A vector visits each tile with a smaller number
-    whose box it may reach, unless it is close to the whole box: then it counts with the tile's total and stays at home, so that
-    vectors crowded into a unit of space do not meet each other. Inside a tile, median trees of its own vectors and its
-    visitors are walked together: pairs of nodes are dropped or counted whole by their boxes, and only leaves compare vectors.
-    """
-    spark = scores.sparkSession
-    vectors = cut_lineage(weighted_vectors(scores).dropna(), "vectors")
+
+def _tiled(vectors, tile_rows, sample_per_tile):
+    """(tree, rows with their tile, box and weight of every tile): medians of a bounded sample cut the space into tiles of about ``tile_rows`` vectors."""
     n = vectors.count()
     tiles = max(1, -(-n // tile_rows))
-    sample = vectors.where(F.pmod(F.xxhash64(*AXES), F.lit(max(n, 1))) < tiles * sample_per_tile).select(*AXES).collect()
-    tree = SplitTree.of_sample(np.array(sorted(tuple(r) for r in sample), float).reshape(-1, len(AXES)), tiles)
-    columns = ", ".join(f"{a} double" for a in AXES)
+    sample = vectors.where(F.pmod(F.xxhash64(*AXES), F.lit(max(n, 1))) < tiles * sample_per_tile).select(*AXES).toArrow()
+    sample = _matrix(sample)
+    tree = SplitTree.of_sample(sample[np.lexsort(sample.T[::-1])], tiles)
 
     def placed(batches):
         for batch in batches:
@@ -226,9 +188,24 @@ def near_duplicate_pairs(scores, tile_rows=20_000, sample_per_tile=200):
                 tile[rows] = number
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*AXES, "w")], pa.array(tile)], [*AXES, "w", "tile"])
 
-    at_home = cut_lineage(vectors.mapInArrow(placed, f"{columns}, w bigint, tile bigint"), "tiled-vectors")
+    at_home = cut_lineage(vectors.mapInArrow(placed, f"{_COLUMNS}, w bigint, tile bigint"), "tiled-vectors")
     boxes = at_home.groupBy("tile").agg(F.sum("w").alias("w"), *[f(a).alias(f"{p}{a}") for a in AXES for f, p in ((F.min, "lo"), (F.max, "hi"))])
     boxes = {r["tile"]: (np.array([r[f"lo{a}"] for a in AXES]), np.array([r[f"hi{a}"] for a in AXES]), r["w"]) for r in boxes.collect()}  # a row per tile
+    return tree, at_home, boxes
+
+
+def near_duplicate_pairs(scores, tile_rows=20_000, sample_per_tile=200):
+    """Number of row pairs whose scaled distance is at most 1, split by how they were counted.
+
+    Copies of one vector are counted from their multiplicity. Medians of a bounded sample cut the space into tiles of about
+    ``tile_rows`` distinct vectors; the exact boxes of the tiles are aggregated. A vector visits each tile with a smaller number
+    whose box it may reach, unless it is close to the whole box: then it counts with the tile's total and stays at home, so that
+    vectors crowded into a unit of space do not meet each other. Inside a tile, median trees of its own vectors and its
+    visitors are walked together: pairs of nodes are dropped or counted whole by their boxes, and only leaves compare vectors.
+    """
+    spark = scores.sparkSession
+    vectors = cut_lineage(weighted_vectors(scores).dropna(), "vectors")
+    tree, at_home, boxes = _tiled(vectors, tile_rows, sample_per_tile)
     shared = spark.sparkContext.broadcast((tree, boxes))  # one entry per ``tile_rows`` vectors
 
     def dealt(batches):
@@ -255,7 +232,7 @@ def near_duplicate_pairs(scores, tile_rows=20_000, sample_per_tile=200):
             yield pa.RecordBatch.from_arrays([*empty, pa.array([0]), pa.array([-1]), pa.array([False]), pa.array([whole])], names)
 
     names = [*AXES, "w", "tile", "own", "whole"]
-    visiting = cut_lineage(at_home.mapInArrow(dealt, f"{columns}, w bigint, tile bigint, own boolean, whole bigint"), "tile-visitors")
+    visiting = cut_lineage(at_home.mapInArrow(dealt, f"{_COLUMNS}, w bigint, tile bigint, own boolean, whole bigint"), "tile-visitors")
 
     def counted(table):
         own, guests = (table.filter(flag) for flag in (table.column("own"), pc.invert(table.column("own"))))
@@ -283,36 +260,105 @@ def near_duplicate_pairs_between(first, second):
     return joined.select("exact_duplicates", F.col("n").alias("near_pairs"), (F.col("n") - F.col("n1") - F.col("n2")).alias("near_pairs_between"))
 
 
-def nearest_distances(scores, first_radius=1.0):
+def _gaps(nodes, numbers, points):
+    return np.maximum(nodes.low[numbers] - points, points - nodes.high[numbers]).max(axis=1)
+
+
+def nearest_within(nodes, points, bound):
+    """Distance of each point to the nearest other vector of a node tree, or ``bound`` (one each) where that is not larger.
+
+    Each point first meets the leaf that the nearer boxes lead to; then only nodes nearer than its best are opened, nearer children first.
+    """
+    best, columns = np.array(bound, float), np.ascontiguousarray(nodes.vectors.T)
+
+    def meet(rows, leaves):
+        for at in range(0, len(rows), max(1, CHUNK // LEAF)):
+            mine, leaf = rows[at: at + CHUNK // LEAF], leaves[at: at + CHUNK // LEAF]
+            others = nodes.start[leaf][:, None] + np.arange(LEAF)
+            others = np.minimum(others, nodes.stop[leaf][:, None] - 1)
+            distance = np.abs(columns[0][others] - points[mine, 0][:, None])
+            for axis in range(1, len(columns)):
+                np.maximum(distance, np.abs(columns[axis][others] - points[mine, axis][:, None]), out=distance)
+            distance[distance == 0] = np.inf  # the point itself
+            np.minimum.at(best, mine, distance.min(axis=1))
+
+    number, inner = np.zeros(len(points), int), np.arange(len(points))
+    while len(inner := inner[nodes.left[number[inner]] >= 0]):
+        left, right = nodes.left[number[inner]], nodes.right[number[inner]]
+        number[inner] = np.where(_gaps(nodes, left, points[inner]) <= _gaps(nodes, right, points[inner]), left, right)
+    meet(np.arange(len(points)), number)
+    waiting, met = [(np.arange(len(points)), np.zeros(len(points), int))], number
+    while waiting:
+        rows, number = waiting.pop()
+        if len(rows) > CHUNK:
+            waiting.append((rows[CHUNK:], number[CHUNK:]))
+            rows, number = rows[:CHUNK], number[:CHUNK]
+        near = (number != met[rows]) & (_gaps(nodes, number, points[rows]) < best[rows])
+        rows, number = rows[near], number[near]
+        leaf = nodes.left[number] < 0
+        meet(rows[leaf], number[leaf])
+        rows, number = rows[~leaf], number[~leaf]
+        if len(rows):
+            left, right = nodes.left[number], nodes.right[number]
+            first = _gaps(nodes, left, points[rows]) <= _gaps(nodes, right, points[rows])
+            waiting += [(rows, np.where(first, right, left)), (rows, np.where(first, left, right))]
+    return best
+
+
+def nearest_distances(scores, tile_rows=20_000, sample_per_tile=100):
     """Distance of every distinct vector to its nearest other row, with the vector's multiplicity.
 
-    Copies have distance 0. The others are searched in cells of growing width: a neighbour within the
-    width must lie in a touching cell, so what is found within it is exact, and only vectors without
-    one go on to the doubled width, up to the spread of the table, at which every vector meets all
-    others. A vector without any other row has a null distance.
+    Copies have distance 0. The others meet the vectors of their tile (see ``near_duplicate_pairs``), and then those of each other tile
+    whose box is nearer than what was found at home: so few vectors leave their tile, however crowded the table. A vector without
+    any other row, or with a component that is null or not finite, has a null distance.
     """
+    spark = scores.sparkSession
     vectors = cut_lineage(weighted_vectors(scores), "vectors")
+    whole = [F.coalesce(F.abs(a) < float("inf"), F.lit(False)) for a in AXES]
+    finite = F.forall(F.array(*whole), lambda x: x)
+    tree, at_home, boxes = _tiled(vectors.where(finite), tile_rows, sample_per_tile)
+    shared = spark.sparkContext.broadcast((tree, boxes))  # one entry per ``tile_rows`` vectors
+    names = [*AXES, "tile", "distance"]
+
+    def result(points, tile, distance):
+        return pa.table([*[pa.array(c) for c in points.T], pa.array(tile, pa.int64()), pa.array(distance)], names)
+
+    def met_at_home(table):
+        own, single = _matrix(table), table.column("w").to_numpy() == 1
+        points = own[single]
+        distance = nearest_within(_Nodes(own, np.ones(len(own), np.int64)), points, np.full(len(points), np.inf))
+        return result(points, np.asarray(table.column("tile"))[single], distance)
+
+    def travelling(batches):
+        tree, boxes = shared.value
+        for batch in batches:
+            own, home, distance = _matrix(batch), batch.column("tile").to_numpy(), np.asarray(batch.column("distance")).copy()
+            for row in np.flatnonzero(np.isinf(distance)):  # alone in its tile: some vector is no farther than a box's far corner
+                far = [np.maximum(np.abs(own[row] - low), np.abs(high - own[row])).max() for t, (low, high, _) in boxes.items() if t != home[row]]
+                distance[row] = np.nextafter(min(far, default=np.inf), np.inf)
+            for near, tile in tree.visits(own, distance):
+                near = near[home[near] != tile]
+                if tile not in boxes or not len(near):
+                    continue
+                low, high, _ = boxes[tile]
+                near = near[np.maximum(own[near] - high, low - own[near]).max(axis=1) < distance[near]]
+                yield from result(own[near], np.full(len(near), tile), distance[near]).to_batches()
+
+    def met_abroad(home, guests):
+        points, home = _matrix(guests), _matrix(home)
+        bound = np.asarray(guests.column("distance"))
+        found = nearest_within(_Nodes(home, np.ones(len(home), np.int64)), points, bound)
+        return result(points, np.asarray(guests.column("tile")), found).filter(pa.array(found < bound))
+
+    schema = f"{_COLUMNS}, tile bigint, distance double"
+    inside = cut_lineage(at_home.groupBy("tile").applyInArrow(met_at_home, schema), "nearest-at-home")
+    guests = inside.mapInArrow(travelling, schema)
+    abroad = at_home.groupBy("tile").cogroup(guests.groupBy("tile")).applyInArrow(met_abroad, schema)
+    found = inside.unionByName(abroad).groupBy(*AXES).agg(F.min("distance").alias("distance"))
     done = vectors.where("w > 1").select(F.lit(0.0).alias("distance"), F.col("w"))
-    waiting, radius = vectors.where("w = 1").select(*AXES), first_radius
-    spread = vectors.agg(F.greatest(*[F.max(a) - F.min(a) for a in AXES])).first()[0] or 0.0
-    parts = [done]
-    while radius < 2 * spread or radius == first_radius:
-        left = _with_cells(waiting, radius)
-        right = _with_cells(vectors.select(*AXES), radius)
-        gap = F.greatest(*[F.abs(F.col(f"a_{a}") - F.col(f"b_{a}")) for a in AXES])
-        found = _touching(left, right, SEARCH_AXES).withColumn("_d", gap).where((F.col("_d") > 0) & (F.col("_d") <= radius))
-        nearest = found.groupBy(*[F.col(f"a_{a}").alias(a) for a in AXES]).agg(F.min("_d").alias("distance"))
-        marked = cut_lineage(waiting.join(nearest, AXES, "left"), "nearest")
-        parts.append(marked.where("distance is not null").select("distance", F.lit(1).cast("bigint").alias("w")))
-        waiting = marked.where("distance is null").select(*AXES)
-        if waiting.isEmpty():
-            break
-        radius *= 2
-    parts.append(waiting.select(F.lit(None).cast("double").alias("distance"), F.lit(1).cast("bigint").alias("w")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+    lost = vectors.where(~finite & (F.col("w") == 1)).select(F.lit(None).cast("double").alias("distance"), F.col("w"))
+    found = found.select(F.when(F.col("distance") < float("inf"), F.col("distance")).alias("distance"), F.lit(1).cast("bigint").alias("w"))
+    return done.unionByName(found).unionByName(lost)
 
 
 def nearest_distance_quantiles(scores):
