@@ -181,3 +181,29 @@ def test_importance_pairs_every_repeat_by_its_own_hash_order_without_broadcast(s
     # the exploded side is never sent whole to every task
     plan = result._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan
+
+
+@pytest.mark.parametrize("local_rows", [0, 150, 100_000])
+def test_small_and_large_nodes_grow_the_same_tree(spark, local_rows):
+    """Subtrees grown in one group, and nodes counted over all tasks, against exhaustive growth; held-out rows at every level."""
+    rng = np.random.default_rng(8)
+    bins, codes, fold = rng.integers(0, 12, (1200, 6)), rng.integers(0, 3, 1200), rng.integers(0, 3, 1200)
+    codes = np.where(bins[:, 2] > 6, codes, np.minimum(codes, bins[:, 4] // 5))
+    data = spark.createDataFrame([(int(f), int(c), b.tolist()) for f, c, b in zip(fold, codes, bins)], "fold int, code int, bins array<int>")
+    learn = fold != 1
+    counts = np.bincount(codes[learn], minlength=3)
+    want = plain_tree(bins[learn], codes[learn], counts.sum() / (3 * counts), 4, 7)
+    nodes, held = trees.grow(data, [trees.TreeSpec(1, 4), trees.TreeSpec(1, 4, 2)], 7, local_rows=local_rows)
+    nodes = nodes.where("tree = 0").collect()
+    assert {r.node: ([r.n0, r.n1, r.n2], r.feature, r.bin) for r in nodes} == want
+    label, level = {r.node: r.label for r in nodes}, {}
+    for b, c in zip(bins[~learn], codes[~learn]):
+        node = 1
+        while True:
+            at = (node.bit_length() - 1, want[node][1] is None, int(c), label[node])
+            level[at] = level.get(at, 0) + 1
+            if want[node][1] is None:
+                break
+            node = 2 * node + int(b[want[node][1]] > want[node][2])
+    got = held.where("tree = 0").groupBy("level", "leaf", "code", "label").agg(F.sum("n").alias("n")).collect()
+    assert {(r.level, r.leaf, r.code, r.label): r.n for r in got} == level
