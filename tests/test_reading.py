@@ -85,3 +85,15 @@ def test_late_page_orders_a_part_only(spark, logs):
     agents = spark.createDataFrame([(1, "A")], "agent_id bigint, full_name string")
     text = plan(directory.audit_page(logs[0], agents, 25, 20, 60))
     assert "ts" in text and ">= 20" in text.replace("2025", "20") and directory.audit_page(logs[0].where("false"), agents).count() == 0
+
+
+def test_unlabelled_dates_are_parsed_once_for_each_text(spark):
+    """The date of a text is a column of its own; the filters and the result do not parse it again."""
+    from veriframe.operators import ocr
+
+    texts = {1: ["NAME", "12.", "03.", "1990", "ID 12345678"], 2: ["01.02.1980", "05.06.2031"], 3: ["01.02.1980", "03.04.1981"], 4: ["12345"], 5: ["7 / 8 / 1970"]}
+    items = spark.createDataFrame([(d, "front", i, t) for d, page in texts.items() for i, t in enumerate(page)], "doc_id bigint, side string, item_no int, text string")
+    expiries = spark.createDataFrame([(d, "front", "05.06.2031") for d in texts], "doc_id bigint, side string, date_of_expiry string")
+    found = ocr.unlabelled_birth_dates(items, expiries, F.lit(dt.date(2026, 1, 15)))
+    assert {(r.doc_id, r.value, str(r.born)) for r in found.collect()} == {(1, "NAME 12. 03. 1990", "1990-03-12"), (2, "01.02.1980", "1980-02-01"), (5, "7 / 8 / 1970", "1970-08-07")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("yyyy-M-d") <= 3

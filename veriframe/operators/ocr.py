@@ -114,27 +114,6 @@ def spatial_candidates(labels, items):
     )
 
 
-def candidate_texts(candidates, keys):
-    """Single lines, then joined neighbours (2 to 5), then everything joined, in trying order.
-
-    ``keys`` identify one label on one page, so every window stays within a page.
-    """
-    order = Window.partitionBy(*keys, "side_group").orderBy("position", "item_no")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = candidates.select("*", F.row_number().over(order).alias("_i"), F.count(F.lit(1)).over(whole).alias("_n"))
-    for size in range(2, 6):
-        parts = F.collect_list("text").over(order.rowsBetween(0, size - 1))
-        rows = rows.withColumn(f"_w{size}", F.when(F.size(parts) == size, F.array_join(parts, " ")))
-    everything = F.array_join(F.collect_list("text").over(whole), " ")
-    rows = rows.withColumn("_all", F.when((F.col("_i") == 1) & (F.col("_n") > 1), everything))
-    tries = compact_array(
-        F.struct(F.lit(0).alias("phase"), F.lit(1).alias("size"), F.col("text").alias("candidate")),
-        *[F.when(F.col(f"_w{k}").isNotNull(), F.struct(F.lit(1).alias("phase"), F.lit(k).alias("size"), F.col(f"_w{k}").alias("candidate"))) for k in range(2, 6)],
-        F.when(F.col("_all").isNotNull(), F.struct(F.lit(2).alias("phase"), F.lit(0).alias("size"), F.col("_all").alias("candidate"))),
-    )
-    return rows.select(*keys, "side_group", F.col("_i").alias("start"), F.inline(tries))
-
-
 def passes(kind, value):
     return F.when(kind == "name", x.looks_like_name(value)).when(kind == "id", x.looks_like_id(value)).otherwise(x.looks_like_date(value))
 
@@ -203,11 +182,20 @@ def unlabelled_birth_dates(items, expiries, today):
 
     ``expiries``: page and date_of_expiry text (may be null); that date is not a birth date.
     """
-    lines = items.withColumn("side_group", F.lit(0)).withColumn("position", F.col("item_no").cast("double"))
-    rows = candidate_texts(lines.select(*PAGE, "side_group", "position", "item_no", "text"), PAGE).join(expiries, PAGE)
-    born = x.document_date(F.col("candidate"))
-    rows = rows.withColumn("born", born).where(
-        F.col("born").isNotNull() & ~F.col("born").eqNullSafe(x.document_date(F.col("date_of_expiry"))) & x.birth_date_problem(F.col("born"), today).isNull()
+    listed = F.sort_array(F.collect_list(F.struct("item_no", "text")))
+    pages = items.groupBy(*PAGE).agg(listed.alias("_l")).select(*PAGE, F.expr("transform(_l, i -> i.text) texts"), F.size("_l").alias("n"))
+    pages = pages.join(expiries.select(*PAGE, x.document_date(F.col("date_of_expiry")).alias("_expires")), PAGE)
+    # each text by itself, 2 to 5 neighbours, all together
+    tries = F.expr("""filter(concat(
+        transform(texts, (t, i) -> struct(0 as phase, i + 1 as start, 1 as size, t as candidate)),
+        flatten(transform(sequence(2, 5), k -> transform(texts, (t, i) -> struct(1 as phase, i + 1 as start, k as size,
+            case when i + k <= n then array_join(slice(texts, i + 1, k), ' ') end as candidate)))),
+        array(struct(2 as phase, 1 as start, 0 as size, case when n > 1 then array_join(texts, ' ') end as candidate))
+    ), c -> c.candidate rlike '[0-9]([^0-9]*[0-9]){5}')""")  # a date has six digits at least
+    rows = pages.select(*PAGE, "_expires", F.inline(tries))
+    # generated columns are worked out once, however often they are asked for
+    rows = rows.select("*", F.explode(F.array(x.document_date(F.col("candidate")))).alias("born")).where(
+        F.col("born").isNotNull() & ~F.col("born").eqNullSafe(F.col("_expires")) & x.birth_date_problem(F.col("born"), today).isNull()
     )
     first = rows.groupBy(*PAGE).agg(
         F.min("born").alias("_low"), F.max("born").alias("_high"), F.min(F.struct("phase", "start", "size", "candidate"))["candidate"].alias("value")
