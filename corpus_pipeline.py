@@ -3,18 +3,23 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's ``docs``. All
 but the last return the columns of documents; a text that changes gets a new n_chars. Rows without an id cannot be followed
 and go in the first stage. A document whose text is deleted whole goes with it. Repeated rows (one id) are one document after
-the third stage. Empty tables stay empty.
+the third stage. Empty tables stay empty. As each stage's result is written before the next begins, that one first deletes the
+intermediate tables behind it and lets Spark drop their shuffles.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
+import os
+
 import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veriframe.llm import language_id, line_dedup, packing, partenum, run_index, word_bpe
 from veriframe.llm.tables import table
-from veriframe.session import cut_lineage
+from veriframe.session import cut_lineage, delete_intermediates, intermediates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None  # language ID and packing have no SQL form; tests hold every stage against a plain version
@@ -79,13 +84,40 @@ def pack_sequences(spark, docs, sf_dir):
     return packing.pack_documents(docs, vocabulary, capacity=4096, closing_id=1)
 
 
-STAGES = [
+_LEFT = {}  # intermediates of an application's last stage
+
+
+def _after_the_last(stage):
+    """The stage, which first frees the disk that the stage before it took; input that still reads those tables keeps them."""
+
+    @functools.wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        left = _LEFT.pop(spark.sparkContext.applicationId, [])
+        names = {os.path.basename(path) for path in left}
+        kept = []
+        if stage is keep_known_languages:
+            pass  # what is left belongs to the result of an earlier run
+        elif any(names.intersection(file.split("/")) for file in docs.inputFiles()):
+            kept = left
+        else:
+            delete_intermediates(spark, left)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # shuffles go once the driver drops their plans
+        with intermediates() as written:
+            result = stage(spark, docs, sf_dir)
+        _LEFT[spark.sparkContext.applicationId] = kept + written
+        return result
+
+    return run_stage
+
+
+STAGES = [(name, _after_the_last(stage)) for name, stage in [
     ("language_id", keep_known_languages),
     ("line_dedup", cut_repeated_lines),
     ("ngram_jaccard", keep_one_of_near_duplicates),
     ("suffix_array_dedup", cut_repeated_passages),
     ("best_fit_packing", pack_sequences),
-]
+]]
 
 
 def run(spark, sf_dir):

@@ -64,3 +64,21 @@ def test_noise_and_unlearned_languages_are_rejected(spark, frame):
     ids = {d for d, t in pairs(clean) if t and any(c.isalpha() for c in t)}
     kept = corpus_pipeline.keep_known_languages(spark, clean.unionByName(odd), FOLDER)
     assert {d for d, _ in pairs(kept)} == ids
+
+
+def test_a_stage_frees_the_disk_of_the_one_before(spark):
+    from pathlib import Path
+
+    from veriframe.session import scratch_root
+
+    folders = lambda: {p.name for p in Path(scratch_root(spark)).iterdir()}
+    by_name = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    before = folders() if Path(scratch_root(spark)).exists() else set()
+    unwritten = by_name["line_dedup"](spark, docs, FOLDER)
+    own = folders() - before
+    by_name["suffix_array_dedup"](spark, unwritten, FOLDER).count()  # still reads them
+    assert own and own <= folders()
+    written = cut_lineage(unwritten, "test")
+    by_name["best_fit_packing"](spark, written, FOLDER).count()
+    assert not own & folders() and written.count()
