@@ -207,3 +207,16 @@ def test_small_and_large_nodes_grow_the_same_tree(spark, local_rows):
             node = 2 * node + int(b[want[node][1]] > want[node][2])
     got = held.where("tree = 0").groupBy("level", "leaf", "code", "label").agg(F.sum("n").alias("n")).collect()
     assert {(r.level, r.leaf, r.code, r.label): r.n for r in got} == level
+
+
+def test_equal_values_meet_the_powers_once(spark, monkeypatch):
+    from veriframe.operators import selection
+
+    rows = spark.range(2000).select((F.col("id") % 40 * 7.5 + 1).alias("blur_score"))
+    seen, inner = [], selection.power_likelihoods
+    monkeypatch.setattr(selection, "power_likelihoods", lambda long, powers: seen.append((long, powers)) or inner(long, powers))
+    chosen = selection.fit_power(rows, ("blur_score",))
+    assert seen[0][0].count() == 40 and -2 < chosen["blur_score"] < 4
+    plain = inner(rows.unpivot([], ["blur_score"], "feature", "value"), seen[0][1]).toPandas().sort_values("power")
+    merged = inner(*seen[0]).toPandas().sort_values("power")
+    assert merged.log_likelihood.to_numpy() == pytest.approx(plain.log_likelihood.to_numpy(), rel=1e-9)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veriframe.operators.evaluation import CELLS, calibration_scores, summary
 from veriframe.operators.keyed import hash_rank
 from veriframe.schemas import CLASSES, FEATURES
+from veriframe.session import cut_lineage
 
 SPLITS = (("train", 0.7), ("validation", 0.85), ("test", 1.0))
 
@@ -66,8 +67,18 @@ def yeo_johnson(value, power):
 
 
 def power_likelihoods(long, powers):
-    """Log-likelihood per (feature, power); ``powers``: feature, power rows. One grouped pass."""
+    """Log-likelihood per (feature, power); ``powers``: feature, power rows. One grouped pass.
+
+    A column ``copies`` tells how many rows a value stands for; ``centre`` beside it is a value near the mean, from which deviations are taken.
+    """
     rows = long.join(F.broadcast(powers), "feature")  # a fixed grid
+    if "copies" in long.columns:
+        shaped, copies = yeo_johnson(F.col("value"), F.col("power")) - yeo_johnson(F.col("centre"), F.col("power")), F.col("copies")
+        stats = rows.select("*", shaped.alias("_y")).groupBy("feature", "power").agg(
+            F.sum("copies").alias("_n"), F.sum(F.when(F.col("_y").isNotNull(), copies)).alias("_m"), F.sum(copies * F.col("_y")).alias("_s"),
+            F.sum(copies * F.col("_y") * F.col("_y")).alias("_ss"), F.sum(copies * F.signum("value") * F.log1p(F.abs("value"))).alias("_jacobian"))
+        variance = F.col("_ss") / F.col("_m") - (F.col("_s") / F.col("_m")) * (F.col("_s") / F.col("_m"))
+        return stats.select("feature", "power", (-F.col("_n") / 2 * F.log(variance) + (F.col("power") - 1) * F.col("_jacobian")).alias("log_likelihood"))
     stats = rows.groupBy("feature", "power").agg(
         F.count(F.lit(1)).alias("_n"), F.var_pop(yeo_johnson(F.col("value"), F.col("power"))).alias("_var"),
         F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("_jacobian"),
@@ -76,9 +87,13 @@ def power_likelihoods(long, powers):
 
 
 def fit_power(train, features=tuple(FEATURES[3:]), low=-2.0, high=4.0, points=25, rounds=3):
-    """Power per feature that maximises the likelihood: grid search narrowed ``rounds`` times."""
+    """Power per feature that maximises the likelihood: grid search narrowed ``rounds`` times. Equal values meet the grid once."""
     spark = train.sparkSession
-    long = train.unpivot([], list(features), "feature", "value")
+    long = train.unpivot([], list(features), "feature", "value").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("copies"))
+    long = cut_lineage(long, "power-values")
+    known = F.when(F.col("value").isNotNull(), F.col("copies"))
+    centres = long.groupBy("feature").agg((F.sum(F.col("value") * F.col("copies")) / F.sum(known)).alias("centre"))
+    long = long.join(F.broadcast(centres), "feature")  # one row per feature
     grid = {f: np.linspace(low, high, points) for f in features}
     step = (high - low) / (points - 1)
     for _ in range(rounds):
