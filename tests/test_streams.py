@@ -50,6 +50,17 @@ def test_a_key_with_many_strikes_takes_linear_time(spark):
     assert time.time() - begun < 60
 
 
+def test_many_keys_share_few_states(spark):
+    """A state and a call per key made a million agents with a strike each cost hours."""
+    start, agents = dt.datetime(2026, 1, 1), 3 * jobs.KEY_GROUPS
+    rows = [(2 * a + again, a, "strike", start + dt.timedelta(hours=20 * again)) for again in range(2) for a in range(agents)]
+    stream = jobs.strike_counts(streamed(spark, strikes_log(rows), files=2), lateness="10 days")
+    running = stream.writeStream.format("memory").queryName("dealt_strikes").trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert 0 < running.lastProgress["stateOperators"][0]["numRowsTotal"] <= jobs.KEY_GROUPS
+    assert {(r.log_id, r.strikes) for r in spark.table("dealt_strikes").collect()} == {(2 * a + again, 1 + again) for a in range(agents) for again in range(2)}
+
+
 def test_only_changed_agents_are_planned_again(spark):
     path = scratch_dir(spark, "plan-test")
     stored = {1: ["1/a", "1/b"], 2: ["2/a"], 3: []}

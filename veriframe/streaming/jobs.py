@@ -18,6 +18,7 @@ from veriframe.schemas import LOOKBACK_HOURS, MAX_FAILURES
 from veriframe.session import scratch_dir
 
 OUTPUT_ROWS = 10_000  # rows of a key that leave at a time
+KEY_GROUPS = 2048  # groups that keys with few rows are dealt over
 
 
 def _stateful(rows, keys, step, output, state, lifetime=None, lateness="1 hour", keyed=True):
@@ -82,6 +83,49 @@ def _micros(series):
     return series.astype("datetime64[us]").astype("int64")
 
 
+def _dealt(rows, key, kind, columns, step, output, state, lifetime, lateness):
+    """Run ``step(moments, rest, state values) -> (a number or None per row, new state values)`` per key, many keys in a group.
+
+    A call and a state per group cost much more than a key's few rows, so keys are dealt over ``KEY_GROUPS`` groups by a hash and a
+    group holds the states of its keys. ``rows``: log_id, the key (of type ``kind``), ts and ``columns``, whose lists are ``rest``. Rows
+    with a number leave with it as the last column of ``output``. A key's state is dropped ``lifetime`` seconds after its last ``ts``.
+    """
+    names = ["log_id", key, "ts", output.rsplit(", ", 1)[1].split()[0]]
+    fields = state.split(", ")
+
+    def run(_, batches, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        frame = pd.concat([batch.drop(columns="_group") for batch in batches], ignore_index=True).sort_values([key, "ts", "log_id"])
+        moments, numbers = _micros(frame["ts"]).tolist(), []
+        rest = [frame[c].tolist() for c in columns]
+        own = frame[key].to_numpy()
+        edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        known = {k: (last, values) for k, last, *values in zip(*held.get)} if held.exists else {}
+        for start, stop in zip(edges, edges[1:]):
+            name = own[start] if kind == "string" else int(own[start])
+            last, values = known.get(name, (moments[stop - 1], None))
+            found, values = step(moments[start:stop], [c[start:stop] for c in rest], values)
+            numbers += found
+            known[name] = (max(last, moments[stop - 1]), values)
+        mark = held.getCurrentWatermarkMs()
+        known = {k: v for k, v in known.items() if v[0] // 1000 + lifetime * 1000 >= mark}
+        if known:
+            held.update((list(known), [v[0] for v in known.values()], *[[v[1][i] for v in known.values()] for i in range(len(fields))]))
+            held.setTimeoutTimestamp(max(max(v[0] for v in known.values()) // 1000 + lifetime * 1000, mark) + 1)
+        elif held.exists:
+            held.remove()
+        frame[names[3]] = pd.array(numbers, dtype="Int64")
+        result = frame.loc[frame[names[3]].notna(), names]
+        if len(result):
+            yield result
+
+    stored = f"keys array<{kind}>, last array<bigint>, " + ", ".join(f"{n} array<{t}>" for n, t in (f.split() for f in fields))
+    grouped = rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS))).withWatermark("ts", lateness).groupBy("_group")
+    return grouped.applyInPandasWithState(run, output, stored, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def failure_alerts(failures, key, limit=MAX_FAILURES, hours=LOOKBACK_HOURS, lateness="1 hour"):
     """Counted failures per key in a sliding window, one row for every failure that reaches the limit.
 
@@ -90,22 +134,20 @@ def failure_alerts(failures, key, limit=MAX_FAILURES, hours=LOOKBACK_HOURS, late
     """
     width = hours * 3600 * 1000000
 
-    def step(group, frame, previous):
-        frame = frame.sort_values(["ts", "log_id"])
+    def step(moments, _, previous):
         times = list(previous[0]) if previous else []
         counts, start = [], 0
-        moments = _micros(frame["ts"]).tolist()
         for moment in moments:
             times.append(moment)
             while times[start] < moment - width:
                 start += 1
-            counts.append(len(times) - start)
-        result = frame.assign(failures=counts)
-        return result.loc[result["failures"] >= limit, ["log_id", key, "ts", "failures"]], (times[start:],)
+            n = len(times) - start
+            counts.append(n if n >= limit else None)
+        return counts, (times[start:],)
 
-    return _stateful(
-        failures.select("log_id", key, "ts"), [key], step, f"log_id bigint, {key} string, ts timestamp, failures bigint", "times array<bigint>",
-        hours * 3600, lateness,
+    return _dealt(
+        failures.select("log_id", key, "ts"), key, "string", [], step, f"log_id bigint, {key} string, ts timestamp, failures bigint",
+        "times array<bigint>", hours * 3600, lateness,
     )
 
 
@@ -120,11 +162,10 @@ def strike_counts(logs, hours=LOOKBACK_HOURS, lateness="1 hour"):
     kind = F.when(strike, F.lit("strike")).when(reset, F.lit("reset"))
     rows = logs.where(F.col("agent_id").isNotNull()).select("log_id", "agent_id", "ts", kind.alias("kind")).where(F.col("kind").isNotNull())
 
-    def step(key, frame, previous):
-        frame = frame.sort_values(["ts", "log_id"])
+    def step(moments, rest, previous):
         times, last_reset = (sorted(previous[0]), previous[1]) if previous else ([], None)
         counts, start = [], 0  # times before ``start`` have left the window
-        for moment, what in zip(_micros(frame["ts"]).tolist(), frame["kind"]):
+        for moment, what in zip(moments, rest[0]):
             if what == "strike":
                 insort(times, moment, lo=start)
                 while times[start] < moment - width:
@@ -134,11 +175,10 @@ def strike_counts(logs, hours=LOOKBACK_HOURS, lateness="1 hour"):
             else:
                 last_reset = moment
                 counts.append(None)
-        result = frame.assign(strikes=pd.array(counts, dtype="Int64"))
-        return result.loc[frame["kind"] == "strike", ["log_id", "agent_id", "ts", "strikes"]], (times[start:], last_reset)
+        return counts, (times[start:], last_reset)
 
-    return _stateful(
-        rows, ["agent_id"], step, "log_id bigint, agent_id bigint, ts timestamp, strikes bigint",
+    return _dealt(
+        rows, "agent_id", "bigint", ["kind"], step, "log_id bigint, agent_id bigint, ts timestamp, strikes bigint",
         "times array<bigint>, last_reset bigint", hours * 3600, lateness,
     )
 
