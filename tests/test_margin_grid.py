@@ -1,6 +1,7 @@
 """The joint margin solver against a plain one-model solver, and its whole registered grid."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,35 @@ def test_minimise_handles_rows_on_their_own():
     assert np.abs(found - centres).max() < 1e-3 and (value < 1e-4).all() and len(calls) < 120
 
 
+def test_folds_share_features_and_resting_vectors_cost_nothing(monkeypatch):
+    """Five folds of one scaling and width lift the rows once; a fold of its own scaling lifts them again, a vector not asked for never."""
+    rng = np.random.default_rng(2)
+    n, k, size = 500, len(CLASSES), 16
+    rows = {f: rng.uniform(0, 1, n) for f in FEATURES} | {"code": rng.integers(0, k, n), "fold": rng.integers(0, 5, n)}
+    batch = pa.RecordBatch.from_pydict(rows)
+    directions = margins.Directions.drawn(len(FEATURES), size, 1)
+    low, high = np.zeros(len(FEATURES)), np.ones(len(FEATURES))
+    parts = tuple(margins.Part(f, n, margins.Scaling(low, high * (2 if f == 4 else 1)), np.array([1.0, 2.0, 0.5]), (0.5,)) for f in range(5))
+    weights = rng.normal(0, 1, (5, 1, size + 1, k))
+    asked = np.ones((5, 1, k), bool)
+    asked[1], asked[2, 0, 0] = False, False
+    lifts, lift = [], margins.Directions.lift
+    monkeypatch.setattr(margins.Directions, "lift", lambda *a: lifts.append(1) or lift(*a))
+    losses, slopes = margins._gradients([batch], parts, directions, weights, asked, FEATURES)
+    assert len(lifts) == 2 and not losses[~asked].any() and not slopes[1].any()
+    values = np.stack([rows[f] for f in FEATURES], axis=1)
+    for p, part in enumerate(parts):
+        mine = rows["fold"] != part.fold
+        lifted = lift(directions, part.scaling.apply(values[mine]) @ directions.weights, 0.5).astype(float)
+        sign = np.where(rows["code"][mine][:, None] == np.arange(k), 1.0, -1.0)
+        gap = np.clip(1 - sign * (lifted @ weights[p, 0]), 0, None)
+        share = part.class_weights[rows["code"][mine]][:, None]
+        loss = np.where(gap < margins.SMOOTHING, gap**2 / (2 * margins.SMOOTHING), gap - margins.SMOOTHING / 2)
+        slope = -lifted.T @ (np.clip(gap / margins.SMOOTHING, 0, 1) * sign * share)
+        assert losses[p, 0][asked[p, 0]] == pytest.approx((loss * share).sum(axis=0)[asked[p, 0]], rel=1e-4)
+        assert slopes[p, 0][:, asked[p, 0]] == pytest.approx(slope[:, asked[p, 0]], rel=1e-3, abs=1e-2)
+
+
 def test_registered_grid_is_whole(spark, monkeypatch):
     seen = {}
     tune = margins.tune_margin_model

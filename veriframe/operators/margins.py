@@ -4,7 +4,8 @@ A model is one weight vector per class (one against the rest) on random cosine f
 radial-basis kernel of a width. The vectors of all costs, widths, folds and classes form one array that is sent to the tasks; a
 pass gives every vector's loss and gradient, as sums of the tasks' partial sums. Rows of a fold are left out of its own models
 by a mask; each fold has its own scaling, class weights and named widths, taken from the moments of the other folds. Scaled
-rows meet the random directions once a fold, and a width's features once a fold and width, whatever the number of costs.
+rows meet the random directions once a scaling, and a width's features once a scaling and width, whatever the number of costs and
+of the folds that share them. Vectors that have converged take no part in later passes.
 
 The driver holds the weights and the last few steps of each of them (limited-memory quasi-Newton with a step length per
 vector): it grows with the grid, not with the rows.
@@ -27,6 +28,7 @@ from veriframe.session import cut_lineage
 COSTS = (0.1, 1.0, 10.0, 100.0)
 GAMMAS = (0.001, 0.01, 0.1, 1.0, "scale", "auto")
 SLOTS = 16  # partial sums meet in so many groups before the driver adds them up
+BLOCK = 2048  # rows whose random features are held at a time
 SMOOTHING = 0.25  # the hinge is quadratic over this stretch below the margin
 _KINDS = ("verified", "review", "rejected")
 
@@ -43,12 +45,15 @@ class Directions:
         rng = np.random.default_rng(seed)
         return cls(rng.normal(0, 1, (features, size)).astype(np.float32), rng.uniform(0, 2 * np.pi, size).astype(np.float32))
 
-    def lift(self, projected, gamma):
+    def lift(self, projected, gamma, out=None):
         """Random features of rows already multiplied by the directions, with a constant in the last column."""
         size = len(self.shift)
-        lifted = np.empty((len(projected), size + 1), np.float32)
-        np.cos(projected * np.float32(np.sqrt(2 * gamma)) + self.shift, out=lifted[:, :size])
-        lifted[:, :size] *= np.float32(np.sqrt(2 / size))
+        lifted = np.empty((len(projected), size + 1), np.float32) if out is None else out
+        waves = lifted[:, :size]
+        np.multiply(projected, np.float32(np.sqrt(2 * gamma)), out=waves)
+        waves += self.shift
+        np.cos(waves, out=waves)
+        waves *= np.float32(np.sqrt(2 / size))
         lifted[:, size] = 1
         return lifted
 
@@ -115,35 +120,64 @@ def _columns(batch, features):
     return values, batch.column("code").to_numpy(zero_copy_only=False).astype(int), batch.column("fold").to_numpy(zero_copy_only=False)
 
 
-def _hinge(u):
-    """Loss and slope of the smoothed hinge at signed margins ``u``."""
-    gap = 1 - u
-    inside = np.clip(gap, 0, SMOOTHING)
-    return inside * (gap - inside / 2) / SMOOTHING, -inside / SMOOTHING
+def _gradients(batches, parts, directions, weights, asked, features):
+    """Loss and gradient of the ``asked`` weight vectors (zeros for others): arrays (parts, gammas, costs * classes) and (parts, gammas, size + 1, costs * classes).
 
-
-def _gradients(batches, parts, directions, weights, features):
-    """Loss and gradient of every weight vector: arrays (parts, gammas, costs * classes) and (parts, gammas, size + 1, costs * classes)."""
-    many = weights.shape[3] // len(CLASSES)
-    losses, slopes = np.zeros(weights.shape[:2] + weights.shape[3:]), np.zeros(weights.shape)
-    matrix = weights.astype(np.float32)
+    Parts of one scaling and width have the same random features, so their vectors meet the rows together; the rows of a part's own
+    fold weigh nothing in it.
+    """
+    k = len(CLASSES)
+    losses, slopes = np.zeros(asked.shape), np.zeros(weights.shape)
+    lifts = {}
+    for p, part in enumerate(parts):
+        for g, gamma in enumerate(part.gammas):
+            columns = np.flatnonzero(asked[p, g])
+            if len(columns):
+                scaling = (part.scaling.low.tobytes(), part.scaling.high.tobytes())
+                lifts.setdefault(scaling, (part.scaling, {}))[1].setdefault(gamma, []).append((p, g, columns))
+    shared = []
+    for scaling, widths in lifts.values():
+        for gamma, members in widths.items():
+            matrix = np.concatenate([weights[p, g][:, columns] for p, g, columns in members], axis=1).astype(np.float32)
+            owner = np.concatenate([p * k + columns % k for p, _, columns in members])
+            shared.append((scaling, gamma, members, matrix, owner, np.zeros(len(owner)), np.zeros(matrix.shape)))
+    folds_out = np.array([p.fold for p in parts])
+    buffer = np.empty((BLOCK, len(directions.shift) + 1), np.float32)
+    class_weights = np.stack([p.class_weights for p in parts], axis=1).astype(np.float32)
     for batch in batches:
-        values, codes, fold = _columns(batch, features)
-        for p, part in enumerate(parts):
-            mine = fold != part.fold
-            own = codes[mine]
-            projected = part.scaling.apply(values[mine]) @ directions.weights
-            sign = np.tile(np.where(own[:, None] == np.arange(len(CLASSES)), 1, -1).astype(np.float32), many)
-            share = part.class_weights[own].astype(np.float32)[:, None]
-            for g, gamma in enumerate(part.gammas):
-                lifted = directions.lift(projected, gamma)
-                loss, slope = _hinge(sign * (lifted @ matrix[p, g]))
-                losses[p, g] += (loss * share).sum(axis=0, dtype=float)
-                slopes[p, g] += lifted.T @ (slope * sign * share)
+        for at in range(0, len(batch), BLOCK):
+            values, codes, fold = _columns(batch.slice(at, BLOCK), features)
+            share = class_weights[codes] * (fold[:, None] != folds_out)  # rows x parts
+            sign = np.where(codes[:, None] == np.arange(k), 1, -1).astype(np.float32)
+            signed = np.tile(sign, len(parts))  # rows x (parts * classes)
+            projected, last, dealt = None, None, {}
+            for scaling, gamma, members, matrix, owner, loss_sum, slope_sum in shared:
+                if scaling is not last:
+                    projected, last = scaling.apply(values) @ directions.weights, scaling
+                if (names := owner.tobytes()) not in dealt:
+                    dealt[names] = np.take(signed, owner, axis=1), np.take(share, owner // k, axis=1)
+                side, weight = dealt[names]
+                lifted = directions.lift(projected, gamma, buffer[:len(values)])
+                gap = lifted @ matrix
+                gap *= side
+                np.subtract(1, gap, out=gap)
+                inside = np.clip(gap, 0, np.float32(SMOOTHING))
+                inside *= weight
+                loss_sum += np.einsum("rc,rc->c", inside, gap)
+                np.clip(gap, 0, np.float32(SMOOTHING), out=gap)
+                loss_sum -= np.einsum("rc,rc->c", inside, gap) / 2
+                inside *= side
+                slope_sum -= lifted.T @ inside
+    for _, _, members, _, _, loss_sum, slope_sum in shared:
+        start = 0
+        for p, g, columns in members:
+            own = slice(start, start + len(columns))
+            losses[p, g, columns], slopes[p, g][:, columns] = loss_sum[own] / SMOOTHING, slope_sum[:, own] / SMOOTHING
+            start += len(columns)
     return losses, slopes
 
 
-def _confusion(batches, parts, directions, weights, features):
+def _confusion(batches, parts, directions, weights, _, features):
     """Counts (parts, gammas, costs, actual, predicted) over each part's own fold."""
     many, k = weights.shape[3] // len(CLASSES), len(CLASSES)
     counts = np.zeros((*weights.shape[:2], many, k, k))
@@ -234,9 +268,12 @@ def _fit(rows, parts, costs, directions, features, passes):
     def to_array(w):
         return np.moveaxis(w.reshape(shape[0], shape[1], shape[3], size), 3, 2)
 
+    before = []  # the last vectors and what they gave: a vector that rests is not worked out again
+
     def evaluate(flat):
         weights = to_array(flat)
-        shared = spark.sparkContext.broadcast((parts, directions, weights))  # the size of the grid
+        asked = (flat != before[0]).any(axis=1) if before else np.ones(len(flat), bool)
+        shared = spark.sparkContext.broadcast((parts, directions, weights, asked.reshape(shape[0], shape[1], shape[3])))  # the size of the grid
         sums = _summed(rows, _gradients, shared, features)
         shared.unpersist()
         split = shape[0] * shape[1] * shape[3]
@@ -245,7 +282,11 @@ def _fit(rows, parts, costs, directions, features, passes):
         penalised[:, :, -1] = 0  # the constant is free
         loss = loss + (penalised**2).sum(axis=2) * strength / (2 * n)
         slope = slope + penalised * strength / n[..., None]
-        return loss.ravel(), np.moveaxis(slope, 2, 3).reshape(-1, size)
+        loss, slope = loss.ravel(), np.moveaxis(slope, 2, 3).reshape(-1, size)
+        if before:
+            loss, slope = np.where(asked, loss, before[1]), np.where(asked[:, None], slope, before[2])
+        before[:] = flat.copy(), loss.copy(), slope.copy()
+        return loss, slope
 
     w, _ = minimise(evaluate, np.zeros((shape[0] * shape[1] * shape[3], size)), passes)
     return to_array(w)
@@ -269,7 +310,7 @@ def tune_margin_model(train, key, costs=COSTS, gammas=GAMMAS, k=5, features=FEAT
     parts = tuple(_part(fold, moments, gammas, features) for fold in range(k))
     directions = Directions.drawn(len(features), size, seed)
     weights = _fit(rows, parts, costs, directions, features, passes)
-    shared = rows.sparkSession.sparkContext.broadcast((parts, directions, weights))
+    shared = rows.sparkSession.sparkContext.broadcast((parts, directions, weights, None))
     cells = _summed(rows, _confusion, shared, features).reshape(k, len(gammas), len(costs), len(CLASSES), len(CLASSES))
     top = 2 * np.diagonal(cells, axis1=3, axis2=4)
     bottom = cells.sum(axis=3) + cells.sum(axis=4)
