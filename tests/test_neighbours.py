@@ -1,5 +1,7 @@
 """Near-duplicate pairs by split trees against all pairs."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +107,22 @@ def test_nearest_search_opens_few_leaves(monkeypatch):
     assert compared[0] < len(x) * 1000
     for i in range(0, len(x), 997):
         assert far[i] == np.sort(np.abs(x - x[i]).max(axis=1))[1]
+
+
+def test_leaves_are_compared_by_bit_sets():
+    """Half a billion candidate pairs on a lattice, many exactly at distance 1, within seconds: vector by vector they take much longer."""
+    rng = np.random.default_rng(9)
+    rows = np.round(rng.uniform(0, 3, (1500, 6)), 1)
+    weights = rng.integers(1, 6, len(rows))
+    near = np.ones((len(rows), len(rows)), bool)
+    for axis in range(6):
+        near &= np.abs(rows[:, axis][:, None] - rows[:, axis][None, :]) <= 1
+    pairs = weights[:, None] * weights[None, :] * near
+    for leaf in (5, 64, 700, neighbours.BITS):
+        whole, compared = neighbours.count_close(neighbours._Nodes(rows, weights, leaf))
+        assert whole + compared == (pairs.sum() - (weights**2).sum()) // 2
+        one, two = (neighbours._Nodes(rows[own], weights[own], leaf) for own in (slice(0, 600), slice(600, None)))
+        assert sum(neighbours.count_close(one, two)) == pairs[:600, 600:].sum()
+    crowd = rng.uniform(0, 3, (30_000, 6))
+    nodes, begun = neighbours._Nodes(crowd, np.ones(len(crowd), np.int64), neighbours.BITS), time.time()
+    assert neighbours.count_close(nodes)[1] > 0 and time.time() - begun < 8

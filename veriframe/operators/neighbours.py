@@ -81,13 +81,14 @@ class SplitTree:
 
 
 LEAF = 24  # vectors of a leaf inside a tile
+BITS = 4096  # vectors of a leaf whose close pairs are counted by bit sets
 CHUNK = 1 << 18  # node pairs (or compared vectors) handled at a time
 
 
 class _Nodes:
     """A median tree over one set of vectors: boxes, weights and children of every node; children of a leaf are -1."""
 
-    def __init__(self, vectors, weights):
+    def __init__(self, vectors, weights, leaf=LEAF):
         low, high, left, right, start, stop = [], [], [], [], [], []
         order = np.arange(len(vectors))
         waiting = [(0, len(vectors), -1, 0)]
@@ -102,7 +103,7 @@ class _Nodes:
             right.append(-1)
             start.append(a)
             stop.append(b)
-            if b - a > LEAF:
+            if b - a > leaf:
                 middle = (b - a) // 2
                 order[a:b] = order[a:b][np.argpartition(own[:, (high[-1] - low[-1]).argmax()], middle)]
                 waiting += [(a, a + middle, number, 0), (a + middle, b, number, 1)]
@@ -124,20 +125,69 @@ def _split_pairs(x, y, i, j, same):
     return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
+def _first(values, points, after):
+    """Per point, the first of the sorted ``values`` for which value - point >= -1 (``after``: > 1) as the subtraction rounds."""
+    edge = points + (1 if after else -1)
+    margin = 1e-9 * (1 + np.abs(points))  # what lies nearer to the edge is subtracted
+    low, high = np.searchsorted(values, edge - margin), np.searchsorted(values, edge + margin, side="right")
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        gap = values[middle] - points[open_]
+        reached = gap > 1 if after else gap >= -1
+        high[open_[reached]] = middle[reached]
+        low[open_[~reached]] = middle[~reached] + 1
+    return low
+
+
+class _BitSets:
+    """Sets of a leaf's vectors as bits: per axis, those of the r smallest values for every r; and those whose weight has a bit set."""
+
+    def __init__(self, vectors, weights):
+        n, words = len(vectors), -(-len(vectors) // 64)
+        bit = np.uint64(1) << (np.arange(n) % 64).astype(np.uint64)
+        self.values, self.below = [], []
+        for column in vectors.T:
+            order = np.argsort(column)
+            sets = np.zeros((n + 1, words), np.uint64)
+            sets[np.arange(1, n + 1), order // 64] = bit[order]
+            self.values.append(column[order])
+            self.below.append(np.bitwise_or.accumulate(sets, axis=0))
+        self.planes = []
+        for power in range(int(weights.max()).bit_length()):
+            mine, plane = np.flatnonzero(weights >> power & 1), np.zeros(words, np.uint64)
+            np.bitwise_or.at(plane, mine // 64, bit[mine])
+            if len(mine):
+                self.planes.append((power, None if len(mine) == n else plane))
+
+    def weight_near(self, points):
+        """Weight of the leaf's vectors within distance 1 of each point."""
+        close = None
+        for axis, (values, below) in enumerate(zip(self.values, self.below)):
+            start, stop = (_first(values, points[:, axis], after) for after in (False, True))
+            inside = below[stop]
+            inside ^= below[start]
+            close = inside if close is None else np.bitwise_and(close, inside, out=close)
+        return sum(np.bitwise_count(close if plane is None else close & plane).sum(axis=1, dtype=np.int64) << power for power, plane in self.planes)
+
+
 def _compared(x, y, i, j, same):
-    """Weighted close pairs of leaf pairs, vector by vector."""
-    total = 0
-    step = max(1, CHUNK // LEAF**2)
-    for at in range(0, len(i), step):
-        a, b = i[at: at + step], j[at: at + step]
-        rows, columns = (t.start[n][:, None] + np.arange(LEAF) for t, n in ((x, a), (y, b)))
-        good = (rows < x.stop[a][:, None])[:, :, None] & (columns < y.stop[b][:, None])[:, None, :]
-        rows, columns = np.minimum(rows, len(x.vectors) - 1), np.minimum(columns, len(y.vectors) - 1)
-        for axis in range(x.vectors.shape[1]):
-            good &= np.abs(x.vectors[rows, axis][:, :, None] - y.vectors[columns, axis][:, None, :]) <= 1
-        if same:  # a leaf with itself: each pair once, and none of a vector with itself
-            good &= (a != b)[:, None, None] | (rows[:, :, None] < columns[:, None, :])
-        total += int((good * x.weights[rows][:, :, None] * y.weights[columns][:, None, :]).sum())
+    """Weighted close pairs of leaf pairs; only vectors in reach of the other leaf's box are looked up in its bit sets."""
+    total, order = 0, np.argsort(j, kind="stable")
+    i, j = i[order], j[order]
+    for start, stop in zip(*(np.searchsorted(j, np.unique(j), side=side) for side in ("left", "right"))):
+        leaf = j[start]
+        own = slice(y.start[leaf], y.stop[leaf])
+        sets = _BitSets(y.vectors[own], y.weights[own])
+        for other in i[start:stop]:
+            rows = slice(x.start[other], x.stop[other])
+            points, weights = x.vectors[rows], x.weights[rows]
+            reach = (np.maximum(y.low[leaf] - points, points - y.high[leaf]).max(axis=1) <= 1) & np.isfinite(points).all(axis=1)
+            points, weights = points[reach], weights[reach]
+            found = 0
+            for at in range(0, len(points), 1024):
+                found += int((weights[at: at + 1024] * sets.weight_near(points[at: at + 1024])).sum())
+            # a leaf with itself meets each pair from both ends, and each vector itself
+            total += (found - int((weights**2).sum())) // 2 if same and other == leaf else found
     return total
 
 
@@ -145,7 +195,7 @@ def count_close(x, y=None):
     """(whole, compared): weighted pairs within distance 1 of two node trees, or of one with itself (copies of one vector left out)."""
     same = y is None
     y = x if same else y
-    whole, compared, waiting = 0, 0, [(np.zeros(1, int), np.zeros(1, int))]
+    whole, met, waiting = 0, [], [(np.zeros(1, int), np.zeros(1, int))]
     while waiting:
         i, j = waiting.pop()
         if len(i) > CHUNK:
@@ -159,11 +209,11 @@ def count_close(x, y=None):
         whole += int(product[inside].sum())
         rest = ~inside & (gap <= 1)
         leaves = rest & (x.left[i] < 0) & (y.left[j] < 0)
-        compared += _compared(x, y, i[leaves], j[leaves], same)
+        met.append((i[leaves], j[leaves]))
         rest &= ~leaves
         if rest.any():
             waiting.append(_split_pairs(x, y, i[rest], j[rest], same))
-    return whole, compared
+    return whole, _compared(x, y, *map(np.concatenate, zip(*met)), same)
 
 
 def _matrix(batch):
@@ -194,17 +244,19 @@ def _tiled(vectors, tile_rows, sample_per_tile):
     return tree, at_home, boxes
 
 
-def near_duplicate_pairs(scores, tile_rows=20_000, sample_per_tile=200):
+def near_duplicate_pairs(scores, tile_rows=None, sample_per_tile=200):
     """Number of row pairs whose scaled distance is at most 1, split by how they were counted.
 
     Copies of one vector are counted from their multiplicity. Medians of a bounded sample cut the space into tiles of about
-    ``tile_rows`` distinct vectors; the exact boxes of the tiles are aggregated. A vector visits each tile with a smaller number
+    ``tile_rows`` distinct vectors (by default 20 000, and up to 100 000 in large tables); the exact boxes of the tiles are aggregated. A vector visits each tile with a smaller number
     whose box it may reach, unless it is close to the whole box: then it counts with the tile's total and stays at home, so that
     vectors crowded into a unit of space do not meet each other. Inside a tile, median trees of its own vectors and its
-    visitors are walked together: pairs of nodes are dropped or counted whole by their boxes, and only leaves compare vectors.
+    visitors are walked together: pairs of nodes are dropped or counted whole by their boxes, and only leaves compare vectors, by
+    bit sets of those within reach along each axis.
     """
     spark = scores.sparkSession
     vectors = cut_lineage(weighted_vectors(scores).dropna(), "vectors")
+    tile_rows = tile_rows or min(max(20_000, vectors.count() // 200), 100_000)
     tree, at_home, boxes = _tiled(vectors, tile_rows, sample_per_tile)
     shared = spark.sparkContext.broadcast((tree, boxes))  # one entry per ``tile_rows`` vectors
 
@@ -236,10 +288,10 @@ def near_duplicate_pairs(scores, tile_rows=20_000, sample_per_tile=200):
 
     def counted(table):
         own, guests = (table.filter(flag) for flag in (table.column("own"), pc.invert(table.column("own"))))
-        home = _Nodes(_matrix(own), own.column("w").to_numpy())
+        home = _Nodes(_matrix(own), own.column("w").to_numpy(), BITS)
         whole, compared = count_close(home)
         if len(guests):
-            more = count_close(home, _Nodes(_matrix(guests), guests.column("w").to_numpy()))
+            more = count_close(home, _Nodes(_matrix(guests), guests.column("w").to_numpy(), BITS))
             whole, compared = whole + more[0], compared + more[1]
         return pa.table({"kind": ["whole_nodes", "compared"], "pairs": [whole, compared]})
 
