@@ -199,3 +199,20 @@ def test_quiet_keys_lose_their_state(spark):
     run.awaitTermination()
     assert sorted(r["failures"] for r in spark.read.parquet(out).collect()) == [3, 3, 4, 4, 5, 5]
     assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_label_texts_are_normalised_once_and_a_verdict_searches_pages_once(spark, monkeypatch):
+    """The filter that Spark derives from exploded labels held the normalised text once per label variant; a verdict searched pages five times."""
+    from veriframe.operators import ocr
+
+    items = spark.createDataFrame(
+        [(1, "front", 0, "SURNAME", 0.9, 10.0, 110.0, 0.0, 20.0), (1, "front", 1, "OTIENO", 0.9, 130.0, 300.0, 0.0, 20.0)],
+        "doc_id bigint, side string, item_no bigint, text string, confidence double, x_min double, x_max double, y_min double, y_max double")
+    found = ocr.label_items(items)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[^A-Z0-9]+") == 1
+    assert [(r.label_key, r.item_no) for r in found.collect()] == [("surname", 0)]
+    searches, search = [], ocr.values_near_labels
+    monkeypatch.setattr(ocr, "values_near_labels", lambda *a: searches.append(1) or search(*a))
+    zones = spark.createDataFrame([], "doc_id bigint, side string, valid boolean, document_number string, id_number_verified boolean, surname string, given_names string, full_names string, date_of_birth date, date_of_expiry date")
+    known = spark.createDataFrame([(1, "Otieno", None, None)], "doc_id bigint, name string, id_number string, date_of_birth string")
+    assert ocr.document_verdicts(items, zones, known, F.lit("2026-01-15").cast("date")).count() == 1 and len(searches) == 1

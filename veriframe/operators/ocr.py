@@ -86,7 +86,9 @@ def label_items(items, keys=tuple(x.LABELS)):
         F.when(F.col("_next").isNotNull(), place(1, F.lit(None), F.concat_ws(" ", "text", "_next.text"), merged)),
     )
     boxes = rows.select(*PAGE, F.inline(both))
-    boxes = boxes.withColumn("_n", x.normal_label(F.col("text"))).withColumn("_c", x.without_spaces(F.col("_n")))
+    # as generated columns, these are worked out once; others would be once per test in the filter that Spark derives from ``found``
+    boxes = boxes.select("*", F.explode(F.array(x.normal_label(F.col("text")))).alias("_n"))
+    boxes = boxes.select("*", F.explode(F.array(x.without_spaces(F.col("_n")))).alias("_c"))
     found = compact_array(*[F.when(x.has_label(F.col("_n"), F.col("_c"), x.LABELS[k]), F.lit(k)) for k in keys])
     columns = ["_pass", "item_no", "label_no", *box]
     tagged = boxes.select(*PAGE, *columns, F.explode(found).alias("label_key"))
@@ -170,9 +172,9 @@ def wanted_fields(types):
     return types.where(F.col("document_type").isNotNull()).select(*PAGE, F.inline(spec))
 
 
-def raw_fields(items, types):
-    """One row per page with the raw text of every field, plus the fallbacks for unlabelled cards."""
-    found = values_near_labels(items, wanted_fields(types))
+def raw_fields(items, types, found=None):
+    """One row per page with the raw text of every field; ``found`` are values near labels, if they are known."""
+    found = values_near_labels(items, wanted_fields(types)) if found is None else found
     wide = found.groupBy(*PAGE).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in RAW_FIELDS])
     return types.join(wide, PAGE, "left")
 
@@ -336,13 +338,29 @@ NO_TEMPLATE = "Could not match a known document template. Flagged for manual rev
 MIN_ITEMS = 6
 
 
-def page_readings(items, raw):
-    """Readings of the id number on the front: the chosen one, the labelled one, and bare numbers."""
+READ_ID = "_read_id"  # the id number beside its plain label, sought on licences beside their own field
+
+
+def verdict_fields(types):
+    """(page, field, label_key, kind) of all that a verdict reads beside labels, so that one walk over the pages finds it.
+
+    The fields of the fronts, the plain id number of licences, and the number on the backs of two-sided cards.
+    """
+    licences = types.where(F.col("document_type") == LICENCE).select(
+        *PAGE, F.lit(READ_ID).alias("field"), F.lit("id_number").alias("label_key"), F.lit("id").alias("kind"))
+    backs = types.where(F.col("document_type").isin(*CARD_FRONTS)).select("doc_id", F.lit("back").alias("side"), F.lit(CARD_BACK).alias("document_type"))
+    return wanted_fields(types).unionByName(licences).unionByName(wanted_fields(backs))
+
+
+def page_readings(items, raw, read_ids):
+    """Readings of the id number on the front: the chosen one, the labelled one (``read_ids`` on licences), and bare numbers.
+
+    ``raw`` holds the numbers found beside labels; on cards that is the labelled one too.
+    """
     chosen = raw.where(F.col("id_number").isNotNull()).select("doc_id", F.lit(-2).alias("reading_no"), F.col("id_number").alias("value"))
     fronts = items.where(F.col("side") == "front")
-    wanted = raw.where(F.col("document_type").isin(CARD_OLD, CARD_NEW, LICENCE)).select(
-        *PAGE, F.lit("id_number").alias("field"), F.lit("id_number").alias("label_key"), F.lit("id").alias("kind"))
-    labelled = values_near_labels(fronts, wanted).select("doc_id", F.lit(-1).alias("reading_no"), "value")
+    on_cards = raw.where(F.col("document_type").isin(*CARD_FRONTS) & F.col("id_number").isNotNull()).select("doc_id", F.col("id_number").alias("value"))
+    labelled = on_cards.unionByName(read_ids.select("doc_id", "value")).select("doc_id", F.lit(-1).alias("reading_no"), "value")
     token = x.normal_id(F.col("text"))
     typed = raw.where(F.col("document_type").isin(CARD_OLD, CARD_NEW, LICENCE)).select("doc_id")
     bare = fronts.where(token.rlike(r"^\d{7,10}$")).select("doc_id", F.col("item_no").cast("int").alias("reading_no"), token.alias("value"))
@@ -371,11 +389,11 @@ def document_verdicts(items, zones, registered, today, pages=None):
     kind = F.coalesce("document_type", F.when(F.col("_back_zone"), F.lit(CARD_NEW)))
     types = types.withColumn("document_type", kind)
     # the raw record feeds several later steps, so it is written once
-    raw = cut_lineage(raw_fields(fronts, types), "raw-fields")
+    types = cut_lineage(types, "typed-pages")
+    found = cut_lineage(values_near_labels(items, verdict_fields(types)), "found-values")
+    raw = cut_lineage(raw_fields(fronts, types, found.where((F.col("side") == "front") & (F.col("field") != READ_ID))), "raw-fields")
     raw = cut_lineage(with_fallbacks(raw, fronts, today), "filled-fields")
-
-    back_pages = raw.where(F.col("document_type").isin(*CARD_FRONTS)).select("doc_id", F.lit("back").alias("side"), F.lit(CARD_BACK).alias("document_type"))
-    back_numbers = values_near_labels(backs, wanted_fields(back_pages)).select("doc_id", F.col("value").alias("back_number"))
+    back_numbers = found.where(F.col("side") == "back").select("doc_id", F.col("value").alias("back_number"))
 
     sided = zones.where("valid").withColumn("_p", F.when(F.col("side") == "back", 0).otherwise(1))
     picked = sided.groupBy("doc_id").agg(F.min(F.struct("_p", *ZONE)).alias("_z")).select("doc_id", *[F.col(f"_z.{c}").alias(c) for c in ZONE])
@@ -384,7 +402,7 @@ def document_verdicts(items, zones, registered, today, pages=None):
 
     context = raw.select("doc_id", "id_number").join(back_numbers, "doc_id", "left").join(
         picked.select("doc_id", F.col("document_number").alias("zone_number"), F.col("id_number_verified").alias("zone_verified")), "doc_id", "left")
-    readings = page_readings(items, raw)
+    readings = cut_lineage(page_readings(items, raw, found.where(F.col("field") == READ_ID)), "readings")
     voted = vote_numbers(readings, context).select("doc_id", F.col("id_number").alias("_voted"))
     raw = raw.join(voted, "doc_id", "left").join(back_numbers, "doc_id", "left")
     raw = raw.withColumn("_chosen", F.col("id_number")).withColumn("id_number", F.coalesce("_voted", "id_number"))
