@@ -210,7 +210,7 @@ def test_label_texts_are_normalised_once_and_a_verdict_searches_pages_once(spark
         "doc_id bigint, side string, item_no bigint, text string, confidence double, x_min double, x_max double, y_min double, y_max double")
     found = ocr.label_items(items)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("[^A-Z0-9]+") == 1
-    assert [(r.label_key, r.item_no) for r in found.collect()] == [("surname", 0)]
+    assert [(r.label_key, r.label_no) for r in found.collect()] == [("surname", 0)]
     searches, search = [], ocr.values_near_labels
     monkeypatch.setattr(ocr, "values_near_labels", lambda *a: searches.append(1) or search(*a))
     zones = spark.createDataFrame([], "doc_id bigint, side string, valid boolean, document_number string, id_number_verified boolean, surname string, given_names string, full_names string, date_of_birth date, date_of_expiry date")
