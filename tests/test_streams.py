@@ -113,3 +113,31 @@ def test_rate_verdict_step_needs_no_key_column_and_leaves_in_parts(monkeypatch):
             used += 1
             expected.append((hit, ts, opened, used, used <= 3))
         assert list(got.itertuples(index=False, name=None)) == expected
+
+
+def test_alerts_meet_agents_without_a_broadcast(spark):
+    """A join right behind the state operator failed with a ClassCastException once the agents were too many to broadcast."""
+    schema = "change_id bigint, request_id bigint, agent_id bigint, status string, changed_at timestamp"
+    start, path = dt.datetime(2026, 1, 1, 0, 0, 0, 123456), scratch_dir(spark, "change-rows")
+    statuses = ["review", "pending", "review", "review", "verified", "review"]
+    for part in range(2):  # the second batch begins inside a review
+        rows = [(6 * r + i, r, None if r == 4 else r, statuses[i], start + dt.timedelta(hours=i)) for r in range(5) for i in range(3 * part, 3 * part + 3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    agents = spark.createDataFrame([(0, "Ann", "n0"), (1, "", "n1"), (2, "Cyd", None)], "agent_id bigint, full_name string, national_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = jobs.run_available(jobs.review_alerts(changes, agents), "alerts-test").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    people = {0: ("Ann", "n0"), 1: ("Unknown agent", "n1"), 2: ("Cyd", None)}
+    assert sorted(map(tuple, got)) == [
+        (6 * r + i, r, None if r == 4 else r, *people.get(r, ("Unknown agent", None)), start + dt.timedelta(hours=i)) for r in range(5) for i in (0, 2, 5)]
+
+
+def test_state_rows_of_many_keys_can_be_shuffled(spark):
+    start = dt.datetime(2026, 1, 1)
+    rows = [(i, i % 3, "strike", start + dt.timedelta(minutes=i)) for i in range(30)]
+    got = jobs.run_available(jobs.strike_counts(streamed(spark, strikes_log(rows))).repartition("agent_id"), "strikes-shuffled").collect()
+    assert {(r.log_id, r.agent_id, r.ts, r.strikes) for r in got} == {(i, i % 3, start + dt.timedelta(minutes=i), i // 3 + 1) for i in range(30)}

@@ -21,6 +21,16 @@ OUTPUT_ROWS = 10_000  # rows of a key that leave at a time
 KEY_GROUPS = 2048  # groups that keys with few rows are dealt over
 
 
+def _applied(grouped, run, output, state, timeout):
+    """``applyInPandasWithState`` in append mode, its rows fit for any step that follows.
+
+    Spark hands on the operator's Arrow rows as they are; a shuffle or sort right behind it, as of a join too large to broadcast, fails
+    on them with a ClassCastException. Times therefore leave Python without a zone and get the session's in a projection, which makes rows anew.
+    """
+    rows = grouped.applyInPandasWithState(run, output.replace(" timestamp", " timestamp_ntz"), state, "append", timeout)
+    return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in (field.split() for field in output.split(", "))])
+
+
 def _stateful(rows, keys, step, output, state, lifetime=None, lateness="1 hour", keyed=True):
     """Run ``step(key, ordered rows, state values) -> (output frame, new state values)`` per key.
 
@@ -50,7 +60,7 @@ def _stateful(rows, keys, step, output, state, lifetime=None, lateness="1 hour",
     if lifetime is not None:
         rows = rows.withWatermark("ts", lateness)
     kind = GroupStateTimeout.NoTimeout if lifetime is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", kind)
+    return _applied(rows.groupBy(*keys), run, output, state, kind)
 
 
 def review_alerts(changes, agents=None):
@@ -123,7 +133,7 @@ def _dealt(rows, key, kind, columns, step, output, state, lifetime, lateness):
 
     stored = f"keys array<{kind}>, last array<bigint>, " + ", ".join(f"{n} array<{t}>" for n, t in (f.split() for f in fields))
     grouped = rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS))).withWatermark("ts", lateness).groupBy("_group")
-    return grouped.applyInPandasWithState(run, output, stored, "append", GroupStateTimeout.EventTimeTimeout)
+    return _applied(grouped, run, output, stored, GroupStateTimeout.EventTimeTimeout)
 
 
 def failure_alerts(failures, key, limit=MAX_FAILURES, hours=LOOKBACK_HOURS, lateness="1 hour"):
