@@ -1,6 +1,7 @@
 """Trees, calibration, bootstrap and permutations against plain versions."""
 
 import hashlib
+import os
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_margin_grid import labelled
+from veriframe import session
 from veriframe.operators import calibration, evaluation, trees
 from veriframe.schemas import CLASSES, FEATURES
 
@@ -220,3 +222,23 @@ def test_equal_values_meet_the_powers_once(spark, monkeypatch):
     plain = inner(rows.unpivot([], ["blur_score"], "feature", "value"), seen[0][1]).toPandas().sort_values("power")
     merged = inner(*seen[0]).toPandas().sort_values("power")
     assert merged.log_likelihood.to_numpy() == pytest.approx(plain.log_likelihood.to_numpy(), rel=1e-9)
+
+
+def test_importance_takes_its_repeats_in_passes_that_leave_only_counts(spark, monkeypatch):
+    exploded, ranked, released = [], evaluation.hash_rank, []
+    monkeypatch.setattr(evaluation, "hash_rank", lambda df, *rest, **kw: exploded.append(df.count()) or ranked(df, *rest, **kw))
+    monkeypatch.setattr(session, "release_shuffles", lambda _: released.append(1))
+    rng = np.random.default_rng(9)
+    rows = [(i, CLASSES[int(rng.integers(0, 3))], float(rng.random()), float(rng.random())) for i in range(300)]
+    as_column = lambda c: F.when(c[0] + c[1] / 4 > 0.7, CLASSES[0]).when(c[0] > 0.3, CLASSES[1]).otherwise(CLASSES[2])
+    table = spark.createDataFrame(rows, "id bigint, target string, a double, b double")
+    importance = lambda **kw: sorted((r.feature, round(r.importance, 12), round(r.std, 12)) for r in evaluation.permutation_importance(table, "id", as_column, repeats=5, features=["a", "b"], **kw).collect())
+    whole = importance()
+    assert exploded == [300, 1500] and not released
+    for pass_rows, sizes in ((700, [600, 600, 300]), (10, [300] * 5)):  # 10: less than a repeat
+        exploded.clear(), released.clear()
+        with session.intermediates() as written:
+            assert importance(pass_rows=pass_rows) == whole
+        assert exploded == [300, *sizes]
+        assert len(released) >= len(sizes)
+        assert not os.path.exists(next(p for p in written if "permuted-rows" in p).removeprefix("file:"))
