@@ -150,3 +150,23 @@ def test_copies_that_share_signatures_without_links(frame):
             rows.append((1000 + i, " ".join(body)))
     got = partenum.near_duplicates(frame(rows), 5, 80).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 5, 80)
+
+
+def test_sketches_of_a_block_meet_once_and_folded_first(monkeypatch):
+    rng, sets = np.random.default_rng(12), []
+    for i in range(300):
+        made = rng.integers(0, 1 << 63, int(rng.integers(3, 40) if i % 7 == 0 else rng.integers(150, 400)), dtype=np.uint64)
+        if i % 3 == 1:  # a near copy of the one before
+            made = np.concatenate([sets[-1][: -max(1, len(sets[-1]) // 20)], made[: len(sets[-1]) // 20]])
+        sets.append(np.unique(made))
+    sizes, comps = np.array([len(s) for s in sets]), rng.integers(0, 200, 300)
+    data, offsets = partenum.parity_sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    sketches = [data[a:b].view(np.uint64) for a, b in zip(offsets, offsets[1:])]
+    allow, laid = partenum.sketches_allow, []
+    wanted = [any(comps[i] != comps[j] and allow(*((sketches[k] for k in ((i, j) if len(sketches[i]) <= len(sketches[j]) else (j, i)))), sizes[i], sizes[j], 80) for j in range(300)) for i in range(300)]
+    monkeypatch.setattr(partenum, "sketches_allow", lambda left, right, *rest: laid.append(right[..., 0].size) or allow(left, right, *rest))
+    for slab in ({}, {"slab": 100}):
+        laid.clear()
+        assert partenum.partners_by_sketch(sketches, sizes, comps, 80, **slab).tolist() == wanted
+        assert sum(laid) < 300 * 300 / 20
+    assert 50 < sum(wanted) < 250

@@ -1,10 +1,13 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veriframe.llm import run_index
 from veriframe.llm.queries import QUERIES
+from veriframe.llm.tables import pack
 
 
 def brute(rows, size):
@@ -117,3 +120,24 @@ def test_repeated_and_null_ids_over_blocks(frame, block_bytes):
     random.Random(6).shuffle(rows)
     got = run_index.remove_repeats(frame(rows, "1 as block").repartition(4), 50, block_bytes=block_bytes).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == brute(rows, 50)
+
+
+def test_a_block_counts_its_occurrences_once_whatever_the_buckets(monkeypatch):
+    calls, count = [], run_index.Items.least_times
+    monkeypatch.setattr(run_index.Items, "least_times", lambda self: calls.append(1) or count(self))
+    size, buckets, common = 50, 40, SimpleNamespace(value=np.zeros(0, np.uint64))
+    rows = [(i, text.encode()) for i, text in passages(5, 120)]
+    blocks = []
+    for number, part in enumerate((rows[:60], rows[60:])):
+        offsets = np.cumsum([0, *(len(text) for _, text in part)])
+        blocks.append((number, pack((np.array([i for i, _ in part]), offsets, b"".join(text for _, text in part)))))
+    table = pa.table([pa.array(c) for c in zip(*blocks)], ["block", "payload"])
+    asked = pa.Table.from_batches(run_index._ask(table.to_batches(), size, buckets, common)).combine_chunks()
+    each = asked.column("bucket").to_numpy()
+    answers = pa.concat_tables([run_index._answer(asked.filter(pa.array(each == b))) for b in np.unique(each)])
+    sent = set()
+    for number in (0, 1):
+        settled = run_index._settle(table.slice(number, 1), answers.filter(pa.array(answers.column("block").to_numpy() == number)), size, buckets, common.value)
+        sent |= {bucket for bucket, spans in zip(settled.column("bucket").to_pylist(), settled.column("spans").to_pylist()) if not spans}
+    assert len(sent) > 2
+    assert len(calls) == 2  # once a block, not once a bucket of it

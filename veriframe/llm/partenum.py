@@ -265,19 +265,42 @@ def links_across(sets, comps, percent, columns=2048, rows=256):
     return np.concatenate(left), np.concatenate(right)
 
 
-def partners_by_sketch(sketches, sizes, comps, percent):
-    """Which members of a block have one in another component that their sketches do not rule out."""
+def partners_by_sketch(sketches, sizes, comps, percent, slab=1 << 18):
+    """Which members of a block have one in another component that their sketches do not rule out.
+
+    Members are ordered by size, so that one meets those of fitting size alone, and each pair once. Sketches folded to a quarter
+    rule out most pairs, and whole ones are laid beside each other for the rest. ``slab`` pairs are held at a time.
+    """
     widths, kept = np.array([len(k) for k in sketches]), np.zeros(len(sketches), bool)
+    by_size = np.argsort(sizes, kind="stable")
     for narrow in np.unique(widths[widths > 0]):
-        left = np.flatnonzero(widths == narrow)
+        left = by_size[widths[by_size] == narrow]
+        own, coarse = np.stack([sketches[i] for i in left]), max(1, int(narrow) // 4)
+        own_coarse = np.ascontiguousarray(folded(own, coarse).T)
         for wide in np.unique(widths[widths >= narrow]):
-            right = np.flatnonzero(widths == wide)
-            rows = folded(np.stack([sketches[j] for j in right]), narrow)
-            for i in left:
-                near = sketches_allow(sketches[i], rows, sizes[i], sizes[right], percent) & (comps[right] != comps[i])
-                if near.any():
-                    kept[i] = True
-                    kept[right[near]] = True
+            right = by_size[widths[by_size] == wide]
+            rows = own if wide == narrow else folded(np.stack([sketches[j] for j in right]), narrow)
+            rows_coarse = own_coarse if wide == narrow else np.ascontiguousarray(folded(rows, coarse).T)
+            step = max(1, slab // len(right))
+            for a in range(0, len(left), step):
+                mine = left[a: a + step]
+                p, q = np.searchsorted(100 * sizes[right], percent * sizes[mine[0]]), np.searchsorted(percent * sizes[right], 100 * sizes[mine[-1]], side="right")
+                p = max(p, a) if wide == narrow else p
+                others = right[p:q]
+                apart = np.zeros((len(mine), len(others)), np.int32)
+                for mine_word, other_word in zip(own_coarse[:, a: a + step], rows_coarse[:, p:q]):
+                    apart += np.bitwise_count(mine_word[:, None] ^ other_word)
+                near = (100 + percent) * apart <= (100 - percent) * (sizes[mine][:, None] + sizes[others])
+                i, j = np.nonzero(near & (comps[mine][:, None] != comps[others]))
+                for first in range(0, len(i), max(1, slab // int(narrow))):
+                    x, y = (c[first: first + max(1, slab // int(narrow))] for c in (i, j))
+                    new = ~(kept[mine[x]] & kept[others[y]])
+                    if not new.any():
+                        continue
+                    x, y = x[new], y[new]
+                    found = sketches_allow(own[a + x], rows[p + y], sizes[mine[x]], sizes[others[y]], percent)
+                    kept[mine[x[found]]] = True
+                    kept[others[y[found]]] = True
     return kept
 
 

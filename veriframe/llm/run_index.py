@@ -251,7 +251,7 @@ def _settle(blocks, answers, size, buckets, common):
     items = Items(data, offsets, ids, size, common)
     told = {b: unpack(p) for b, p in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist())}
     padded = _padded(data, items.width)
-    least = np.full(len(items.first), NO_ID)
+    least, least_times = np.full(len(items.first), NO_ID), items.least_times()  # once a block: buckets grow with the corpus
     rows = []
     for bucket, entries in items.buckets(buckets):
         if bucket not in told:
@@ -265,7 +265,7 @@ def _settle(blocks, answers, size, buckets, common):
             texts = _matrix(padded, start, start, stop, items.width)
             docs = items.doc[send]
             # every place of the context in its smallest document is marked later
-            times = items.least_times()[entries[role == SENDER]]
+            times = least_times[entries[role == SENDER]]
             places = items.start[ragged(send, times)]
             rows.append((bucket, block, False, pack((planes(places), planes(times), stop - start, int(docs.min()), planes(docs - docs.min()), texts[np.arange(items.width) < (stop - start)[:, None]], items.key[send], items.lead[send].astype(np.uint8)))))
     gone = items.doc > least[items.entry]
